@@ -18,168 +18,215 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import stored, text_batches
 
 BITS = 64
 SEED = 42
-#: Distinct fingerprints sampled to plan the partitions. The plan decides the work, never the result.
+#: Distinct fingerprints sampled to plan the partitions. The plan decides the work, never what counts as linked.
 PLAN_SAMPLE = 4096
-#: A file with more fingerprints is cut once more by the bits outside its partition, exactly.
+#: A file with more fingerprints is cut into several, without losing a pair.
 LARGE_FILE = 20_000
 #: Work of filing a row against that of comparing a pair.
 FILING_COST = 400.0
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """SimHash of the word shingles, repeats included, as a signed 64-bit integer.
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Another 64 bits from the same hashes (the finaliser of splitmix64); word 0 is the hash itself."""
+    if not word:
+        return hashes
+    z = hashes + np.uint64(word * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint(text: str | None, words: int = 4, width: int = 1) -> list[int]:
+    """SimHash of the word shingles, repeats included, as ``width`` signed 64-bit integers.
 
     A-Z are lower-cased; words are runs of anything but ASCII white space. Fewer words than a
     shingle has make one shingle; no words make fingerprint 0.
     """
     found = (text or "").encode("utf-8").lower().split()
     if not found:
-        return 0
+        return [0] * width
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.append(0, ends[:-1] + 1).tolist()
-    last, digest = max(len(found) - words, 0), xxhash.xxh64_intdigest
-    stops = ends[words - 1 :].tolist() if last else [len(joined)]
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), "<u8", last + 1)
-    ones = np.zeros(BITS, "int64")
-    for at in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(bits.view("<i8")[0])
-
-
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` of every row."""
+    count, digest = max(len(found) - words, 0) + 1, xxhash.xxh64_intdigest
+    stops = ends[words - 1 :].tolist() if len(found) > words else [len(joined)]
+    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), "<u8", count)
+    ones = np.zeros((width, BITS), "int64")
+    for at in range(0, count, 1 << 15):
+        for k in range(width):
+            ones[k] += np.unpackbits(_mixed(hashes[at : at + (1 << 15)], k).view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
+    return np.packbits(2 * ones > count, axis=1, bitorder="little").view("<i8").ravel().tolist()
+
+
+def _words(width: int) -> list[str]:
+    return [f"w{k}" for k in range(width)]
+
+
+def fingerprints(docs: DataFrame, words: int = 4, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, the words of the fingerprint, and ``node``: the fingerprint itself, or a hash of a wider one."""
     text_batches(docs.sparkSession)
+    names = _words(width)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = np.array([fingerprint(t, words, width) for t in batch["text"]], "int64").reshape(-1, width)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64")} | {n: found[:, k] for k, n in enumerate(names)})
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    fps = rows.mapInPandas(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+    return fps.withColumn("node", F.col("w0") if width == 1 else F.xxhash64(*names))
+
+
+def _bits(fps: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(fps).view("u1").reshape(len(fps), -1), axis=1, bitorder="little")
 
-    @F.pandas_udf(T.LongType())
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fp(F.col(text_col)).alias("fp"))
+def _mask(bits: list[int], width: int) -> np.ndarray:
+    out = np.zeros(width, "u8")
+    for b in bits:
+        out[b // BITS] |= np.uint64(1 << b % BITS)
+    return out
 
 
 def partition_bits(sample: np.ndarray, m: int) -> list[list[int]]:
     """Cut the bits into m partitions, each grown from a bit by what correlates with it most."""
-    bits = np.unpackbits(sample.astype("<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little").astype("f8")
+    bits = _bits(sample).astype("f8")
     bits -= bits.mean(axis=0)
     spread = np.sqrt((bits**2).sum(axis=0))
     tied = np.abs(bits.T @ bits) / np.maximum(np.outer(spread, spread), 1e-9)
     np.fill_diagonal(tied, 0)
-    left, parts = set(range(BITS)), []
+    free, parts = np.ones(bits.shape[1], bool), []
     for k in range(m):
-        size = len(left) // (m - k)
-        rest = sorted(left)
-        part = [max(rest, key=lambda b: (tied[b, rest].sum(), -b))]
+        size = int(free.sum()) // (m - k)
+        part = [int(np.argmax(np.where(free, tied[:, free].sum(axis=1), -1)))]
+        free[part[0]] = False
+        pull = tied[:, part[0]].copy()
         while len(part) < size:
-            part.append(max(sorted(left - set(part)), key=lambda b: (tied[b, part].sum(), -b)))
-        left -= set(part)
+            part.append(int(np.argmax(np.where(free, pull, -1))))
+            free[part[-1]] = False
+            pull += tied[:, part[-1]]
         parts.append(sorted(part))
     return parts
 
 
-def plan(sample: np.ndarray, rows: int, distance: int) -> list[tuple[int, int]]:
-    """(mask, threshold) of each partition in use, with the least estimated work."""
-    sample = np.unique(sample.astype("<i8").view("<u8"))
-    best: tuple[float, list[tuple[int, int]]] | None = None
-    ordered = np.random.default_rng(7).permutation(len(sample))
-    apart = [sample[ordered] ^ sample[np.roll(ordered, k)] for k in range(1, min(200, len(sample)))] if len(sample) > 1 else [np.zeros(1, "u8")]
-    apart = np.concatenate(apart)
-    for m in range(2, distance + 2):
+def thresholds(parts: list[list[int]], apart: np.ndarray, rows: int, budget: int, most: int) -> tuple[float, list[int]]:
+    """The threshold of each partition, -1 to skip it, so that those plus one sum to ``budget``, with the least estimated work."""
+    table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    for part in parts:
+        within = np.bincount(apart[:, part].sum(axis=1), minlength=most + 1)[: most + 1].cumsum() / len(apart)
+        cost = {-1: 0.0}
+        for t in range(most + 1):
+            values = sum(comb(len(part), j) for j in range(t + 1))
+            cost[t] = FILING_COST * rows * values + rows * rows / 2 * max(within[t], values / 2.0 ** len(part))
+        step: dict[int, tuple[float, list[int]]] = {}
+        for s, (total, chosen) in table.items():
+            for t, c in cost.items():
+                if s + t + 1 <= budget and (s + t + 1 not in step or total + c < step[s + t + 1][0]):
+                    step[s + t + 1] = (total + c, [*chosen, t])
+        table = step
+    return table[budget]
+
+
+def plan(sample: np.ndarray, rows: int, distance: int, partitions: int | None = None) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each partition in use.
+
+    Without ``partitions`` their number is chosen too, and thresholds meet the generalised
+    pigeonhole condition for ``distance``: no pair within it is missed. With ``partitions`` the
+    thresholds plus one sum to that number.
+    """
+    sample = np.unique(sample, axis=0)
+    order = np.random.default_rng(7).permutation(len(sample))
+    pairs = [sample[order] ^ sample[np.roll(order, k)] for k in range(1, min(12, len(sample)))]
+    apart = _bits(np.concatenate(pairs) if pairs else np.zeros((1, sample.shape[1]), "u8"))
+    tried = []
+    for m in [partitions] if partitions else range(2, distance + 2):
         parts = partition_bits(sample, m)
-        masks = [sum(1 << b for b in p) for p in parts]
-        work: list[dict[int, float]] = []
-        for p, mask in zip(parts, masks, strict=True):
-            within = np.bincount(np.bitwise_count(apart & np.uint64(mask)), minlength=distance + 1)[: distance + 1].cumsum() / len(apart)
-            cost = {-1: 0.0}
-            for t in range(distance + 1):
-                values = sum(comb(len(p), j) for j in range(t + 1))
-                cost[t] = FILING_COST * rows * values + rows * rows / 2 * max(within[t], values / 2.0 ** len(p))
-            work.append(cost)
-        # least work for the first i partitions with thresholds that sum to s
-        table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-        for cost in work:
-            step: dict[int, tuple[float, list[int]]] = {}
-            for s, (total, chosen) in table.items():
-                for t, c in cost.items():
-                    if s + t not in step or total + c < step[s + t][0]:
-                        step[s + t] = (total + c, [*chosen, t])
-            table = step
-        total, chosen = table[distance - m + 1]
-        if best is None or total < best[0]:
-            best = (total, [(mask, t) for mask, t in zip(masks, chosen, strict=True) if t >= 0])
-    return best[1]
-
-
-def _filed(nodes: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
-    """(part, value, fp): each fingerprint under its own value and all values within the threshold."""
-    flips = []
-    for mask, t in parts:
-        bits = [b for b in range(BITS) if mask >> b & 1]
-        masks = [sum(1 << b for b in some) for j in range(t + 1) for some in combinations(bits, j)]
-        flips.append(np.array(masks, "u8"))
+        total, chosen = thresholds(parts, apart, rows, partitions or distance + 1, 1 if partitions else distance)
+        tried.append((total, [(p, t) for p, t in zip(parts, chosen, strict=True) if t >= 0]))
+    return min(tried, key=lambda x: x[0])[1]
+
+
+def _value(masked: np.ndarray) -> np.ndarray:
+    """One 64-bit value of masked words; with several words they are mixed, and pairs are compared in full anyway."""
+    if masked.shape[-1] == 1:
+        return masked[..., 0]
+    out = np.zeros(masked.shape[:-1], "u8")
+    for k in range(masked.shape[-1]):
+        out = _mixed(out ^ masked[..., k], 1 + k)
+    return out
+
+
+def _filed(nodes: DataFrame, parts: list[tuple[list[int], int]], names: list[str]) -> DataFrame:
+    """(part, value, words): each fingerprint under its own value and all values within the threshold."""
+    width = len(names)
+    masks = [_mask(bits, width) for bits, _ in parts]
+    flips = [np.array([_mask(list(some), width) for j in range(t + 1) for some in combinations(bits, j)], "u8") for bits, t in parts]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = batch["fp"].to_numpy("int64").view("u8")
-            for k, (mask, _) in enumerate(parts):
-                for some in np.array_split(flips[k], max(1, len(flips[k]) // 64)):
-                    values = (fps & np.uint64(mask))[:, None] ^ some[None, :]
-                    yield pd.DataFrame({"part": np.full(values.size, k, "int32"), "value": values.ravel().view("int64"), "fp": np.repeat(fps.view("int64"), len(some))})
-
-    return nodes.select("fp").mapInPandas(run, "part int, value long, fp long")
-
-
-def linked_sets(fps: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
-    """(smallest, member) of each set of two or more that hangs together at that distance."""
-    left = np.sort(fps)
-    if len(left) <= 600:
-        near = np.bitwise_count(left.view("u8")[:, None] ^ left.view("u8")[None, :]) <= distance
-        if near.sum() == len(left):
-            return
-        linked = near.any(axis=1) & (near.sum(axis=1) > 1)
-        left = left[linked]
+            fps = batch[names].to_numpy("int64").view("u8")
+            for k, mask in enumerate(masks):
+                for some in np.array_split(flips[k], max(1, len(flips[k]) // 32)):
+                    values = _value((fps & mask)[:, None, :] ^ some[None, :, :]).ravel()
+                    filed = np.repeat(fps.view("int64"), len(some), axis=0)
+                    yield pd.DataFrame({"part": np.full(len(values), k, "int32"), "value": values.view("int64")} | {n: filed[:, j] for j, n in enumerate(names)})
+
+    return nodes.select(*names).mapInPandas(run, ", ".join(["part int", "value long", *(f"{n} long" for n in names)]))
+
+
+def linked_sets(fps: np.ndarray, distance: int) -> list[np.ndarray]:
+    """Indexes of each set of two or more fingerprints that hangs together at that distance."""
+    left, out = np.arange(len(fps)), []
+    if len(fps) <= 600:
+        near = sum(np.bitwise_count(fps[:, None, k] ^ fps[None, :, k]).astype("i2") for k in range(fps.shape[1])) <= distance
+        left = np.flatnonzero(near.sum(axis=1) > 1)
     while len(left):
-        root, found, left = left[0], left[:1], left[1:]
-        while len(found) and len(left):
+        found, left = [left[:1]], left[1:]
+        front = found[0]
+        while len(front) and len(left):
             step = []
-            for f in found.view("u8"):
-                if not len(left):
-                    break
-                hit = np.bitwise_count(left.view("u8") ^ f) <= distance
+            for f in front:
+                hit = np.bitwise_count(fps[left] ^ fps[f]).sum(axis=1, dtype="i4") <= distance
                 if hit.any():
                     step.append(left[hit])
                     left = left[~hit]
-            found = np.concatenate(step) if step else left[:0]
-            for member in found.tolist():
-                yield int(root), member
+            front = np.concatenate(step) if step else left[:0]
+            found.append(front)
+        members = np.concatenate(found)
+        if len(members) > 1:
+            out.append(members)
+    return out
 
 
-def _stars(filed: DataFrame, keys: list[str], distance: int) -> DataFrame:
+def _stars(filed: DataFrame, keys: list[str], names: list[str], distance: int) -> DataFrame:
     """Links found within files; each set of a file is a star around its smallest fingerprint."""
+    points = [f"a{k}" for k in range(len(names))] + [f"b{k}" for k in range(len(names))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key, open_fps = None, []
 
-        def close(out: list[tuple[int, int]]) -> None:
-            if open_fps:
-                fps = np.unique(np.concatenate(open_fps))
-                if len(fps) > 1:
-                    out.extend(linked_sets(fps, distance))
+        def close(out: list[np.ndarray]) -> None:
+            if sum(map(len, open_fps)) > 1:
+                fps = np.unique(np.concatenate(open_fps), axis=0)
+                for members in linked_sets(fps.view("u8"), distance) if len(fps) > 1 else ():
+                    root, rest = members.min(), members[members != members.min()]
+                    out.append(np.hstack([np.repeat(fps[root : root + 1], len(rest), axis=0), fps[rest]]))
+
+        def frame(out: list[np.ndarray]) -> pd.DataFrame:
+            return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=points)
 
         for batch in batches:
             if not len(batch):
                 continue
-            out: list[tuple[int, int]] = []
-            fps = batch["fp"].to_numpy("int64")
+            out: list[np.ndarray] = []
+            fps = batch[names].to_numpy("int64")
             key = batch[keys].to_numpy("int64")
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -189,36 +236,49 @@ def _stars(filed: DataFrame, keys: list[str], distance: int) -> DataFrame:
                     open_key, open_fps = here, []
                 open_fps.append(fps[a:b])
             if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
+                yield frame(out)
         out = []
         close(out)
         if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
+            yield frame(out)
 
-    return filed.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
+    sets = filed.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, ", ".join(f"{p} long" for p in points))
+    side = lambda s: F.col(f"{s}0") if len(names) == 1 else F.xxhash64(*[f"{s}{k}" for k in range(len(names))])
+    return sets.select(side("a").alias("a"), side("b").alias("b")).distinct()
 
 
-def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
-    """Stars (``a``, ``b``) whose components are those of all pairs within the distance."""
-    rows = nodes.count()
+def _cut(filed: DataFrame, parts: list[tuple[list[int], int]], names: list[str], distance: int) -> DataFrame:
+    """Large files cut into several, so that each pair within the distance still meets in one.
+
+    For one-word fingerprints the bits outside the partition are cut into distance + 1 pieces, of
+    which a pair has one in common. Wider ones are dealt into blocks, and each two blocks make a file.
+    """
+    sizes = filed.groupBy("part", "value").count().filter(F.col("count") > LARGE_FILE)
+    sized = filed.join(sizes.withColumnRenamed("count", "_size"), ["part", "value"], "left")
+    if len(names) == 1:
+        pieces = []
+        for bits, _ in parts:
+            outside = sorted(set(range(BITS)) - set(bits))
+            pieces.append([int(_mask(outside[j :: distance + 1], 1).view("i8")[0]) for j in range(distance + 1)])
+        masks = F.array(*[F.array(*[F.lit(x).cast("long") for x in p]) for p in pieces])
+        chosen = F.when(F.col("_size").isNotNull(), F.element_at(masks, F.col("part") + 1)).otherwise(F.array(F.lit(0).cast("long")))
+        return sized.select("part", "value", *names, F.posexplode(chosen).alias("piece", "_mask")).withColumn("inner", F.col("w0").bitwiseAND(F.col("_mask")))
+    blocks = F.ceil(F.coalesce("_size", F.lit(1)) / (LARGE_FILE / 2)).cast("long")
+    own = F.pmod(F.xxhash64(*names), F.col("_blocks"))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda k: F.struct(F.least(k, own).alias("piece"), F.greatest(k, own).alias("inner")))
+    return sized.withColumn("_blocks", blocks).select("part", "value", *names, F.explode(met).alias("_met")).select("part", "value", *names, "_met.piece", "_met.inner")
+
+
+def links(nodes: DataFrame, width: int = 1, distance: int = 4, partitions: int | None = None) -> DataFrame:
+    """Stars (``a``, ``b``) whose components are those of the pairs within the distance (see ``plan``)."""
+    rows, names, spark = nodes.count(), _words(width), nodes.sparkSession
     share = min(1.0, 2.0 * PLAN_SAMPLE / max(rows, 1))
-    sample = np.array([r[0] for r in nodes.select("fp").filter(F.abs(F.hash("fp") % 1_000_000) < share * 1_000_000).limit(PLAN_SAMPLE).collect()], "int64")
-    parts = plan(sample, rows, distance)
-    spark = nodes.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    filed = stored(_filed(nodes, parts), "filed")
-    large = filed.groupBy("part", "value").count().filter(F.col("count") > LARGE_FILE).select("part", "value", F.lit(True).alias("large"))
-    sized = filed.join(large, ["part", "value"], "left")
-    # a pair of a large file differs in at most `distance` of the bits outside its partition: of
-    # distance + 1 pieces of those bits one must be equal
-    pieces = []
-    for mask, _ in parts:
-        outside = [b for b in range(BITS) if not mask >> b & 1]
-        pieces.append([int(np.array(sum(1 << b for b in outside[j :: distance + 1]), "u8").astype("i8")) for j in range(distance + 1)])
-    masks = F.array(*[F.array(*[F.lit(x).cast("long") for x in p]) for p in pieces])
-    piece = F.posexplode(F.when(F.col("large"), F.element_at(masks, F.col("part") + 1)).otherwise(F.array(F.lit(0).cast("long"))))
-    cut = sized.select("part", "value", "fp", piece.alias("piece", "mask")).withColumn("inner", F.col("fp").bitwiseAND(F.col("mask")))
-    return _stars(cut, ["part", "value", "piece", "inner"], distance).distinct()
+    some = nodes.filter(F.pmod(F.hash("node"), F.lit(1_000_000)) < share * 1_000_000).select(*names).limit(PLAN_SAMPLE).collect()
+    sample = np.array([list(r) for r in some] or [[0] * width], "int64").view("u8")
+    parts = plan(sample, rows, distance, partitions)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    filed = stored(_filed(nodes, parts, names), "filed")
+    return _stars(_cut(filed, parts, names, distance), ["part", "value", "piece", "inner"], names, distance)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -245,25 +305,57 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def _resolved(fps: DataFrame, **how) -> DataFrame:
+    """``doc_id``, the fingerprint's columns and ``component_id`` of every row of stored fingerprints."""
+    names = [c for c in fps.columns if c not in ("doc_id", "node")]
+    nodes = stored(fps.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(n).alias(n) for n in names]), "nodes")
+    roots = components(links(nodes, len(names), **how)).withColumnRenamed("node", "_node")
+    named = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(named.join(least, "root").select("node", "component_id"), "node")
+
+
 def simhash_components(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable).
 
-    One row for each input row. Null text counts as empty; documents without words have
-    fingerprint 0 and are linked like any others. Null ids belong to components but never name
-    one unless all ids in it are null. Repeated rows come back as often as they came.
+    Every pair of 64-bit fingerprints within ``distance`` is linked, none is missed. One row comes
+    back for each input row. Null text counts as empty; documents without words have fingerprint
+    0 and are linked like any others. Null ids belong to components but name one only where all
+    its ids are null. Repeated rows come back as often as they came; an empty table gives none;
+    other columns are ignored.
     """
-    fps = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, distance))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    mapped = named.join(least, "root").select("fp", "component_id")
-    out = fps.join(mapped, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = stored(fingerprints(docs, words, 1, id_col, text_col), "fingerprints")
+    return _resolved(fps, distance=distance).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component; of rows that share that id, one."""
-    found = simhash_components(docs, words, distance, id_col, text_col)
-    dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_col)).distinct()
+#: Bits that differ between the wide fingerprints of near copies, as a share of all bits. Five-word
+#: shingles with a similarity of 0.8 differ in about 0.15 (the angle of cosine 2 * 0.8 / 1.8).
+NEAR_SHARE = 0.1875
+#: What the partitions may miss of pairs that differ in 0.15 of their bits.
+MISSED = 0.01
+
+
+def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``component_id`` of every row, linking texts whose similarity is about 0.8 or more.
+
+    A similarity of 0.8 puts two texts far apart in 64 bits, so the fingerprints are wider, with a
+    partition of about log2(rows) - 6 bits for every file a pair may be found in: files stay
+    small as the input grows, and their number is set by what may be missed. Documents without
+    words are linked with each other only.
+    """
+    rows = docs.count()
+    size = min(max(int(np.ceil(np.log2(max(rows, 2)))) - 6, 8), 20)
+    partitions = int(np.ceil(np.log(MISSED) / np.log(1 - 0.85**size)))
+    width = -(-size * partitions // BITS)
+    fps = stored(fingerprints(docs, words, width, id_col, text_col), "fingerprints")
+    return _resolved(fps, distance=int(NEAR_SHARE * width * BITS), partitions=width * BITS // size).select("doc_id", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id names their component of near copies.
+
+    Ids must be unique, as they are after exact dedup; rows with null ids stay.
+    """
+    found = near_copies(docs, words, id_col, text_col)
+    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col))
     return docs.join(dropped, id_col, "left_anti")
