@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 from .chat_format import formatted_conversations, with_planted
 from .common import table
 from .exact_dedup import exact_dedup
+from .license_scan import license_scan
+from .mixing import mixed_rates
 from .rank_bpe import encode_documents
 from .simhash import simhash_components
 from .token_store import encode_and_read_back
+from .toxicity import toxicity
 from .unigram_count import count_tokens
 from .vector_search import nearest
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "pages"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read_back(table(spark, sf_dir, "documents"))
 
@@ -25,6 +32,14 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted_conversations(with_planted(spark, table(spark, sf_dir, "conversations")))
 
@@ -46,8 +61,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_token_files": op2_token_files,
     "op3_nearest": op3_nearest,
+    "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
     "op7_token_counts": op7_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
