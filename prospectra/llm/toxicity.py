@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, labe
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, ``score`` from 0 to 1 and the ``carry`` columns of every row, over its whole text."""
+    """``doc_id``, ``score`` from 0 to 1 of every row, over its whole text; the ``carry`` columns in ``carried``."""
     text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 64^3 floats and MOST_FEATURES words at most
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_carry_{k}") for k, c in enumerate(carry)])
@@ -268,7 +268,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield batch.assign(score=1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
     out = rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", score double")
-    return out.select("doc_id", "score", *[F.col(f"_carry_{k}").alias(c) for k, c in enumerate(carry)])
+    return out.select("doc_id", "score", *([F.struct(*[F.col(f"_carry_{k}").alias(c) for k, c in enumerate(carry)]).alias("carried")] if carry else []))
 
 
 def held_out_third() -> Column:
@@ -290,4 +290,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score under THRESHOLD, with all their columns."""
     model = fit(docs, labels, F.coalesce(held_out_third(), F.lit(False)))
-    return score(docs, model, carry=tuple(docs.columns)).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    return score(docs, model, carry=tuple(docs.columns)).filter(F.col("score") < THRESHOLD).select("carried.*")
