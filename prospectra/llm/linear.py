@@ -10,8 +10,8 @@ def fit_softmax(rows: list[np.ndarray], values: list[np.ndarray] | None, y: np.n
     w = np.zeros((dim + 1, classes))
     if not len(y):
         return w
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows).astype("int64") if len(row) else np.zeros(0, "int64")
+    row = np.repeat(np.arange(len(rows), dtype="i4"), [len(r) for r in rows])
+    col = np.concatenate(rows).astype("i4") if len(row) else np.zeros(0, "i4")
     val = np.concatenate(values) if values is not None and len(row) else np.ones(len(col))
     target = np.eye(classes)[y]
     share = 1 / np.maximum(np.bincount(y, minlength=classes), 1)[y] / classes if balanced else np.full(len(y), 1 / len(y))

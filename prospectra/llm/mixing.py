@@ -25,7 +25,7 @@ DOMAINS = ("high", "low", "toxic")
 #: Shares of the expected tokens.
 TARGETS = {"high": 0.9, "low": 0.08, "toxic": 0.02}
 #: Labelled rows that fit the classifier; more are thinned by a hash of their text.
-TRAINING_ROWS = 20_000
+TRAINING_ROWS = 6_000
 WORD_BITS = 12
 ROUNDS, CLOSE_ENOUGH = 25, 1e-7
 
@@ -44,6 +44,12 @@ def _bin(share: float) -> int:
     return min(_BINS - 1, int(share * _BINS))
 
 
+def feature_values(ids: np.ndarray) -> np.ndarray:
+    """Words share a length of 1, each shape counts 1."""
+    words = len(ids) - _SHAPES
+    return np.array([max(words, 1) ** -0.5] * words + [1.0] * _SHAPES)
+
+
 class Features:
     """Hashed distinct words and the shape of a text: its length, repeats, odd signs, capitals, word length."""
 
@@ -65,7 +71,8 @@ class Features:
         some = max(n, 1)
         shape = (n.bit_length() / 20, len(distinct) / some, len(_ODD.findall(text or "")) / some, sum(map(str.isupper, words)) / some, len(text or "") / some / 16)
         shapes = [(1 << WORD_BITS) + k * _BINS + _bin(x) for k, x in enumerate(shape)]
-        return n, np.array([*ids, *shapes]), np.array([len(ids) ** -0.5] * len(ids) + [1.0] * _SHAPES)
+        found = np.array([*ids, *shapes], "<u2")
+        return n, found, feature_values(found)
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
@@ -79,11 +86,11 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features()
         for batch in batches:
-            found = [features(t) for t in batch["text"]]
-            yield pd.DataFrame({"ids": [f[1] for f in found], "weights": [f[2] for f in found], "y": batch["y"]})
+            yield pd.DataFrame({"ids": [features(t)[1].tobytes() for t in batch["text"]], "y": batch["y"]})
 
-    sample = rows.select("text", "y").mapInPandas(run, "ids array<int>, weights array<double>, y int").toPandas()
-    return fit_softmax([np.array(x, "int64") for x in sample["ids"]], [np.array(x) for x in sample["weights"]], sample["y"].to_numpy("int64"), DIM, len(DOMAINS), l2=1e-5, steps=200)
+    sample = rows.select("text", "y").mapInPandas(run, "ids binary, y int").collect()
+    ids = [np.frombuffer(r["ids"], "<u2") for r in sample]
+    return fit_softmax(ids, [feature_values(x) for x in ids], np.array([r["y"] for r in sample], "int64"), DIM, len(DOMAINS), l2=1e-5, steps=200)
 
 
 def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
