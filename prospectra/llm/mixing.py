@@ -129,28 +129,41 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], total: float | None =
     """(steps, expected tokens of each domain, their targets) for rows with ``n_tokens`` and posteriors.
 
     Targets are shares of ``total`` tokens: by default what there is, or with ``anchor`` as many
-    that this domain keeps what it has. The least squares are taken in the metric of the Gram
-    matrix of posteriors, in which a step of 1 cannot overshoot.
+    that this domain keeps what it has. A step is the gradient in the metric of the Gram matrix of
+    posteriors over rows with a rate above zero, which are those that it moves. One that does not
+    come closer is taken back and the matrix of all rows used, in which a step cannot overshoot.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     n = F.col("n_tokens").cast("double")
     k = len(DOMAINS)
-    gram = [F.sum(n * a * b) for a in p for b in p]
-    first = [x or 0.0 for x in rows.agg(*gram, *[F.sum(n * a) for a in p]).first()]
-    m, now = np.array(first[: k * k]).reshape(k, k), np.array(first[k * k :])
+
+    def sums(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens of each domain, and the Gram matrix of the rows that still have a rate."""
+        rate = rate_after(steps)
+        moved = rows.withColumn("_rate", rate)
+        some = F.when(F.col("_rate") > 0, n).otherwise(0.0)
+        got = [x or 0.0 for x in moved.agg(*[F.sum(n * a * F.col("_rate")) for a in p], *[F.sum(some * a * b) for a in p for b in p]).first()]
+        return np.array(got[:k]), np.array(got[k:]).reshape(k, k)
+
+    now, whole = sums([])
     share = np.array([targets[d] for d in DOMAINS])
     share = share / share.sum()
     if total is None:
         total = now.sum() if anchor is None else now[DOMAINS.index(anchor)] / share[DOMAINS.index(anchor)]
     goal = share * total
-    m += np.eye(k) * (1e-9 * np.trace(m) + 1e-12)
+    ridge = np.eye(k) * (1e-9 * np.trace(whole) + 1e-12)
     steps: list[list[float]] = []
+    moving = whole
     for _ in range(ROUNDS):
-        if np.abs(now - goal).sum() <= CLOSE_ENOUGH * max(total, 1.0):
+        off = np.abs(now - goal).sum()
+        if off <= CLOSE_ENOUGH * max(total, 1.0):
             break
-        steps.append(np.linalg.solve(m, now - goal).tolist())
-        rate = rate_after(steps)
-        now = np.array([x or 0.0 for x in rows.agg(*[F.sum(n * a * rate) for a in p]).first()])
+        tried = [*steps, np.linalg.solve(moving + ridge, now - goal).tolist()]
+        then, left = sums(tried)
+        if np.abs(then - goal).sum() >= off:
+            tried = [*steps, np.linalg.solve(whole + ridge, now - goal).tolist()]
+            then, left = sums(tried)
+        steps, now, moving = tried, then, left
     return steps, now, goal
 
 
