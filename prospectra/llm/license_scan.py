@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import stored, text_batches
 
 #: Notices by licence (fixed values).
 TEMPLATES = (
@@ -76,7 +76,7 @@ class Matcher:
             if any(sqrt(sum(v * v for u, v in w.items() if u in rest)) >= LEAST_COSINE for _, w in self.notices):
                 break
             self.telling.discard(t)
-        self.longest = max(len(terms(notice)) for _, notice in TEMPLATES)
+        self.lengths = sorted({len(terms(notice)) for _, notice in TEMPLATES})
 
     def weights(self, found: list[str]) -> dict[str, float]:
         return {t: (1 + log(n)) * self.idf.get(t, self.unseen) for t, n in Counter(found).items()}
@@ -90,13 +90,16 @@ class Matcher:
         return max((sum(x * w[t] for t, x in notice.items() if t in w) / length, -k) for k, notice in self.notices)
 
     def text(self, text: str) -> tuple[float, int]:
-        """Best window of a whole text; a line longer than every notice is read in overlapping windows."""
+        """Best line of a whole text, or best window of a notice's length around a telling term in it."""
         best = (0.0, 0)
         for line in _PARTS.split(text):
             found = terms(line)
-            step = self.longest // 2
-            for at in range(0, max(1, len(found) - step), step) if len(found) > self.longest else (0,):
-                best = max(best, self.part(found[at : at + self.longest] if len(found) > self.longest else found))
+            if self.telling.isdisjoint(found):
+                continue
+            best = max(best, self.part(found))
+            at = [k for k, t in enumerate(found) if t in self.telling]
+            windows = {(start, n) for n in self.lengths if n < len(found) for k in at for start in range(max(0, k - n + 1), min(k, len(found) - n) + 1)}
+            best = max([best, *(self.part(found[start : start + n]) for start, n in windows)])
         return best
 
 
@@ -128,7 +131,7 @@ def license_scan(pages: DataFrame, id_col: str = "page_id", path_col: str = "url
     Of several licence files in a directory the closest notice counts, then the smallest id.
     Null paths have no directory, null texts no notice; ids may be null or repeat.
     """
-    found = detected(pages, id_col, path_col, text_col)
+    found = stored(detected(pages, id_col, path_col, text_col), "notices")
     bare = F.regexp_replace(F.regexp_replace(F.lower("path"), "^[a-z][a-z0-9+.-]*://", ""), "[?#].*$", "")
     found = found.withColumn("dir", F.regexp_replace(F.regexp_replace(bare, "/+$", ""), "/?[^/]*$", ""))
     names = F.array(*[F.lit(name) for name, _ in TEMPLATES])
