@@ -477,3 +477,6 @@ def poi_import(spark, d):
         F.map_concat("tags", F.create_map(F.lit("phone"), F.concat(F.lit("+1 "), F.col("p_partkey").cast("string"), F.lit(" / +2 "), F.col("p_partkey").cast("string")))).alias("tags"))
     rows, contacts = P.import_elements(tagged)
     return rows.join(contacts.groupBy("business_id").agg(F.count(F.lit(1)).alias("contacts")), "business_id", "left").select("source_id", "name", "category", "contacts")
+
+
+from . import more_queries  # noqa: E402, F401  registers itself

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +40,9 @@ def rescore_stream(evidence: DataFrame, rescore: Callable[[DataFrame], DataFrame
 def event_windows(events: DataFrame, lateness: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Events of each type in windows of event time; later ones than the watermark allows are left out."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, for checkpoints and targets of one run."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/prospectra"
+    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
