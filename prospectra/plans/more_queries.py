@@ -9,6 +9,7 @@ from prospectra.operators import domains as D
 from prospectra.operators import evidence as E
 from prospectra.operators import leads as L
 from prospectra.operators import scoring as S
+from prospectra.operators import sites
 from prospectra.operators import windows as W
 from prospectra.operators import writers as Wr
 from prospectra.sources import entities as N
@@ -191,3 +192,14 @@ def business_domains(spark, d):
 def score_reasons(spark, d):
     r = scored(spark, d).select("business_id", _int("lead_score"), S.score_reasons())
     return r.select("business_id", "score_reasons.category", "lead_score", F.col("score_reasons.domain_count").alias("domain_count"), "score_reasons.has_active_domain", _csv("score_reasons.domains", ";").alias("domains"))
+
+
+@query()
+def name_to_site(spark, d):
+    """Businesses named by the words of a page's host, tried against sites of one-label domains with that page's text."""
+    label = F.regexp_extract(X.url_host("url"), r"^(?:m\.)?([^.]+)", 1)
+    pages = N.table(spark, d, "pages").select("page_id", label.alias("label"), "html")
+    named = pages.select(F.col("page_id").alias("business_id"), F.initcap("label").alias("name"), F.when(F.col("page_id") % 2 == 0, "CA").alias("country"))
+    titled = F.regexp_replace("html", "<title>", F.concat(F.lit("<title>"), F.col("label"), F.lit(" ")))
+    live = W.keep_first(pages, ["label"], "page_id").select(F.concat(F.lit("http://"), "label", F.lit(".com/")).alias("url"), F.lit(None).cast("string").alias("final_url"), F.lit(200).alias("status_code"), titled.alias("html"))
+    return sites.name_to_site(named, live)

@@ -171,3 +171,46 @@ def test_one_pass(spark):
     got = passes.run_once(spark, SMALL)
     assert {"businesses", "scored", "leads", "new_domains"} <= set(got)
     assert got["leads"].count() > 0
+
+
+def test_geocoded_area(spark):
+    hits = spark.createDataFrame([(["1.5", "2.5", "3.5", "4.5"], {"state": "S", "country": "C", "country_code": "cc"})], "boundingbox array<string>, address map<string,string>")
+    assert rows(P.geocode_area(hits)) == [("S", "cc", 1.5, 3.5, 2.5, 4.5)]
+
+
+def test_place_files(spark, tmp_path):
+    (tmp_path / "areas.json").write_text('{"x": {"name": "X", "country": "AE", "bbox": [1, 2, 3, 4]}}')
+    (tmp_path / "cats.json").write_text('{"all": {"label": "All", "filters": [{"category": "any_shop", "tags": {"shop": "*"}}, {"category": "b", "tags": {"craft": "b"}}]}}')
+    (tmp_path / "domains.csv").write_text("domain\nhttps://www.A.com/x\na.com\nnone\n")
+    assert rows(P.read_areas(spark, str(tmp_path / "areas.json")).select("area", "name", "country")) == [("x", "X", "AE")]
+    assert rows(P.read_categories(spark, str(tmp_path / "cats.json")).select("group", "pos", "category")) == [("all", 0, "any_shop"), ("all", 1, "b")]
+    assert rows(P.read_domain_list(spark, str(tmp_path / "domains.csv"), header=True)) == [("a.com",)]
+
+
+def test_search_verdicts_take_names_before_titles(spark):
+    b = spark.createDataFrame([(1, "Soni Dentistry"), (2, "Red Lion Inn"), (3, "Nothing Found Here"), (4, "Only Directories")], "business_id long, name string")
+    r = spark.createDataFrame(
+        [
+            (1, 1, 1, "https://www.facebook.com/soni", "Soni Dentistry"), (1, 1, 2, "https://other.com/", "Soni Dentistry"), (1, 2, 1, "https://www.sonidentistry.com/a/b", "x"),
+            (2, 1, 1, "https://x.com/", "Red Lion Inn"), (2, 1, 2, "https://stay.net/", "The Red Lion"), (4, 1, 1, "https://yelp.com/only", "Only Directories"),
+        ],
+        "business_id long, query_no int, rank int, href string, title string",
+    )
+    got = {x["business_id"]: (x["result"], x["website"]) for x in E.search_verdicts(b, r).collect()}
+    assert got == {1: ("has_website", "https://www.sonidentistry.com/"), 2: ("has_website", "https://stay.net/"), 3: ("no_results", None), 4: ("no_website", None)}
+
+
+def test_found_emails(spark):
+    leads = spark.createDataFrame([(1, 40, "gmail.com"), (1, 40, "a.com"), (1, 40, "b.com"), (2, 10, "a.com")], "business_id long, lead_score int, domain string")
+    finder = spark.createDataFrame([("a.com", [("X@a.com ", 80), ("y@a.com", 20), ("z@a.com", None)]), ("b.com", [("q@b.com", 99)])], "domain string, emails array<struct<value string, confidence int>>")
+    known = spark.createDataFrame([], CONTACT)
+    assert rows(E.found_emails(finder, leads, known)) == [(1, "email", "x@a.com")]
+
+
+def test_role_contacts(spark):
+    domains = spark.createDataFrame([(1, "a.com", "checked"), (2, "b.com", "verified_unhosted"), (3, "c.com", "hosted"), (4, "d.com", "checked")], "domain_id long, domain string, status string")
+    seen = spark.createDataFrame([("a.com", 1, False), ("a.com", 2, True), ("b.com", 1, False), ("d.com", 1, True)], "domain string, observation long, has_mx boolean")
+    known = spark.createDataFrame([(4, f"{p}@d.com") for p in ("info", "admin", "sales", "support", "contact")], "domain_id long, email string")
+    statuses, made = D.role_contacts(domains, seen, known)
+    assert rows(statuses.select("domain", "status")) == [("a.com", "enriched"), ("b.com", "mx_missing"), ("d.com", "no_contacts")]
+    assert made.count() == 5
