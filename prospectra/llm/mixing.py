@@ -27,7 +27,12 @@ TARGETS = {"high": 0.9, "low": 0.08, "toxic": 0.02}
 #: Labelled rows that fit the classifier; more are thinned by a hash of their text.
 TRAINING_ROWS = 6_000
 WORD_BITS = 12
-ROUNDS, CLOSE_ENOUGH = 25, 1e-7
+#: Rates go from 0 to this many times.
+MOST_TIMES = 4.0
+ROUNDS, CLOSE_ENOUGH = 30, 1e-4
+#: Share of all tokens that a direction needs to be followed at full speed: a domain with hardly any
+#: tokens cannot pull the few documents that are a little like it to large rates.
+RIDGE = 0.01
 
 _BINS = 12
 _SHAPES = 5
@@ -117,12 +122,12 @@ def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", tex
 
 
 def rate_after(steps: list[list[float]]) -> Column:
-    """A document's rate after projected steps from 1, each less its posterior times the step."""
+    """A document's rate after projected steps from 1, each less its posterior times the step, within 0 and MOST_TIMES."""
     if not steps:
         return F.lit(1.0)
     taken = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
     moved = lambda rate, s: sum((F.col(f"p_{d}") * s[k] for k, d in enumerate(DOMAINS)), F.lit(0.0))
-    return F.aggregate(taken, F.lit(1.0), lambda rate, s: F.greatest(F.lit(0.0), rate - moved(rate, s)))
+    return F.aggregate(taken, F.lit(1.0), lambda rate, s: F.least(F.lit(MOST_TIMES), F.greatest(F.lit(0.0), rate - moved(rate, s))))
 
 
 def fit_rates(rows: DataFrame, targets: dict[str, float], total: float | None = None, anchor: str | None = None) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
@@ -130,8 +135,9 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], total: float | None =
 
     Targets are shares of ``total`` tokens: by default what there is, or with ``anchor`` as many
     that this domain keeps what it has. A step is the gradient in the metric of the Gram matrix of
-    posteriors over rows with a rate above zero, which are those that it moves. One that does not
-    come closer is taken back and the matrix of all rows used, in which a step cannot overshoot.
+    posteriors over rows with a rate within its bounds, which are those that it moves. One that does
+    not come closer is taken back and the matrix of all rows used, in which a step cannot overshoot.
+    Targets that no rates reach are met as closely as ROUNDS steps come.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     n = F.col("n_tokens").cast("double")
@@ -141,7 +147,7 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], total: float | None =
         """Expected tokens of each domain, and the Gram matrix of the rows that still have a rate."""
         rate = rate_after(steps)
         moved = rows.withColumn("_rate", rate)
-        some = F.when(F.col("_rate") > 0, n).otherwise(0.0)
+        some = F.when((F.col("_rate") > 0) & (F.col("_rate") < MOST_TIMES), n).otherwise(0.0)
         got = [x or 0.0 for x in moved.agg(*[F.sum(n * a * F.col("_rate")) for a in p], *[F.sum(some * a * b) for a in p for b in p]).first()]
         return np.array(got[:k]), np.array(got[k:]).reshape(k, k)
 
@@ -151,17 +157,17 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], total: float | None =
     if total is None:
         total = now.sum() if anchor is None else now[DOMAINS.index(anchor)] / share[DOMAINS.index(anchor)]
     goal = share * total
-    ridge = np.eye(k) * (1e-9 * np.trace(whole) + 1e-12)
+    damped = lambda m: m + np.eye(k) * (RIDGE * np.trace(m) + 1e-12)
     steps: list[list[float]] = []
     moving = whole
     for _ in range(ROUNDS):
         off = np.abs(now - goal).sum()
         if off <= CLOSE_ENOUGH * max(total, 1.0):
             break
-        tried = [*steps, np.linalg.solve(moving + ridge, now - goal).tolist()]
+        tried = [*steps, np.linalg.solve(damped(moving), now - goal).tolist()]
         then, left = sums(tried)
-        if np.abs(then - goal).sum() >= off:
-            tried = [*steps, np.linalg.solve(whole + ridge, now - goal).tolist()]
+        if np.abs(then - goal).sum() >= off and moving is not whole:
+            tried = [*steps, np.linalg.solve(damped(whole), now - goal).tolist()]
             then, left = sums(tried)
         steps, now, moving = tried, then, left
     return steps, now, goal

@@ -342,11 +342,16 @@ def test_rates_are_the_least_squares(spark):
     p, n = rng.dirichlet([0.4] * 3, 200), rng.integers(1, 50, 200)
     table = spark.createDataFrame([(int(k), *map(float, x)) for k, x in zip(n, p, strict=True)], "n_tokens long, " + ", ".join(f"p_{d} double" for d in mixing.DOMAINS))
     steps, now, goal = mixing.fit_rates(table, {"high": 0.1, "low": 0.8, "toxic": 0.1})
-    assert np.abs(now - goal).sum() < 1e-3 * goal.sum()
+    assert np.abs(now - goal).sum() < 5e-3 * goal.sum()
     rate = np.ones(200)
     for s in steps:
-        rate = np.maximum(0, rate - p @ np.array(s))
+        rate = np.clip(rate - p @ np.array(s), 0, mixing.MOST_TIMES)
     assert np.allclose(p.T @ (n * rate), now)
+    # a domain with hardly any tokens: its target is out of reach, and rates stay within bounds
+    rare = table.withColumns({"p_high": F.col("p_high") + F.col("p_toxic") * 0.999, "p_toxic": F.col("p_toxic") * 0.001})
+    steps, now, goal = mixing.fit_rates(rare, {"high": 0.5, "low": 0.4, "toxic": 0.1}, anchor="high")
+    assert rare.select(mixing.rate_after(steps).alias("r")).filter("r < 0 or r > 4").count() == 0
+    assert abs(now[1] - goal[1]) < 0.2 * goal[1]
 
 
 def test_softmax_separates():
