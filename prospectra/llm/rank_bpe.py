@@ -25,7 +25,7 @@ DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Pretokens of more bytes are merged with a heap.
 LONG_WORD = 200
 #: Pretokens remembered by a worker, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 NO_MERGE = 1 << 60
 
 
