@@ -147,6 +147,7 @@ def license_scan(pages: DataFrame, id_col: str = "page_id", path_col: str = "url
         .filter("_rank = 1")
         .select("dir", F.col("ancestor").alias("license_dir"), "dir_notice")
     )
-    out = found.join(nearest, "dir", "left")
+    # as a table: both sides of the join are then plain shuffles, and a directory of many pages is split
+    out = found.join(stored(nearest, "nearest"), "dir", "left")
     how = F.when(F.col("notice").isNotNull() & F.col("licence_file"), "file").when(F.col("notice").isNotNull(), "own notice").when(F.col("dir_notice").isNotNull(), "ancestor").otherwise("none")
     return out.select(F.col("id").alias("page_id"), licence(F.coalesce("notice", "dir_notice")).alias("license"), "cosine", how.alias("found_in"), F.when(how == "ancestor", F.col("license_dir")).alias("license_dir"))
