@@ -296,7 +296,8 @@ def components(edges: DataFrame) -> DataFrame:
         stepped = roots.join(near, "node").select("node", "root", F.least("root", "_near").alias("_least"))
         # what a member has found also goes to its old root
         told = stepped.groupBy(F.col("root").alias("node")).agg(F.min("_least").alias("_told"))
-        hooked = stepped.join(told, "node", "left").select("node", F.col("root").alias("_old"), F.least("_least", F.coalesce("_told", "_least")).alias("root"))
+        # as a table: both sides of the next join are then plain shuffles, and one root's many nodes are split
+        hooked = stored(stepped.join(told, "node", "left").select("node", F.col("root").alias("_old"), F.least("_least", F.coalesce("_told", "_least")).alias("root")), "hooked")
         way = hooked.select(F.col("node").alias("root"), F.col("root").alias("_next"))
         new = stored(hooked.join(way, "root", "left").select("node", "_old", F.least("root", F.coalesce("_next", "root")).alias("root")), "roots")
         changed = new.filter(F.col("_old") != F.col("root")).limit(1).count()
