@@ -6,6 +6,7 @@ offsets can be worked out without reading a token, and a range of ids needs only
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -13,11 +14,13 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shared_folder, text_batches
+from .rank_bpe import byte_characters
 
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
@@ -32,9 +35,10 @@ LAYOUT = {
 }
 FILE_SCHEMA = "doc_id long, part int, seq long, n_tokens int, ids array<int>"
 #: Chunks remembered by a worker, in each of two generations.
-REMEMBERED = 400_000
-#: A chunk of its own that no other text encodes to; it parts the chunks of one library call.
-MARK = b"\x01"
+REMEMBERED = 800_000
+#: The pretokens of this vocabulary, and the letters and signs whose normal form is their lower case.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_LATIN = "[!-~¡-¬®-įı-ž]+"
 
 
 class ChunkEncoder:
@@ -42,6 +46,8 @@ class ChunkEncoder:
 
     No pretoken of this vocabulary crosses white space and its normaliser maps each character
     alone or with the combining marks after it, so a text's ids are those of its chunks in order.
+    Chunks of plain Latin letters, which the normaliser only lower-cases, go to the library's model
+    piece by piece; all others through the whole of it.
     """
 
     def __init__(self, path: str):
@@ -50,39 +56,44 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.mark = self._plain([MARK.decode()])[0]
-        assert len(self.mark) == 1
+        self.model = self.library.model
+        self.pieces_of = regex.compile(PIECES).findall
+        self.plain = regex.compile(PLAIN_LATIN).fullmatch
+        self.shown = byte_characters()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _plain(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.older, self.known = self.known, {}
-            new = list(chunks)
-        self.known |= {c: x for c in new if (x := self.older.get(c)) is not None}
-        new = [c for c in new if c not in self.known]
-        odd = [c for c in new if MARK in c]
-        self.known |= {c: np.array(x, "<u4").tobytes() for c, x in zip(odd, self._plain([c.decode() for c in odd]), strict=True)}
-        new = [c for c in new if MARK not in c]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            ids = np.array(self._plain([(b" " + MARK + b" ").join(some).decode()])[0], "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
-            assert len(ends) == len(some)
-            data, start = ids.tobytes(), 0
-            for chunk, end in zip(some, ends.tolist(), strict=True):
-                self.known[chunk] = data[4 * start : 4 * end]
-                start = end + 1
+    def _whole(self, chunk: str) -> bytes:
+        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize("".join([self.shown[b] for b in piece.encode("utf-8")]))]
+        if len(self.pieces) >= REMEMBERED // 2:
+            self.pieces.clear()
+        out = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+    def _learn(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8")
+        if self.plain(text) and "<|" not in text:
+            pieces = self.pieces
+            return b"".join([pieces.get(p) or self._piece(p) for p in self.pieces_of(text.lower())])
+        return self._whole(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         chunks = [t.encode("utf-8").split() for t in texts]  # of bytes: at ASCII white space only
-        self.learn(set().union(*chunks))
-        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
+        known = self.known
+        new = {w for c in chunks for w in c if w not in known}
+        if len(known) + len(new) > REMEMBERED:
+            self.older, self.known = known, {}
+            known, new = self.known, set().union(*chunks)
+        older = self.older
+        for chunk in new:
+            found = older.get(chunk)
+            known[chunk] = self._learn(chunk) if found is None else found
+        return [b"".join(map(known.__getitem__, c)) for c in chunks]
 
 
 _loaded: dict[str, ChunkEncoder] = {}
