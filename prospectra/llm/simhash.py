@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_batches
@@ -329,27 +329,141 @@ def simhash_components(docs: DataFrame, words: int = 4, distance: int = 4, id_co
     return _resolved(fps, distance=distance).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Bits that differ between the wide fingerprints of near copies, as a share of all bits. Five-word
-#: shingles with a similarity of 0.8 differ in about 0.15 (the angle of cosine 2 * 0.8 / 1.8).
-NEAR_SHARE = 0.1875
-#: What the partitions may miss of pairs that differ in 0.15 of their bits.
-MISSED = 0.01
+#: Least Jaccard similarity of near copies: 4 parts of 5.
+SHARED_PARTS, PARTS = 4, 5
+#: Documents whose shingles are counted so that frequent ones come last in the order of prefixes, how often
+#: one must occur there, and how many the driver takes. The order decides the work, never what is linked.
+ORDER_SAMPLE, LEAST_OFTEN, MOST_FREQUENT = 20_000, 3, 100_000
 
 
-def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``component_id`` of every row, linking texts whose similarity is about 0.8 or more.
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles of a text, with words as in ``fingerprint``; none without words."""
+    found = (text or "").encode("utf-8").lower().split()
+    if not found:
+        return np.zeros(0, "u8")
+    joined, ends = b" ".join(found), np.cumsum([len(w) + 1 for w in found]) - 1
+    starts, stops = np.append(0, ends[:-1] + 1).tolist(), ends[words - 1 :].tolist() if len(found) > words else [len(joined)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), "u8"))
+
+
+def _named(shingles: np.ndarray) -> int:
+    """A 64-bit name of a set."""
+    return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes(), SEED)], "u8").view("i8")[0])
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones first: one that is similar enough shares one of them at least."""
+    if not len(shingles):
+        return shingles
+    n = np.zeros(len(shingles), "i8")
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        n = np.where(frequent[at] == shingles, often[at], 0)
+    return shingles[np.lexsort((shingles, n))][: len(shingles) + (-SHARED_PARTS * len(shingles) // PARTS) + 1]
+
+
+def _frequent(texts: DataFrame, rows: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that are frequent in a sample of texts, and how often they are there."""
+    some = texts.filter(F.pmod(F.xxhash64("text", F.lit("order")), F.lit(1_000_000)) < min(1.0, ORDER_SAMPLE / max(rows, 1)) * 1_000_000)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"shingle": np.concatenate([shingle_set(t, words) for t in batch["text"]] or [np.zeros(0, "u8")]).view("i8")})
+
+    counted = some.select("text").mapInPandas(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_OFTEN)
+    found = counted.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toPandas()
+    shingles, n = found["shingle"].to_numpy("int64").view("u8"), found["n"].to_numpy("int64")
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
+def _similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Those of the pairs (``a``, ``b``) of sets whose Jaccard similarity, counted in full, is enough."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("least").alias("_least")).distinct()
 
-    A similarity of 0.8 puts two texts far apart in 64 bits, so the fingerprints are wider, with a
-    partition of about log2(rows) - 6 bits for every file a pair may be found in: files stay
-    small as the input grows, and their number is set by what may be missed. Documents without
-    words are linked with each other only.
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingle_set(t, words) for t in batch["text"]]
+            yield pd.DataFrame({"node": np.array([_named(x) for x in found], "int64"), "shingles": [x.tobytes() for x in found]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(PARTS * shared >= SHARED_PARTS * (len(x) + len(y) - shared))
+            yield batch.loc[np.array(near, bool), ["a", "b"]]
+
+    sets = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi").select("text").mapInPandas(made, "node long, shingles binary")
+    sets = stored(sets.dropDuplicates(["node"]), "sets")
+    x, y = (sets.select(F.col("node").alias(end), F.col("shingles").alias(side)) for end, side in (("a", "x"), ("b", "y")))
+    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "similar")
+
+
+def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``component_id`` of every row, linking texts whose shingle sets have a Jaccard similarity of 0.8 or more.
+
+    Components are those of all such pairs: none is missed and none less similar is linked. Candidates
+    come from fingerprints within 4 bits and from a prefix join: with all shingles in one order, two
+    sets that similar share one of their first n - ceil(0.8 n) + 1, and at the first they share the
+    rest of both must still be long enough. Every candidate is compared in full. Each set is compared
+    with the first and last set of its files before others; then only sets that this has not linked to
+    the same set are paired, so that a large group of near copies is not expanded into pairs.
+    Documents without words are linked with each other only.
     """
-    rows = docs.count()
-    size = min(max(int(np.ceil(np.log2(max(rows, 2)))) - 6, 8), 20)
-    partitions = int(np.ceil(np.log(MISSED) / np.log(1 - 0.85**size)))
-    width = -(-size * partitions // BITS)
-    fps = stored(fingerprints(docs, words, width, id_col, text_col), "fingerprints")
-    return _resolved(fps, distance=int(NEAR_SHARE * width * BITS), partitions=width * BITS // size).select("doc_id", "component_id")
+    text_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(texts, docs.count(), words))  # MOST_FREQUENT pairs of numbers
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingle_set(t, words) for t in batch["text"]]
+            bits = [np.unpackbits(x.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64") for x in found]
+            prints = [np.packbits(2 * b > len(x), bitorder="little").view("<i8")[0] for b, x in zip(bits, found, strict=True)]
+            firsts = [prefix(x, *frequent.value).view("i8") for x in found]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": np.array([_named(x) for x in found], "int64"), "w0": np.array(prints, "int64"), "n": np.array([len(x) for x in found], "int64"), "firsts": firsts})
+
+    rows = stored(texts.mapInPandas(run, "doc_id long, node long, w0 long, n long, firsts array<long>").withColumn("row", F.monotonically_increasing_id()), "shingles")
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("first_row"), F.min("w0").alias("w0")), "nodes")
+    again = rows.select("node", "row").join(nodes.select("node", "first_row"), "node").filter(F.col("row") != F.col("first_row")).select("row")
+    filed = rows.join(again, "row", "left_anti").select("node", "n", F.posexplode("firsts").alias("at", "shingle"))
+
+    own, file = F.struct("node", "n", "at"), Window.partitionBy("shingle")
+    filed = filed.withColumn("low", F.min(own).over(file)).withColumn("high", F.max(own).over(file)).filter("low.node < high.node")
+    filed = stored(filed, "filed")
+
+    def meet(a: str, b: str) -> Column:
+        """Whether two sets that share a shingle here for the first time can be similar enough."""
+        n, m = F.col(f"{a}n"), F.col(f"{b}n")
+        rest = F.least(n - F.col(f"{a}at"), m - F.col(f"{b}at"))
+        return (PARTS * F.least(n, m) >= SHARED_PARTS * F.greatest(n, m)) & ((PARTS + SHARED_PARTS) * rest >= SHARED_PARTS * (n + m))
+
+    prints = nodes.select(F.col("w0").alias("node"), "w0").distinct()
+    print_roots = components(links(stored(prints, "prints"))).withColumnRenamed("node", "w0")
+    close = nodes.join(print_roots, "w0", "left").withColumn("_root", F.coalesce("root", "w0"))
+    close = close.select(F.min("node").over(Window.partitionBy("_root")).alias("a"), F.col("node").alias("b"))
+    low = filed.filter(meet("low.", "")).select(F.col("low.node").alias("a"), F.col("node").alias("b"))
+    high = filed.filter(meet("", "high.")).select(F.col("node").alias("a"), F.col("high.node").alias("b"))
+    text_batches(docs.sparkSession)
+    tried = stored(close.union(low).union(high).filter("a < b").distinct(), "tried")
+    near = _similar_pairs(tried, nodes, texts, words)
+
+    both = near.union(near.select("b", "a")).toDF("node", "_near")
+    heads = both.groupBy("node").agg(F.min("_near").alias("_near")).select("node", F.least("node", "_near").alias("head"))
+    apart = filed.join(heads, "node", "left").select("shingle", "node", "n", "at", F.coalesce("head", "node").alias("head"))
+    apart = apart.withColumn("_low", F.min("head").over(file)).withColumn("_high", F.max("head").over(file)).filter("_low < _high").drop("_low", "_high")
+    apart = stored(apart, "apart")
+    a, b = (apart.select("shingle", *[F.col(c).alias(f"{side}{c}") for c in ("node", "n", "at", "head")]) for side in ("x", "y"))
+    others = a.join(b, "shingle").filter((F.col("xnode") < F.col("ynode")) & (F.col("xhead") != F.col("yhead")) & meet("x", "y"))
+    others = others.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    near = near.union(_similar_pairs(stored(others, "others"), nodes, texts, words))
+
+    roots = components(near).withColumnRenamed("node", "_node")
+    named = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

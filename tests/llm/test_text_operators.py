@@ -213,6 +213,36 @@ def test_near_copies(spark):
     assert kept.columns == ["doc_id", "text"] and kept.count() == 30
 
 
+def test_near_copies_against_brute_force(spark):
+    """Pairs on both sides of 0.8, chains, repeated passages and a common passage: linked exactly where Jaccard says so."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = [word() for _ in range(60)]
+    texts = []
+    for k in range(60):
+        base = [word() for _ in range(rng.randint(80, 200))] + (shared if k % 2 else [])
+        texts.append(base)
+        for _ in range(3):
+            words = list(rng.choice(texts[-3:]))
+            for at in rng.sample(range(len(words)), rng.randint(1, len(words) // 30)):
+                words[at] = word()
+            texts.append(words)
+        texts.append(base[: int(len(base) * rng.uniform(0.75, 0.85))])
+        texts.append(base + base[20:70] * 5)  # the same set but for the seams
+    texts += [["one", "two"], ["ONE", "two"], [], []]
+    sets = [{tuple(w.lower() for w in t[i : i + 5]) for i in range(max(len(t) - 4, 1))} if t else set() for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        union = len(sets[i] | sets[j])
+        if (5 * len(sets[i] & sets[j]) >= 4 * union) and (bool(sets[i]) == bool(sets[j])):
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(table).collect()}
+    assert got == dict(enumerate(root))
+    assert 60 < len(set(root)) < len(root)
+
+
 # --- vectors
 
 
