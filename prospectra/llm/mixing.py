@@ -27,12 +27,14 @@ TARGETS = {"high": 0.9, "low": 0.08, "toxic": 0.02}
 #: Labelled rows that fit the classifier; more are thinned by a hash of their text.
 TRAINING_ROWS = 6_000
 WORD_BITS = 12
-#: Rates go from 0 to this many times.
+#: Bound of rates, ridge and residual of a fit that is asked to stay within bounds.
 MOST_TIMES = 4.0
 ROUNDS, CLOSE_ENOUGH = 30, 1e-4
 #: Share of all tokens that a direction needs to be followed at full speed: a domain with hardly any
 #: tokens cannot pull the few documents that are a little like it to large rates.
 RIDGE = 0.01
+#: How the operator and the pipeline fit: rates of any size, undamped, until the targets are met to 1e-7 of all tokens.
+WHOLE = {"most": float("inf"), "ridge": 1e-9, "enough": 1e-7}
 
 _BINS = 12
 _SHAPES = 5
@@ -121,16 +123,16 @@ def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", tex
     return rows.mapInPandas(run, schema)
 
 
-def rate_after(steps: list[list[float]]) -> Column:
-    """A document's rate after projected steps from 1, each less its posterior times the step, within 0 and MOST_TIMES."""
+def rate_after(steps: list[list[float]], most: float = MOST_TIMES) -> Column:
+    """A document's rate after projected steps from 1, each less its posterior times the step, within 0 and ``most``."""
     if not steps:
         return F.lit(1.0)
     taken = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
     moved = lambda rate, s: sum((F.col(f"p_{d}") * s[k] for k, d in enumerate(DOMAINS)), F.lit(0.0))
-    return F.aggregate(taken, F.lit(1.0), lambda rate, s: F.least(F.lit(MOST_TIMES), F.greatest(F.lit(0.0), rate - moved(rate, s))))
+    return F.aggregate(taken, F.lit(1.0), lambda rate, s: F.least(F.lit(most), F.greatest(F.lit(0.0), rate - moved(rate, s))))
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], total: float | None = None, anchor: str | None = None) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
+def fit_rates(rows: DataFrame, targets: dict[str, float], total: float | None = None, anchor: str | None = None, most: float = MOST_TIMES, ridge: float = RIDGE, enough: float = CLOSE_ENOUGH) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
     """(steps, expected tokens of each domain, their targets) for rows with ``n_tokens`` and posteriors.
 
     Targets are shares of ``total`` tokens: by default what there is, or with ``anchor`` as many
@@ -145,9 +147,9 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], total: float | None =
 
     def sums(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
         """Expected tokens of each domain, and the Gram matrix of the rows that still have a rate."""
-        rate = rate_after(steps)
+        rate = rate_after(steps, most)
         moved = rows.withColumn("_rate", rate)
-        some = F.when((F.col("_rate") > 0) & (F.col("_rate") < MOST_TIMES), n).otherwise(0.0)
+        some = F.when((F.col("_rate") > 0) & (F.col("_rate") < most), n).otherwise(0.0)
         got = [x or 0.0 for x in moved.agg(*[F.sum(n * a * F.col("_rate")) for a in p], *[F.sum(some * a * b) for a in p for b in p]).first()]
         return np.array(got[:k]), np.array(got[k:]).reshape(k, k)
 
@@ -157,12 +159,12 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], total: float | None =
     if total is None:
         total = now.sum() if anchor is None else now[DOMAINS.index(anchor)] / share[DOMAINS.index(anchor)]
     goal = share * total
-    damped = lambda m: m + np.eye(k) * (RIDGE * np.trace(m) + 1e-12)
+    damped = lambda m: m + np.eye(k) * (ridge * np.trace(m) + 1e-12)
     steps: list[list[float]] = []
     moving = whole
     for _ in range(ROUNDS):
         off = np.abs(now - goal).sum()
-        if off <= CLOSE_ENOUGH * max(total, 1.0):
+        if off <= enough * max(total, 1.0):
             break
         tried = [*steps, np.linalg.solve(damped(moving), now - goal).tolist()]
         then, left = sums(tried)
@@ -185,14 +187,21 @@ def mixed_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     Repeated rows come back as often as they came. Without labels all posteriors are equal.
     """
     rows = stored(posteriors(docs, fit_domains(docs, labels, id_col, text_col), id_col, text_col).drop("_text"), "posteriors")
-    steps, _, _ = fit_rates(rows, targets)
-    return rows.withColumn("rate", rate_after(steps)).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    steps, _, _ = fit_rates(rows, targets, **WHOLE)
+    return rows.withColumn("rate", rate_after(steps, WHOLE["most"])).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+
+
+def achieved(rates: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """``domain``, expected ``tokens`` and ``target`` tokens of each domain under the rates of ``mixed_rates``."""
+    n, share = F.col("n_tokens").cast("double"), sum(targets.values())
+    sums = rates.agg(F.sum(n).alias("_all"), *[F.sum(n * F.col("rate") * F.col(f"p_{d}")).alias(d) for d in DOMAINS])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(d).alias("domain"), F.col(d).alias("tokens"), (F.col("_all") * (targets[d] / share)).alias("target")) for d in DOMAINS])).alias("_of")).select("_of.*")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = "high") -> DataFrame:
     """``docs`` with each row as often as its rate says, all its columns kept."""
     carry = tuple(docs.columns)
     rows = stored(posteriors(docs, fit_domains(docs, labels), carry=carry).drop("_text"), "posteriors")
-    steps, _, _ = fit_rates(rows, targets, anchor=anchor)
-    taken = rows.withColumn("_copies", copies(rate_after(steps), F.col("doc_id"))).filter(F.col("_copies") > 0)
+    steps, _, _ = fit_rates(rows, targets, anchor=anchor, **WHOLE)
+    taken = rows.withColumn("_copies", copies(rate_after(steps, WHOLE["most"]), F.col("doc_id"))).filter(F.col("_copies") > 0)
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"_carry_{k}").alias(c) for k, c in enumerate(carry)])

@@ -13,6 +13,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
@@ -159,14 +160,19 @@ def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_c
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(vocabulary)
         for batch in batches:
-            n, id_digests, text_digests, lists = [], [], [], []
+            n, id_digests, text_digests, lists, last = [], [], [], [], None
             for text in batch.pop("_text"):
+                if ids and n and text == last:  # copies lie side by side after mixing; each text is encoded once
+                    for column in (n, id_digests, text_digests, lists):
+                        column.append(column[-1])
+                    continue
+                last = text
                 found = bpe.encode(text or "")
                 n.append(len(found))
                 id_digests.append(hashlib.sha256(",".join(map(str, found)).encode()).hexdigest())
                 text_digests.append(hashlib.sha256(bpe.decode(found).encode("utf-8")).hexdigest())
                 if ids:
-                    lists.append(found)
+                    lists.append(np.array(found, "int32"))
             yield batch.assign(n_tokens=pd.array(n, "int64"), ids_sha256=id_digests, decoded_sha256=text_digests, **({"ids": lists} if ids else {}))
 
     out = rows.mapInPandas(run, f"{passed}, {made}")

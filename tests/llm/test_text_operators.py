@@ -384,6 +384,33 @@ def test_rates_are_the_least_squares(spark):
     assert abs(now[1] - goal[1]) < 0.2 * goal[1]
 
 
+def test_rare_targets_are_met_whole(spark):
+    """A domain with a fifth of its target's share: more than four times its rows, to 1e-6 of all tokens."""
+    rng = np.random.default_rng(3)
+    p, n = rng.dirichlet([4, 1, 0.02], 500), rng.integers(1, 50, 500)
+    table = spark.createDataFrame([(int(k), *map(float, x)) for k, x in zip(n, p, strict=True)], "n_tokens long, " + ", ".join(f"p_{d} double" for d in mixing.DOMAINS))
+    steps, now, goal = mixing.fit_rates(table, {"high": 0.87, "low": 0.08, "toxic": 0.05}, **mixing.WHOLE)
+    assert np.abs(now - goal).sum() < 1e-6 * goal.sum()
+    rates = table.withColumn("rate", mixing.rate_after(steps, mixing.WHOLE["most"]))
+    assert rates.agg(F.max("rate")).first()[0] > mixing.MOST_TIMES
+    got = {r["domain"]: (r["tokens"], r["target"]) for r in mixing.achieved(rates, {"high": 0.87, "low": 0.08, "toxic": 0.05}).collect()}
+    assert all(abs(tokens - target) < 1e-6 * n.sum() for tokens, target in got.values())
+
+
+def test_operator_and_pipeline_meet_the_same_targets(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    rates = mixing.mixed_rates(docs, labels, {"high": 0.6, "low": 0.3, "toxic": 0.1})
+    total = docs.count() and rates.agg(F.sum("n_tokens")).first()[0]
+    for r in mixing.achieved(rates, {"high": 0.6, "low": 0.3, "toxic": 0.1}).collect():
+        assert abs(r["tokens"] - r["target"]) < 1e-6 * total
+    import corpus_pipeline
+
+    used = []
+    monkeypatch.setattr(corpus_pipeline, "mix", lambda docs, labels, targets=mixing.TARGETS: used.append(targets) or docs)
+    corpus_pipeline.mixed(spark, docs, "/root/testdata/sf0.001")
+    assert used == [mixing.TARGETS]
+
+
 def test_softmax_separates():
     w = fit_softmax([np.array([0]), np.array([1]), np.array([], "int64")], None, np.array([0, 1, 0]), 2, 2)
     assert w[0, 0] > w[0, 1] and w[1, 1] > w[1, 0]
