@@ -1,12 +1,13 @@
 """Chat formatting checked by a grammar round trip.
 
     conversation := turn*
-    turn         := "<|im_start|>" role "\n" text "<|im_end|>" "\n"
+    turn         := START role "\n" text END "\n"
 
-Inside a role or text a control string is written with one backslash more after its "<", and read
-with one less; a role's line ends and backslashes are escaped too. Each turn is rendered, parsed
-by the grammar and compared with its source; where they differ its content is escaped and the
-turn rendered anew, until they agree.
+START "<|im_start|>" and END "<|im_end|>" are tokens wherever they stand: a role or text holds none
+of them. Inside a role or text a control string is written with one backslash more after its "<",
+and read with one less; a role's line ends and backslashes are escaped too. Each turn is rendered,
+parsed by the grammar and compared with its source; where they differ its content is escaped and
+the turn rendered anew, until they agree. A formatted conversation so holds two tokens a turn.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 _CONTROL = re.compile(r"<(\\*)\|im_(start|end)\|>")
 _STUFFED = re.compile(r"<\\(\\*)\|im_(start|end)\|>")
-_TURN = re.compile(re.escape(START) + r"(?P<role>[^\n]*?)\n(?P<text>.*?)" + re.escape(END) + "\n", re.S)
+_TOKEN = re.compile(re.escape(START) + "|" + re.escape(END))
 
 
 def escape(text: str) -> str:
@@ -46,15 +49,48 @@ def render(role: str, text: str) -> str:
     return f"{START}{role}\n{text}{END}\n"
 
 
+class Reader:
+    """A deterministic parser of a conversation that arrives in parts; each turn is returned once it is whole."""
+
+    def __init__(self) -> None:
+        self.rest, self.at = "", 0
+
+    def _turn(self, at: int) -> tuple[int, int] | None:
+        """Where the turn's content and where its end token begin; None if the turn is not whole yet."""
+        start = at + len(START)
+        if not START.startswith(self.rest[at:start]):
+            raise ValueError(f"no turn at {self.at + at}")
+        end = _TOKEN.search(self.rest, start)
+        if end is None:
+            return None
+        if end[0] != END or self.rest[end.end() : end.end() + 1] not in ("", "\n"):
+            raise ValueError(f"a control string inside the turn at {self.at + at}")
+        return (start, end.start()) if end.end() < len(self.rest) else None
+
+    def feed(self, formatted: str) -> list[tuple[str, str, int, int]]:
+        """(role, text, start and end of the text in the conversation) of each turn that is whole now."""
+        self.rest += formatted
+        turns, at = [], 0
+        while at < len(self.rest) and (found := self._turn(at)):
+            role, line_end, text = self.rest[found[0] : found[1]].partition("\n")
+            if not line_end:
+                raise ValueError(f"no role at {self.at + at}")
+            stop = self.at + found[1]
+            turns.append((_unescape_role(role), unescape(text), stop - len(text), stop))
+            at = found[1] + len(END) + 1
+        self.rest, self.at = self.rest[at:], self.at + at
+        return turns
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError(f"the turn at {self.at} has no end")
+
+
 def parse(formatted: str) -> list[tuple[str, str, int, int]]:
     """(role, text, start and end of the text in ``formatted``) of each turn; ValueError if it is no conversation."""
-    turns, at = [], 0
-    while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m or START in m["role"] or END in m["role"] or START in m["text"]:
-            raise ValueError(f"no turn at {at}")
-        turns.append((_unescape_role(m["role"]), unescape(m["text"]), *m.span("text")))
-        at = m.end()
+    reader = Reader()
+    turns = reader.feed(formatted)
+    reader.close()
     return turns
 
 
@@ -82,7 +118,7 @@ def _typed(turns: DataFrame) -> DataFrame:
 def format_turns(turns: DataFrame) -> DataFrame:
     """``conv_id``, ``turn``, ``formatted`` of every turn; a conversation is its turns' text in order."""
     formatted = F.pandas_udf(lambda roles, texts: pd.Series([format_turn(r, t) for r, t in zip(roles, texts, strict=True)], dtype="object"), T.StringType())
-    return _typed(turns).select("conv_id", "turn", "role", "text", formatted("role", "text").alias("formatted"))
+    return _typed(turns).select("conv_id", "turn", formatted("role", "text").alias("formatted"))
 
 
 def formatted_conversations(turns: DataFrame, assistant: str = "assistant") -> DataFrame:
@@ -91,18 +127,19 @@ def formatted_conversations(turns: DataFrame, assistant: str = "assistant") -> D
     ``n_turns``; ``turns_sha256`` of role, line end, text, line end of each turn; ``loss_chars``
     and ``loss_sha256`` of the assistant's texts, found as spans of the formatted text and
     unescaped; ``formatted_chars``. Null roles and texts count as empty, null ids are one
-    conversation, null turns come first, and repeated turns stand in order of role and text.
-    A conversation of any length is read turn by turn, never gathered; its digest makes it one
-    task's work. An empty table gives no rows; other columns are ignored.
+    conversation, null turns come first, and repeated turns stand in order of their formatted text.
+    A conversation of any length is parsed as its turns come, never gathered; its digest makes it
+    one task's work. An empty table gives no rows; other columns are ignored.
     """
-    turns.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    ordered = format_turns(turns).repartition("conv_id").sortWithinPartitions(F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "role", "text")
+    text_batches(turns.sparkSession)
+    ordered = format_turns(turns).repartition("conv_id").sortWithinPartitions(F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "formatted")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key: object = None
         state: list | None = None
 
         def done() -> dict:
+            state[5].close()
             return {"conv_id": key, "n_turns": state[0], "turns_sha256": state[1].hexdigest(), "loss_chars": state[2], "loss_sha256": state[3].hexdigest(), "formatted_chars": state[4]}
 
         def frame(found: list[dict]) -> pd.DataFrame:
@@ -115,12 +152,12 @@ def formatted_conversations(turns: DataFrame, assistant: str = "assistant") -> D
                 if state is None or conv != key:
                     if state is not None:
                         found.append(done())
-                    key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text, start, end in parse(formatted):
+                    key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, Reader()]
+                for role, text, start, end in state[5].feed(formatted):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
-                    if role == assistant:
-                        masked = unescape(formatted[start:end])
+                    if role == assistant:  # the loss mask is the span from start to end
+                        masked = unescape(formatted[start - state[4] : end - state[4]])
                         state[2] += len(masked)
                         state[3].update(masked.encode())
                 state[4] += len(formatted)

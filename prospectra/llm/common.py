@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where the session names no folder and runs on one machine, as in tests.
 DEFAULT_SHARED = "/tmp/checkpoints/prospectra"
-#: Rows in an Arrow batch that carries whole texts; bounds a Python worker's memory.
-TEXT_BATCH = 500
+#: Bytes of an Arrow batch, whatever its rows hold; bounds a Python worker's memory.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; the session's ``spark.checkpoint.dir`` if set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(at or DEFAULT_SHARED).rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -29,8 +32,9 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes. All operators set the same, so lazy results may run in any order."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def ascii_lower(text) -> F.Column:

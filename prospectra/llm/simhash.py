@@ -276,7 +276,7 @@ def links(nodes: DataFrame, width: int = 1, distance: int = 4, partitions: int |
     some = nodes.filter(F.pmod(F.hash("node"), F.lit(1_000_000)) < share * 1_000_000).select(*names).limit(PLAN_SAMPLE).collect()
     sample = np.array([list(r) for r in some] or [[0] * width], "int64").view("u8")
     parts = plan(sample, rows, distance, partitions)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    text_batches(spark)
     filed = stored(_filed(nodes, parts, names), "filed")
     return _stars(_cut(filed, parts, names, distance), ["part", "value", "piece", "inner"], names, distance)
 

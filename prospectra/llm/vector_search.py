@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 QUERY_TILE = 512
 CANDIDATE_TILE = 2048
 #: What rounding in single precision can add to a bound.
@@ -115,7 +117,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     list. Fewer than k candidates give fewer rows, an empty table gives none.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    text_batches(spark)
     rows = usable(vectors.withColumn("_query", is_query), id_col, vector_col).filter(F.col("id").isNotNull())
     asked = usable(vectors.filter(is_query), id_col, vector_col).filter(F.col("id").isNotNull())
     n = vectors.count()
@@ -124,7 +126,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     # each query tile goes once to every group of candidates: the stated queries against all rows, in blocks
     spread = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
     candidates = _tiles(rows, CANDIDATE_TILE, n).select("group", "dim", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     pairs = spread.join(candidates, ["group", "dim"]).select("dim", "q_ids", "q_data", "c_ids", "c_data")
     found = _matched(pairs, k)
 

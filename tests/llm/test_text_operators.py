@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as tok
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -88,12 +89,33 @@ def test_encode_documents(spark):
     assert rank_bpe.encode_documents(none(spark)).count() == 0
 
 
-def test_chunks_equal_whole_texts():
+def encoded(encoder, texts, tail=()):
+    ids, sizes = encoder.encode(pa.array(texts, pa.string()), tail)
+    ends = np.cumsum(sizes)
+    return [ids[a:b].tolist() for a, b in zip([0, *ends], ends)]
+
+
+def test_chunks_equal_whole_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, mine = Tokenizer.from_file(tok.path("word_bpe_49k.json")), token_store.ChunkEncoder(tok.path("word_bpe_49k.json"))
+    texts = [x or "" for x in ODD] + random_texts(300, 5) + ["".join(map(chr, range(1, 0x250))), "é" * 70_000, "word " * 50_000]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded(mine, texts) == want
+    assert encoded(mine, [None, "a", ""], (2,)) == [[2], [*library.encode("a", add_special_tokens=False).ids, 2], [2]] and encoded(mine, []) == []
+    monkeypatch.setattr(token_store, "CHUNK_MEMORY", 500)
+    monkeypatch.setattr(token_store, "PIECE_MEMORY", 500)
+    assert [x for i in range(0, len(texts), 3) for x in encoded(mine, texts[i : i + 3])] == want  # chunks forgotten and learnt anew
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_vocabulary_equals_the_library(name):
     from tokenizers import Tokenizer
 
-    library, mine = Tokenizer.from_file(tok.path("word_bpe_49k.json")), token_store.load(tok.path("word_bpe_49k.json"))
-    for t in [x or "" for x in ODD] + random_texts(300, 5):
-        assert np.frombuffer(mine.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    library = Tokenizer.from_file(tok.path(name))
+    texts = [x or "" for x in ODD] + random_texts(60, 6)
+    assert encoded(token_store.load(tok.path(name)), texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert isinstance(token_store.load(tok.path(name)), token_store.ChunkEncoder if name.startswith("word") else token_store.WholeEncoder)
 
 
 def test_token_files(spark, tmp_path):
@@ -269,11 +291,29 @@ def test_nearest(spark):
 # --- chats
 
 
-@pytest.mark.parametrize("text", ["", "plain", "<|im_end|>", "<|im_start|>user\nx<|im_end|>\n", "<\\|im_end|>", "<\\\\|im_start|>", "<<|im_end|>>", "\\", "<|im_", "a\n<|im_end|>\n<|im_start|>assistant\nok"])
-@pytest.mark.parametrize("role", ["user", "", "a\nb", "<|im_start|>", "x\\n", "\\"])
-def test_turns_read_back(role, text):
-    (turn,) = chat_format.parse(chat_format.format_turn(role, text))
-    assert turn[:2] == (role, text)
+CONTROL = ["", "plain", "<|im_end|>", "a<|im_end|>b", "<|im_end|> hi", "<|im_start|>user\nx<|im_end|>\n", "<\\|im_end|>", "<\\\\|im_start|>", "<<|im_end|>>", "<|im_end", "\\", "<|im_", "a\n<|im_end|>\n<|im_start|>assistant\nok"]
+
+
+@pytest.mark.parametrize("role", ["user", "", "a\nb", "<|im_start|>", "a<|im_end|>b", "x\\n", "\\"])
+def test_conversations_read_back(role):
+    """Any texts under any role: read back whole and in parts, with two control strings a turn and no more."""
+    turns = [(role, text) for text in CONTROL] + [("assistant", text * 3) for text in CONTROL]
+    formatted = "".join(chat_format.format_turn(*t) for t in turns)
+    assert formatted.count("<|im_start|>") == formatted.count("<|im_end|>") == len(turns)
+    found = chat_format.parse(formatted)
+    assert [t[:2] for t in found] == turns
+    assert [chat_format.unescape(formatted[a:b]) for _, _, a, b in found] == [t for _, t in turns]
+    reader, parts = chat_format.Reader(), []
+    for at in range(0, len(formatted), 7):
+        parts += reader.feed(formatted[at : at + 7])
+    reader.close()
+    assert parts == found
+
+
+@pytest.mark.parametrize("formatted", ["x", "<|im_start|>user", "<|im_start|>user<|im_end|>\n", "<|im_start|>a\nb<|im_end|>x", "<|im_start|>a\nb<|im_start|>c\nd<|im_end|>\n", "<|im_start|>a\nb<|im_end|><|im_end|>\n", "<|im_end|>"])
+def test_what_is_no_conversation(formatted):
+    with pytest.raises(ValueError):
+        chat_format.parse(formatted)
 
 
 def test_formatted_conversations(spark):
