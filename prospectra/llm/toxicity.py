@@ -3,7 +3,7 @@
 A character trigram model is counted over all documents. Words in disguise - digits and signs for
 letters, letters set apart, letters repeated - are lattices of what each character may stand for;
 the Viterbi path under the model restores the word. The restored text is scored by a linear model
-on words and word beginnings, fitted on labelled rows.
+on words and word beginnings, fitted on labelled rows; a word counts as it stands and as restored.
 """
 
 from __future__ import annotations
@@ -26,20 +26,23 @@ STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 SWAP, DROP, CLOSE = log(0.2), log(0.3), log(0.2)
 #: Labelled rows that fit the classifier; more are thinned by a hash of their text.
 TRAINING_ROWS = 30_000
-#: Documents that must hold a feature, and how much likelier it must be in toxic ones, to count.
-LEAST_TOXIC, LEAST_ODDS, MOST_FEATURES = 3, 4.0, 4000
+#: Toxic training rows that must hold a feature, and how much likelier it must be in toxic ones, to count.
+LEAST_TOXIC, LEAST_ODDS = 3, 4.0
 #: Lengths of the word beginnings among the features.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
-#: Words remembered by a worker.
-REMEMBERED = 400_000
+#: Words remembered by a worker, and their longest.
+REMEMBERED, LONG_WORD = 300_000, 100
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœšž"
 _CLASSES = 64  # 0 gap, 1.. letters, 61 digit, 62 sign, 63 other letter
-_EDGE = ".,;:?\"'()[]{}…*#%&«»¿¡<>=~^`_/\\-!"
-_APART = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){2,}(?!\S)")
-_SIGNS = re.compile(r"[0134578@$!|+9]")
-_REPEAT = re.compile(r"([^\W\d_])\1\1")
+_EDGE = ".,;:?\"'()[]{}…*#%&«»¿¡<>=~^`_/\\-"  # at a word's ends never a letter
+_SIGN = "".join(c for c in STANDS_FOR if not c.isalnum())  # at a word's ends maybe a letter, maybe not
+_ONE, _GAP = rf"(?:[^\W_]|[{re.escape(_SIGN)}])", r"[ .\-_*]+"
+_APART = re.compile(rf"(?<!\S){_ONE}(?:{_GAP}{_ONE}){{2,}}(?=[{re.escape(_EDGE)}]*(?!\S))")
+_GAPS = re.compile(_GAP)
+_DISGUISE = re.compile(f"[{re.escape(''.join(STANDS_FOR))}]")
+_REPEAT = re.compile(r"([^\W\d_])\1\1|([^\W\d_])\2.*?([^\W\d_])\3")
 
 
 def _class_table() -> np.ndarray:
@@ -92,68 +95,93 @@ def language_model(counts: DataFrame) -> np.ndarray:
     return np.log((n + 4 * two[None]) / (n.sum(axis=2, keepdims=True) + 4)).astype("f4").reshape(-1)
 
 
+Lattice = list[list[tuple[str, float]]]
+
+
 class Restorer:
     """Viterbi decoding of disguised words; the state is the last two character classes."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model.tolist()
+        self.model_array, self.model = model, model.tolist()
+
+    def decode(self, lattice: Lattice) -> str:
+        """The best string through a lattice of (characters, log probability) choices for each place.
 
-    def decode(self, lattice: list[list[tuple[str, float]]]) -> str:
-        """The best string through a lattice of (characters, log probability) choices for each place."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        model = self.model
+        Back-pointers lead from each place's states to the place before. Where one state is left
+        the way to it is certain: it is written out and its back-pointers go, so that time grows
+        with the length and memory with the longest doubtful stretch.
+        """
+        model, made = self.model, []
+        states, scores, back = [0], [0.0], []
         for choices in [*lattice, [(" ", 0.0)]]:
-            step: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (total, made) in states.items():
-                for text, chance in choices:
-                    score, x, y = total + chance, a, b
-                    for c in text:
-                        k = char_class(c)
-                        score += model[(x * _CLASSES + y) * _CLASSES + k]
-                        x, y = y, k
-                    if (x, y) not in step or score > step[x, y][0]:
-                        step[x, y] = (score, made + text)
-            states = step
-        return max(states.values())[1].strip()
+            step: dict[int, tuple[float, int, int]] = {}
+            kinds = [(k, chance, [char_class(c) for c in text]) for k, (text, chance) in enumerate(choices)]
+            for at, (state, total) in enumerate(zip(states, scores, strict=True)):
+                for k, chance, classes in kinds:
+                    score, now = total + chance, state
+                    for c in classes:
+                        now = now * _CLASSES + c
+                        score += model[now]
+                        now %= _CLASSES * _CLASSES
+                    if now not in step or score > step[now][0]:
+                        step[now] = (score, at, k)
+            states, scores = list(step), [x[0] for x in step.values()]
+            back.append((choices, [x[1:] for x in step.values()]))
+            if len(states) == 1:
+                self._write(back, 0, made)
+                back = []
+        self._write(back, scores.index(max(scores)), made)
+        return "".join(made).strip()
+
+    @staticmethod
+    def _write(back: list, at: int, made: list[str]) -> None:
+        texts = []
+        for choices, came in reversed(back):
+            at, k = came[at]
+            texts.append(choices[k][0])
+        made += reversed(texts)
 
     @staticmethod
-    def lattice(word: str) -> list[list[tuple[str, float]]]:
-        """Signs may be letters; of three or more alike one or two may be meant."""
-        out, at = [], 0
-        while at < len(word):
-            end = at
-            while end < len(word) and word[end] == word[at]:
-                end += 1
-            run, meant = end - at, [(word[at], 0.0), *((c, SWAP) for c in STANDS_FOR.get(word[at], ""))]
-            if run < 3:
-                out += [meant] * run
+    def _meant(sign: str) -> list[tuple[str, float]]:
+        return [(sign, 0.0), *((c, SWAP) for c in STANDS_FOR.get(sign, ""))]
+
+    @classmethod
+    def lattice(cls, word: str) -> Lattice:
+        """Signs may be letters; of letters alike side by side fewer may be meant."""
+        out: Lattice = []
+        for m in re.finditer(r"(.)\1*", word, re.S):
+            run, meant = len(m[0]), cls._meant(m[1])
+            if run == 1:
+                out.append(meant)
             else:
-                out.append([(c * k, p + (DROP if k < run else 0.0)) for c, p in meant for k in (1, 2, run)])
-            at = end
+                out.append([(c * k, p + (DROP if k < run else 0.0)) for c, p in meant for k in sorted({1, 2, run})])
         return out
 
-    def word(self, word: str) -> str:
-        """A word restored; one in no disguise is a lattice of a single path and stays as it is."""
-        word = word.strip(_EDGE)
-        signs = _SIGNS.search(word)
-        if word and ((signs and any(c.isalpha() for c in word)) or _REPEAT.search(word)):
-            return self.decode(self.lattice(word)).strip(_EDGE)
-        return word
-
-    def apart(self, run: str) -> list[str]:
-        """Letters set apart, as the words that the model makes of them: each gap stays or closes."""
-        lattice: list[list[tuple[str, float]]] = []
-        for k, c in enumerate(run):
-            if k % 2:
-                lattice.append([(" ", 0.0), ("", CLOSE)])
-            else:
-                lattice.append([(c, 0.0), *((x, SWAP) for x in STANDS_FOR.get(c, ""))])
-        return self.decode(lattice).split()
+    def forms(self, word: str) -> set[str]:
+        """A word as it stands and, where it looks disguised, restored: without signs at its ends, and with them as what they may be."""
+        whole = word.strip(_EDGE)
+        core = whole.strip(_SIGN + _EDGE)
+        found = {core}
+        for part in {core, whole}:
+            if any(map(str.isalpha, part)) and (_DISGUISE.search(part) or _REPEAT.search(part)):
+                found.add(self.decode(self.lattice(part)).strip(_SIGN + _EDGE))
+        return found
 
-    def text(self, text: str) -> str:
-        """A whole text restored."""
-        lowered = _APART.sub(lambda m: " ".join(self.apart(m[0])), text.lower())
-        return re.sub(r"\S+", lambda m: self.word(m[0]), lowered)
+    @classmethod
+    def apart_lattice(cls, run: str) -> Lattice:
+        """Letters set apart: each gap stays or closes."""
+        out: Lattice = []
+        for c in _GAPS.split(run):
+            out += [[(" ", 0.0), ("", CLOSE)]] * bool(out) + [cls._meant(c)]
+        return out
+
+    def words(self, text: str) -> set[str]:
+        """The distinct words of a text, and those that the model makes of letters set apart."""
+        text = text.lower()
+        found = set(text.split())
+        for m in _APART.finditer(text):
+            found.update(self.decode(self.apart_lattice(m[0])).split())
+        return found
 
 
 def word_features(word: str) -> list[str]:
@@ -166,24 +194,18 @@ class Scorer:
     def __init__(self, model: np.ndarray, ids: dict[str, int] | None = None):
         self.restorer, self.ids, self.known = Restorer(model), ids, {}
 
-    def words(self, text: str) -> set[str]:
-        text = text.lower()
-        found = set(text.split())
-        for m in _APART.finditer(text):
-            found.update(self.restorer.apart(m[0]))
-        return found
-
     def of_word(self, word: str) -> tuple:
-        found = word_features(self.restorer.word(word))
+        found = {f for form in self.restorer.forms(word) for f in word_features(form)}
         found = tuple(found) if self.ids is None else tuple(self.ids[f] for f in found if f in self.ids)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[word] = found
+        if len(word) <= LONG_WORD:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = found
         return found
 
     def features(self, text: str | None) -> set:
         known, out = self.known, set()
-        for word in self.words(text or ""):
+        for word in self.restorer.words(text or ""):
             found = known.get(word)
             if found is None:
                 found = self.of_word(word)
@@ -233,15 +255,14 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, labe
 
         return train.mapInPandas(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
-    # features of toxic rows first, then how often the most frequent of them are in the others
-    toxic = counted(None, 1).filter(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "feature").limit(20 * MOST_FEATURES).toPandas()
+    # features of toxic rows first, then how often they are in the others; the training rows bound both
+    toxic = counted(None, 1).filter(F.col("n") >= LEAST_TOXIC).toPandas()
     clean = counted(dict.fromkeys(toxic["feature"], 0), 0).toPandas() if len(toxic) else toxic
     sizes = {int(r["y"] > 0): r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = dict(zip(toxic["feature"], toxic["n"], strict=True)), dict(zip(clean["feature"], clean["n"], strict=True))
     in_toxic, in_clean = sizes.get(1, 0), sizes.get(0, 0)
     odds = {f: ((n + 0.5) / (in_toxic + 1)) / ((n0.get(f, 0) + 0.5) / (in_clean + 1)) for f, n in n1.items()}
-    chosen = sorted((f for f in n1 if odds[f] >= LEAST_ODDS), key=lambda f: (-n1[f] * log(odds[f]), f))[:MOST_FEATURES]
-    ids = {f: k for k, f in enumerate(chosen)}
+    ids = {f: k for k, f in enumerate(sorted(f for f in n1 if odds[f] >= LEAST_ODDS))}
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(characters, ids)
@@ -257,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, labe
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``score`` from 0 to 1 of every row, over its whole text; the ``carry`` columns in ``carried``."""
     text_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 64^3 floats and MOST_FEATURES words at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 64^3 floats and words of the training rows, whatever the input
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_carry_{k}") for k, c in enumerate(carry)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -388,11 +389,53 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), labels.limit(0)).count() == 0
 
 
-def test_restoring(spark):
-    model = toxicity.language_model(toxicity.trigram_counts(spark.createDataFrame([("the stupid idiot and the moron " * 20,)], "text string")))
-    r = toxicity.Restorer(model)
-    assert [r.word(w) for w in ("1d10t", "$tupid!!", "mooooron", "the", "2024", "")] == ["idiot", "stupid", "moron", "the", "2024", ""]
-    assert r.text("The s t u p i d one") == "the stupid one"
+@pytest.fixture(scope="module")
+def restorer(spark):
+    model = toxicity.language_model(toxicity.trigram_counts(spark.createDataFrame([("the stupid idiot and the moron will committee " * 20,)], "text string")))
+    return toxicity.Restorer(model)
+
+
+def path_score(restorer, path):
+    """Log probability of a path of (text, chance) choices with the space after it."""
+    score, seen = 0.0, [0, 0]
+    for text, chance in [*path, (" ", 0.0)]:
+        score += chance
+        for c in text:
+            seen.append(toxicity.char_class(c))
+            score += restorer.model[(seen[-3] * 64 + seen[-2]) * 64 + seen[-1]]
+    return score
+
+
+@pytest.mark.parametrize("word", ["1d10t", "$tup1d!!", "iiddiioott", "m000r0n", "!d!ot", "a", "|||", "t-1-o-5", "3735"])
+def test_decoding_finds_the_best_of_all_paths(restorer, word):
+    for lattice in (restorer.lattice(word), restorer.apart_lattice(" ".join(word[:6]))):
+        paths = list(itertools.product(*lattice))
+        best = max(path_score(restorer, p) for p in paths)
+        got = restorer.decode(lattice)
+        assert any("".join(t for t, _ in p).strip() == got and abs(path_score(restorer, p) - best) < 1e-6 for p in paths)
+
+
+@pytest.mark.parametrize("text", ["1d10t", "!d!ot", "i d i o t", "i d ! o t", "i  d  i  o  t", "i d i o t.", "1.d.1.0.t,", "iiddiioott", "idiooooot", "(1d1ot)", "IDIOT!", "x i d i o t"])
+def test_disguises_are_restored(restorer, text):
+    assert "=idiot" in toxicity.Scorer(restorer.model_array).features(f"the {text} the")
+
+
+def test_words_in_no_disguise_stay(restorer):
+    scorer = toxicity.Scorer(restorer.model_array)
+    for word in ("the", "2024", "will", "moron's", "don't", "committee"):
+        assert f"={word}" in scorer.features(word)
+    assert scorer.features(None) == scorer.features("") == scorer.features("! ? . a") == set()
+    assert restorer.words("The s t u p ! d one, $ t u p i d") >= {"the", "stupid", "one,"}
+
+
+def test_long_words_take_time_in_proportion(restorer):
+    took = []
+    for n in (30_000, 120_000):
+        word = "".join(random.Random(n).choices("abcdefghijklmnopqrstuvwxyz0123456789+", k=n))
+        began = time.process_time()
+        assert len(restorer.decode(restorer.lattice(word))) > n * 0.9
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
 
 
 def test_mixing(spark):
