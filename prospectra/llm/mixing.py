@@ -9,36 +9,37 @@ sums over the documents and nothing is shuffled but those sums.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_batches
 from .linear import fit_softmax
+from .token_store import DEFAULT_VOCABULARY, WholeEncoder, chunked, load
 
 DOMAINS = ("high", "low", "toxic")
 #: Shares of the expected tokens.
 TARGETS = {"high": 0.9, "low": 0.08, "toxic": 0.02}
 #: Labelled rows that fit the classifier; more are thinned by a hash of their text.
 TRAINING_ROWS = 6_000
-WORD_BITS = 12
-#: Bound of rates, ridge and residual of a fit that is asked to stay within bounds.
-MOST_TIMES = 4.0
-ROUNDS, CLOSE_ENOUGH = 30, 1e-4
-#: Share of all tokens that a direction needs to be followed at full speed: a domain with hardly any
-#: tokens cannot pull the few documents that are a little like it to large rates.
-RIDGE = 0.01
-#: How the operator and the pipeline fit: rates of any size, undamped, until the targets are met to 1e-7 of all tokens.
-WHOLE = {"most": float("inf"), "ridge": 1e-9, "enough": 1e-7}
+#: Words are named by so many bits of a hash.
+WORD_BITS = 18
+#: A fit ends when the targets are met to this share of all tokens,
+ENOUGH = 1e-7
+#: or, where no rates meet them, when so many rounds in a row have each brought the sum of squares down by less than this share.
+PATIENCE, LEAST_GAIN = 5, 1e-3
+#: A Newton step that brings the sum of squares down by less than this share is taken back.
+NEWTON_GAIN = 0.05
 
 _BINS = 12
 _SHAPES = 5
-_ODD = re.compile(r"[#$%&*|<>{}=+~^\\]")
+_ODD = str.maketrans("", "", "#$%&*|<>{}=+~^\\")
+_EDGE = ".,;:?!\"'()"
 DIM = (1 << WORD_BITS) + _SHAPES * _BINS
 
 
@@ -47,42 +48,38 @@ def domain_of_labels() -> Column:
     return F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).when(F.col("quality") == 0, 1)
 
 
-def _bin(share: float) -> int:
-    return min(_BINS - 1, int(share * _BINS))
-
-
-def feature_values(ids: np.ndarray) -> np.ndarray:
-    """Words share a length of 1, each shape counts 1."""
-    words = len(ids) - _SHAPES
-    return np.array([max(words, 1) ** -0.5] * words + [1.0] * _SHAPES)
-
-
 class Features:
-    """Hashed distinct words and the shape of a text: its length, repeats, odd signs, capitals, word length."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def __call__(self, text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
-        """Number of words, feature ids, feature values."""
-        words = (text or "").split()
-        n, distinct = len(words), set(words)
-        known, ids = self.known, set()
-        for w in distinct:
-            k = known.get(w)
-            if k is None:
-                if len(known) > 300_000:
-                    known.clear()
-                k = known[w] = crc32(w.lower().encode()) & ((1 << WORD_BITS) - 1)
-            ids.add(k)
-        some = max(n, 1)
-        shape = (n.bit_length() / 20, len(distinct) / some, len(_ODD.findall(text or "")) / some, sum(map(str.isupper, words)) / some, len(text or "") / some / 16)
-        shapes = [(1 << WORD_BITS) + k * _BINS + _bin(x) for k, x in enumerate(shape)]
-        found = np.array([*ids, *shapes], "<u2")
-        return n, found, feature_values(found)
-
-
-def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Tokens, hashed distinct words and the shape of texts: length, repeats, odd signs, capitals, word length."""
+
+    def __init__(self, vocabulary: str = DEFAULT_VOCABULARY):
+        self.encoder = load(vocabulary)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of tokens of each text; then (text, feature id) of all features, in order of texts."""
+        coded, stops = chunked(texts)
+        words, index, count = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype("i8"), len(texts)
+        text = np.repeat(np.arange(count), np.diff(stops, prepend=0))
+        kept = np.array([w != "" for w in words], bool)[index]
+        index, text = index[kept], text[kept]
+        total = lambda by_word: np.bincount(text, np.array(by_word, "f8")[index] if len(index) else None, count)
+        distinct = np.unique(text * max(len(words), 1) + index)
+        text_of, word_of = np.divmod(distinct, max(len(words), 1))
+        names = np.array([crc32(w.lower().strip(_EDGE).encode()) & ((1 << WORD_BITS) - 1) for w in words], "i8")
+        hashed = np.unique(text_of << WORD_BITS | names[word_of])
+        n = np.bincount(text, minlength=count)
+        some, length = np.maximum(n, 1), pc.utf8_length(texts.fill_null("")).to_numpy()
+        shape = [
+            np.frexp(n)[1] / 20, np.bincount(text_of, minlength=count) / some, total([len(w) - len(w.translate(_ODD)) for w in words]) / some,
+            total([w.isupper() for w in words]) / some, length / some / 16,
+        ]
+        bins = [(1 << WORD_BITS) + k * _BINS + np.minimum(_BINS - 1, x * _BINS).astype("i8") for k, x in enumerate(shape)]
+        rows = np.concatenate([hashed >> WORD_BITS, *[np.arange(count)] * _SHAPES])
+        order = np.argsort(rows, kind="stable")
+        tokens = self.encoder.encode(texts)[1] if isinstance(self.encoder, WholeEncoder) else total(self.encoder.sizes(coded.dictionary)).astype("i8")
+        return tokens, rows[order], np.concatenate([hashed & ((1 << WORD_BITS) - 1), *bins])[order]
+
+
+def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> np.ndarray:
     """Weights of the domain classifier. Rows without labels, and labels without rows, are not used."""
     text_batches(docs.sparkSession)
     marked = labels.select(F.col("doc_id").alias("_id"), domain_of_labels().alias("y")).filter(F.col("_id").isNotNull() & F.col("y").isNotNull()).groupBy("_id").agg(F.max("y").alias("y"))
@@ -90,56 +87,56 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(marked, "_id")
     rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = Features()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(vocabulary)
         for batch in batches:
-            yield pd.DataFrame({"ids": [features(t)[1].tobytes() for t in batch["text"]], "y": batch["y"]})
+            _, text, ids = features(batch.column("text"))
+            cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), batch.column("y")], ["ids", "y"])
 
-    sample = rows.select("text", "y").mapInPandas(run, "ids binary, y int").collect()
-    ids = [np.frombuffer(r["ids"], "<u2") for r in sample]
-    return fit_softmax(ids, [feature_values(x) for x in ids], np.array([r["y"] for r in sample], "int64"), DIM, len(DOMAINS), l2=1e-5, steps=200)
+    sample = rows.select("text", "y").mapInArrow(run, "ids binary, y int").collect()
+    return fit_softmax([np.frombuffer(r["ids"], "<u4") for r in sample], None, np.array([r["y"] for r in sample], "int64"), DIM, len(DOMAINS), l2=1e-3, steps=60, rate=0.1)
 
 
-def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, ``n_tokens`` (words), ``p_<domain>`` and the carried columns of every row, over its whole text."""
+def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """``doc_id``, ``n_tokens`` of the vocabulary, ``p_<domain>`` and the carried columns of every row, over its whole text."""
     text_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(weights)  # DIM + 1 rows, whatever the input
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_carry_{k}") for k, c in enumerate(carry)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, features = sent.value, Features()
+    sent = docs.sparkSession.sparkContext.broadcast(weights.astype("f4"))  # DIM + 1 rows, whatever the input
+    texts = carry.index(text_col) if text_col in carry else None
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"_carry_{k}") for k, c in enumerate(carry)], *([] if texts is not None else [F.col(text_col).alias("_text")]))
+    text_name, passed = ("_text" if texts is None else f"_carry_{texts}"), [f for f in rows.schema if f.name != "_text"]
+    made = ["n_tokens", *(f"p_{d}" for d in DOMAINS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, features = sent.value, Features(vocabulary)
         for batch in batches:
-            n, p = [], []
-            for text in batch["_text"]:
-                words, ids, values = features(text)
-                z = values @ w[ids] + w[-1]
-                e = np.exp(z - z.max())
-                n.append(words)
-                p.append(e / e.sum())
-            p = np.array(p).reshape(-1, len(DOMAINS))
-            yield batch.assign(n_tokens=np.array(n, "int64"), **{f"p_{d}": p[:, k] for k, d in enumerate(DOMAINS)})
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "n_tokens long", *(f"p_{d} double" for d in DOMAINS)])
-    return rows.mapInPandas(run, schema)
-
-
-def rate_after(steps: list[list[float]], most: float = MOST_TIMES) -> Column:
-    """A document's rate after projected steps from 1, each less its posterior times the step, within 0 and ``most``."""
+            tokens, text, ids = features(batch.column(text_name))
+            z = np.column_stack([np.bincount(text, w[ids, k], batch.num_rows) for k in range(len(DOMAINS))]) + w[-1]
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in passed), pa.array(tokens), *(pa.array(x) for x in p.T)], [*(f.name for f in passed), *made])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in passed), "n_tokens long", *(f"p_{d} double" for d in DOMAINS)]))
+
+
+def rate_after(steps: list[list[float]]) -> Column:
+    """A document's rate after projected steps from 1, each less its posterior times the step, and never under 0."""
     if not steps:
         return F.lit(1.0)
     taken = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    moved = lambda rate, s: sum((F.col(f"p_{d}") * s[k] for k, d in enumerate(DOMAINS)), F.lit(0.0))
-    return F.aggregate(taken, F.lit(1.0), lambda rate, s: F.least(F.lit(most), F.greatest(F.lit(0.0), rate - moved(rate, s))))
+    moved = lambda s: sum((F.col(f"p_{d}") * s[k] for k, d in enumerate(DOMAINS)), F.lit(0.0))
+    return F.aggregate(taken, F.lit(1.0), lambda rate, s: F.greatest(F.lit(0.0), rate - moved(s)))
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], total: float | None = None, anchor: str | None = None, most: float = MOST_TIMES, ridge: float = RIDGE, enough: float = CLOSE_ENOUGH) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
+def fit_rates(rows: DataFrame, targets: dict[str, float], total: float | None = None, anchor: str | None = None) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
     """(steps, expected tokens of each domain, their targets) for rows with ``n_tokens`` and posteriors.
 
     Targets are shares of ``total`` tokens: by default what there is, or with ``anchor`` as many
-    that this domain keeps what it has. A step is the gradient in the metric of the Gram matrix of
-    posteriors over rows with a rate within its bounds, which are those that it moves. One that does
-    not come closer is taken back and the matrix of all rows used, in which a step cannot overshoot.
-    Targets that no rates reach are met as closely as ROUNDS steps come.
+    that this domain keeps what it has. The sum of squares of what is off goes down with every
+    step: one in the metric of the Gram matrix of posteriors over rows that still have a rate, or
+    over all rows, if that comes much closer, else the plain projected gradient step, which always
+    comes closer. Rates have no upper bound. Where no rates meet the targets the sum of squares
+    that is left is near the least, and ``residual`` of ``mixed_rates`` tells it.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     n = F.col("n_tokens").cast("double")
@@ -147,9 +144,8 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], total: float | None =
 
     def sums(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
         """Expected tokens of each domain, and the Gram matrix of the rows that still have a rate."""
-        rate = rate_after(steps, most)
-        moved = rows.withColumn("_rate", rate)
-        some = F.when((F.col("_rate") > 0) & (F.col("_rate") < most), n).otherwise(0.0)
+        moved = rows.withColumn("_rate", rate_after(steps))
+        some = F.when(F.col("_rate") > 0, n).otherwise(0.0)
         got = [x or 0.0 for x in moved.agg(*[F.sum(n * a * F.col("_rate")) for a in p], *[F.sum(some * a * b) for a in p for b in p]).first()]
         return np.array(got[:k]), np.array(got[k:]).reshape(k, k)
 
@@ -158,20 +154,20 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], total: float | None =
     share = share / share.sum()
     if total is None:
         total = now.sum() if anchor is None else now[DOMAINS.index(anchor)] / share[DOMAINS.index(anchor)]
-    goal = share * total
-    damped = lambda m: m + np.eye(k) * (ridge * np.trace(m) + 1e-12)
-    steps: list[list[float]] = []
-    moving = whole
-    for _ in range(ROUNDS):
-        off = np.abs(now - goal).sum()
-        if off <= enough * max(total, 1.0):
-            break
-        tried = [*steps, np.linalg.solve(damped(moving), now - goal).tolist()]
-        then, left = sums(tried)
-        if np.abs(then - goal).sum() >= off and moving is not whole:
-            tried = [*steps, np.linalg.solve(damped(whole), now - goal).tolist()]
+    goal, steps, moving, idle = share * total, [], whole, 0
+    plain = 1 / max(np.linalg.eigvalsh(whole)[-1], 1e-12)
+    while np.abs(now - goal).sum() > ENOUGH * max(total, 1.0) and idle < PATIENCE:
+        off = ((now - goal) ** 2).sum()
+        newton = [np.linalg.solve(m + np.eye(k) * (1e-9 * np.trace(m) + 1e-12), now - goal) for m in (moving, whole)]
+        for step in (*newton, plain * (now - goal)):
+            tried = [*steps, step.tolist()]
             then, left = sums(tried)
-        steps, now, moving = tried, then, left
+            if ((then - goal) ** 2).sum() <= (1 - NEWTON_GAIN) * off:
+                break
+        gained = off - ((then - goal) ** 2).sum()
+        idle = idle + 1 if gained < LEAST_GAIN * off else 0
+        if gained > 0:
+            steps, now, moving = tried, then, left
     return steps, now, goal
 
 
@@ -180,15 +176,18 @@ def copies(rate: Column, key: Column) -> Column:
     return F.floor(rate + F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)).cast("int")
 
 
-def mixed_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_tokens``, the posteriors, ``rate`` and ``copies`` of every row.
+def mixed_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """``doc_id``, ``n_tokens``, the posteriors, ``rate``, ``copies`` and ``residual`` of every row.
 
+    ``residual`` is the share of all tokens by which the fit misses its targets, alike in all rows.
     Null and empty texts have no tokens; their rate follows from their posterior all the same.
-    Repeated rows come back as often as they came. Without labels all posteriors are equal.
+    Repeated rows come back as often as they came, rows without an id too. Without labels all
+    posteriors are equal.
     """
-    rows = stored(posteriors(docs, fit_domains(docs, labels, id_col, text_col), id_col, text_col).drop("_text"), "posteriors")
-    steps, _, _ = fit_rates(rows, targets, **WHOLE)
-    return rows.withColumn("rate", rate_after(steps, WHOLE["most"])).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    rows = stored(posteriors(docs, fit_domains(docs, labels, id_col, text_col, vocabulary), id_col, text_col, vocabulary=vocabulary), "posteriors")
+    steps, now, goal = fit_rates(rows, targets)
+    missed = float(np.abs(now - goal).sum() / max(goal.sum(), 1.0))
+    return rows.withColumn("rate", rate_after(steps)).withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).withColumn("residual", F.lit(missed))
 
 
 def achieved(rates: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -201,7 +200,7 @@ def achieved(rates: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = "high") -> DataFrame:
     """``docs`` with each row as often as its rate says, all its columns kept."""
     carry = tuple(docs.columns)
-    rows = stored(posteriors(docs, fit_domains(docs, labels), carry=carry).drop("_text"), "posteriors")
-    steps, _, _ = fit_rates(rows, targets, anchor=anchor, **WHOLE)
-    taken = rows.withColumn("_copies", copies(rate_after(steps, WHOLE["most"]), F.col("doc_id"))).filter(F.col("_copies") > 0)
+    rows = stored(posteriors(docs, fit_domains(docs, labels), carry=carry), "posteriors")
+    steps, _, _ = fit_rates(rows, targets, anchor=anchor)
+    taken = rows.withColumn("_copies", copies(rate_after(steps), F.col("doc_id"))).filter(F.col("_copies") > 0)
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"_carry_{k}").alias(c) for k, c in enumerate(carry)])

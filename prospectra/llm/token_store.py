@@ -37,7 +37,7 @@ LAYOUT = {
 }
 FILE_SCHEMA = "doc_id long, part int, seq long, n_tokens int, ids array<int>"
 #: Bytes that a worker remembers of chunks and their ids, and of pieces.
-CHUNK_MEMORY, PIECE_MEMORY = 32 << 20, 64 << 20
+CHUNK_MEMORY, PIECE_MEMORY = 32 << 20, 32 << 20
 #: What an entry of a dictionary takes besides its bytes.
 ENTRY = 170
 #: The normaliser and the pretokens for which chunks are exact (fixed values), and the letters and signs whose normal form is their lower case.
@@ -58,6 +58,12 @@ def _library(path: str):
     return library
 
 
+def chunked(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The chunks between ASCII white space of all texts, dictionary-encoded, and where each text's end. Some may be empty."""
+    lists = pc.ascii_split_whitespace(texts.fill_null(""))
+    return lists.flatten().dictionary_encode(), lists.offsets.to_numpy()[1:].astype("i8") - lists.offsets[0].as_py()
+
+
 class WholeEncoder:
     """The tokenizers library over whole texts: right for any vocabulary."""
 
@@ -142,6 +148,13 @@ class ChunkEncoder:
             self.chunks = pa.concat_arrays([self.chunks, new])
         return place
 
+    def sizes(self, chunks: pa.Array) -> np.ndarray:
+        """How many ids each of some distinct chunks has."""
+        place = self._remembered(chunks)
+        size = self.size[place]
+        self._forget(place)
+        return size
+
     def _forget(self, place: np.ndarray) -> None:
         """Beyond CHUNK_MEMORY only the chunks last asked for are kept."""
         if self.chunks.nbytes + self.first.nbytes + self.size.nbytes + self.flat.nbytes > CHUNK_MEMORY:
@@ -151,11 +164,9 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array, tail: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, ``tail`` after each, and how many each has."""
-        lists = pc.ascii_split_whitespace(texts.fill_null(""))
-        coded = lists.flatten().dictionary_encode()
+        coded, stops = chunked(texts)
         place = self._remembered(coded.dictionary)
         first, size = np.append(self.first[place], len(self.flat)), np.append(self.size[place], len(tail))
-        stops = lists.offsets.to_numpy()[1:].astype("i8") - lists.offsets[0].as_py()
         chunk = np.insert(coded.indices.to_numpy(), stops, len(place))
         taken = size[chunk]
         ids = np.append(self.flat, np.array(tail, "<u4"))[_slices(first[chunk], taken)]
