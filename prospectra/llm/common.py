@@ -14,12 +14,19 @@ DEFAULT_SHARED = "/tmp/checkpoints/prospectra"
 BATCH_BYTES = 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; the session's ``spark.checkpoint.dir`` if set."""
+def _root(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(at or DEFAULT_SHARED).rstrip('/')}/{uuid.uuid4().hex}"
+    return (at or DEFAULT_SHARED).rstrip("/")
+
+
+_run = uuid.uuid4().hex  # the folder of the tables that release() empties
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under the session's ``spark.checkpoint.dir`` if set."""
+    return f"{_root(spark)}/{_run}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -27,11 +34,26 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
     This cuts the lineage, and any executor can read the files again after another is lost.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}"
+    return _written(df, f"{shared_folder(df.sparkSession)}/{name}", **options)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Like ``stored``, but ``release`` leaves the table alone."""
+    return _written(df, f"{_root(df.sparkSession)}/{uuid.uuid4().hex}/{name}")
+
+
+def _written(df: DataFrame, path: str, **options: str) -> DataFrame:
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Empty all tables stored so far. Only for when every result that reads them has been written."""
+    global _run
+    spark.range(0).write.mode("overwrite").parquet(f"{_root(spark)}/{_run}")  # an empty table in their place
+    _run = uuid.uuid4().hex
+
+
 def text_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by bytes. All operators set the same, so lazy results may run in any order."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

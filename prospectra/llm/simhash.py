@@ -334,6 +334,8 @@ SHARED_PARTS, PARTS = 4, 5
 #: Documents whose shingles are counted so that frequent ones come last in the order of prefixes, how often
 #: one must occur there, and how many the driver takes. The order decides the work, never what is linked.
 ORDER_SAMPLE, LEAST_OFTEN, MOST_FREQUENT = 20_000, 3, 100_000
+#: Bits of a shingle's hash that name its file. A file of several shingles brings more candidates, never fewer.
+FILE_BITS = np.uint64((1 << 48) - 1)
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -380,23 +382,24 @@ def _frequent(texts: DataFrame, rows: int, words: int) -> tuple[np.ndarray, np.n
 
 def _similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """Those of the pairs (``a``, ``b``) of sets whose Jaccard similarity, counted in full, is enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("least").alias("_least")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "name", "least"), "node")
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [shingle_set(t, words) for t in batch["text"]]
-            yield pd.DataFrame({"node": np.array([_named(x) for x in found], "int64"), "shingles": [x.tobytes() for x in found]})
+            right = np.array([_named(x) for x in found], "int64") == batch["name"].to_numpy("int64")  # ids may repeat
+            yield pd.DataFrame({"node": batch["node"], "shingles": [np.unique(x.astype("u4")).tobytes() for x in found]})[right]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             near = []
             for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
+                x, y = np.frombuffer(x, "u4"), np.frombuffer(y, "u4")
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(PARTS * shared >= SHARED_PARTS * (len(x) + len(y) - shared))
             yield batch.loc[np.array(near, bool), ["a", "b"]]
 
-    sets = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi").select("text").mapInPandas(made, "node long, shingles binary")
+    sets = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "name", "text").mapInPandas(made, "node long, shingles binary")
     sets = stored(sets.dropDuplicates(["node"]), "sets")
     x, y = (sets.select(F.col("node").alias(end), F.col("shingles").alias(side)) for end, side in (("a", "x"), ("b", "y")))
     return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "similar")
@@ -405,13 +408,16 @@ def _similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words:
 def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``component_id`` of every row, linking texts whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-    Components are those of all such pairs: none is missed and none less similar is linked. Candidates
-    come from fingerprints within 4 bits and from a prefix join: with all shingles in one order, two
-    sets that similar share one of their first n - ceil(0.8 n) + 1, and at the first they share the
-    rest of both must still be long enough. Every candidate is compared in full. Each set is compared
-    with the first and last set of its files before others; then only sets that this has not linked to
-    the same set are paired, so that a large group of near copies is not expanded into pairs.
-    Documents without words are linked with each other only.
+    Components are those of all such pairs: none is missed and none less similar is linked, but for
+    shingles that share a hash. Candidates come from fingerprints within 4 bits and from a prefix
+    join: with all shingles in one order, two sets that similar share one of their first
+    n - ceil(0.8 n) + 1, and at the first they share the rest of both must still be long enough.
+    Every candidate is compared in full, by 32 bits of each shingle's hash. Each set is compared
+    with the first and last set of its files before others; then only sets that this has not linked
+    to the same set are paired, so that a large group of near copies is not expanded into pairs.
+    Documents without words, null texts among them, are linked with each other only. Repeated rows
+    come back as often as they came, rows without an id too; an empty table gives none; other
+    columns are ignored.
     """
     text_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -422,48 +428,51 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
             found = [shingle_set(t, words) for t in batch["text"]]
             bits = [np.unpackbits(x.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64") for x in found]
             prints = [np.packbits(2 * b > len(x), bitorder="little").view("<i8")[0] for b, x in zip(bits, found, strict=True)]
-            firsts = [prefix(x, *frequent.value).view("i8") for x in found]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": np.array([_named(x) for x in found], "int64"), "w0": np.array(prints, "int64"), "n": np.array([len(x) for x in found], "int64"), "firsts": firsts})
-
-    rows = stored(texts.mapInPandas(run, "doc_id long, node long, w0 long, n long, firsts array<long>").withColumn("row", F.monotonically_increasing_id()), "shingles")
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("first_row"), F.min("w0").alias("w0")), "nodes")
-    again = rows.select("node", "row").join(nodes.select("node", "first_row"), "node").filter(F.col("row") != F.col("first_row")).select("row")
-    filed = rows.join(again, "row", "left_anti").select("node", "n", F.posexplode("firsts").alias("at", "shingle"))
-
-    own, file = F.struct("node", "n", "at"), Window.partitionBy("shingle")
+            firsts = [(prefix(x, *frequent.value) & FILE_BITS).view("i8") for x in found]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "name": np.array([_named(x) for x in found], "int64"), "w0": np.array(prints, "int64"), "n": np.array([len(x) for x in found], "int64"), "firsts": firsts})
+
+    rows = stored(texts.mapInPandas(run, "doc_id long, name long, w0 long, n long, firsts array<long>").withColumn("row", F.monotonically_increasing_id()), "shingles")
+    # a set goes by the row that has it first: small numbers, which compress well
+    nodes = stored(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("row").alias("node"), F.min("w0").alias("w0")), "nodes")
+    again = rows.select("name", "row").join(nodes.select("name", "node"), "name").filter(F.col("row") != F.col("node")).select("row")
+    filed = rows.join(again, "row", "left_anti").select(F.col("row").alias("node"), "n", F.posexplode("firsts").alias("at", "shingle"))
+
+    # (node, size of the set and place of the shingle in it): the two fit into one number
+    own, file = F.struct("node", "place"), Window.partitionBy("shingle")
+    filed = filed.select("shingle", "node", (F.shiftleft("n", 32) + F.col("at")).alias("place"))
     filed = filed.withColumn("low", F.min(own).over(file)).withColumn("high", F.max(own).over(file)).filter("low.node < high.node")
     filed = stored(filed, "filed")
 
     def meet(a: str, b: str) -> Column:
         """Whether two sets that share a shingle here for the first time can be similar enough."""
-        n, m = F.col(f"{a}n"), F.col(f"{b}n")
-        rest = F.least(n - F.col(f"{a}at"), m - F.col(f"{b}at"))
+        n, m = F.shiftright(f"{a}place", 32), F.shiftright(f"{b}place", 32)
+        at = lambda side: F.col(f"{side}place").bitwiseAND(F.lit((1 << 32) - 1))
+        rest = F.least(n - at(a), m - at(b))
         return (PARTS * F.least(n, m) >= SHARED_PARTS * F.greatest(n, m)) & ((PARTS + SHARED_PARTS) * rest >= SHARED_PARTS * (n + m))
 
     prints = nodes.select(F.col("w0").alias("node"), "w0").distinct()
     print_roots = components(links(stored(prints, "prints"))).withColumnRenamed("node", "w0")
-    close = nodes.join(print_roots, "w0", "left").withColumn("_root", F.coalesce("root", "w0"))
-    close = close.select(F.min("node").over(Window.partitionBy("_root")).alias("a"), F.col("node").alias("b"))
+    rooted = nodes.join(print_roots, "w0", "left").select("node", F.coalesce("root", "w0").alias("_root"))
+    close = rooted.join(rooted.groupBy("_root").agg(F.min("node").alias("a")), "_root").select("a", F.col("node").alias("b"))
     low = filed.filter(meet("low.", "")).select(F.col("low.node").alias("a"), F.col("node").alias("b"))
     high = filed.filter(meet("", "high.")).select(F.col("node").alias("a"), F.col("high.node").alias("b"))
-    text_batches(docs.sparkSession)
     tried = stored(close.union(low).union(high).filter("a < b").distinct(), "tried")
     near = _similar_pairs(tried, nodes, texts, words)
 
     both = near.union(near.select("b", "a")).toDF("node", "_near")
     heads = both.groupBy("node").agg(F.min("_near").alias("_near")).select("node", F.least("node", "_near").alias("head"))
-    apart = filed.join(heads, "node", "left").select("shingle", "node", "n", "at", F.coalesce("head", "node").alias("head"))
+    apart = filed.join(heads, "node", "left").select("shingle", "node", "place", F.coalesce("head", "node").alias("head"))
     apart = apart.withColumn("_low", F.min("head").over(file)).withColumn("_high", F.max("head").over(file)).filter("_low < _high").drop("_low", "_high")
     apart = stored(apart, "apart")
-    a, b = (apart.select("shingle", *[F.col(c).alias(f"{side}{c}") for c in ("node", "n", "at", "head")]) for side in ("x", "y"))
+    a, b = (apart.select("shingle", *[F.col(c).alias(f"{side}{c}") for c in ("node", "place", "head")]) for side in ("x", "y"))
     others = a.join(b, "shingle").filter((F.col("xnode") < F.col("ynode")) & (F.col("xhead") != F.col("yhead")) & meet("x", "y"))
     others = others.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     near = near.union(_similar_pairs(stored(others, "others"), nodes, texts, words))
 
     roots = components(near).withColumnRenamed("node", "_node")
-    named = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("name", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return rows.select("doc_id", "name").join(named.join(least, "root").select("name", "component_id"), "name").select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
