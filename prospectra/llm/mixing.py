@@ -10,11 +10,11 @@ sums over the documents and nothing is shuffled but those sums.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ NEWTON_GAIN = 0.05
 
 _BINS = 12
 _SHAPES = 5
-_ODD = str.maketrans("", "", "#$%&*|<>{}=+~^\\")
+_ODD = r"[#$%&*|<>{}=+~^\\]"
 _EDGE = ".,;:?!\"'()"
 DIM = (1 << WORD_BITS) + _SHAPES * _BINS
 
@@ -57,28 +57,34 @@ class Features:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of tokens of each text; then (text, feature id) of all features, in order of texts."""
         coded, stops = chunked(texts)
-        words, index, count = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype("i8"), len(texts)
-        text = np.repeat(np.arange(count), np.diff(stops, prepend=0))
-        kept = np.array([w != "" for w in words], bool)[index]
-        index, text = index[kept], text[kept]
-        total = lambda by_word: np.bincount(text, np.array(by_word, "f8")[index] if len(index) else None, count)
-        distinct = np.unique(text * max(len(words), 1) + index)
-        text_of, word_of = np.divmod(distinct, max(len(words), 1))
-        names = np.array([crc32(w.lower().strip(_EDGE).encode()) & ((1 << WORD_BITS) - 1) for w in words], "i8")
-        hashed = np.unique(text_of << WORD_BITS | names[word_of])
+        words, index, count = coded.dictionary, coded.indices.to_numpy().astype("i8"), len(texts)
+        text, size = np.repeat(np.arange(count), np.diff(stops, prepend=0)), max(len(words), 1)
+        if (empty := pc.index(words, "").as_py()) >= 0:
+            text, index = text[index != empty], index[index != empty]
+        total = lambda by_word: np.bincount(text, by_word.to_numpy(zero_copy_only=False).astype("f8")[index] if len(index) else None, count)
+        distinct = _sorted_set(text * size + index)
+        text_of = distinct // size
+        bare = pc.utf8_trim(pc.utf8_lower(words), _EDGE).to_numpy(zero_copy_only=False)
+        names = (hash_array(bare, categorize=False) & np.uint64((1 << WORD_BITS) - 1)).astype("i8")
+        hashed = _sorted_set(text_of << WORD_BITS | names[distinct - text_of * size])
         n = np.bincount(text, minlength=count)
         some, length = np.maximum(n, 1), pc.utf8_length(texts.fill_null("")).to_numpy()
         shape = [
-            np.frexp(n)[1] / 20, np.bincount(text_of, minlength=count) / some, total([len(w) - len(w.translate(_ODD)) for w in words]) / some,
-            total([w.isupper() for w in words]) / some, length / some / 16,
+            np.frexp(n)[1] / 20, np.bincount(text_of, minlength=count) / some, total(pc.count_substring_regex(words, _ODD)) / some,
+            total(pc.utf8_is_upper(words)) / some, length / some / 16,
         ]
         bins = [(1 << WORD_BITS) + k * _BINS + np.minimum(_BINS - 1, x * _BINS).astype("i8") for k, x in enumerate(shape)]
         rows = np.concatenate([hashed >> WORD_BITS, *[np.arange(count)] * _SHAPES])
         order = np.argsort(rows, kind="stable")
-        tokens = self.encoder.encode(texts)[1] if isinstance(self.encoder, WholeEncoder) else total(self.encoder.sizes(coded.dictionary)).astype("i8")
+        tokens = self.encoder.encode(texts)[1] if isinstance(self.encoder, WholeEncoder) else total(pa.array(self.encoder.sizes(words))).astype("i8")
         return tokens, rows[order], np.concatenate([hashed & ((1 << WORD_BITS) - 1), *bins])[order]
 
 
+def _sorted_set(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> np.ndarray:
     """Weights of the domain classifier. Rows without labels, and labels without rows, are not used."""
     text_batches(docs.sparkSession)
