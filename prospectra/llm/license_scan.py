@@ -1,7 +1,10 @@
-"""Licence scan: sparse TF-IDF cosine of lines to licence notices, then inheritance by directory.
+"""Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-A page whose heading is a notice is a licence file and covers its directory; other pages take the
-licence of a notice of their own, else that of the nearest ancestor directory that has one.
+Every window of a text as long as a template is compared with it; line ends do not count. The
+versions and the words that part a family's licences must agree besides, so that a licence is not
+taken for a variant of it. A page with a licence file's name, with the notice in its title or first
+heading, or one that is mostly the notice, covers its directory; other pages take the licence of a
+notice of their own, else that of the nearest ancestor directory that has one.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log, sqrt
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -17,107 +20,169 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_batches
+from .license_texts import NAMES, PARTING, SAME, TEXTS, family
 
-#: Notices by licence (fixed values).
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-)
 #: Least cosine of a notice.
-LEAST_COSINE = 0.6
+LEAST_COSINE = 0.7
+#: Terms on both sides of a window in which no word may stand that makes it another licence of the family.
+AROUND = 4
+#: Templates of fewer terms are notices: their words must all be there, in their order, but for these.
+SHORT, LOOSE = 12, frozenset({"the", "international", "unported", "universal", "license", "licensed", "under", "version", "gnu"})
+#: Share of a page's terms that makes it a licence file.
+MOSTLY = 0.5
+#: Last parts of paths that name licence files (fixed values).
+FILE_NAMES = re.compile(r"(?:^|/)(?:licen[cs]e|copying|notice|unlicense|readme)[^/]*$", re.I)
 _TERM = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
-_PARTS = re.compile(r"<[^>]*>|\n")
-_HEAD = re.compile(r"<title[^>]*>(.*?)</title>", re.I | re.S)
+_GLUED = re.compile(r"\b([al]?gpl|mpl|epl|apache|bsd)[ -]?v?([0-9])")
+_TAG = re.compile(r"<(?!!--)[^>]*>|<!--|-->")
+_HEADS = re.compile(r"<(title|h1)[^>]*>(.*?)</\1>", re.I | re.S)
+_NUMBER = re.compile(r"v?([0-9]+)(?:\.0)?$")
+
+
+def plain(html: str) -> str:
+    """Text without tags; comments count as text."""
+    return _TAG.sub(" ", html) if "<" in html else html
+
+
+def _same(term: str) -> str:
+    if m := _NUMBER.match(term):
+        return m[1]
+    return SAME.get(term, term[1:] if term[0] == "v" and term[1:2].isdigit() else term)
+
+
+def raw_terms(text: str) -> list[str]:
+    text = text.lower()
+    if "no attribution" in text:
+        text = text.replace("no attribution", "0")
+    if "gpl" in text or "mpl" in text or "epl" in text or "bsd" in text or "apache" in text:
+        text = _GLUED.sub(r"\1 \2", text)
+    return _TERM.findall(text)
 
 
 def terms(text: str) -> list[str]:
-    return _TERM.findall(text.lower())
+    """Words in lower case, versions without leading v and trailing .0, words that mean the same as one."""
+    return [_same(t) for t in raw_terms(text)]
+
+
+def templates() -> list[tuple[str, list[str]]]:
+    """(licence, terms): the notice of each name, then headers and texts."""
+    return [(spdx, terms(f"Licensed under the {name}")) for spdx, names in NAMES.items() for name in names] + [(spdx, terms(text)) for spdx, text in TEXTS]
 
 
 def document_frequencies(pages: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
-    """Number of pages, and of those with each term of a notice; counted over all whole texts."""
-    vocabulary = frozenset(t for _, notice in TEMPLATES for t in terms(notice))
+    """Number of pages, and of those with each term of a template; counted over all whole texts."""
+    vocabulary = frozenset(t for _, found in templates() for t in found)
+    raw = vocabulary | SAME.keys()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, found = 0, Counter()
         for batch in batches:
             n += len(batch)
             for text in batch["text"]:
-                found.update(vocabulary.intersection(terms(text or "")))
+                seen = set(raw_terms(plain(text or "")))
+                found.update({_same(t) for t in seen if t in raw or t[0] in "v0123456789"} & vocabulary)
         yield pd.DataFrame({"term": ["", *found], "n": [n, *found.values()]})
 
     counted = pages.select(F.col(text_col).alias("text")).mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    by_term = {r["term"]: r["n"] for r in counted.collect()}  # a row for each term of a notice
+    by_term = {r["term"]: r["n"] for r in counted.collect()}  # a row for each term of a template
     return by_term.pop("", 0), by_term
 
 
 class Matcher:
-    """Best notice of a text by cosine of log-TF times IDF; a term of no notice weighs as one never seen."""
+    """Best template of a text by cosine of TF times IDF; a term of no template weighs as one never seen."""
 
     def __init__(self, pages: int, df: dict[str, int]):
-        self.idf = {t: log((pages + 1) / (df.get(t, 0) + 1)) + 1 for _, notice in TEMPLATES for t in terms(notice)}
+        self.templates = templates()
+        self.idf = {t: log((pages + 1) / (df.get(t, 0) + 1)) + 1 for _, found in self.templates for t in found}
         self.unseen = log(pages + 1) + 1
-        self.notices = []
-        for k, (_, notice) in enumerate(TEMPLATES):
-            w = self.weights(terms(notice))
-            length = sqrt(sum(x * x for x in w.values()))
-            self.notices.append((k, {t: x / length for t, x in w.items()}))
-        # texts of the most common terms alone cannot reach the least cosine: they share too little of any notice
-        self.telling = set(self.idf)
-        for t in sorted(self.idf, key=self.idf.get):
-            rest = set(self.idf) - self.telling | {t}
-            if any(sqrt(sum(v * v for u, v in w.items() if u in rest)) >= LEAST_COSINE for _, w in self.notices):
+        self.place = {t: k for k, t in enumerate(self.idf)}
+        self.raw = frozenset(self.idf) | SAME.keys()
+        self.weights, squares = [], np.zeros((len(self.templates), len(self.idf)))
+        versions: dict[str, set[str]] = {}
+        for k, (spdx, found) in enumerate(self.templates):
+            w = {t: n * self.idf[t] for t, n in Counter(found).items()}
+            length = sum(x * x for x in w.values()) ** 0.5
+            self.weights.append({t: x / length for t, x in w.items()})
+            for t, x in self.weights[-1].items():
+                squares[k, self.place[t]] = x * x
+            versions.setdefault(family(spdx), set()).update(re.findall(r"[0-9][0-9.]*", spdx.replace(".0", "")))
+        self.squares = squares
+        # what a window must hold, what it must not hold, and what must not stand around it
+        self.must, self.must_not, self.not_around = [], [], []
+        for spdx, found in self.templates:
+            parting, own = PARTING.get(family(spdx), frozenset()), set(found)
+            numbers = versions[family(spdx)]
+            words = own & (parting | numbers) if len(found) >= SHORT else own - LOOSE if len(found) > 4 else own - {"the"}
+            self.must.append(dict.fromkeys(t for t in found if t in words))
+            self.must_not.append((numbers - own) if len(found) < 60 else set())
+            self.not_around.append(parting - own)
+
+    def windows(self, found: list[str], k: int) -> np.ndarray:
+        """Cosine of template k with each window of its length, or with the whole text if that is shorter."""
+        w, size = self.weights[k], min(len(self.templates[k][1]), len(found))
+        idf = np.array([self.idf.get(t, self.unseen) for t in found])
+        sliding = lambda x: (c := np.append(0.0, x.cumsum()))[size:] - c[:-size]
+        dot, square = sliding(idf * np.array([w.get(t, 0.0) for t in found])), sliding(idf * idf)
+        # a term that stands n times in a window has n * n there: each two places in one window add twice its square
+        _, named = np.unique(np.array(found), return_inverse=True)
+        order = np.argsort(named, kind="stable")
+        both = np.zeros(len(found) + 1)
+        for lag in range(1, len(found)):
+            a, b = order[:-lag], order[lag:]
+            near = (named[a] == named[b]) & (b - a < size)
+            if not near.any():
                 break
-            self.telling.discard(t)
-        self.lengths = sorted({len(terms(notice)) for _, notice in TEMPLATES})
-
-    def weights(self, found: list[str]) -> dict[str, float]:
-        return {t: (1 + log(n)) * self.idf.get(t, self.unseen) for t, n in Counter(found).items()}
-
-    def part(self, found: list[str]) -> tuple[float, int]:
-        """(cosine, -index of the notice) of one window of terms."""
-        if self.telling.isdisjoint(found):
-            return 0.0, 0
-        w = self.weights(found)
-        length = sqrt(sum(x * x for x in w.values()))
-        return max((sum(x * w[t] for t, x in notice.items() if t in w) / length, -k) for k, notice in self.notices)
-
-    def text(self, text: str) -> tuple[float, int]:
-        """Best line of a whole text, or best window of a notice's length around a telling term in it."""
-        best = (0.0, 0)
-        for line in _PARTS.split(text):
-            found = terms(line)
-            if self.telling.isdisjoint(found):
+            a, b = a[near], b[near]
+            np.add.at(both, np.maximum(b - size + 1, 0), 2 * idf[a] ** 2)
+            np.add.at(both, a + 1, -2 * idf[a] ** 2)
+        return dot / np.sqrt(np.maximum(square + both.cumsum()[: len(square)], 1e-12))
+
+    def _holds(self, window: list[str], k: int) -> bool:
+        if len(self.templates[k][1]) >= SHORT:
+            return self.must[k].keys() <= set(window)
+        rest = iter(window)
+        return all(t in rest for t in self.must[k])  # in order
+
+    def text(self, text: str) -> tuple[float, int, float]:
+        """(cosine, -index of the template, share of the text's terms) of the best window of a whole text."""
+        raw = raw_terms(text)
+        seen = {_same(t) for t in set(raw) if t in self.raw or t[0] in "v0123456789"} & self.idf.keys()
+        present = np.zeros(len(self.idf))
+        present[[self.place[t] for t in seen]] = 1
+        # no window comes closer than the part of the template that the text has at all
+        possible = np.flatnonzero(self.squares @ present >= LEAST_COSINE**2 - 1e-9)
+        best, found = (0.0, 0, 0.0), None
+        for k in possible.tolist():
+            if not self.must[k].keys() <= seen:
                 continue
-            best = max(best, self.part(found))
-            at = [k for k, t in enumerate(found) if t in self.telling]
-            windows = {(start, n) for n in self.lengths if n < len(found) for k in at for start in range(max(0, k - n + 1), min(k, len(found) - n) + 1)}
-            best = max([best, *(self.part(found[start : start + n]) for start, n in windows)])
+            found = found or [_same(t) for t in raw]
+            cosines, size = self.windows(found, k), len(self.templates[k][1])
+            for start in sorted(np.flatnonzero(cosines >= max(LEAST_COSINE, best[0])).tolist(), key=lambda at: (-cosines[at], at)):
+                window = found[start : start + size]
+                around = found[max(0, start - AROUND) : start + size + AROUND]
+                if self._holds(window, k) and self.must_not[k].isdisjoint(window) and self.not_around[k].isdisjoint(around):
+                    best = max(best, (float(cosines[start]), -k, min(size, len(found)) / len(found)))
+                    break
         return best
 
 
 def detected(pages: DataFrame, id_col: str = "page_id", path_col: str = "url", text_col: str = "html") -> DataFrame:
-    """``id``, ``path``, ``notice`` (index or null), ``cosine`` and ``licence_file`` of every page."""
+    """``id``, ``path``, ``notice`` (index of a template or null), ``cosine`` and ``licence_file`` of every page."""
     text_batches(pages.sparkSession)
     n, df = document_frequencies(pages, text_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(n, df)
         for batch in batches:
-            best = [matcher.text(t or "") for t in batch["text"]]
-            heads = [matcher.text(m[1])[0] if (m := _HEAD.search(t or "")) else 0.0 for t in batch["text"]]
-            found = np.array([c >= LEAST_COSINE for c, _ in best], bool)
+            best, files = [], []
+            for html, path in zip(batch["text"], batch["path"], strict=True):
+                best.append(matcher.text(plain(html or "")))
+                named = bool(FILE_NAMES.search(re.sub(r"[?#].*", "", path or "", flags=re.S).rstrip("/")))
+                files.append(best[-1][0] > 0 and (named or best[-1][2] >= MOSTLY or any(matcher.text(plain(m[2]))[0] > 0 for m in _HEADS.finditer(html))))
             yield pd.DataFrame({
                 "id": batch["id"].astype("Int64"), "path": batch["path"],
-                "notice": pd.array([-k if c >= LEAST_COSINE else None for c, k in best], "Int32"),
-                "cosine": [round(c, 9) for c, _ in best], "licence_file": found & np.array([h >= LEAST_COSINE for h in heads], bool),
+                "notice": pd.array([-k if c > 0 else None for c, k, _ in best], "Int32"),
+                "cosine": [round(c, 9) for c, _, _ in best], "licence_file": np.array(files, bool),
             })
 
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
@@ -127,14 +192,17 @@ def detected(pages: DataFrame, id_col: str = "page_id", path_col: str = "url", t
 def license_scan(pages: DataFrame, id_col: str = "page_id", path_col: str = "url", text_col: str = "html") -> DataFrame:
     """``page_id``, ``license``, ``cosine``, ``found_in`` (file, own notice, ancestor or none), ``license_dir``.
 
-    Directories are host and path without the last part; scheme, query and fragment are dropped.
-    Of several licence files in a directory the closest notice counts, then the smallest id.
-    Null paths have no directory, null texts no notice; ids may be null or repeat.
+    Directories are host and path without the last part; scheme, query and fragment are dropped,
+    and a page at the root of a host stands in the host's directory. Of several notices of a page
+    the closest counts, then the first template; of several licence files in a directory the closest
+    notice, then the smallest id. Null paths have no directory, null and empty texts no notice; ids
+    may be null or repeat. An empty table gives none; other columns are ignored.
     """
     found = stored(detected(pages, id_col, path_col, text_col), "notices")
     bare = F.regexp_replace(F.regexp_replace(F.lower("path"), "^[a-z][a-z0-9+.-]*://", ""), "[?#].*$", "")
-    found = found.withColumn("dir", F.regexp_replace(F.regexp_replace(bare, "/+$", ""), "/?[^/]*$", ""))
-    names = F.array(*[F.lit(name) for name, _ in TEMPLATES])
+    url, path = F.col("path").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.regexp_replace(bare, "/+$", "")
+    found = found.withColumn("dir", F.when(url & ~F.contains(path, F.lit("/")), path).otherwise(F.regexp_replace(path, "/?[^/]*$", "")))
+    names = F.array(*[F.lit(name) for name, _ in templates()])
     licence = lambda c: F.when(c.isNotNull(), F.element_at(names, c + 1))
     # directories first, each once; then pages look up their directory
     owners = found.filter("licence_file AND dir IS NOT NULL").groupBy("dir").agg(F.min_by("notice", F.struct(-F.col("cosine"), F.col("id"))).alias("dir_notice"))

@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as tok
@@ -14,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from prospectra.llm import chat_format, exact_dedup, license_scan, mixing, rank_bpe, simhash, token_store, toxicity, unigram_count, vector_search
+from prospectra.llm import chat_format, exact_dedup, license_scan, license_texts, mixing, rank_bpe, simhash, token_store, toxicity, unigram_count, vector_search
 from prospectra.llm.linear import fit_softmax
 
 DOCS = "doc_id long, text string, kept string, n_tokens int"
@@ -335,26 +336,79 @@ def test_formatted_conversations(spark):
 # --- licences
 
 
+def licence(matcher, text):
+    cosine, k, _ = matcher.text(license_scan.plain(text))
+    return matcher.templates[-k][0] if cosine else None
+
+
+@pytest.fixture(scope="module")
+def matcher():
+    often = {"the": 0.9, "of": 0.9, "to": 0.9, "and": 0.9, "in": 0.8, "is": 0.7, "a": 0.9, "this": 0.5, "for": 0.6, "by": 0.5, "or": 0.5, "any": 0.4, "no": 0.4, "under": 0.3, "licensed": 0.1, "license": 0.02, "version": 0.05, "1": 0.5, "2": 0.4, "3": 0.3, "4": 0.3, "new": 0.4, "public": 0.1, "general": 0.1}
+    return license_scan.Matcher(500_000, {t: int(500_000 * x) for t, x in often.items()})
+
+
+FILLER = " lorem ipsum dolor sit amet" * 12 + "\n"
+
+
+@pytest.mark.parametrize("spdx", sorted(license_texts.NAMES))
+def test_every_licence_is_told_from_its_variants(matcher, spdx):
+    for name in license_texts.NAMES[spdx]:
+        for form in ("Licensed under the {}.", "Released under the\n{}", "<!-- This work is licensed under a {} -->"):
+            assert licence(matcher, FILLER + form.format(name) + FILLER) == spdx
+    for text in (t for s, t in license_texts.TEXTS if s == spdx):
+        wrapped = re.sub(r"((?:\S+ ){7})", r"\1\n * ", text)
+        assert licence(matcher, FILLER + text + FILLER) == licence(matcher, "Copyright (c) 2020 Some One\n" + wrapped) == spdx
+
+
+@pytest.mark.parametrize(
+    ("spdx", "text"),
+    [
+        ("GPL-2.0", "This file is part of Foo. Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+        ("LGPL-2.1", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."),
+        ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        ("Apache-2.0", "      Apache License\n    Version 2.0, January 2004\n  http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions."),
+        ("GPL-3.0", "licensed under GPLv3"), (None, "MIT released a report under the new program"), (None, "She was licensed under the state law of version 2"), (None, ""), (None, "."),
+        (None, "Licensed under the GNU Free Documentation License, version 3"), (None, "Licensed under the Apache License"),
+    ],
+)
+def test_notices(matcher, spdx, text):
+    assert licence(matcher, FILLER + text + FILLER) == spdx
+
+
+def test_windows_equal_brute_force(matcher):
+    rng = random.Random(4)
+    for k in (0, 30, len(matcher.templates) - 5):
+        template = matcher.templates[k][1]
+        found = [rng.choice([*template, "other", "words", "the", "the"]) for _ in range(len(template) * 3)]
+        size = len(template)
+        for start, got in enumerate(matcher.windows(found, k)):
+            tf = Counter(found[start : start + size])
+            v = {t: n * matcher.idf.get(t, matcher.unseen) for t, n in tf.items()}
+            want = sum(x * matcher.weights[k].get(t, 0) for t, x in v.items()) / sum(x * x for x in v.values()) ** 0.5
+            assert abs(got - want) < 1e-9
+    assert len(matcher.windows(["the"], 0)) == 1
+
+
 def test_license_scan(spark):
     page = lambda title, body="": f"<html><title>{title}</title><p>{body}</p></html>"
-    apache = "Licensed under the Apache License, Version 2.0."
-    data = [(1, "http://h.org/a/LICENSE", page("Released under the MIT License.")), (2, "http://h.org/a/b/c.html?q", page("x")), (3, "http://h.org/a/b/d.html", page("y", apache)), (4, "http://h.org/z.html", page("z")), (5, None, None), (6, "https://h.org/a/e.html#f", page("e", " ".join(f"w{i}" for i in range(900)) + " " + apache + " ".join(f"v{i}" for i in range(900)))), (6, "https://h.org/a/e.html#f", "")]
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License,\nVersion 2.0."
+    long = lambda text: " ".join(f"w{i}" for i in range(900)) + f" {text} " + " ".join(f"x{i}" for i in range(900))
+    data = [
+        (1, "http://h.org/a/LICENSE", page("x", long(mit))), (2, "http://h.org/a/b/c.html?q", page("x")), (3, "http://h.org/a/b/d.html", page("y", apache + FILLER)), (4, "http://other.org/z.html", page("z")), (5, None, None),
+        (6, "https://h.org/a/e.html#f", page("e", long(apache))), (6, "https://h.org/a/e.html#f", ""), (7, "http://h.org/a/b/COPYING.txt", apache), (8, "http://h.org/a/b/c/d/e.html", "x"), (9, "http://site.org/", page(mit, FILLER)), (10, "http://site.org/x/y.html", "y"),
+        (11, "http://h.org/a/b/LICENSE-2.md", mit + FILLER), (12, "tree/sub/about", f"<h1>{mit}</h1>{FILLER}"), (13, "tree/sub/deep/file.py", "code"), (14, "tree/file.py", "code"), (None, "http://h.org/a/n.html", "n"),
+    ]
     table = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("license", F.lit("clash"))
-    got = sorted((r["page_id"], r["license"], r["found_in"], r["license_dir"]) for r in license_scan.license_scan(table).collect())
-    want = [(1, "MIT", "file", None), (2, "MIT", "ancestor", "h.org/a"), (3, "Apache-2.0", "own notice", None), (4, None, "none", None), (5, None, "none", None), (6, "Apache-2.0", "own notice", None), (6, "MIT", "ancestor", "h.org/a")]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
+    got = sorted(((r["page_id"], r["license"], r["found_in"], r["license_dir"]) for r in license_scan.license_scan(table).collect()), key=repr)
+    want = [
+        (1, "MIT", "file", None), (2, "Apache-2.0", "ancestor", "h.org/a/b"), (3, "Apache-2.0", "own notice", None), (4, None, "none", None), (5, None, "none", None), (6, "Apache-2.0", "own notice", None), (6, "MIT", "ancestor", "h.org/a"),
+        (7, "Apache-2.0", "file", None), (8, "Apache-2.0", "ancestor", "h.org/a/b"), (9, "MIT", "file", None), (10, "MIT", "ancestor", "site.org"), (11, "MIT", "file", None), (12, "MIT", "file", None), (13, "MIT", "ancestor", "tree/sub"), (14, None, "none", None),
+        (None, "MIT", "ancestor", "h.org/a"),
+    ]
+    assert got == sorted(want, key=repr)
     assert license_scan.license_scan(table.limit(0)).count() == 0
 
 
-def test_skipped_lines_cannot_match():
-    m = license_scan.Matcher(100, {"license": 3, "the": 90, "under": 40})
-    full = license_scan.Matcher(100, {"license": 3, "the": 90, "under": 40})
-    full.telling = set(full.idf)
-    for text in ("the under", "the this is", "released the", "licensed under the apache", "the software"):
-        a, b = m.part(license_scan.terms(text))[0], full.part(license_scan.terms(text))[0]
-        assert a == b or (a == 0 and b < license_scan.LEAST_COSINE)
-
-
 # --- models
 
 
