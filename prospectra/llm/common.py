@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,19 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_resident: dict[object, object] = {}
+
+
+def resident(key: object, make):
+    """What a worker process keeps from task to task: one object at a time, so that operators do not add up in it."""
+    if key not in _resident:
+        _resident.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def ascii_lower(text) -> F.Column:
     """Lower-case A-Z only. ``lower`` does the same to pure ASCII and is much faster there."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -20,13 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import resident, text_batches
 
 DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Pretokens of more bytes are merged with a heap.
 LONG_WORD = 200
 #: Pretokens remembered by a worker, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 NO_MERGE = 1 << 60
 
 
@@ -134,14 +134,9 @@ class RankBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_loaded: dict[str, RankBpe] = {}
-
-
 def load(path: str) -> RankBpe:
     """One encoder for each worker process; it keeps its memory of words from task to task."""
-    if path not in _loaded:
-        _loaded[path] = RankBpe(path)
-    return _loaded[path]
+    return resident(("bpe", path), lambda: RankBpe(path))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_folder, text_batches
+from .common import resident, shared_folder, text_batches
 from .rank_bpe import byte_characters
 
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -179,14 +179,9 @@ def _slices(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(first - size.cumsum() + size, size)
 
 
-_loaded: dict[str, ChunkEncoder | WholeEncoder] = {}
-
-
 def load(path: str) -> ChunkEncoder | WholeEncoder:
     """One encoder for each worker process: by chunks where the file's normaliser and pretokens allow it."""
-    if path not in _loaded:
-        _loaded[path] = (ChunkEncoder if ChunkEncoder.fits(path) else WholeEncoder)(path)
-    return _loaded[path]
+    return resident(("tokens", path), lambda: (ChunkEncoder if ChunkEncoder.fits(path) else WholeEncoder)(path))
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = DEFAULT_VOCABULARY, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:

@@ -9,6 +9,7 @@ on words and word beginnings, fitted on labelled rows; a word counts as it stand
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from math import log
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_batches
+from .common import resident, stored, text_batches
 from .linear import fit_softmax
 
 #: What a sign may stand for (fixed values).
@@ -219,6 +220,7 @@ class Model:
 
     def __init__(self, characters: np.ndarray, ids: dict[str, int], weights: np.ndarray, bias: float):
         self.characters, self.ids, self.weights, self.bias = characters, ids, weights, bias
+        self.key = uuid.uuid4().hex
 
 
 def _training(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col: str, text_col: str) -> DataFrame:
@@ -283,7 +285,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        scorer = Scorer(m.characters, m.ids)
+        scorer = resident(("toxicity", m.key), lambda: Scorer(m.characters, m.ids))
         for batch in batches:
             z = np.array([m.bias + sum(m.weights[k] for k in scorer.features(t)) for t in batch["_text"]])
             yield batch.assign(score=1 / (1 + np.exp(-np.clip(z, -500, 500))))

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import resident, text_batches
 
 DEFAULT_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
@@ -88,13 +88,8 @@ class UnigramCounter:
         return pieces, total
 
 
-_loaded: dict[str, UnigramCounter] = {}
-
-
 def load(path: str) -> UnigramCounter:
-    if path not in _loaded:
-        _loaded[path] = UnigramCounter(path)
-    return _loaded[path]
+    return resident(("unigram", path), lambda: UnigramCounter(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
