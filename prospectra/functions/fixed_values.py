@@ -222,3 +222,16 @@ HIGH_CATEGORIES = ["trades", "contractors"]
 MEDIUM_CATEGORIES = ["professional_services", "retail", "health", "food", "auto"]
 
 ROLE_PREFIXES = ["info", "admin", "sales", "support", "contact"]
+
+#: Places of interest: marks of writing direction, texts that are no value, values of ``amenity`` by class (fixed values).
+BIDI_MARKS = "⁦⁧⁨⁩‎‏"
+NOT_A_VALUE = ["", "-", "n/a", "na", "none", "null", "unknown", "0"]
+
+AMENITIES = {
+    "food": ["restaurant", "cafe", "fast_food", "food_court", "bar", "pub"],
+    "health": ["clinic", "hospital", "doctors", "dentist", "pharmacy"],
+    "education": ["school", "college", "university", "kindergarten"],
+    "finance": ["bank", "bureau_de_change", "atm"],
+    "religious": ["place_of_worship"],
+    "auto": ["fuel", "car_wash", "car_rental", "car_repair"],
+}

@@ -34,23 +34,25 @@ def blank_to_null(c: Column | str) -> Column:
 
 
 def normalize_domain(raw: Column | str) -> Column:
-    """The bare domain of a URL, an address or a host; null if nothing like a domain is left."""
-    v = F.lower(strip(raw))
-    v = F.when(F.contains(v, F.lit("@")) & ~F.contains(v, F.lit("://")), F.regexp_replace(v, "^[^@]*@", "")).otherwise(v)
-    host = F.when(F.contains(v, F.lit("://")), F.regexp_extract(v, r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)).otherwise(F.substring_index(v, "/", 1))
-    host = F.substring_index(F.regexp_replace(F.regexp_replace(host, r"\.+$", ""), r"^www\.", ""), ":", 1)
-    return F.when(F.contains(host, F.lit(".")) & ~host.rlike(r"(?U)\s"), host)
+    """The bare domain of a URL, an address or a host; null if nothing like a domain is left.
+
+    Each step names the one before it once, so that the expression stays small wherever it is used.
+    """
+    v = F.regexp_replace(F.lower(strip(raw)), r"(?s)^(?!.*://)[^@]*@", "")
+    v = F.regexp_replace(v, r"(?s)^(?=.*://)(?![a-z][a-z0-9+.-]*://).*\z", "")
+    v = F.regexp_replace(v, r"(?s)^[a-z][a-z0-9+.-]*://([^/?#]*).*\z", "$1/")
+    host = F.regexp_replace(F.substring_index(v, "/", 1), r"\.+\z", "")
+    host = F.substring_index(F.regexp_replace(host, r"^www\.", ""), ":", 1)
+    return blank_to_null(F.regexp_extract(host, r"(?U)^[^\s.]*\.\S*\z", 0))
 
 
 def email_domain(email: Column | str) -> Column:
     """The domain of an address; null without an @."""
-    e = _col(email)
-    return F.when(F.contains(e, F.lit("@")), normalize_domain(e))
+    return normalize_domain(F.regexp_extract(_col(email), r"(?s)^.*@.*\z", 0))
 
 
 def is_public_mail_domain(domain: Column | str) -> Column:
-    d = F.lower(strip(domain))
-    return d.isin(V.PUBLIC_MAIL_DOMAINS) | d.rlike("^(" + _any_of(V.PUBLIC_MAIL_PREFIXES) + ")")
+    return F.lower(strip(domain)).rlike(f"^(?:(?:{_any_of(V.PUBLIC_MAIL_DOMAINS)})\\z|{_any_of(V.PUBLIC_MAIL_PREFIXES)})")
 
 
 def url_host(url: Column | str) -> Column:
@@ -210,9 +212,14 @@ def plural_forms(base: Column | str) -> Column:
     return F.array_compact(F.array(b, other))
 
 
-def has_word(text: Column | str, word: Column) -> Column:
-    """Whether a word of [a-z0-9] or its other number stands in the text as a whole word."""
-    return F.exists(plural_forms(word), lambda w: F.regexp_like(_col(text), F.concat(F.lit(r"(?U)\b"), w, F.lit(r"\b"))))
+def words_of(text: Column | str) -> Column:
+    """Distinct whole words of a text."""
+    return F.array_distinct(F.split(_col(text), r"(?U)\W+"))
+
+
+def has_word(words: Column | str, word: Column) -> Column:
+    """Whether a word of [a-z0-9] or its other number is among the whole words of a text."""
+    return F.arrays_overlap(plural_forms(word), _col(words))
 
 
 # --- pages

@@ -55,12 +55,20 @@ def business_domains(businesses: DataFrame, contacts: DataFrame) -> DataFrame:
 
 
 def sync_domains(businesses: DataFrame, contacts: DataFrame, domains: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new domains, new links): what the businesses name and the tables do not hold."""
+    """(new domains, new links): what the businesses name and the tables do not hold. A new domain's id is a hash of its name, below zero."""
     wanted = business_domains(businesses, contacts)
-    new = wanted.select("domain").distinct().join(domains.select("domain"), "domain", "left_anti").withColumn("status", F.lit("new"))
+    new = wanted.select("domain").distinct().join(domains.select("domain"), "domain", "left_anti").withColumns({"status": F.lit("new"), "domain_id": -1 - F.pmod(F.xxhash64("domain"), F.lit((1 << 62) - 57))})
     return new, wanted.join(links.select("business_id", "domain"), ["business_id", "domain"], "left_anti")
 
 
+def organizations_for(domains: DataFrame, organizations: DataFrame) -> DataFrame:
+    """One organization for each domain: the one that is there (the smallest id of several), else a new one, with ``is_new``."""
+    known = organizations.groupBy("domain_id").agg(F.min("org_id").alias("_known"))
+    rows = domains.select("domain_id", "domain").join(known, "domain_id", "left")
+    made = F.sha2(F.concat_ws("|", F.lit("organization"), "domain"), 256)
+    return rows.select("domain_id", F.coalesce("_known", made).alias("org_id"), "domain", F.col("_known").isNull().alias("is_new"))
+
+
 def role_contacts(domains: DataFrame, observations: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(domains with their next status, new role contacts) of domains that are verified without a host."""
     due = domains.filter(F.col("status").isin("verified_unhosted", "checked"))

@@ -30,9 +30,21 @@ def names_with_chain(names: DataFrame, chains: DataFrame, least: int = 4) -> Dat
     return met.filter((F.col("_lower") == F.col("chain")) | ((F.length("chain") >= least) & F.contains("_lower", F.col("chain")))).select("name", "chain").distinct()
 
 
+def in_chain(businesses: DataFrame, chains: DataFrame) -> DataFrame:
+    """Businesses with ``in_chain``: whether their name holds a chain's."""
+    held = names_with_chain(businesses.filter("name IS NOT NULL"), chains).select("name", F.lit(True).alias("in_chain")).distinct()
+    return businesses.join(held, "name", "left").withColumn("in_chain", F.coalesce("in_chain", F.lit(False)))
+
+
 def under_domains(urls: DataFrame, url_col: str, listed: DataFrame) -> DataFrame:
-    """URLs whose host is, or is under, a listed ``domain``."""
-    return urls.withColumn("_suffix", F.explode(X.host_suffixes(X.url_host(url_col)))).join(listed.select(F.col("domain").alias("_suffix")), "_suffix", "left_semi").drop("_suffix").distinct()
+    """URLs whose host is, or is under, a listed ``domain``; repeated rows stay repeated.
+
+    The distinct hosts meet the list by their suffixes; rows are then looked up by host and keep all their columns.
+    """
+    rows = urls.withColumn("_host", X.url_host(url_col))
+    suffixes = rows.select("_host").distinct().withColumn("_suffix", F.explode(X.host_suffixes("_host")))
+    under = suffixes.join(listed.select(F.col("domain").alias("_suffix")), "_suffix", "left_semi").select("_host").distinct()
+    return rows.join(under, "_host", "left_semi").drop("_host")
 
 
 def exported_flag(rows: DataFrame, ledger: DataFrame, platform: str) -> DataFrame:

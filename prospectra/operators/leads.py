@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from prospectra.functions import text as X
 
+from .windows import page
+
 ACTIVE = ["hosted", "parked", "registered_no_web", "registered_dns_only", "mx_missing"]
 QUALIFIED = ["verified_unhosted", "checked", "no_mx", "enriched", "no_contacts", "unregistered_candidate"]
 
@@ -43,9 +45,13 @@ def best_first() -> list[Column]:
 def eligible_leads(
     scored: DataFrame, contacts: DataFrame, links: DataFrame, ledger: DataFrame | None = None, *, platform: str | None = None, min_score: float | None = None, no_website: bool = True,
     category: str | None = None, city: str | None = None, require_contact: bool = False, exclude_active: bool = False, require_qualified: bool = False, min_confidence: str | None = None,
-    verified_only: bool = False,
+    verified_only: bool = False, cities: DataFrame | None = None,
 ) -> DataFrame:
-    """Leads that meet every condition. All of them come before a limit, confidence too."""
+    """Leads that meet every condition. All of them come before a limit, confidence too.
+
+    ``city`` is a part of the city's name in any case, looked up in ``cities`` by ``city_id`` or, without
+    them, in the leads' own ``city``; its ``%`` and ``_`` are wildcards.
+    """
     rows = scored.filter(F.col("lead_score").isNotNull())
     if no_website:
         rows = rows.filter(F.coalesce("website_url", F.lit("")) == "")
@@ -54,7 +60,8 @@ def eligible_leads(
     if category:
         rows = rows.filter(F.col("category") == category)
     if city:
-        rows = rows.filter(F.col("city").ilike(f"%{city}%"))
+        named = lambda c: F.col(c).ilike(f"%{city}%")
+        rows = rows.filter(named("city")) if cities is None else rows.join(cities.filter(named("name")), "city_id", "left_semi")
     if min_confidence or verified_only:
         rows = rows.filter(X.confidence_rank("confidence") >= X.confidence_rank(F.lit(min_confidence or "low")))
     if require_contact:
@@ -68,6 +75,12 @@ def eligible_leads(
     return rows
 
 
+def page_with_total(rows: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A page of leads, best first, with ``total``: how many there are on all pages."""
+    out = page(rows, best_first(), limit, offset).withColumn("_one", F.lit(1))
+    return out.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1))), "_one").drop("_one")  # one row
+
+
 def lead_export(leads: DataFrame, ledger: DataFrame, platform: str, day: Column, limit: int | None = None, fresh_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows to write, ledger rows): the best leads not yet exported on the platform, or with ``fresh_only`` on any."""
     rows = unexported(leads, ledger, None if fresh_only else platform).orderBy(*best_first())
@@ -104,12 +117,31 @@ def joined(c: str, separator: str = ";") -> Column:
     return F.array_join(F.sort_array(F.coalesce(F.col(c), F.array().cast("array<string>"))), separator)
 
 
+def _text(c: str, name: str | None = None) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name or c)
+
+
 def lead_sheet(leads: DataFrame, separator: str = ";") -> DataFrame:
-    """The export's columns; sets as sorted text, nulls as empty."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    sets = ["emails", "business_emails", "phones", "domains", "verified_unhosted_domains", "unregistered_domains", "registered_domains", "hosted_domains", "parked_domains"]
-    plain = [c for c in ("business_id", "name", "category", "city", "country", "address", "website_url", "lead_score", "reason", "confidence") if c in leads.columns]
-    return leads.select(*[text(c) for c in plain], *[joined(c, separator).alias(c) for c in sets])
+    """The 19 columns of the export; sets as sorted text, nulls as empty."""
+    rows = leads.withColumn("free_emails", F.array_except("emails", "business_emails"))
+    sets = [
+        "emails", "business_emails", "free_emails", "phones", "domains", "verified_unhosted_domains", "unregistered_domains", "registered_domains", "unknown_domains", "hosted_domains", "parked_domains",
+    ]
+    return rows.select(
+        _text("name", "business_name"), *[_text(c) for c in ("category", "address", "city", "country")], *[joined(c, separator).alias(c) for c in sets], _text("lead_score"), _text("source"), _text("source_id"),
+    )
+
+
+def refreshed_sheet(leads: DataFrame) -> DataFrame:
+    """The 12 columns of the sheet that is written anew each time."""
+    sets = {"Emails": "emails", "Business Emails": "business_emails", "Phones": "phones", "Domains": "domains", "Hosted Domains": "hosted_domains", "Registered Domains": "registered_domains"}
+    plain = {"Name": "name", "Category": "category", "Address": "address", "City": "city", "Country": "country"}
+    return leads.select(*[_text(c, name) for name, c in plain.items()], F.coalesce("lead_score", F.lit(0)).alias("Lead Score"), *[joined(c, ", ").alias(name) for name, c in sets.items()])
+
+
+def contact_sheet(contacts: DataFrame) -> DataFrame:
+    """The 8 columns of the contact export, nulls as empty."""
+    return contacts.select(*[_text(c) for c in ("domain", "organization", "email", "first_name", "last_name", "title", "source", "lead_score")])
 
 
 def no_website_sheet(businesses: DataFrame, contacts: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ def export_totals(ledger: DataFrame) -> DataFrame:
 
 
 def histogram(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    """How many rows each value has, most frequent first."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *by)
 
 
 def coverage(verifications: DataFrame) -> DataFrame:
@@ -61,6 +62,11 @@ def eligibility(scored: DataFrame, verifications: DataFrame, floor: float) -> Da
     return rows.agg(F.count_if(at).alias("eligible"), F.count_if(at & done).alias("processed"), F.count_if(at & ~done).alias("remaining"), F.count_if(F.col("lead_score").isNull()).alias("never_scored"))
 
 
+def distinct_names(rows: DataFrame, c: str) -> DataFrame:
+    """Distinct values of a column in order, blanks left out."""
+    return rows.filter(F.coalesce(c, F.lit("")) != "").select(c).distinct().orderBy(c)
+
+
 def recent_activity(scored: DataFrame, as_of, minutes: int = 10) -> DataFrame:
     """Rescored within a window, those of them with evidence, and what waits for a score."""
     recent = F.coalesce(F.col("scored_at") >= as_of - F.make_dt_interval(mins=F.lit(minutes)), F.lit(False))
@@ -102,6 +108,7 @@ def metrics_report(businesses: DataFrame, verifications: DataFrame, scored: Data
 
 
 def run_summary(stages: DataFrame) -> DataFrame:
+    """Sums over the stages of a run."""
     return stages.agg(F.coalesce(F.sum("websites_found"), F.lit(0)).alias("websites_discovered"), F.coalesce(F.sum("verified"), F.lit(0)).alias("verified"))
 
 

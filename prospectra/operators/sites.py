@@ -114,9 +114,12 @@ def judge_pages(pairs: DataFrame) -> DataFrame:
     p = p.withColumns({
         "_echo": (F.col("_squeezed") != "") & ((F.col("_squeezed") == plain("_host")) | (F.col("_squeezed") == F.col("_base")) | (F.col("_squeezed") == F.replace(plain("_host"), F.lit("."), F.lit("")))),
         "_based": (F.length("_base") >= 12) & F.contains("_text", F.col("_base")),
-        "_found": F.filter("_words", lambda w: X.has_word(F.col("_text"), w)),
-    })
-    p = p.withColumns({"_own": F.array_except("_found", generic), "_titled": F.filter("_found", lambda w: X.has_word(F.col("_title"), w))})
+        "_text_words": X.words_of("_text"), "_title_words": X.words_of("_title"),
+    })
+    # each set of words is named twice below, so that Spark keeps it as a column in place of splitting the text for every word
+    among = lambda words, c: F.when(F.size(c) > 0, F.filter(words, lambda w: X.has_word(c, w)))
+    p = p.withColumns({"_found": among("_words", "_text_words"), "_in_title": among("_words", "_title_words")})
+    p = p.withColumns({"_own": F.array_except("_found", generic), "_titled": F.array_intersect("_found", "_in_title")})
     n = F.size("_words")
     count = lambda c, least=1: F.size(F.filter(c, lambda w: F.length(w) >= least))
     found, own = F.size("_found"), F.size("_own")
@@ -134,7 +137,7 @@ def judge_pages(pairs: DataFrame) -> DataFrame:
         ("few_words", words & (((n >= 4) & (own < 2)) | ((n == 3) & (own < 2) & (count("_own", 7) == 0)))),
         ("redirect_words", words & (n >= 3) & F.col("_redirected") & ((found < 2) | (count("_own", 5) == 0))),
         ("short_words", words & (n == 2) & ((count("_found", 5) == 0) | ((count("_words", 5) == 2) & (count("_found", 5) < 2)))),
-        ("single_word", words & (n == 1) & ~F.when(F.col("_echo"), X.has_word(F.col("_meta"), only)).otherwise(X.has_word(F.col("_title"), only))),
+        ("single_word", words & (n == 1) & ~F.when(F.col("_echo"), X.has_word(X.words_of("_meta"), only)).otherwise(X.has_word("_title_words", only))),
         ("title", (F.col("_title") != "") & (n >= 2) & (F.size(F.array_except("_titled", generic)) == 0)),
     ]
     verdict = F.lit("")

@@ -37,14 +37,13 @@ def page_titles(spark, d):
     return N.table(spark, d, "pages").select("page_id", X.page_title("html").alias("title"))
 
 
-@query("""SELECT a, b, x = y OR (contains(CASE WHEN length(x) <= length(y) THEN y ELSE x END, CASE WHEN length(x) <= length(y) THEN x ELSE y END)
+@query(f"""SELECT page_id, x = y OR (contains(CASE WHEN length(x) <= length(y) THEN y ELSE x END, CASE WHEN length(x) <= length(y) THEN x ELSE y END)
     AND (least(length(x), length(y)) >= 0.6 * greatest(length(x), length(y)) OR (starts_with(CASE WHEN length(x) <= length(y) THEN y ELSE x END, CASE WHEN length(x) <= length(y) THEN x ELSE y END) AND least(length(x), length(y)) >= 10))) AS related
-    FROM (SELECT p.domain AS a, q.domain AS b, replace(split_part(p.domain, '.', 1), '-', '') AS x, replace(split_part(q.domain, '.', 1), '-', '') AS y
-          FROM domains p JOIN domains q ON p.domain_id % 50 = q.domain_id % 50)""")
+    FROM (SELECT p.page_id, replace(split_part({host("p.url")}, '.', 1), '-', '') AS x, replace(split_part({host("q.url")}, '.', 1), '-', '') AS y FROM pages p JOIN pages q ON q.page_id = p.page_id + 1)""")
 def related_domain_pairs(spark, d):
-    a = N.domains(spark, d).select(F.col("domain").alias("a"), (F.col("domain_id") % 50).alias("k"))
-    b = a.select(F.col("a").alias("b"), "k")
-    return a.join(b, "k").select("a", "b", X.related_domains("a", "b").alias("related"))
+    """Each page's host with the next page's, as if the one had led to the other."""
+    pages = N.table(spark, d, "pages").select("page_id", X.url_host("url").alias("a"))
+    return pages.join(pages.select((F.col("page_id") - 1).alias("page_id"), F.col("a").alias("b")), "page_id").select("page_id", X.related_domains("a", "b").alias("related"))
 
 
 @query("""SELECT business_id, b.name || ' ' || c.name || '|"' || CASE WHEN business_id % 17 = 0 AND length('biz' || business_id) >= 3 THEN 'biz' || business_id || ' com' ELSE split_part(b.name, '#', 2) || ' customer' END || '" ' || c.name || '|"' || b.name || '" ' || c.name AS queries
@@ -101,20 +100,85 @@ def apply_websites(spark, d):
     return E.apply_websites(N.businesses(spark, d), N.verifications(spark, d).withColumn("website", site)).select("business_id", "website_url")
 
 
-@query("SELECT business_id, lead_score, confidence FROM scored", verifications=f"SELECT * FROM ({ENTITIES['verifications']}) WHERE source <> 'searxng'")
+def _branded():
+    return F.col("brand").isNotNull()
+
+
+@query("SELECT business_id, lead_score, confidence, reason FROM scored", verifications=f"SELECT * FROM ({ENTITIES['verifications']}) WHERE source <> 'searxng'")
 def reset_source(spark, d):
-    _, out = passes.reset_source(N.businesses(spark, d), N.business_contacts(spark, d), N.links(spark, d), N.verifications(spark, d), "searxng")
-    # the pass scores without chains; those are the rows with a brand
-    return out.select("business_id", F.when(F.col("brand").isNotNull(), 0).otherwise(F.col("lead_score")).cast("int").alias("lead_score"), "confidence")
+    _, out = passes.reset_source(N.businesses(spark, d), N.business_contacts(spark, d), N.links(spark, d), N.verifications(spark, d), "searxng", _branded())
+    return out.select("business_id", _int("lead_score"), "confidence", "reason")
+
+
+def _observed(spark, d):
+    """What was observed of the pages' domains and of half of those that businesses name, which are hosted."""
+    pages = N.observations(spark, d).drop("html").withColumn("is_parked", F.col("observation") % 9 == 0)
+    named = N.businesses(spark, d).filter("business_id % 10 = 0").select(F.concat(F.lit("biz"), F.col("business_id").cast("string"), F.lit(".example.com")).alias("domain"), F.lit(1).cast("long").alias("observation"), F.lit(True).alias("has_a"))
+    return pages.unionByName(named, allowMissingColumns=True)
+
 
+#: Domains once those that businesses name are there and what was new is classified, and links with their statuses.
+CHECKED = {
+    "seen": f"SELECT {host('url')} AS domain, max(page_id) AS p FROM pages GROUP BY 1",
+    "checked": """SELECT domain, CASE WHEN status <> 'new' THEN status WHEN p IS NULL THEN CASE WHEN domain IN (SELECT 'biz' || business_id || '.example.com' FROM businesses WHERE business_id % 10 = 0) THEN 'hosted' ELSE 'rdap_error' END
+        WHEN p % 9 = 0 THEN 'parked' WHEN p % 5 = 0 OR p % 11 = 0 OR p % 13 = 0 OR p % 7 = 0 OR p % 17 = 0 THEN 'hosted' WHEN p % 3 = 0 THEN 'registered_no_web'
+        WHEN p % 2 = 0 THEN 'registered_dns_only' WHEN p % 19 = 0 THEN 'dns_error' ELSE 'unregistered_candidate' END AS status
+        FROM (SELECT domain, status FROM domains UNION ALL SELECT DISTINCT domain, 'new' FROM wanted WHERE domain NOT IN (SELECT domain FROM domains)) LEFT JOIN seen USING (domain)""",
+    "old_links": ENTITIES["links"],
+    "links": "SELECT business_id, domain, status FROM (SELECT business_id, domain FROM old_links UNION SELECT business_id, domain FROM wanted) JOIN checked USING (domain)",
+}
 
-@query(f"""SELECT domain, CASE WHEN status <> 'new' THEN status WHEN p % 5 = 0 OR p % 11 = 0 OR p % 13 = 0 OR p % 7 = 0 OR p % 17 = 0 THEN 'hosted' WHEN p % 3 = 0 THEN 'registered_no_web'
-    WHEN p % 2 = 0 THEN 'registered_dns_only' WHEN p % 19 = 0 THEN 'dns_error' ELSE 'unregistered_candidate' END AS status
-    FROM domains JOIN (SELECT {host("url")} AS domain, max(page_id) AS p FROM pages GROUP BY 1) USING (domain)""")
+
+@query("SELECT domain, status FROM checked", **CHECKED)
+def validated_domains(spark, d):
+    return _validated(spark, d)["domains"].select("domain", "status")
+
+
+@query("SELECT business_id, lead_score, reason, domains FROM scored", **CHECKED)
 def validate_domains(spark, d):
-    seen = N.observations(spark, d).drop("html").withColumn("is_parked", F.lit(False))
-    out = passes.validate_domains(N.businesses(spark, d), N.business_contacts(spark, d), N.domains(spark, d), N.links(spark, d), seen, N.verifications(spark, d))
-    return out["domains"].select("domain", "status")
+    """Scores after the domains that businesses name are synced and classified."""
+    return _validated(spark, d)["scored"].select("business_id", _int("lead_score"), "reason", _csv("domains", ";"))
+
+
+def _validated(spark, d):
+    return passes.validate_domains(N.businesses(spark, d), N.business_contacts(spark, d), N.domains(spark, d), N.links(spark, d), _observed(spark, d), N.verifications(spark, d), _branded())
+
+
+def _whole_pass(spark, d):
+    """One pass over the driver's tables; role contacts of every third domain are there already."""
+    known = N.contacts(spark, d).filter("domain_id % 3 = 0").select("domain_id", "email", "source")
+    none = spark.createDataFrame([], "contact_id string, platform string")
+    _, results = _search_results(spark, d)
+    return passes.one_pass(
+        N.businesses(spark, d), N.business_contacts(spark, d), N.domains(spark, d), N.links(spark, d), _observed(spark, d), N.verifications(spark, d), known, N.organizations(spark, d),
+        N.business_exports(spark, d), none, at=F.lit("1998-01-01").cast("timestamp_ntz"), platform="1-URGENT", limit=100, results=results, branded=_branded(),
+    )
+
+
+#: Domains after role contacts, and evidence with a row for each business that has search results, of which none holds its name.
+PASSED = CHECKED | {
+    "enriched": """SELECT domain, CASE WHEN status = 'verified_unhosted' THEN CASE WHEN p % 3 <> 0 OR p IS NULL THEN 'mx_missing' WHEN (SELECT min(domain_id) FROM domains x WHERE x.domain = c.domain) % 3 = 0 THEN 'no_contacts' ELSE 'enriched' END ELSE status END AS status
+        FROM checked c LEFT JOIN seen USING (domain)""",
+    "links": CHECKED["links"].replace("JOIN checked", "JOIN enriched"),
+    "old_verifications": ENTITIES["verifications"],
+    "verifications": """SELECT business_id, source, result FROM old_verifications UNION ALL SELECT page_id, 'ddg', 'no_website' FROM pages WHERE page_id IN (SELECT business_id FROM businesses)
+        AND page_id NOT IN (SELECT business_id FROM old_verifications WHERE source = 'ddg')""",
+}
+
+
+@query("SELECT business_id, lead_score, confidence, reason FROM scored", **PASSED)
+def one_pass(spark, d):
+    return _whole_pass(spark, d)["scored"].select("business_id", _int("lead_score"), "confidence", "reason")
+
+
+@query("SELECT business_id FROM scored WHERE website_url IS NULL AND business_id NOT IN (SELECT business_id FROM exports WHERE platform = '1-URGENT') ORDER BY lead_score DESC, created_at, business_id LIMIT 100", **PASSED)
+def one_pass_export(spark, d):
+    return _whole_pass(spark, d)["ledger"].select("business_id")
+
+
+@query("SELECT domain_id, email FROM role_contacts JOIN domains USING (domain_id) JOIN enriched USING (domain) WHERE enriched.status = 'enriched'", **PASSED)
+def one_pass_contacts(spark, d):
+    return _whole_pass(spark, d)["contact_export"].select("domain_id", "email")
 
 
 @query("SELECT event_id FROM events, (SELECT ts AS t, event_id AS e FROM events WHERE event_id = 100) WHERE ts > t OR (ts = t AND event_id > e) ORDER BY ts, event_id LIMIT 100")
@@ -160,15 +224,43 @@ def first_matching_filter(spark, d):
     return rows.filter(~other_shops).select("p_partkey", P.match_category(filters).alias("category"))
 
 
-@query()
+def _scores_of(spark, d):
+    """Scores of some businesses: their ids reach every table below the aggregations."""
+
+    def scores(ids, verifications):
+        of = lambda rows: rows.join(ids, "business_id", "left_semi")
+        tables = [of(t) for t in (N.businesses(spark, d), N.business_contacts(spark, d), N.links(spark, d), verifications)]
+        return S.score_businesses(*tables, _branded()).select("business_id", _int("lead_score"), "confidence")
+
+    return scores
+
+
+@query("SELECT business_id, lead_score, confidence FROM scored WHERE business_id IN (SELECT business_id FROM verifications)")
 def stream_rescore(spark, d):
-    """Scores of the businesses that a stream of events touches, as its batches leave them."""
+    """Scores of the businesses that a stream of evidence touches, as its batches leave them."""
     folder = jobs.run_folder(spark)
     source = f"{folder}/evidence"
     N.verifications(spark, d).write.parquet(source)
-    whole = scored(spark, d).select("business_id", _int("lead_score"), "confidence")
     stream = jobs.new_files(spark, source, N.verifications(spark, d).schema)
-    jobs.rescore_stream(stream, lambda ids: whole.join(ids, "business_id"), f"{folder}/scores", f"{folder}/progress").awaitTermination()
+    scores = _scores_of(spark, d)
+    jobs.rescore_stream(stream, lambda ids: scores(ids, N.verifications(spark, d)), f"{folder}/scores", f"{folder}/progress").awaitTermination()
+    return W.latest(spark.read.parquet(f"{folder}/scores"), ["business_id"], "batch").select("business_id", "lead_score", "confidence")
+
+
+@query("SELECT business_id, lead_score, confidence FROM scored WHERE business_id IN (SELECT business_id FROM verifications)",
+    verifications="SELECT page_id AS business_id, 'ddg' AS source, 'no_website' AS result FROM pages WHERE page_id IN (SELECT business_id FROM businesses)")
+def stream_verify(spark, d):
+    """Search results as a stream: each batch becomes evidence, and what it touches is scored anew."""
+    folder = jobs.run_folder(spark)
+    _, results = _search_results(spark, d)
+    named = N.businesses(spark, d)
+    results.join(named, "business_id", "left_semi").write.parquet(f"{folder}/found")
+    scores, found = _scores_of(spark, d), jobs.new_files(spark, f"{folder}/found", results.schema)
+
+    def verdicts(batch):
+        return Wr.evidence_row("ddg", E.search_verdicts(named.join(batch, "business_id", "left_semi"), batch), F.lit("1998-01-01").cast("timestamp_ntz"))
+
+    jobs.verify_stream(found, verdicts, f"{folder}/evidence", scores, f"{folder}/scores", f"{folder}/progress").awaitTermination()
     return W.latest(spark.read.parquet(f"{folder}/scores"), ["business_id"], "batch").select("business_id", "lead_score", "confidence")
 
 
@@ -203,3 +295,41 @@ def name_to_site(spark, d):
     titled = F.regexp_replace("html", "<title>", F.concat(F.lit("<title>"), F.col("label"), F.lit(" ")))
     live = W.keep_first(pages, ["label"], "page_id").select(F.concat(F.lit("http://"), "label", F.lit(".com/")).alias("url"), F.lit(None).cast("string").alias("final_url"), F.lit(200).alias("status_code"), titled.alias("html"))
     return sites.name_to_site(named, live)
+
+
+@query("SELECT business_id FROM businesses WHERE business_id NOT IN (SELECT business_id FROM verifications WHERE source = 'searxng')")
+def unverified_queue(spark, d):
+    return E.unverified_by(N.businesses(spark, d), N.verifications(spark, d), "searxng").select("business_id")
+
+
+@query("""SELECT business_id, b.name || ' ' || c.name || '|' || b.name || ' website|' || b.name || ' ' || category || CASE WHEN c.country IS NOT NULL THEN ' ' || c.country ELSE '' END AS context, b.name || ' ' || c.name AS place
+    FROM businesses b JOIN cities c USING (city_id)""")
+def context_query_texts(spark, d):
+    c = N.cities(spark, d).select("city_id", F.col("name").alias("city"), "country")
+    none = F.lit(None).cast("string")
+    return N.businesses(spark, d).join(c, "city_id").select("business_id", F.array_join(X.context_queries("name", "city", "category", "country"), "|").alias("context"), X.place_query("name", none, "city").alias("place"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS at, CASE WHEN event_id % 5 <> 0 THEN CAST(event_id AS VARCHAR) END AS key FROM events""")
+def parsed_cursors(spark, d):
+    """Cursors written and read again; every fifth is broken and reads as none."""
+    text = F.when(F.col("event_id") % 5 == 0, F.when(F.col("event_id") % 2 == 0, "no time|1").otherwise("1998-01-01T00:00:00")).otherwise(X.cursor("ts", "event_id"))
+    read = X.parse_cursor(text)
+    return N.table(spark, d, "events").select("event_id", F.date_format(read["at"], "yyyy-MM-dd HH:mm:ss").alias("at"), read["key"].alias("key"))
+
+
+@query("""SELECT b.p_partkey AS business_id, list_contains(string_split(p.p_name, ' '), split_part(b.p_name, ' ', 1)) OR list_contains(string_split(p.p_name, ' '), split_part(b.p_name, ' ', 2)) AS matches
+    FROM part b JOIN part p ON p.p_partkey = b.p_partkey + 1""")
+def title_match(spark, d):
+    """A part's name against the next part's as a page title: both have two words, one of which is half."""
+    parts = N.table(spark, d, "part").select(F.col("p_partkey").alias("business_id"), F.col("p_name").alias("name"))
+    titles = parts.select((F.col("business_id") - 1).alias("business_id"), F.col("name").alias("title"))
+    return parts.join(titles, "business_id").select("business_id", X.title_matches_name("title", F.lit("http://x.example/"), "name").alias("matches"))
+
+
+@query("SELECT domain_id, p_partkey AS area FROM (SELECT p_partkey, p_size - 10 AS south, p_size + 10 AS north FROM part WHERE p_partkey % 100 = 0) JOIN (SELECT domain_id, domain_id % 50 AS lat FROM domains) ON lat BETWEEN south AND north")
+def places_in_areas(spark, d):
+    """Points in latitude bands: bands and points meet by whole degrees, then the box is checked."""
+    areas = N.table(spark, d, "part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("area"), (F.col("p_size") - 10).alias("south"), (F.col("p_size") + 10).alias("north")).withColumns({"west": F.lit(-1), "east": F.lit(1)})
+    points = N.domains(spark, d).select("domain_id", (F.col("domain_id") % 50).cast("double").alias("lat"), F.lit(0.0).alias("lon"))
+    return P.in_areas(points, areas).select("domain_id", "area")

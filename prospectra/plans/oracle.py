@@ -22,6 +22,8 @@ def weight() -> str:
     return f"CAST(CASE {whens} ELSE {V.UNLISTED_WEIGHT} END AS DECIMAL(4,2))"
 
 
+STATUS_SETS = {"verified_unhosted": V.VERIFIED_UNHOSTED, "unregistered": V.UNREGISTERED, "registered": V.REGISTERED, "unknown": V.UNKNOWN_STATUS, "hosted": ["hosted"], "parked": ["parked"]}
+
 ENTITIES = {
     "cities": """SELECT n_nationkey AS city_id, n_name AS name, CASE n_nationkey % 4 WHEN 0 THEN 'AE' WHEN 1 THEN 'CA' WHEN 2 THEN 'US' END AS country, r_name AS region
         FROM nation JOIN region ON n_regionkey = r_regionkey""",
@@ -45,18 +47,24 @@ ENTITIES = {
     "exports": "SELECT o_custkey AS business_id, o_orderpriority AS platform, CAST(min(o_orderdate) AS DATE) AS exported_on FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1, 2",
     "job_runs": """SELECT o_orderkey AS run_id, o_orderpriority AS job_name, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'P' THEN 'running' ELSE 'failed' END AS status,
         CAST(o_orderdate AS DATE) AS started_on, o_totalprice AS processed FROM orders""",
+    "organizations": "SELECT 'org' || domain_id AS org_id, domain_id, 'Org ' || domain AS name FROM domains WHERE domain_id % 3 <> 0",
+    "wanted": """SELECT DISTINCT business_id, d AS domain FROM (SELECT business_id, 'biz' || business_id || '.example.com' AS d FROM businesses WHERE website_url IS NOT NULL
+        UNION ALL SELECT business_id, split_part(value, '@', 2) FROM contacts WHERE contact_type = 'email' AND NOT value LIKE '%@gmail.com')""",
     "role_contacts": """SELECT domain_id, p || '@' || domain AS email, 'role' AS source FROM domains, (VALUES ('info'), ('admin'), ('sales'), ('support'), ('contact')) AS v(p)""",
     "confidence": f"""SELECT business_id, count(DISTINCT source) AS source_count, CAST(sum({weight()}) AS DECIMAL(8,2)) AS weight, string_agg(DISTINCT source, ',' ORDER BY source) AS sources,
         CASE WHEN sum({weight()}) >= 1.5 THEN 'high' WHEN sum({weight()}) >= 0.7 THEN 'medium' ELSE 'low' END AS confidence FROM verifications GROUP BY 1""",
     "contact_sets": f"""SELECT business_id, count(DISTINCT CASE WHEN contact_type = 'email' THEN value END) AS n_emails,
         count(DISTINCT CASE WHEN contact_type = 'email' AND NOT {public("split_part(value, '@', 2)")} THEN value END) AS n_business, count(DISTINCT CASE WHEN contact_type = 'phone' THEN value END) AS n_phones,
+        string_agg(DISTINCT CASE WHEN contact_type = 'email' AND NOT {public("split_part(value, '@', 2)")} THEN value END, ';') AS business_emails,
+        string_agg(DISTINCT CASE WHEN contact_type = 'email' AND {public("split_part(value, '@', 2)")} THEN value END, ';') AS free_emails,
         string_agg(DISTINCT CASE WHEN contact_type = 'email' THEN value END, ';') AS emails, string_agg(DISTINCT CASE WHEN contact_type = 'phone' THEN value END, ';') AS phones
         FROM contacts GROUP BY 1""",
     "domain_sets": f"""SELECT business_id, count(DISTINCT domain) AS n_domains, count(DISTINCT CASE WHEN status IN ('hosted', 'parked', {quoted(V.REGISTERED)}) THEN domain END) AS n_active,
         count(DISTINCT CASE WHEN status IN ({quoted(V.UNKNOWN_STATUS)}) THEN domain END) AS n_unknown, string_agg(DISTINCT domain, ';' ORDER BY domain) AS domains,
-        string_agg(DISTINCT status, ';' ORDER BY status) AS statuses FROM links WHERE NOT {public("domain")} GROUP BY 1""",
+        {", ".join(f"string_agg(DISTINCT CASE WHEN status IN ({quoted(found)}) THEN domain END, ';' ORDER BY CASE WHEN status IN ({quoted(found)}) THEN domain END) AS {name}_domains" for name, found in STATUS_SETS.items())} FROM links WHERE NOT {public("domain")} GROUP BY 1""",
     "features": """SELECT b.*, coalesce(n_emails, 0) AS n_emails, coalesce(n_business, 0) AS n_business, coalesce(n_phones, 0) AS n_phones, coalesce(n_domains, 0) AS n_domains, coalesce(n_active, 0) AS n_active,
-        coalesce(n_unknown, 0) AS n_unknown, coalesce(emails, '') AS emails, coalesce(phones, '') AS phones, coalesce(domains, '') AS domains, coalesce(confidence, 'unverified') AS confidence,
+        coalesce(n_unknown, 0) AS n_unknown, coalesce(emails, '') AS emails, coalesce(phones, '') AS phones, coalesce(domains, '') AS domains, coalesce(business_emails, '') AS business_emails, coalesce(free_emails, '') AS free_emails,
+        """ + ", ".join(f"coalesce({name}_domains, '') AS {name}_domains" for name in STATUS_SETS) + """, coalesce(confidence, 'unverified') AS confidence,
         regexp_matches(replace(lower(name), ' ', ''), '(\\.com|\\.ca|\\.ae|\\.qa|\\.io|\\.co|\\.net|\\.org|\\.biz|\\.info|\\.us|\\.uk|\\.app|\\.dev|\\.shop|\\.store)($|/)') AS domainish
         FROM businesses b LEFT JOIN contact_sets USING (business_id) LEFT JOIN domain_sets USING (business_id) LEFT JOIN confidence USING (business_id)""",
     "scored": """SELECT *, CASE WHEN coalesce(website_url, '') <> '' OR brand IS NOT NULL OR n_active > 0 THEN 0 ELSE
@@ -74,14 +82,15 @@ ENTITIES = {
 def sql(body: str, **more: str) -> str:
     """A query over the entities it names, directly or through others, and the tables."""
     parts = ENTITIES | more
-    used: set[str] = set()
+    ordered: list[str] = []
 
-    def need(text: str) -> None:
-        for name, inner in parts.items():
-            if name not in used and any(w.strip("(),;.") .split(".")[0] == name for w in text.replace("(", " ").split()):
-                used.add(name)
-                need(inner)
+    def need(text: str, within: tuple[str, ...] = ()) -> None:
+        """Names that a text uses, those that they use first."""
+        words = {w.strip("(),;.").split(".")[0] for w in text.replace("(", " ").replace(")", " ").split()}
+        for name in parts:
+            if name in words and name not in ordered and name not in within:
+                need(parts[name], (*within, name))
+                ordered.append(name)
 
     need(body)
-    ordered = [n for n in parts if n in used]
     return ("WITH " + ", ".join(f"{n} AS ({parts[n]})" for n in ordered) + " " if ordered else "") + body

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospectra.operators import domains as D
@@ -10,21 +10,33 @@ from prospectra.operators import evidence as E
 from prospectra.operators import leads as L
 from prospectra.operators import scoring as S
 from prospectra.operators import writers as W
+from prospectra.sources import poi as P
 
+#: Statuses of domains that are checked again.
+UNCHECKED = ["new", "skipped", "rdap_error", "dns_error"]
 
-def validate_domains(businesses: DataFrame, contacts: DataFrame, domains: DataFrame, links: DataFrame, observations: DataFrame, verifications: DataFrame) -> dict[str, DataFrame]:
-    """Sync the domains, classify those that are new or failed, and score with what they have become."""
+
+def with_status(links: DataFrame, domains: DataFrame) -> DataFrame:
+    """Links with the status that their domain has now."""
+    return links.drop("status").join(domains.select("domain", "status"), "domain", "left")
+
+
+def validate_domains(businesses: DataFrame, contacts: DataFrame, domains: DataFrame, links: DataFrame, observations: DataFrame, verifications: DataFrame, branded: Column | None = None) -> dict[str, DataFrame]:
+    """Sync the domains, classify those that are new or failed, those just synced among them, and score with what they have become."""
     new, new_links = D.sync_domains(businesses, contacts, domains, links)
-    seen = D.classify_domains(observations, domains, ["new", "skipped", "rdap_error", "dns_error"]).select("domain", F.col("new_status").alias("status"))
-    after = W.updated(domains, seen, "domain")
-    current = links.drop("status").join(after.select("domain", "status"), "domain", "left")
-    return {"new_domains": new, "new_links": new_links, "domains": after, "scored": S.score_businesses(businesses, contacts, current, verifications)}
+    known = domains.unionByName(new, allowMissingColumns=True)
+    seen = D.classify_domains(observations, known, UNCHECKED).select("domain", F.col("new_status").alias("status"))
+    after = W.updated(known, seen, "domain")
+    ids = after.select("domain", "domain_id")
+    made = new_links.join(ids, "domain").select("business_id", "domain_id", "domain", "source")
+    current = with_status(links.drop("status").unionByName(made, allowMissingColumns=True), after)
+    return {"new_domains": new, "new_links": made, "domains": after, "links": current, "scored": S.score_businesses(businesses, contacts, current, verifications, branded)}
 
 
-def reset_source(businesses: DataFrame, contacts: DataFrame, links: DataFrame, verifications: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+def reset_source(businesses: DataFrame, contacts: DataFrame, links: DataFrame, verifications: DataFrame, source: str, branded: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Evidence without a source's, and the scores that follow."""
     left = E.without_source(verifications, source)
-    return left, S.score_businesses(businesses, contacts, links, left)
+    return left, S.score_businesses(businesses, contacts, links, left, branded)
 
 
 def rescore(businesses: DataFrame, contacts: DataFrame, links: DataFrame, verifications: DataFrame, branded: Column | None = None) -> DataFrame:
@@ -32,14 +44,54 @@ def rescore(businesses: DataFrame, contacts: DataFrame, links: DataFrame, verifi
     return S.score_businesses(E.apply_websites(businesses, verifications) if "website" in verifications.columns else businesses, contacts, links, verifications, branded)
 
 
-def run_once(spark: SparkSession, sf_dir: str, platform: str = "1-URGENT", limit: int = 100) -> dict[str, DataFrame]:
-    """One pass over the driver's tables: sync, classify, role contacts, scores, export."""
-    from prospectra.sources import entities as N
+def add_evidence(verifications: DataFrame, source: str, verdicts: DataFrame, at: Column) -> DataFrame:
+    """Evidence with verdicts of a source for the businesses that it has not yet looked at."""
+    fresh = E.unverified_by(verdicts, verifications, source)
+    return verifications.unionByName(W.evidence_row(source, fresh, at), allowMissingColumns=True)
+
+
+def enrich_from_places(businesses: DataFrame, contacts: DataFrame, places: DataFrame) -> DataFrame:
+    """Contacts with the phones of places that match their business."""
+    phones = E.place_verdicts(businesses, places).filter("phone IS NOT NULL").select("business_id", F.lit("phone").alias("contact_type"), F.col("phone").alias("value"))
+    return contacts.unionByName(W.absent(phones, contacts, ["business_id", "contact_type", "value"]), allowMissingColumns=True)
+
+
+def one_pass(
+    businesses: DataFrame, contacts: DataFrame, domains: DataFrame, links: DataFrame, observations: DataFrame, verifications: DataFrame, role_contacts: DataFrame, organizations: DataFrame,
+    exports: DataFrame, contact_exports: DataFrame, *, at: Column, platform: str, limit: int | None = None, elements: DataFrame | None = None, places: DataFrame | None = None,
+    results: DataFrame | None = None, chains: DataFrame | None = None, branded: Column | None = None,
+) -> dict[str, DataFrame]:
+    """Import, sync, classify, role contacts, phones of places, contact scores and export, scores, evidence, scores anew, lead export.
+
+    Each step works on what the one before it has made. ``elements``, ``places`` and ``results`` are
+    what fetchers have left; steps without their input do nothing. Chains are added to ``branded``.
+    """
+    if elements is not None:
+        imported, found = P.import_elements(elements)
+        businesses = businesses.unionByName(W.absent(imported, businesses.filter("source_id IS NOT NULL"), ["source", "source_id"]), allowMissingColumns=True)
+        contacts = contacts.unionByName(W.absent(found, contacts, ["business_id", "contact_type", "value"]), allowMissingColumns=True)
+    if chains is not None:
+        from prospectra.operators.joins import in_chain
 
-    businesses, contacts, domains, links = N.businesses(spark, sf_dir), N.business_contacts(spark, sf_dir), N.domains(spark, sf_dir), N.links(spark, sf_dir)
-    observed = N.observations(spark, sf_dir).drop("html").withColumn("is_parked", F.lit(False))
-    out = validate_domains(businesses, contacts, domains, links, observed, N.verifications(spark, sf_dir))
-    statuses, made = D.role_contacts(domains, observed, spark.createDataFrame([], "domain_id bigint, email string"))
-    scored = rescore(businesses, contacts, links, N.verifications(spark, sf_dir), F.col("brand").isNotNull())
-    leads, ledger = L.lead_export(L.eligible_leads(scored, contacts, links), N.business_exports(spark, sf_dir), platform, F.current_date(), limit)
-    return out | {"businesses": businesses, "role_contacts": made, "role_statuses": statuses, "scored": scored, "leads": leads, "ledger": ledger}
+        businesses, branded = in_chain(businesses, chains), F.coalesce(branded if branded is not None else F.lit(False), F.lit(False)) | F.col("in_chain")
+    checked = validate_domains(businesses, contacts, domains, links, observations, verifications, branded)
+    statuses, made = D.role_contacts(checked["domains"], observations, role_contacts)
+    domains = W.updated(checked["domains"], statuses.select("domain", "status"), "domain")
+    links = with_status(checked["links"], domains)
+    organizations = D.organizations_for(domains, organizations)
+    if places is not None:
+        contacts = enrich_from_places(businesses, contacts, places)
+    people = role_contacts.unionByName(made.select("domain_id", "email", "source"), allowMissingColumns=True)
+    people = S.score_contacts(people, domains, S.contact_features(links, businesses, contacts)).join(organizations.select("domain_id", "org_id"), "domain_id")
+    people = people.withColumn("contact_id", F.sha2(F.concat_ws("|", "org_id", "email"), 256))
+    contact_rows = L.contact_export(people.drop("domain", "status"), domains, contact_exports, platform)
+    if results is not None:
+        verifications = add_evidence(verifications, "ddg", E.search_verdicts(businesses, results).filter("result_count > 0"), at)
+    if places is not None:
+        verifications = add_evidence(verifications, "google_places", E.place_verdicts(businesses, places), at)
+    scored = rescore(businesses, contacts, links, verifications, branded)
+    leads, ledger = L.lead_export(L.eligible_leads(scored, contacts, links), exports, platform, F.to_date(at), limit)
+    return checked | {
+        "businesses": businesses, "contacts": contacts, "domains": domains, "links": links, "organizations": organizations, "role_contacts": people, "contact_export": contact_rows,
+        "verifications": verifications, "scored": scored, "leads": leads, "ledger": ledger,
+    }

@@ -153,9 +153,19 @@ def city_left_join(spark, d):
     return N.businesses(spark, d).join(c, "city_id", "left").select("business_id", "name", "city", "country", "region")
 
 
-@query("SELECT email, domain, status FROM role_contacts JOIN domains USING (domain_id)")
+def people(spark, d) -> DataFrame:
+    """Role contacts under their organization, which stands for its domain."""
+    return N.contacts(spark, d).join(N.organizations(spark, d).select("domain_id", "org_id"), "domain_id").select("org_id", "email", "source")
+
+
+@query("SELECT email, o.name AS organization, domain, status FROM role_contacts JOIN organizations o USING (domain_id) JOIN domains USING (domain_id)")
 def contact_org_domain_join(spark, d):
-    return N.contacts(spark, d).join(N.domains(spark, d), "domain_id").select("email", "domain", "status")
+    return people(spark, d).join(N.organizations(spark, d), "org_id").join(N.domains(spark, d), "domain_id").select("email", F.col("name").alias("organization"), "domain", "status")
+
+
+@query("SELECT domain, coalesce(org_id, sha256('organization|' || domain)) AS org_id, org_id IS NULL AS is_new FROM domains LEFT JOIN organizations USING (domain_id)")
+def organization_lookup(spark, d):
+    return D.organizations_for(N.domains(spark, d), N.organizations(spark, d)).select("domain", "org_id", "is_new")
 
 
 @query("SELECT business_id FROM businesses b WHERE EXISTS (SELECT 1 FROM contacts c WHERE c.business_id = b.business_id AND contact_type = 'email')")
@@ -193,14 +203,24 @@ def exported_flag(spark, d):
     return J.exported_flag(N.businesses(spark, d), N.business_exports(spark, d), "2-HIGH").select("business_id", "exported")
 
 
-@query("""SELECT c_custkey AS business_id FROM customer LEFT JOIN (SELECT user_id, max(ts) AS scored_at FROM events WHERE event_type = 'purchase' GROUP BY 1) s ON s.user_id = c_custkey
-    LEFT JOIN (SELECT user_id, max(ts) AS created_at FROM events WHERE event_type = 'signup' GROUP BY 1) c ON c.user_id = c_custkey WHERE scored_at IS NULL OR created_at > scored_at""")
+@query("""SELECT b.business_id, coalesce(c.at > s.at, false) AS contact, coalesce(l.at > s.at, false) AS link, coalesce(u.at > s.at, false) AS domain, coalesce(v.at > s.at, false) AS evidence
+    FROM businesses b LEFT JOIN last_events s ON s.business_id = b.business_id AND s.kind = 'purchase' LEFT JOIN last_events c ON c.business_id = b.business_id AND c.kind = 'signup' LEFT JOIN last_events l ON l.business_id = b.business_id AND l.kind = 'view'
+    LEFT JOIN (SELECT x.business_id, max(y.at) AS at FROM links x JOIN last_events y ON y.business_id = x.domain_id AND y.kind = 'error' WHERE x.business_id IN (SELECT business_id FROM last_events WHERE kind = 'view') GROUP BY 1) u ON u.business_id = b.business_id
+    LEFT JOIN last_events v ON v.business_id = b.business_id AND v.kind = 'click'
+    WHERE s.at IS NULL OR c.at > s.at OR l.at > s.at OR u.at > s.at OR v.at > s.at""",
+    last_events="SELECT user_id AS business_id, event_type AS kind, max(ts) AS at FROM events GROUP BY 1, 2")
 def stale_scores(spark, d):
+    """Which of contact, link, domain and evidence is newer than the score; each takes its time from events of a type."""
     e = N.table(spark, d, "events")
-    last = lambda kind, name: e.filter(F.col("event_type") == kind).groupBy(F.col("user_id").alias("business_id")).agg(F.max("ts").alias(name))
+    last = lambda kind, name, key="business_id": e.filter(F.col("event_type") == kind).groupBy(F.col("user_id").alias(key)).agg(F.max("ts").alias(name))
     rows = N.businesses(spark, d).select("business_id").join(last("purchase", "scored_at"), "business_id", "left")
-    none = spark.createDataFrame([], "business_id bigint, domain_id bigint, created_at timestamp_ntz")
-    return S.stale(rows, last("signup", "created_at"), none, none.select("domain_id", F.col("created_at").alias("updated_at"))).select("business_id")
+    contacts, evidence, domains = last("signup", "created_at"), last("click", "checked_at"), last("error", "updated_at", "domain_id")
+    links = last("view", "created_at").join(N.links(spark, d).select("business_id", "domain_id"), "business_id", "left")
+    out = S.stale(rows, contacts, links, domains, evidence)
+    newer = {"contact": contacts.toDF("business_id", "at"), "link": links.select("business_id", F.col("created_at").alias("at")), "domain": links.join(domains, "domain_id").select("business_id", F.col("updated_at").alias("at")), "evidence": evidence.toDF("business_id", "at")}
+    for name, at in newer.items():
+        out = out.join(at.groupBy("business_id").agg(F.max("at").alias("_at")), "business_id", "left").withColumn(name, F.coalesce(F.col("_at") > F.col("scored_at"), F.lit(False))).drop("_at")
+    return out.select("business_id", *newer)
 
 
 # --- features, evidence, scores
@@ -260,12 +280,49 @@ def lead_page(spark, d):
     return W.page(rows, L.best_first(), 50, 50).select("business_id", "name", _int("lead_score"), "confidence", "reason")
 
 
-@query("""SELECT CAST(business_id AS VARCHAR) AS business_id, name, category, CAST(CAST(lead_score AS DECIMAL(6,2)) AS VARCHAR) AS lead_score, coalesce(reason, '') AS reason, confidence, emails, phones, domains
-    FROM scored WHERE website_url IS NULL AND lead_score >= 40 AND business_id NOT IN (SELECT business_id FROM exports WHERE platform = '5-LOW') ORDER BY scored.lead_score DESC, created_at, scored.business_id LIMIT 100""")
-def lead_export(spark, d):
+def exported_leads(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The best hundred leads for a platform with their cities, and their rows of the ledger."""
     rows = L.eligible_leads(scored(spark, d), N.business_contacts(spark, d), N.links(spark, d), min_score=40)
-    out, _ = L.lead_export(rows, N.business_exports(spark, d), "5-LOW", F.lit("1998-01-01").cast("date"), 100)
-    return L.lead_sheet(out).select("business_id", "name", "category", "lead_score", "reason", "confidence", "emails", "phones", "domains")
+    out, ledger = L.lead_export(rows, N.business_exports(spark, d), "5-LOW", F.lit("1998-01-01").cast("date"), 100)
+    cities = N.cities(spark, d).select("city_id", F.col("name").alias("city"), "country")
+    return out.join(cities, "city_id", "left").withColumns({"address": F.lit(None).cast("string"), "source": F.lit("customer"), "source_id": F.col("business_id").cast("string")}), ledger
+
+
+BEST = """SELECT s.*, coalesce(c.name, '') AS city, coalesce(c.country, '') AS country FROM scored s LEFT JOIN cities c USING (city_id) WHERE website_url IS NULL AND lead_score >= 40
+    AND business_id NOT IN (SELECT business_id FROM exports WHERE platform = '5-LOW') ORDER BY lead_score DESC, created_at, business_id LIMIT 100"""
+
+
+@query("""SELECT name AS business_name, category, '' AS address, city, country, emails, business_emails, free_emails, phones, domains, verified_unhosted_domains, unregistered_domains, registered_domains, unknown_domains,
+    hosted_domains, parked_domains, CAST(CAST(lead_score AS DECIMAL(6,2)) AS VARCHAR) AS lead_score, 'customer' AS source, CAST(business_id AS VARCHAR) AS source_id FROM best""", best=BEST)
+def lead_export(spark, d):
+    return L.lead_sheet(exported_leads(spark, d)[0])
+
+
+@query("SELECT business_id, '5-LOW' AS platform, '1998-01-01' AS exported_on, 'queued' AS status FROM best", best=BEST)
+def lead_ledger(spark, d):
+    return exported_leads(spark, d)[1].withColumn("exported_on", F.col("exported_on").cast("string"))
+
+
+@query("""SELECT name AS "Name", category AS "Category", '' AS "Address", city AS "City", country AS "Country", CAST(lead_score AS INTEGER) AS "Lead Score", emails AS "Emails", business_emails AS "Business Emails", phones AS "Phones",
+    replace(domains, ';', ', ') AS "Domains", hosted_domains AS "Hosted Domains", registered_domains AS "Registered Domains" FROM best""", best=BEST)
+def refreshed_sheet(spark, d):
+    return L.refreshed_sheet(exported_leads(spark, d)[0]).withColumn("Lead Score", F.col("Lead Score").cast("int"))
+
+
+@query("SELECT business_id, lead_score, total FROM (SELECT *, count(*) OVER () AS total FROM scored JOIN (SELECT city_id, name AS city FROM cities) USING (city_id) WHERE website_url IS NULL AND city ILIKE '%ion_1%' AND confidence <> 'unverified') ORDER BY lead_score DESC, created_at, business_id LIMIT 20 OFFSET 2")
+def leads_of_city(spark, d):
+    rows = L.eligible_leads(scored(spark, d), N.business_contacts(spark, d), N.links(spark, d), city="ion_1", cities=N.cities(spark, d), min_confidence="low")
+    return L.page_with_total(rows, 20, 2).select("business_id", _int("lead_score"), "total")
+
+
+@query("SELECT business_id, CASE WHEN coalesce(website_url, '') = '' AND EXISTS (SELECT 1 FROM chains WHERE lower(trim(name)) = chain OR (length(chain) >= 4 AND contains(lower(trim(name)), chain))) THEN 0 ELSE lead_score END AS lead_score FROM scored",
+    chains="SELECT DISTINCT lower(CASE WHEN business_id % 170 = 0 THEN name[1:4] ELSE name END) AS chain FROM businesses WHERE business_id % 85 = 0")
+def chain_scores(spark, d):
+    """Scores where names that are, or hold, a chain's count as branded."""
+    b = N.businesses(spark, d)
+    chains = J.chain_names(b.filter("business_id % 85 = 0").select(F.when(F.col("business_id") % 170 == 0, F.substring("name", 1, 4)).otherwise(F.col("name")).alias("name")))
+    branded = F.col("brand").isNotNull() | F.col("in_chain")
+    return S.score_businesses(J.in_chain(b, chains), N.business_contacts(spark, d), N.links(spark, d), N.verifications(spark, d), branded).select("business_id", _int("lead_score"))
 
 
 @query("""SELECT business_id, fill_rank, recycled FROM (SELECT s.business_id, CAST(row_number() OVER (ORDER BY e.business_id IS NOT NULL, lead_score DESC, created_at, s.business_id) AS INTEGER) AS fill_rank,
@@ -277,6 +334,13 @@ def daily_target_fill(spark, d):
     return L.daily_fill(rows, N.business_exports(spark, d), "1-URGENT", 600).select("business_id", "fill_rank", "recycled")
 
 
+@query("SELECT domain, 'Org ' || domain AS organization, email, '' AS first_name, '' AS last_name, '' AS title, source, '' AS lead_score FROM role_contacts JOIN organizations USING (domain_id) JOIN domains USING (domain_id)")
+def contact_sheet(spark, d):
+    none = F.lit(None).cast("string")
+    rows = people(spark, d).join(N.organizations(spark, d), "org_id").join(N.domains(spark, d), "domain_id").withColumn("organization", F.col("name"))
+    return L.contact_sheet(rows.withColumns({c: none for c in ("first_name", "last_name", "title", "lead_score")}))
+
+
 @query("SELECT domain_id * 5 + k AS contact_id, email FROM (SELECT *, row_number() OVER (PARTITION BY domain_id ORDER BY email) - 1 AS k FROM role_contacts JOIN domains USING (domain_id) WHERE domain_id % 2 = 0) WHERE (domain_id * 5 + k) % 3 <> 0")
 def contact_export(spark, d):
     from pyspark.sql import Window
@@ -369,7 +433,7 @@ def recent_activity(spark, d):
 
 @query("SELECT DISTINCT category FROM businesses")
 def distinct_categories(spark, d):
-    return N.businesses(spark, d).filter("category <> ''").select("category").distinct().orderBy("category")
+    return M.distinct_names(N.businesses(spark, d), "category")
 
 
 @query("""SELECT stage, name, n, CASE WHEN lag(n) OVER (ORDER BY stage) > 0 AND n <= lag(n) OVER (ORDER BY stage) THEN round(100 * n / lag(n) OVER (ORDER BY stage), 2) END AS conversion FROM (
@@ -392,10 +456,49 @@ def daily_target(spark, d):
 
 
 @query("""SELECT 'domains' AS section, status AS key, count(*) AS value FROM domains GROUP BY 2 UNION ALL SELECT 'exports', platform, count(*) FROM exports GROUP BY 2
-    UNION ALL SELECT 'coverage', source, count(DISTINCT business_id) FROM verifications GROUP BY 2 UNION ALL SELECT 'coverage', 'any', count(DISTINCT business_id) FROM verifications""")
+    UNION ALL SELECT 'coverage', source, count(DISTINCT business_id) FROM verifications GROUP BY 2 UNION ALL SELECT 'coverage', 'any', count(DISTINCT business_id) FROM verifications
+    UNION ALL SELECT 'conclusive', source, count(*) FILTER (result IN ('no_website', 'no_match', 'has_website')) FROM verifications GROUP BY 2
+    UNION ALL SELECT 'inconclusive', source, count(*) FILTER (result NOT IN ('no_website', 'no_match', 'has_website')) FROM verifications GROUP BY 2
+    UNION ALL SELECT 'confidence', c, count(business_id) FROM (VALUES ('high'), ('medium'), ('low'), ('unverified')) AS v(c) LEFT JOIN (SELECT * FROM scored WHERE website_url IS NULL) ON confidence = c GROUP BY 2
+    UNION ALL SELECT 'businesses', k, CASE k WHEN 'total' THEN (SELECT count(*) FROM scored) WHEN 'scored' THEN (SELECT count(*) FROM scored) WHEN 'unscored' THEN 0 ELSE (SELECT count(*) FROM scored WHERE website_url IS NULL) END
+    FROM (VALUES ('total'), ('no_website'), ('scored'), ('scored_no_website'), ('unscored')) AS w(k)""")
 def metrics_report(spark, d):
     v = N.verifications(spark, d)
-    return M.metrics_report(N.businesses(spark, d), v, scored(spark, d), N.domains(spark, d), N.business_exports(spark, d)).filter(F.col("section").isin("domains", "exports", "coverage"))
+    return M.metrics_report(N.businesses(spark, d), v, scored(spark, d), N.domains(spark, d), N.business_exports(spark, d))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (domain_id % 2 = 0) AS scored, count(*) FILTER (domain_id % 2 <> 0) AS unscored FROM role_contacts")
+def contact_totals(spark, d):
+    return M.contact_totals(N.contacts(spark, d).withColumn("lead_score", F.when(F.col("domain_id") % 2 == 0, 10)))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (platform = '1-URGENT') AS queued FROM exports")
+def export_totals(spark, d):
+    return M.export_totals(N.business_exports(spark, d).withColumn("status", F.when(F.col("platform") == "1-URGENT", "queued").otherwise("sent")))
+
+
+@query("SELECT CAST(sum(run_id % 7) AS BIGINT) AS websites_discovered, CAST(sum(run_id % 3) AS BIGINT) AS verified FROM job_runs")
+def run_summary(spark, d):
+    return M.run_summary(N.job_runs(spark, d).select((F.col("run_id") % 7).alias("websites_found"), (F.col("run_id") % 3).alias("verified")))
+
+
+@query("SELECT DISTINCT name AS city FROM cities WHERE name <> ''")
+def distinct_cities(spark, d):
+    return M.distinct_names(N.cities(spark, d), "name").select(F.col("name").alias("city"))
+
+
+@query("""SELECT run_id, job_name, status, CAST(started_on AS VARCHAR) AS started_at, CASE WHEN status <> 'running' THEN CAST(started_on + 1 AS VARCHAR) END AS finished_at,
+    CASE WHEN status <> 'running' THEN run_id % 100 ELSE 0 END AS processed, CASE WHEN status = 'failed' THEN 4000 END AS error_length FROM job_runs""")
+def job_run_log(spark, d):
+    """Runs from a log of their starts and ends; failed ones end with a long error."""
+    from prospectra.operators.writers import job_runs
+
+    runs = N.job_runs(spark, d)
+    none = F.lit(None).cast("string")
+    starts = runs.select("run_id", "job_name", F.lit("running").alias("status"), F.col("started_on").alias("at"), F.lit(None).cast("long").alias("processed"), none.alias("error"))
+    ends = runs.filter("status <> 'running'").select("run_id", "job_name", "status", F.date_add("started_on", 1).alias("at"), (F.col("run_id") % 100).alias("processed"), F.when(F.col("status") == "failed", F.repeat(F.lit("error "), 1000)).alias("error"))
+    out = job_runs(starts.unionByName(ends))
+    return out.select("run_id", "job_name", "status", F.col("started_at").cast("string").alias("started_at"), F.col("finished_at").cast("string").alias("finished_at"), "processed", F.length("error").alias("error_length"))
 
 
 @query("SELECT job_name, run_id, CAST(started_on AS VARCHAR) AS started_on FROM job_runs QUALIFY row_number() OVER (PARTITION BY job_name, status ORDER BY job_runs.started_on DESC, run_id DESC) = 1")
@@ -470,13 +573,13 @@ def page_ownership(spark, d):
     return sites.judge_pages(own.unionByName(other.select("page_id", "name", "url", F.col("url").alias("final_url"), F.lit(200).alias("status_code"), "html", F.lit(False).alias("positive")))).select("page_id", "name", "positive", "is_owner", "rejected_by")
 
 
-@query()
+@query("SELECT 'node/' || p_partkey AS source_id, p_name AS name, CASE p_size % 5 WHEN 0 THEN 'trades' WHEN 1 THEN 'retail' WHEN 2 THEN 'professional_services' WHEN 3 THEN 'hospitality' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'food' ELSE 'finance' END END AS category, 2 AS contacts FROM part")
 def poi_import(spark, d):
     """Parts as elements, to businesses with their contacts' number."""
     tagged = _part_tags(spark, d).select(F.lit("node").alias("type"), F.col("p_partkey").alias("id"), F.lit(25.0).alias("lat"), F.lit(55.0).alias("lon"), F.lit(None).cast("struct<lat: double, lon: double>").alias("center"),
         F.map_concat("tags", F.create_map(F.lit("phone"), F.concat(F.lit("+1 "), F.col("p_partkey").cast("string"), F.lit(" / +2 "), F.col("p_partkey").cast("string")))).alias("tags"))
     rows, contacts = P.import_elements(tagged)
-    return rows.join(contacts.groupBy("business_id").agg(F.count(F.lit(1)).alias("contacts")), "business_id", "left").select("source_id", "name", "category", "contacts")
+    return rows.join(contacts.groupBy("business_id").agg(F.count(F.lit(1)).alias("contacts")), "business_id", "left").select("source_id", "name", "category", _int("contacts"))
 
 
 from . import more_queries  # noqa: E402, F401  registers itself

@@ -85,6 +85,11 @@ def job_runs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("job_name"), status.alias("status"), F.to_date("o_orderdate").alias("started_on"), F.col("o_totalprice").alias("processed"))
 
 
+def organizations(spark: SparkSession, d: str) -> DataFrame:
+    """Two thirds of the domains have an organization."""
+    return domains(spark, d).filter("domain_id % 3 <> 0").select(F.concat(F.lit("org"), F.col("domain_id").cast("string")).alias("org_id"), "domain_id", F.concat(F.lit("Org "), "domain").alias("name"))
+
+
 def observations(spark: SparkSession, d: str) -> DataFrame:
     """One observation for each page of a domain; which records it saw goes by the page's number."""
     i = F.col("page_id")

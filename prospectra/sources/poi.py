@@ -5,23 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prospectra.functions.fixed_values import AMENITIES, BIDI_MARKS, NOT_A_VALUE
 from prospectra.functions.text import blank_to_null, strip
+from prospectra.operators.windows import keep_first
 
 ELEMENT = "struct<type: string, id: bigint, lat: double, lon: double, center: struct<lat: double, lon: double>, tags: map<string, string>>"
-BIDI_MARKS = "⁦⁧⁨⁩‎‏"
-NOT_A_VALUE = ["", "-", "n/a", "na", "none", "null", "unknown", "0"]
-
-#: Values of ``amenity`` by class.
-AMENITIES = {
-    "food": ["restaurant", "cafe", "fast_food", "food_court", "bar", "pub"],
-    "health": ["clinic", "hospital", "doctors", "dentist", "pharmacy"],
-    "education": ["school", "college", "university", "kindergarten"],
-    "finance": ["bank", "bureau_de_change", "atm"],
-    "religious": ["place_of_worship"],
-    "auto": ["fuel", "car_wash", "car_rental", "car_repair"],
-}
-
-
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
     """One row for each of a file's ``elements``."""
     return spark.read.schema(f"elements array<{ELEMENT}>").json(path, multiLine=True).select(F.explode("elements").alias("e")).select("e.*")
@@ -69,6 +57,17 @@ def in_box(south: Column | float, west: Column | float, north: Column | float, e
     return F.col("lat").between(south, north) & F.col("lon").between(west, east)
 
 
+def in_areas(points: DataFrame, areas: DataFrame, step: float = 1.0) -> DataFrame:
+    """Points with each area (``south``, ``west``, ``north``, ``east``) that holds them.
+
+    Both meet on cells of ``step`` degrees in an equi join; an area should span few cells.
+    """
+    cell = lambda c: F.floor(F.col(c) / step)
+    rows = areas.withColumn("_row", F.explode(F.sequence(cell("south"), cell("north")))).withColumn("_column", F.explode(F.sequence(cell("west"), cell("east"))))
+    met = points.withColumns({"_row": cell("lat"), "_column": cell("lon")}).join(rows, ["_row", "_column"])
+    return met.filter(in_box(F.col("south"), F.col("west"), F.col("north"), F.col("east"))).drop("_row", "_column")
+
+
 def tiles(south: float, west: float, north: float, east: float, n: int, spark: SparkSession) -> DataFrame:
     """n x n equal tiles of a box."""
     if south >= north or west >= east or n < 1:
@@ -162,13 +161,14 @@ def contacts(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def import_elements(elements: DataFrame, filters: list[tuple[str, dict[str, str | None]]] | None = None, source: str = "osm") -> tuple[DataFrame, DataFrame]:
-    """(businesses, contacts) of the named elements. Of elements with one key the first by content stays."""
+    """(businesses, contacts) of the named elements. Of elements with one key the first by content (as JSON) stays."""
     named = with_location(elements.filter(tag("name").isNotNull()))
     category = F.coalesce(match_category(filters), classify()) if filters else classify()
     rows = named.select(
         F.sha2(F.concat_ws("|", F.lit(source), "source_id"), 256).alias("business_id"), F.lit(source).alias("source"), "source_id", tag("name").alias("name"),
         category.alias("category"), website().alias("website_url"), address().alias("address"), "lat", "lon", "tags",
-    ).dropDuplicates(["source", "source_id"])
+    )
+    rows = keep_first(rows, ["source", "source_id"], F.to_json(F.struct(*rows.columns)))
     return rows, contacts(rows, "business_id")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -37,12 +38,26 @@ def rescore_stream(evidence: DataFrame, rescore: Callable[[DataFrame], DataFrame
     return evidence.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def event_windows(events: DataFrame, lateness: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Events of each type in windows of event time; later ones than the watermark allows are left out."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
+def verify_stream(found: DataFrame, verify: Callable[[DataFrame], DataFrame], evidence: str, rescore: Callable[[DataFrame, DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
+    """Turn what was found into evidence, then score anew the businesses that it touches.
+
+    ``verify`` makes rows of evidence from a batch; those whose business and source have none yet are
+    appended to ``evidence``. ``rescore`` gets the ids of the batch and all evidence. A batch that
+    runs again appends nothing twice and replaces its own scores.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = verify(batch)
+        insert_absent(rows, evidence, ["business_id", "source"])
+        known = batch.sparkSession.read.schema(rows.schema).parquet(evidence)
+        rescore(batch.select("business_id").distinct(), known).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return found.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share, for checkpoints and targets of one run."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/prospectra"
-    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(at or '/tmp/checkpoints/prospectra').rstrip('/')}/{uuid.uuid4().hex}"

@@ -54,28 +54,83 @@ def test_entry(spark):
 
 
 def leads_fixture(spark):
-    day = dt.date(2024, 1, 1)
-    scored = spark.createDataFrame([(1, "Top No Contact", 100, None, day, "high"), (2, "Top Hosted", 95, None, day, "high"), (3, "Eligible Business", 90, None, day, "high")], "business_id long, name string, lead_score int, website_url string, created_at date, confidence string")
-    contacts = spark.createDataFrame([(2, "phone", "1"), (3, "phone", "2")], CONTACT)
-    links = spark.createDataFrame([(2, 7, "top-hosted.example", "hosted")], LINK)
-    return scored, contacts, links
+    """Seven bakeries: no contact, parked, two ties, an unscored one, one that is too low, one with a website."""
+    old, young = dt.date(2023, 5, 1), dt.date(2023, 6, 1)
+    values = [
+        (11, "Rye Corner", 72, None, old, "high", 1), (12, "Oven Street", 70, None, old, "low", 1), (13, "Two Loaves", 65, None, young, "medium", 2), (14, "Crumb Lane", 65, None, old, "low", 1),
+        (15, "Seeds", None, None, old, "high", 1), (16, "Day Old", 20, "", old, "unverified", 2), (17, "Baguette Online", 80, "http://b.example", old, "high", 2),
+    ]
+    scored = spark.createDataFrame(values, "business_id long, name string, lead_score int, website_url string, created_at date, confidence string, city_id int")
+    contacts = spark.createDataFrame([(i, "phone", str(i)) for i in (12, 13, 14, 15, 16, 17)], CONTACT)
+    links = spark.createDataFrame([(12, 7, "oven.example", "parked"), (13, 8, "loaves.example", "enriched"), (14, 9, "gmail.com", "hosted")], LINK)
+    cities = spark.createDataFrame([(1, "North Haven"), (2, "Southport")], "city_id int, name string")
+    return scored, contacts, links, cities
+
+
+def names(df):
+    return [r["name"] for r in df.orderBy(*L.best_first()).collect()]
 
 
 def test_eligibility_comes_before_the_limit(spark):
-    scored, contacts, links = leads_fixture(spark)
-    found = L.eligible_leads(scored, contacts, links, min_score=80, require_contact=True, exclude_active=True)
-    assert found.count() == 1
-    assert found.orderBy(*L.best_first()).limit(1).first()["name"] == "Eligible Business"
+    scored, contacts, links, cities = leads_fixture(spark)
+    leads = lambda **how: L.eligible_leads(scored, contacts, links, **how)
+    assert names(leads()) == ["Rye Corner", "Oven Street", "Crumb Lane", "Two Loaves", "Day Old"]
+    assert names(leads(min_score=60, require_contact=True, exclude_active=True).orderBy(*L.best_first()).limit(1)) == ["Crumb Lane"]
+    assert names(leads(require_qualified=True)) == ["Two Loaves"]
+    assert names(leads(min_confidence="medium")) == ["Rye Corner", "Two Loaves"] and names(leads(verified_only=True, min_score=66)) == ["Rye Corner", "Oven Street"]
+    assert names(leads(city="SOUTH", cities=cities)) == ["Two Loaves", "Day Old"]
+    assert names(L.eligible_leads(scored.withColumn("city", F.lit("Here")), contacts, links, city="her", min_score=71)) == ["Rye Corner"]
+    page = L.page_with_total(leads(), 2, 1).orderBy(*L.best_first()).collect()
+    assert [(r["name"], r["total"]) for r in page] == [("Oven Street", 5), ("Crumb Lane", 5)]
 
 
 def test_export_fills_its_limit(spark, tmp_path):
-    scored, contacts, links = leads_fixture(spark)
-    none = spark.createDataFrame([], LEDGER)
-    found, ledger = L.lead_export(L.eligible_leads(scored, contacts, links, require_contact=True, exclude_active=True), none, "csv", F.lit(dt.date(2024, 1, 2)), 1)
-    assert [r["name"] for r in found.collect()] == ["Eligible Business"]
-    assert rows(ledger) == [(3, "csv", dt.date(2024, 1, 2), "queued")]
-    again, _ = L.lead_export(L.eligible_leads(scored, contacts, links, require_contact=True, exclude_active=True), ledger.select("business_id", "platform", "exported_on"), "csv", F.lit(dt.date(2024, 1, 3)), 1)
-    assert again.count() == 0
+    scored, contacts, links, _ = leads_fixture(spark)
+    ledger, day = spark.createDataFrame([], LEDGER), dt.date(2023, 7, 1)
+    for wanted in (["Crumb Lane", "Two Loaves"], ["Day Old"], []):
+        found, new = L.lead_export(L.eligible_leads(scored, contacts, links, require_contact=True, exclude_active=True), ledger, "mail", F.lit(day), 2)
+        assert names(found) == wanted
+        assert sorted(r["status"] for r in new.collect()) == ["queued"] * len(wanted)
+        ledger = spark.createDataFrame(ledger.collect() + new.select("business_id", "platform", "exported_on").collect(), LEDGER)
+    again, _ = L.lead_export(L.eligible_leads(scored, contacts, links), ledger, "letters", F.lit(day), 10, fresh_only=True)
+    assert names(again) == ["Rye Corner", "Oven Street"]
+
+
+def test_new_domains_count_in_the_same_pass(spark):
+    """A business without a website whose address is on a new domain that turns out to be hosted is no lead."""
+    b = spark.createDataFrame([(1, "Acme", "trades", None, None, dt.date(2024, 1, 1)), (2, "Beta", "trades", None, None, dt.date(2024, 1, 1))], BUSINESS)
+    c = spark.createDataFrame([(1, "email", "a@acme.com"), (2, "email", "b@beta.com"), (2, "phone", "1")], CONTACT)
+    seen = spark.createDataFrame([("acme.com", 1, True), ("beta.com", 1, False)], "domain string, observation long, has_a boolean")
+    seen = seen.withColumns({x: F.lit(False) for x in ("has_aaaa", "has_cname", "has_mx", "has_ns", "has_http", "has_tcp", "dns_error", "is_parked")}).withColumn("rdap_status", F.lit(404))
+    v = spark.createDataFrame([(i, "searxng", "no_website", None, None) for i in (1, 2)], EVIDENCE)
+    domains = spark.createDataFrame([], "domain_id long, domain string, status string")
+    got = passes.validate_domains(b, c, domains, spark.createDataFrame([], LINK), seen, v)
+    assert rows(got["scored"].select("business_id", "lead_score", "reason")) == [(1, 0, "active_domain"), (2, 80, None)]
+    assert rows(got["domains"].select("domain", "status")) == [("acme.com", "hosted"), ("beta.com", "unregistered_candidate")]
+    assert got["new_links"].count() == 2 and got["domains"].filter("domain_id < 0").count() == 2
+
+
+def test_places_give_phones(spark):
+    b = spark.createDataFrame([(1, "Red Lion"), (2, "Blue Boar"), (3, "Green Man")], "business_id long, name string")
+    place = "business_id long, rank int, place struct<name: string, website: string, national_phone: string, international_phone: string, rating: double, review_count: int>"
+    places = spark.createDataFrame([(1, 1, ("The Red Lion", None, "", "+44 1", 4.5, 9)), (2, 1, ("Elsewhere", None, "2", None, None, None)), (3, 1, ("Green Man Pub", "http://g", "3", None, None, None))], place)
+    known = spark.createDataFrame([(3, "phone", "3")], CONTACT)
+    assert rows(passes.enrich_from_places(b, known, places)) == [(1, "phone", "+44 1"), (3, "phone", "3")]
+
+
+def test_repeated_rows_and_first_elements(spark):
+    urls = spark.createDataFrame([("http://a.b.com/", {"k": "v"}), ("http://a.b.com/", {"k": "v"}), ("http://xb.com/", {"k": "v"})], "url string, tags map<string,string>")
+    assert J.under_domains(urls, "url", spark.createDataFrame([("b.com",)], "domain string")).count() == 2
+    e = spark.createDataFrame([("node", 1, {"name": n, "phone": f"+{i}"}) for i, n in enumerate("CAB")] * 2, "type string, id long, tags map<string,string>")
+    e = e.withColumns({"lat": F.lit(1.0), "lon": F.lit(1.0), "center": F.lit(None).cast("struct<lat: double, lon: double>")}).repartition(4)
+    b, c = P.import_elements(e)
+    assert [r["name"] for r in b.collect()] == ["A"] and [r["value"] for r in c.collect()] == ["+1"]
+
+
+def test_null_keys_never_collide(spark, tmp_path):
+    new, path = spark.createDataFrame([(None, "a"), (1, "b"), (1, "a")], "id int, v string"), str(tmp_path / "t")
+    assert Wr.insert_absent(new, path, ["id"]) == 2 and Wr.insert_absent(new, path, ["id"]) == 1
+    assert rows(spark.read.parquet(path)) == [(1, "a"), (None, "a"), (None, "a")]
 
 
 def test_empty_tables_score_nothing(spark):
@@ -167,12 +222,6 @@ def test_streams_equal_batches(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "scores")).select("business_id", "lead_score")) == rows(whole.filter("business_id IN (1, 2, 3)").select("business_id", "lead_score"))
 
 
-def test_one_pass(spark):
-    got = passes.run_once(spark, SMALL)
-    assert {"businesses", "scored", "leads", "new_domains"} <= set(got)
-    assert got["leads"].count() > 0
-
-
 def test_geocoded_area(spark):
     hits = spark.createDataFrame([(["1.5", "2.5", "3.5", "4.5"], {"state": "S", "country": "C", "country_code": "cc"})], "boundingbox array<string>, address map<string,string>")
     assert rows(P.geocode_area(hits)) == [("S", "cc", 1.5, 3.5, 2.5, 4.5)]
