@@ -1,9 +1,10 @@
 """Nearest neighbours by a block matrix join.
 
-Vectors are packed into tiles. A query tile meets a candidate tile in an int8 matrix product,
-which gives every cosine up to a bound on the quantisation error. Pairs whose upper bound reaches
-the k-th best lower bound are computed again in double precision, so no neighbour is missed.
-Heaps keep each query's best within a task and merge what the tasks found.
+Vectors are quantised to int8 and packed into tiles. A query tile meets a candidate tile in an int8
+matrix product, which gives every cosine up to a bound on the quantisation error. Pairs whose upper
+bound reaches the k-th best lower bound survive, first within a query tile's blocks of a task, then
+among all of a query's; only their ids are shuffled. Survivors are joined to their vectors, computed
+again in double precision and merged by heaps, so no neighbour is missed.
 """
 
 from __future__ import annotations
@@ -32,9 +33,10 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _tiles(rows: DataFrame, tile: int, count: int) -> DataFrame:
-    """One row a tile: (``tile``, ``dim``, ``ids``, ``data``: the vectors as doubles).
+    """One row a tile: ``group``, ``dim``, ``ids`` and the quantised vectors ``q``, ``scale``, ``lost``.
 
-    Rows are dealt by their place in the order of a hash; a tile holds at most ``tile`` rows.
+    Rows are dealt by a hash of their id and stand in order of ids; a tile holds at most ``tile``
+    rows, and of rows alike only one.
     """
     groups = max(1, -(-count // tile))
     dealt = rows.withColumn("dim", F.size("v")).withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)))
@@ -43,20 +45,26 @@ def _tiles(rows: DataFrame, tile: int, count: int) -> DataFrame:
         key, ids, data = None, [], []
 
         def packed() -> pd.DataFrame:
-            return pd.DataFrame({"group": [key[0]], "dim": [key[1]], "ids": [np.array(ids, "<i8").tobytes()], "data": [np.array(data, "<f8").tobytes()]})
+            v = np.array(data, "f8")
+            v /= np.abs(v).max(axis=1)[:, None]
+            q, scale, lost = quantised(v / np.linalg.norm(v, axis=1)[:, None])
+            return pd.DataFrame({"group": [key[0]], "dim": [key[1]], "ids": [np.array(ids, "<i8").tobytes()], "q": [q.tobytes()], "scale": [scale.astype("<f8").tobytes()], "lost": [lost.astype("<f8").tobytes()]})
 
         for batch in batches:
             for group, dim, i, v in zip(batch["group"], batch["dim"], batch["id"], batch["v"], strict=True):
                 if ids and (key != (group, dim) or len(ids) >= tile):
                     yield packed()
                     ids, data = [], []
+                if ids and ids[-1] == i and np.array_equal(data[-1], v):
+                    continue
                 key = (group, dim)
                 ids.append(i)
                 data.append(v)
         if ids:
             yield packed()
 
-    return dealt.repartition("group").sortWithinPartitions("group", "dim").select("group", "dim", "id", "v").mapInPandas(run, "group long, dim int, ids binary, data binary")
+    ordered = dealt.repartition("group").sortWithinPartitions("group", "dim", "id", "v").select("group", "dim", "id", "v")
+    return ordered.mapInPandas(run, "group long, dim int, ids binary, q binary, scale binary, lost binary")
 
 
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,40 +80,112 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1)) / np.sqrt((b * b).sum(axis=1))
 
 
-def _matched(pairs: DataFrame, k: int) -> DataFrame:
-    """(``query_id``, ``vec_id``, ``score``): the k nearest of each query within a task's tiles."""
+def _best_bounds(lows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's lower bounds the k best of different ids, best first."""
+    order = np.argsort(-lows, axis=1, kind="stable")
+    lows, ids = np.take_along_axis(lows, order, 1), np.take_along_axis(ids, order, 1)
+    before = np.tril(np.ones((lows.shape[1],) * 2, bool), -1)
+    again = ((ids[:, :, None] == ids[:, None, :]) & before[None]).any(axis=2)
+    order = np.argsort(-np.where(again, -np.inf, lows), axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(np.where(again, -np.inf, lows), order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _block_bounds(low: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best lower bounds of each query among the candidates of a tile, ids in order and each counted once."""
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    low, ids = (low, ids) if len(first) == len(ids) else (np.maximum.reduceat(low, first, axis=1), ids[first])
+    some = np.argpartition(-low, k - 1, axis=1)[:, :k] if low.shape[1] > k else np.tile(np.arange(low.shape[1]), (len(low), 1))
+    return np.take_along_axis(low, some, 1), ids[some]
+
+
+def _survivors(pairs: DataFrame, k: int) -> DataFrame:
+    """(``query_id``, ``vec_id``, ``low``, ``high``): pairs that may be among a query's k nearest, tile by tile."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heaps: dict[int, list[tuple[float, int]]] = {}  # the worst of the best on top
+        tile, lows, ids = None, None, None  # the best bounds of one query tile's queries
         for batch in batches:
-            for dim, q_ids, q_data, c_ids, c_data in zip(batch["dim"], batch["q_ids"], batch["q_data"], batch["c_ids"], batch["c_data"], strict=True):
-                qi, ci = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8")
-                qv, cv = np.frombuffer(q_data, "<f8").reshape(-1, dim), np.frombuffer(c_data, "<f8").reshape(-1, dim)
-                units = [x / np.abs(x).max(axis=1)[:, None] for x in (qv, cv)]
-                (q8, qs, qe), (c8, cs, ce) = (quantised(x / np.linalg.norm(x, axis=1)[:, None]) for x in units)
+            for row in batch.itertuples(index=False):
+                qi, ci = np.frombuffer(row.q_ids, "<i8"), np.frombuffer(row.c_ids, "<i8")
+                q8, c8 = (np.frombuffer(x, "i1").reshape(-1, row.dim) for x in (row.q_q, row.c_q))
+                qs, qe, cs, ce = (np.frombuffer(x, "<f8") for x in (row.q_scale, row.q_lost, row.c_scale, row.c_lost))
                 # sums of int8 products under 2^24 are exact in single precision, in which BLAS multiplies
-                kind = "f4" if dim <= 1024 else "f8"
+                kind = "f4" if row.dim <= 1024 else "f8"
                 near = (q8.astype(kind) @ c8.astype(kind).T) * (qs[:, None] * cs[None, :])
                 off = qe[:, None] + (1 + qe[:, None]) * ce[None, :] + SLACK
                 own = qi[:, None] == ci[None, :]
                 low = np.where(own, -np.inf, near - off)
-                kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(qi), -np.inf)
-                floor = np.array([h[0][0] if len(h := heaps.setdefault(i, [])) >= k else -np.inf for i in qi.tolist()])
-                rows, cols = np.nonzero((near + off >= np.maximum(kth, floor)[:, None]) & ~own)
-                for at in range(0, len(rows), 100_000):
-                    r, c = rows[at : at + 100_000], cols[at : at + 100_000]
-                    for query, score, vec in zip(qi[r].tolist(), exact_cosine(qv[r], cv[c]).tolist(), ci[c].tolist(), strict=True):
-                        heap = heaps[query]
-                        if len(heap) < k:
-                            if (score, -vec) not in heap:
-                                heapq.heappush(heap, (score, -vec))
-                        elif (score, -vec) > heap[0] and (score, -vec) not in heap:
-                            heapq.heapreplace(heap, (score, -vec))
-        found = [(q, -v, s) for q, h in heaps.items() for s, v in h]
-        if found:
-            yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    return pairs.mapInPandas(run, "query_id long, vec_id long, score double")
+                if tile != row.q_ids:
+                    tile, lows, ids = row.q_ids, np.full((len(qi), k), -np.inf), np.full((len(qi), k), np.iinfo("i8").min)
+                more, more_ids = _block_bounds(low, ci, k)
+                lows, ids = _best_bounds(np.hstack([lows, more]), np.hstack([ids, more_ids]), k)
+                r, c = np.nonzero((near + off >= lows[:, -1][:, None]) & ~own)
+                if len(r):
+                    yield pd.DataFrame({"query_id": qi[r], "vec_id": ci[c], "low": low[r, c], "high": (near + off)[r, c]})
+
+    return pairs.mapInPandas(run, "query_id long, vec_id long, low double, high double")
+
+
+def _closest(survivors: DataFrame, k: int) -> DataFrame:
+    """(``query_id``, ``vec_id``): survivors whose upper bound reaches the k-th best lower bound of their query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        query, best, floor = None, set(), -np.inf
+        for batch in batches:
+            kept = []
+            for q, v, low, high in zip(batch["query_id"].tolist(), batch["vec_id"].tolist(), batch["low"], batch["high"], strict=True):
+                if q != query:
+                    query, best, floor = q, set(), -np.inf
+                if len(best) < k:
+                    best.add(v)  # best lower bounds first: the k-th new id has the k-th best
+                    floor = low if len(best) == k else -np.inf
+                if high >= floor:
+                    kept.append((q, v))
+            if kept:
+                yield pd.DataFrame(kept, columns=["query_id", "vec_id"])
+
+    return survivors.repartition("query_id").sortWithinPartitions("query_id", F.desc("low"), "vec_id").mapInPandas(run, "query_id long, vec_id long").distinct()
+
+
+def _scores(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Pairs with the cosine of their vectors in double precision."""
+    q, v = (vectors.select(F.col("id").alias(i), F.col("v").alias(x)) for i, x in (("query_id", "q"), ("vec_id", "c")))
+    met = pairs.join(v, "vec_id").join(q, "query_id").filter(F.size("q") == F.size("c"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            scores = np.zeros(len(batch))
+            sizes = batch["q"].map(len).to_numpy()
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                scores[at] = exact_cosine(np.stack(batch["q"].iloc[at].to_list()), np.stack(batch["c"].iloc[at].to_list()))
+            yield pd.DataFrame({"query_id": batch["query_id"], "vec_id": batch["vec_id"], "score": scores})
+
+    return met.select("query_id", "vec_id", "q", "c").mapInPandas(run, "query_id long, vec_id long, score double")
+
+
+def _merged(scored: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, from a heap of k."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        query, heap = None, {}
+
+        def done() -> pd.DataFrame:
+            best = sorted(((s, -v) for v, s in heap.items()), reverse=True)
+            return pd.DataFrame({"query_id": query, "rank": np.arange(1, len(best) + 1, dtype="int32"), "vec_id": [-v for _, v in best], "score": [s for s, _ in best]})
+
+        for batch in batches:
+            for q, v, s in zip(batch["query_id"].tolist(), batch["vec_id"].tolist(), batch["score"].tolist(), strict=True):
+                if q != query:
+                    if heap:
+                        yield done()
+                    query, heap = q, {}
+                heap[v] = max(s, heap.get(v, s))  # an id stands once, with its best score
+                if len(heap) > k:
+                    del heap[heapq.nsmallest(1, heap, key=lambda i: (heap[i], -i))[0]]
+        if heap:
+            yield done()
+
+    return scored.repartition("query_id").sortWithinPartitions("query_id").mapInPandas(run, "query_id long, rank int, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -113,24 +193,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
     Candidates are all rows but those with the query's id; ties go to the smaller id. Vectors that
     are null, empty, all zero or hold null or non-finite components take no part, rows without an
-    id neither; vectors of different lengths never meet. Rows that repeat an id count once in a
-    list. Fewer than k candidates give fewer rows, an empty table gives none.
+    id neither; vectors of different lengths never meet. Rows alike count once; an id with several
+    vectors stands once in a list, with its best score. Fewer than k candidates give fewer rows, an
+    empty table gives none; other columns are ignored.
     """
-    spark = vectors.sparkSession
-    text_batches(spark)
-    rows = usable(vectors.withColumn("_query", is_query), id_col, vector_col).filter(F.col("id").isNotNull())
+    text_batches(vectors.sparkSession)
+    rows = usable(vectors, id_col, vector_col).filter(F.col("id").isNotNull())
     asked = usable(vectors.filter(is_query), id_col, vector_col).filter(F.col("id").isNotNull())
     n = vectors.count()
-    queries = _tiles(asked, QUERY_TILE, asked.count()).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    parts = ("ids", "q", "scale", "lost")
+    queries = _tiles(asked, QUERY_TILE, asked.count()).select("dim", *[F.col(c).alias(f"q_{c}") for c in parts])
     groups = max(1, -(-n // CANDIDATE_TILE))
     # each query tile goes once to every group of candidates: the stated queries against all rows, in blocks
     spread = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
-    candidates = _tiles(rows, CANDIDATE_TILE, n).select("group", "dim", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
-    pairs = spread.join(candidates, ["group", "dim"]).select("dim", "q_ids", "q_data", "c_ids", "c_data")
-    found = _matched(pairs, k)
-
-    def merge(batch: pd.DataFrame) -> pd.DataFrame:
-        best = heapq.nlargest(k, {(s, -v) for s, v in zip(batch["score"], batch["vec_id"], strict=True)})
-        return pd.DataFrame({"query_id": batch["query_id"].iloc[0], "rank": np.arange(1, len(best) + 1, dtype="int32"), "vec_id": [-v for _, v in best], "score": [s for s, _ in best]})
-
-    return found.groupBy("query_id").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
+    candidates = _tiles(rows, CANDIDATE_TILE, n).select("group", "dim", *[F.col(c).alias(f"c_{c}") for c in parts])
+    pairs = spread.join(candidates, ["group", "dim"]).sortWithinPartitions("q_ids").select("dim", *[f"{side}_{c}" for side in "qc" for c in parts])
+    return _merged(_scores(_closest(_survivors(pairs, k), k), rows), k)

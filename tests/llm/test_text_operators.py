@@ -290,6 +290,29 @@ def test_nearest(spark):
     assert vector_search.nearest(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize(("tile", "k"), [(512, 5), (7, 5), (64, 3)])
+def test_nearest_with_repeated_ids(spark, monkeypatch, tile, k):
+    """Every row twice, some ids with other vectors too, in tiles that part them: the same lists as from the best score of each id."""
+    monkeypatch.setattr(vector_search, "QUERY_TILE", tile)
+    monkeypatch.setattr(vector_search, "CANDIDATE_TILE", tile)
+    rng = np.random.default_rng(5)
+    data = [(i, rng.normal(size=8).astype("f4").tolist()) for i in range(120)]
+    data = data * 2 + [(i, rng.normal(size=8).astype("f4").tolist()) for i in range(1, 60)] + [(200, [1e300] * 8), (201, [1e-300] * 8)]
+    got = {}
+    for r in vector_search.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 50 == 0, k).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert set(got) == {0, 50, 100, 200}
+    scaled = lambda x: np.array(x) / np.abs(x).max()
+    unit = [(i, scaled(x) / np.linalg.norm(scaled(x))) for i, x in data]
+    for q, found in got.items():
+        best = {}
+        for i, x in unit:
+            for j, y in unit:
+                if j == q and i != q:
+                    best[i] = max(best.get(i, -2), round(float(x @ y), 12))
+        assert [i for _, i in sorted(found)] == sorted(best, key=lambda i: (-best[i], i))[:k]
+
+
 # --- chats
 
 
