@@ -22,37 +22,45 @@ DEFAULT_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 #: What an unknown character scores below the worst piece, as in the tokenizer.
 UNKNOWN_PENALTY = 10.0
-#: Chunks remembered by a worker.
-REMEMBERED = 400_000
+#: Bytes of chunks remembered by a worker, the longest remembered, and what an entry takes besides its text.
+MEMORY, LONG, ENTRY = 64 << 20, 200, 200
 
 
 class UnigramCounter:
-    """Pieces and scores of a SentencePiece model read as a unigram vocabulary with byte fallback.
+    """Pieces and scores read as a unigram vocabulary with byte fallback.
 
-    Scores must be whole numbers: their sums are exact, so a text may be cut wherever no piece
-    crosses, before a space mark that follows another character and around line ends.
+    A text is cut wherever no piece crosses: before a space mark that follows another character and
+    around line ends, or not at all if some piece crosses there. Sums of whole numbers are exact, so
+    with whole scores a chunk is counted once and remembered; other scores are summed over the whole
+    text in the tokenizer's order, chunk after chunk, each from where the one before it ended.
     """
 
-    def __init__(self, path: str):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        plain = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
-        self.pieces = {model.id_to_piece(i): model.get_score(i) for i in plain}
-        if not all(float(s).is_integer() for s in self.pieces.values()) or any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.pieces):
-            raise ValueError("a piece crosses the cuts, or scores are not whole numbers")
-        self.unknown = min(self.pieces.values()) - UNKNOWN_PENALTY
+    def __init__(self, pieces: dict[str, float]):
+        self.pieces = pieces
+        self.whole = all(float(s).is_integer() for s in pieces.values())
+        self.unknown = min(pieces.values()) - UNKNOWN_PENALTY
         self.automaton = ahocorasick.Automaton()
-        for piece, score in self.pieces.items():
+        for piece, score in pieces.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.cut = regex.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
+        crossing = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces)
+        self.cut = (lambda text: [text]) if crossing else regex.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
         self.known: dict[str, tuple[int, float]] = {}
+        self.known_bytes = 0
+
+    @classmethod
+    def of_model(cls, path: str) -> UnigramCounter:
+        """From a SentencePiece model."""
+        import sentencepiece
 
-    def chunk(self, chunk: str) -> tuple[int, float]:
-        """Pieces (an unknown character as its bytes) and score of the best path."""
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        plain = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+        return cls({model.id_to_piece(i): model.get_score(i) for i in plain})
+
+    def chunk(self, chunk: str, start_score: float = 0.0) -> tuple[int, float]:
+        """Pieces (an unknown character as its bytes) and score of the best path, added to what stands before it."""
         n = len(chunk)
-        best: list[float | None] = [0.0] + [None] * n
+        best: list[float | None] = [start_score] + [None] * n
         count = [0] * (n + 1)
         at, single = 0, [False] * n
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
@@ -76,20 +84,29 @@ class UnigramCounter:
         """Pieces and best score of a whole text; an empty text has none."""
         if not text:
             return 0, 0.0
-        known, pieces, total = self.known, 0, 0.0
+        pieces, total = 0, 0.0
         for chunk in self.cut(SPACE + text.replace(" ", SPACE)):
-            found = known.get(chunk)
-            if found is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                found = known[chunk] = self.chunk(chunk)
+            if self.whole:
+                found = self.known.get(chunk) or self._new(chunk)
+                total += found[1]
+            else:
+                found = self.chunk(chunk, total)
+                total = found[1]
             pieces += found[0]
-            total += found[1]
         return pieces, total
 
+    def _new(self, chunk: str) -> tuple[int, float]:
+        found = self.chunk(chunk)
+        if len(chunk) <= LONG:
+            self.known_bytes += 4 * len(chunk) + ENTRY
+            if self.known_bytes > MEMORY:
+                self.known, self.known_bytes = {}, 0
+            self.known[chunk] = found
+        return found
+
 
 def load(path: str) -> UnigramCounter:
-    return resident(("unigram", path), lambda: UnigramCounter(path))
+    return resident(("unigram", path), lambda: UnigramCounter.of_model(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

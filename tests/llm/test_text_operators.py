@@ -154,10 +154,41 @@ def test_unigram_counts_equal_the_library(spark):
     for t in [x or "" for x in ODD] + random_texts(200, 9):
         if "<" not in t:  # the names of byte and control pieces are no text here
             assert mine.count(t)[0] == (len(library.encode("▁" + t.replace(" ", "▁"), add_special_tokens=False).ids) if t else 0)
-    assert unigram_count.count_tokens(odd_docs(spark)).count() == len(ODD) + 3
+    docs = odd_docs(spark)
+    want = sorted(((r["doc_id"], mine.count(r["text"] or "")[0]) for r in docs.collect()), key=str)
+    got = unigram_count.count_tokens(docs).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=str) == want
+    assert all((r["n_tokens"], r["best_score"]) == (0, 0.0) for r in got if r["doc_id"] in (0, 5)) and len(got) == len(ODD) + 3
     assert unigram_count.count_tokens(none(spark)).count() == 0
 
 
+@pytest.mark.parametrize("crossing", [False, True])
+def test_unigram_scores_of_any_kind(crossing, monkeypatch):
+    """Scores that are no whole numbers, ties among them, and pieces across white space: counts and scores of the library."""
+    from tokenizers import Tokenizer
+    from tokenizers.models import Unigram
+
+    rng = random.Random(12)
+    pieces = {"".join(rng.choices("abé▁", weights=[4, 4, 1, 1], k=rng.randint(1, 4))): -rng.choice([0.1, 0.2, 0.3, 1.7, 2.0, rng.uniform(1, 9)]) for _ in range(300)}
+    pieces = {p: s for p, s in pieces.items() if crossing or "▁" not in p.lstrip("▁")} | {"a": -5.5, "b": -6.1, "▁": -3.3}
+    counter = unigram_count.UnigramCounter(pieces)
+    low = min(pieces.values())
+    library = Tokenizer(Unigram([("<unk>", low), *((f"<0x{b:02X}>", low) for b in range(256)), *pieces.items()], 0, byte_fallback=True))
+    score = {t: s for t, s in pieces.items()}
+    for _ in range(400):
+        text = "".join(rng.choices(["a", "b", "é", " ", "x", "日"], weights=[6, 6, 2, 3, 1, 1], k=rng.randint(1, 60)))
+        tokens = library.encode("▁" + text.replace(" ", "▁"), add_special_tokens=False).tokens
+        n, best = counter.count(text)
+        assert n == len(tokens)
+        if not any(t.startswith("<0x") for t in tokens):
+            assert abs(best - sum(score[t] for t in tokens)) < 1e-9
+    assert counter.count("ab " * 20_000)[0] > 0
+    monkeypatch.setattr(unigram_count, "MEMORY", 1000)
+    whole = unigram_count.UnigramCounter({p: float(round(s)) for p, s in pieces.items()})
+    texts = ["".join(rng.choices("ab é", k=30)) for _ in range(50)]
+    assert [whole.count(t) for t in texts] == [unigram_count.UnigramCounter(whole.pieces).count(t) for t in texts]
+
+
 # --- simhash
 
 
