@@ -3,11 +3,14 @@
 Normalised texts are range-partitioned by sampled splitters and sorted, so that equal texts
 stand side by side; each row is compared in full with its neighbour. The sort key ends in a
 hash of the row's id, so a group of copies of any size is spread over many ranges; groups that
-cross a range's border are joined up afterwards from one row per border.
+cross a range's border are joined up afterwards from one row per border, by the SHA-256, length and
+xxHash64 of their text, so that no task gathers the texts of a hot group.
 """
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +34,9 @@ def _splitters(keys: DataFrame, ranges: int) -> list[str]:
         return []
     share = min(1.0, SAMPLES_PER_RANGE * ranges / rows)
     found = sorted(r[0] for r in keys.sample(fraction=share, seed=11).collect())
-    return sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
+    borders = sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
+    # each is cut where it first differs from the one before: a plan with many ranges stays small
+    return [b[: len(commonprefix([a, b])) + 1] for a, b in zip(["", *borders], borders, strict=False)]
 
 
 def _range_of(key: Column, splitters: list[str]) -> Column:
@@ -73,7 +78,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = (
         dealt.withColumn("_norm", ascii_lower(F.col("_text")))
         .withColumns({"_before": F.lag("_norm").over(order), "_row": F.row_number().over(order), "_after": F.lead(F.lit(1)).over(order)})
-        .withColumns({"_new": (F.col("_row") == 1) | (F.col("_before") != F.col("_norm")), "_border": F.when((F.col("_row") == 1) | F.col("_after").isNull(), F.col("_norm"))})
+        .withColumns({"_new": (F.col("_row") == 1) | (F.col("_before") != F.col("_norm")), "_border": F.when((F.col("_row") == 1) | F.col("_after").isNull(), F.struct(F.length("_norm"), F.xxhash64("_norm")))})
         .select("_id", "_digest", "_range", "_row", "_new", "_border", "_carried")
     )
     numbered = marked.withColumn("_run", F.sum(F.col("_new").cast("long")).over(Window.partitionBy("_range").orderBy("_row")))
@@ -85,12 +90,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # at most two runs of a range touch a border: what equals across borders is one group
     borders = light.filter(F.col("_border").isNotNull()).groupBy("_range", "_run").agg(*[F.first(c).alias(c) for c in ("_digest", "_border", "_best", "_size")])
-    along = Window.partitionBy("_digest").orderBy("_border", "_range", "_run")
-    whole = Window.partitionBy("_digest", "_group")
+    whole = Window.partitionBy("_digest", "_border")
     joined = (
-        borders.withColumn("_differs", F.coalesce(F.lag("_border").over(along) != F.col("_border"), F.lit(True)))
-        .withColumn("_group", F.sum(F.col("_differs").cast("long")).over(along))
-        .withColumns({
+        borders.withColumns({
             "_all_best": F.max("_best").over(whole),
             "_all_size": F.sum("_size").over(whole),
             "_first": F.row_number().over(whole.orderBy(F.desc_nulls_last("_best"), "_range", "_run")) == 1,
