@@ -118,6 +118,10 @@ def found_emails(finder: DataFrame, leads: DataFrame, known: DataFrame, least: i
 
 
 def apply_websites(businesses: DataFrame, verifications: DataFrame) -> DataFrame:
-    """Businesses with the website last found for those that have none."""
+    """Businesses with the website last found for those that have none; these lose their ``scored_at``, if there is one, and so are due for a score."""
     found = verifications.filter("website IS NOT NULL").groupBy("business_id").agg(F.max_by("website", F.struct("checked_at", "source")).alias("_found"))
-    return businesses.join(found, "business_id", "left").withColumn("website_url", F.coalesce(X.blank_to_null("website_url"), "_found")).drop("_found")
+    rows = businesses.join(found, "business_id", "left").withColumn("_given", X.blank_to_null("website_url"))
+    rows = rows.withColumn("website_url", F.coalesce("_given", "_found"))
+    if "scored_at" in businesses.columns:
+        rows = rows.withColumn("scored_at", F.when(F.col("_given").isNotNull() | F.col("_found").isNull(), F.col("scored_at")))
+    return rows.drop("_found", "_given")

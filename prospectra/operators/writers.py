@@ -52,7 +52,7 @@ def updated(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    rows.write.mode(mode).option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
+    rows.write.mode(mode).option("header", True).option("escape", "\"").option("emptyValue", "").option("nullValue", "").csv(path)
 
 
 def refresh_sheet(leads: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 """Scores, leads, exports, writers and streams on small tables, and every query against SQL."""
 
 import datetime as dt
+import os
 from pathlib import Path
 
 import duckdb
@@ -15,6 +16,7 @@ from prospectra.operators import evidence as E
 from prospectra.operators import joins as J
 from prospectra.operators import leads as L
 from prospectra.operators import scoring as S
+from prospectra.operators import sites
 from prospectra.operators import writers as Wr
 from prospectra.plans import passes
 from prospectra.plans import queries as Q
@@ -263,3 +265,60 @@ def test_role_contacts(spark):
     statuses, made = D.role_contacts(domains, seen, known)
     assert rows(statuses.select("domain", "status")) == [("a.com", "enriched"), ("b.com", "mx_missing"), ("d.com", "no_contacts")]
     assert made.count() == 5
+
+
+def test_sheets_and_snapshots(spark, tmp_path):
+    columns = ["name", "category", "address", "city", "country", "source", "source_id"]
+    sets = ["emails", "business_emails", "phones", "domains", "verified_unhosted_domains", "unregistered_domains", "registered_domains", "unknown_domains", "hosted_domains", "parked_domains"]
+    row = [("A, \"B\"", None, None, "X", None, "s", "1", 7, *([["b", "a"]] * 2 + [["2"]] + [[]] * 7))]
+    leads = spark.createDataFrame(row, ", ".join([*(f"{c} string" for c in columns), "lead_score int", *(f"{c} array<string>" for c in sets)]))
+    assert len(L.lead_sheet(leads).columns) == 19 and len(L.refreshed_sheet(leads).columns) == 12
+    for _ in range(2):  # written anew each time
+        Wr.refresh_sheet(leads, str(tmp_path / "sheet"))
+    got = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "sheet")).collect()
+    assert [(r["Name"], r["Category"], r["Lead Score"], r["Emails"], r["Phones"]) for r in got] == [('A, "B"', None, "7", "a, b", "2")]
+    Wr.write_metrics(spark.createDataFrame([("s", "k", 1)], "section string, key string, value long"), str(tmp_path / "metrics"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "metrics")).collect()] == ['{"section":"s","key":"k","value":1}']
+    (tmp_path / "files").mkdir()
+    for k, name in enumerate(("old.csv", "new.csv", "note.txt")):
+        (tmp_path / "files" / name).write_text("x" * (k + 1))
+        os.utime(tmp_path / "files" / name, (1000 + k, 1000 + k))
+    assert [(r["name"], r["size"]) for r in P.list_exports(spark, str(tmp_path / "files")).collect()] == [("new.csv", 2), ("old.csv", 1)]
+
+
+def test_job_runs(spark):
+    log = spark.createDataFrame([(1, "a", "running", 1, None, None), (1, "a", "failed", 1, 3, "e" * 5000), (2, "b", "running", 4, None, None)], "run_id int, job_name string, status string, at int, processed int, error string")
+    assert [(r["run_id"], r["status"], r["started_at"], r["finished_at"], r["processed"], r["error"] and len(r["error"])) for r in Wr.job_runs(log).orderBy("run_id").collect()] == [(1, "failed", 1, 1, 3, 4000), (2, "running", 4, None, 0, None)]
+
+
+def test_found_websites_make_due(spark):
+    b = spark.createDataFrame([(1, "", 5), (2, "http://has", 5), (3, None, 5)], "business_id long, website_url string, scored_at int")
+    v = spark.createDataFrame([(1, "llm", "http://old", 1), (1, "ddg", "http://new", 2), (2, "ddg", "http://x", 1), (3, "ddg", None, 1)], "business_id long, source string, website string, checked_at int")
+    assert rows(E.apply_websites(b, v).select("business_id", "website_url", "scored_at")) == [(1, "http://new", None), (2, "http://has", 5), (3, None, 5)]
+
+
+@pytest.mark.parametrize(
+    ("tags", "category"),
+    [
+        ({"craft": "x", "shop": "y"}, "trades"), ({"office": "construction_company"}, "contractors"), ({"company": "construction"}, "contractors"), ({"amenity": "pub"}, "food"), ({"healthcare": "y"}, "health"), ({"amenity": "dentist"}, "health"),
+        ({"amenity": "school"}, "education"), ({"amenity": "atm"}, "finance"), ({"amenity": "place_of_worship"}, "religious"), ({"amenity": "car_wash"}, "auto"), ({"shop": "x", "office": "y"}, "retail"), ({"tourism": "x"}, "hospitality"),
+        ({"leisure": "x"}, "recreation"), ({"office": "x"}, "professional_services"), ({"industrial": "x"}, "industrial"), ({"amenity": "bench"}, "other"), ({"craft": ""}, "other"),
+    ],
+)
+def test_every_category(spark, tags, category):
+    assert spark.createDataFrame([(tags,)], "tags map<string,string>").select(P.classify()).first()[0] == category
+
+
+def test_websites_of_tags(spark):
+    tags = [({"website": "", "contact:website": "b", "url": "c"},), ({"url": "c"},), ({"website": "a", "url": "c"},), ({},)]
+    assert [r[0] for r in spark.createDataFrame(tags, "tags map<string,string>").select(P.website()).collect()] == ["b", "c", "a", None]
+
+
+def test_name_to_site_takes_https_then_the_longest(spark):
+    filler = "x " * 400
+    page = f"<html><head><title>Morton Motors Leeds</title></head><body>morton motors leeds {filler}</body></html>"
+    b = spark.createDataFrame([(1, "Morton Motors", "CA"), (2, "Nobody Here", "CA"), (3, "", None)], "business_id long, name string, country string")
+    urls = ["http://mortonmotors.ca/", "https://morton-motors.ca/", "https://mortonmotor.ca/"]
+    pages = spark.createDataFrame([(u, None, 200, page) for u in urls], "url string, final_url string, status_code int, html string")
+    got = {r["business_id"]: (r["result"], r["website"]) for r in sites.name_to_site(b, pages).collect()}
+    assert got == {1: ("has_website", "https://morton-motors.ca/"), 2: ("no_match", None), 3: ("no_candidates", None)}

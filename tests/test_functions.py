@@ -110,3 +110,36 @@ def test_page_ownership(spark):
     )
     got = {r["id"]: r["rejected_by"] for r in sites.judge_pages(pairs).collect()}
     assert got == {1: None, 2: "redirect", 3: "status", 4: "parked", 5: "single_word", 6: "generic_words"}
+
+
+@pytest.mark.parametrize(
+    ("html", "host", "cnames", "answered", "parked"),
+    [
+        ("Buy this domain", "", [], True, True), ("Buy this domain", "", [], False, False), (None, "x.parkingcrew.net", [], True, True), (None, "", ["a.PARKINGCREW.net"], False, True), ("<p>shop</p>", "shop.com", ["cdn.net"], True, False),
+        ("x" * 200_001 + "buy this domain", "", [], True, False),
+    ],
+)
+def test_parked_domains(spark, html, host, cnames, answered, parked):
+    assert spark.createDataFrame([(html, host, cnames, answered)], "h string, f string, c array<string>, a boolean").select(X.domain_is_parked("h", "f", "c", "a")).first()[0] is parked
+
+
+def test_titles_and_cursors(spark):
+    assert one(spark, X.title_matches_name("t", "u", "n"), t="The Lion, Leeds", u="http://x.com/", n="Red Lion") is True
+    assert one(spark, X.title_matches_name("t", "u", "n"), t="Nothing", u="http://redlionleeds.com/", n="Red Lion Leeds") is True
+    assert one(spark, X.title_matches_name("t", "u", "n"), t="Nothing", u="http://x.com/", n="Red Lion") is False
+    assert one(spark, X.place_query("n", "a", "c"), n="Inn", a="", c="York") == "Inn York"
+    assert one(spark, X.scope("s"), s=" ") == "__global__"
+
+
+def test_more_page_rules(spark):
+    filler = "x " * 400
+    page = lambda title, body: f"<html><head><title>{title}</title></head><body>{body} {filler}</body></html>"
+    url = "http://redlioninnyork.com/"
+    cases = [
+        ("small", "Red Lion", url, url, "<title>Red Lion</title>"), ("domain_title", "Red Lion Inn", url, url, page("redlioninnyork.com", "red lion inn")), ("no_words", "Zebra Crossing", "http://z.com/", "http://z.com/", page("Other", "nothing")),
+        ("few_words", "Zebra Walrus Ocelot Heron", "http://z.com/", "http://z.com/", page("Zebra", "zebra and nothing more")), ("title", "Golden Anchor", "http://z.com/", "http://z.com/", page("Welcome", "golden anchor")),
+        (None, "", "http://z.com/", "http://z.com/", page("Anything", "at all")), (None, "Golden Anchor", "http://z.com/", "http://z.com/", page("The Golden Anchor", "golden anchor")),
+    ]
+    pairs = spark.createDataFrame([(k, n, u, f, 200, h) for k, (_, n, u, f, h) in enumerate(cases)], "id int, name string, url string, final_url string, status_code int, html string")
+    got = {r["id"]: r["rejected_by"] for r in sites.judge_pages(pairs).collect()}
+    assert got == {k: c[0] for k, c in enumerate(cases)}
