@@ -334,6 +334,8 @@ SHARED_PARTS, PARTS = 4, 5
 #: Documents whose shingles are counted so that frequent ones come last in the order of prefixes, how often
 #: one must occur there, and how many the driver takes. The order decides the work, never what is linked.
 ORDER_SAMPLE, LEAST_OFTEN, MOST_FREQUENT = 20_000, 3, 100_000
+#: How often the sets of a file that do not hang together yet meet some of them, and how many that stand after each.
+ROUNDS, NEIGHBOURS = 3, 8
 #: Bits of a shingle's hash that name its file. A file of several shingles brings more candidates, never fewer.
 FILE_BITS = np.uint64((1 << 48) - 1)
 
@@ -408,13 +410,15 @@ def _similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words:
 def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``component_id`` of every row, linking texts whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-    Components are those of all such pairs: none is missed and none less similar is linked, but for
-    shingles that share a hash. Candidates come from fingerprints within 4 bits and from a prefix
-    join: with all shingles in one order, two sets that similar share one of their first
-    n - ceil(0.8 n) + 1, and at the first they share the rest of both must still be long enough.
-    Every candidate is compared in full, by 32 bits of each shingle's hash. Each set is compared
-    with the first and last set of its files before others; then only sets that this has not linked
-    to the same set are paired, so that a large group of near copies is not expanded into pairs.
+    No pair less similar is linked, but for shingles that share a hash: every candidate is compared
+    in full, by 32 bits of each shingle's hash. Candidates come from fingerprints within 4 bits and
+    from files of a prefix join: with all shingles in one order, two sets that similar share one of
+    their first n - ceil(0.8 n) + 1, and at the first they share the rest of both must still be long
+    enough. A file's sets are not paired with each other, as that grows with the square of a group.
+    In each of ROUNDS rounds each meets, as far as it does not hang together with them yet, the one
+    nearest to the middle of the group and the NEIGHBOURS after it in an order by chance. In files of
+    up to nine sets that is every pair; in a larger one a pair can be missed that neither these nor
+    others link (see the README for the share).
     Documents without words, null texts among them, are linked with each other only. Repeated rows
     come back as often as they came, rows without an id too; an empty table gives none; other
     columns are ignored.
@@ -438,36 +442,38 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     filed = rows.join(again, "row", "left_anti").select(F.col("row").alias("node"), "n", F.posexplode("firsts").alias("at", "shingle"))
 
     # (node, size of the set and place of the shingle in it): the two fit into one number
-    own, file = F.struct("node", "place"), Window.partitionBy("shingle")
+    file = Window.partitionBy("shingle")
     filed = filed.select("shingle", "node", (F.shiftleft("n", 32) + F.col("at")).alias("place"))
-    filed = filed.withColumn("low", F.min(own).over(file)).withColumn("high", F.max(own).over(file)).filter("low.node < high.node")
-    filed = stored(filed, "filed")
-
-    def meet(a: str, b: str) -> Column:
-        """Whether two sets that share a shingle here for the first time can be similar enough."""
-        n, m = F.shiftright(f"{a}place", 32), F.shiftright(f"{b}place", 32)
-        at = lambda side: F.col(f"{side}place").bitwiseAND(F.lit((1 << 32) - 1))
-        rest = F.least(n - at(a), m - at(b))
+    filed = stored(filed.withColumn("_low", F.min("node").over(file)).withColumn("_high", F.max("node").over(file)).filter("_low < _high").drop("_low", "_high"), "filed")
+    # a set with more of its first shingles in files with others is nearer to the middle of its group
+    shared = filed.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+
+    def meet(x: Column, y: Column) -> Column:
+        """Whether two sets that share a shingle at these places for the first time can be similar enough."""
+        n, m, at = F.shiftright(x, 32), F.shiftright(y, 32), F.lit((1 << 32) - 1)
+        rest = F.least(n - x.bitwiseAND(at), m - y.bitwiseAND(at))
         return (PARTS * F.least(n, m) >= SHARED_PARTS * F.greatest(n, m)) & ((PARTS + SHARED_PARTS) * rest >= SHARED_PARTS * (n + m))
 
     prints = nodes.select(F.col("w0").alias("node"), "w0").distinct()
     print_roots = components(links(stored(prints, "prints"))).withColumnRenamed("node", "w0")
     rooted = nodes.join(print_roots, "w0", "left").select("node", F.coalesce("root", "w0").alias("_root"))
     close = rooted.join(rooted.groupBy("_root").agg(F.min("node").alias("a")), "_root").select("a", F.col("node").alias("b"))
-    low = filed.filter(meet("low.", "")).select(F.col("low.node").alias("a"), F.col("node").alias("b"))
-    high = filed.filter(meet("", "high.")).select(F.col("node").alias("a"), F.col("high.node").alias("b"))
-    tried = stored(close.union(low).union(high).filter("a < b").distinct(), "tried")
-    near = _similar_pairs(tried, nodes, texts, words)
-
-    both = near.union(near.select("b", "a")).toDF("node", "_near")
-    heads = both.groupBy("node").agg(F.min("_near").alias("_near")).select("node", F.least("node", "_near").alias("head"))
-    apart = filed.join(heads, "node", "left").select("shingle", "node", "place", F.coalesce("head", "node").alias("head"))
-    apart = apart.withColumn("_low", F.min("head").over(file)).withColumn("_high", F.max("head").over(file)).filter("_low < _high").drop("_low", "_high")
-    apart = stored(apart, "apart")
-    a, b = (apart.select("shingle", *[F.col(c).alias(f"{side}{c}") for c in ("node", "place", "head")]) for side in ("x", "y"))
-    others = a.join(b, "shingle").filter((F.col("xnode") < F.col("ynode")) & (F.col("xhead") != F.col("yhead")) & meet("x", "y"))
-    others = others.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    near = near.union(_similar_pairs(stored(others, "others"), nodes, texts, words))
+
+    tried, near, left = None, None, filed.join(shared, "node").withColumn("head", F.col("node"))
+    for k in range(ROUNDS):
+        by_chance, own = F.xxhash64("node", F.lit(k)), F.struct("node", "place", "head")
+        after = file.orderBy(by_chance, "node").rowsBetween(1, NEIGHBOURS)
+        met = left.withColumns({"_middle": F.max(F.struct("shared", by_chance, own.alias("own"))).over(file)["own"], "_after": F.collect_list(own).over(after)})
+        others = F.filter(F.concat(F.array("_middle"), "_after"), lambda x: (x["head"] != F.col("head")) & meet(F.col("place"), x["place"]))
+        pairs = met.select("node", F.explode(others).alias("_with")).select(F.least("node", "_with.node").alias("a"), F.greatest("node", "_with.node").alias("b"))
+        pairs = (pairs.union(close.filter("a < b")) if tried is None else pairs).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        similar = _similar_pairs(pairs, nodes, texts, words)
+        tried, near = (pairs, similar) if tried is None else (tried.union(pairs), near.union(similar))
+        if k < ROUNDS - 1:
+            heads = components(near)
+            left = left.drop("head").join(heads.withColumnRenamed("root", "head"), "node", "left").withColumn("head", F.coalesce("head", "node"))
+            left = stored(left.withColumn("_low", F.min("head").over(file)).withColumn("_high", F.max("head").over(file)).filter("_low < _high").drop("_low", "_high"), "left")
 
     roots = components(near).withColumnRenamed("node", "_node")
     named = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("name", "least", F.coalesce("root", "node").alias("root"))
