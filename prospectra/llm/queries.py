@@ -12,11 +12,14 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .mixing import mixed_rates
+from .oracle import SOURCE_DIVERGENCE, vector_codes_sql
 from .rank_bpe import encode_documents
 from .simhash import simhash_components
+from .source_audit import source_divergence
 from .token_store import encode_and_read_back
 from .toxicity import toxicity
 from .unigram_count import count_tokens
+from .vector_codes import vector_codes
 from .vector_search import nearest
 
 
@@ -60,6 +63,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_token_files": op2_token_files,
@@ -71,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_source_audit": op12_source_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -79,4 +92,6 @@ ORACLE_SQL: dict[str, str] = {
                row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
         FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
         WINDOW w AS (PARTITION BY norm)""",
+    "op11_vector_codes": vector_codes_sql(),
+    "op12_source_audit": SOURCE_DIVERGENCE,
 }
