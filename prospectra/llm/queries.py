@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .mixing import mixed_rates
 from .oracle import SOURCE_DIVERGENCE, vector_codes_sql
+from .quality import quality
 from .rank_bpe import encode_documents
 from .simhash import simhash_components
 from .source_audit import source_divergence
@@ -71,6 +72,10 @@ def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_token_files": op2_token_files,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_vector_codes": op11_vector_codes,
     "op12_source_audit": op12_source_audit,
+    "op13_quality": op13_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
