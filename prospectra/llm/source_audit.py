@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ UNIT = 1_000_000_000
 BLOCK_COUNTS = 1 << 14
 #: Counts that a task turns into trees at once, and pairs of nodes that it follows at once; bound its memory.
 TREE_COUNTS, STEP_PAIRS = 1 << 18, 1 << 21
-#: Terms and texts' bytes that a worker counts before it sends them on.
-HELD_TERMS = 200_000
+#: Terms that a worker counts before it sends them on, and terms of one batch that it sends.
+HELD_TERMS, SENT_TERMS = 300_000, 50_000
 
 #: Bytes of ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+`` after lower-casing: every byte of a character beyond ASCII is one of the last.
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -38,32 +39,34 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """(``lang``, ``source``, ``term``, ``n``, ``docs``) of every group and term, and of every group an empty term with none."""
     text_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[tuple, Counter] = {}
         seen: dict[tuple, Counter] = {}
 
-        def held() -> Iterator[pd.DataFrame]:
+        def held() -> Iterator[pa.RecordBatch]:
             for (lang, source), some in n.items():
-                own = seen[lang, source]
-                terms = list(some)
-                yield pd.DataFrame({"lang": lang, "source": source, "term": [t.decode() for t in terms], "n": list(some.values()), "docs": [own[t] for t in terms]})
+                own, terms = seen[lang, source], list(some)
+                for at in range(0, len(terms), SENT_TERMS):
+                    part = terms[at : at + SENT_TERMS]
+                    columns = [pa.repeat(lang, len(part)), pa.repeat(source, len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array([some[t] for t in part], pa.int64()), pa.array([own[t] for t in part], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
             n.clear()
             seen.clear()
 
         for batch in batches:
-            for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
+            for lang, source, text in zip(*(batch[c].to_pylist() for c in ("lang", "source")), batch["text"], strict=True):
                 group = lang, source
                 if group not in n:
                     n[group], seen[group] = Counter({b"": 0}), Counter()
-                found = Counter(_TERM.findall(text.encode().lower()))
+                found = _TERM.findall(text.as_buffer().to_pybytes().lower())
                 n[group].update(found)
-                seen[group].update(found.keys())
+                seen[group].update(set(found))
             if sum(map(len, n.values())) > HELD_TERMS:
                 yield from held()
         yield from held()
 
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    sent = rows.mapInPandas(run, "lang string, source string, term string, n long, docs long")
+    sent = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
     return sent.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
