@@ -5,6 +5,9 @@ from __future__ import annotations
 import gc
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +26,24 @@ def _root(spark: SparkSession) -> str:
     return (at or DEFAULT_SHARED).rstrip("/")
 
 
-_run = uuid.uuid4().hex  # the folder of the tables that release() empties
+#: The folder under the shared one that takes the tables stored now, and only these.
+_scope: ContextVar[str] = ContextVar("scope", default="tables")
+
+
+@contextmanager
+def scope() -> Iterator[str]:
+    """A folder of its own for the tables that are stored inside; gives its name, for ``emptied``."""
+    name = uuid.uuid4().hex
+    before = _scope.set(name)
+    try:
+        yield name
+    finally:
+        _scope.reset(before)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share, under the session's ``spark.checkpoint.dir`` if set."""
-    return f"{_root(spark)}/{_run}/{uuid.uuid4().hex}"
+    return f"{_root(spark)}/{_scope.get()}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -36,24 +51,14 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
     This cuts the lineage, and any executor can read the files again after another is lost.
     """
-    return _written(df, f"{shared_folder(df.sparkSession)}/{name}", **options)
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Like ``stored``, but ``release`` leaves the table alone."""
-    return _written(df, f"{_root(df.sparkSession)}/{uuid.uuid4().hex}/{name}")
-
-
-def _written(df: DataFrame, path: str, **options: str) -> DataFrame:
+    path = f"{shared_folder(df.sparkSession)}/{name}"
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Empty all tables stored so far. Only for when every result that reads them has been written."""
-    global _run
-    spark.range(0).write.mode("overwrite").parquet(f"{_root(spark)}/{_run}")  # an empty table in their place
-    _run = uuid.uuid4().hex
+def emptied(spark: SparkSession, scope_name: str) -> None:
+    """Empty the tables stored in a scope. Only for when every result that reads them has been written."""
+    spark.range(0).write.mode("overwrite").parquet(f"{_root(spark)}/{scope_name}")  # an empty table in their place
 
 
 def text_batches(spark: SparkSession) -> None:

@@ -334,8 +334,15 @@ SHARED_PARTS, PARTS = 4, 5
 #: Documents whose shingles are counted so that frequent ones come last in the order of prefixes, how often
 #: one must occur there, and how many the driver takes. The order decides the work, never what is linked.
 ORDER_SAMPLE, LEAST_OFTEN, MOST_FREQUENT = 20_000, 3, 100_000
-#: How often the sets of a file that do not hang together yet meet some of them, and how many that stand after each.
-ROUNDS, NEIGHBOURS = 3, 8
+#: How often the sets of a file that do not hang together yet meet some of them, and how many that stand after
+#: each, before all that are left are compared.
+ROUNDS, NEIGHBOURS = 2, 8
+#: Members of a file that are ordered together in these rounds; a larger file is dealt into several.
+ORDERED = 20_000
+#: Sets of a block; a file with more is compared block by block.
+BLOCK_SETS = 1024
+#: Bits of a set's parity sketch.
+SKETCH_BITS = 4096
 #: Bits of a shingle's hash that name its file. A file of several shingles brings more candidates, never fewer.
 FILE_BITS = np.uint64((1 << 48) - 1)
 
@@ -382,43 +389,119 @@ def _frequent(texts: DataFrame, rows: int, words: int) -> tuple[np.ndarray, np.n
     return shingles[order], n[order]
 
 
-def _similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Those of the pairs (``a``, ``b``) of sets whose Jaccard similarity, counted in full, is enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "name", "least"), "node")
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of how many shingles fall on each bit: two sets' sketches differ in at most as many bits as the sets differ in shingles."""
+    hits = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype("i8"), minlength=SKETCH_BITS)
+    return np.packbits((hits & 1).astype("u1"), bitorder="little").view("<u8")
+
+
+def _sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(``node``, ``shingles``, ``sketch``) of the wanted nodes, read again from the texts."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [shingle_set(t, words) for t in batch["text"]]
             right = np.array([_named(x) for x in found], "int64") == batch["name"].to_numpy("int64")  # ids may repeat
-            yield pd.DataFrame({"node": batch["node"], "shingles": [np.unique(x.astype("u4")).tobytes() for x in found]})[right]
+            yield pd.DataFrame({"node": batch["node"], "shingles": [x.tobytes() for x in found], "sketch": [sketch(x).tobytes() for x in found]})[right]
+
+    named = wanted.join(nodes.select("node", "name", "least"), "node")
+    sets = texts.join(named, F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "name", "text").mapInPandas(made, "node long, shingles binary, sketch binary")
+    return stored(sets.dropDuplicates(["node"]), "sets")
+
+
+def _similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (``a``, ``b``) of sets whose Jaccard similarity, counted in full, is enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             near = []
             for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x, "u4"), np.frombuffer(y, "u4")
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(PARTS * shared >= SHARED_PARTS * (len(x) + len(y) - shared))
             yield batch.loc[np.array(near, bool), ["a", "b"]]
 
-    sets = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "name", "text").mapInPandas(made, "node long, shingles binary")
-    sets = stored(sets.dropDuplicates(["node"]), "sets")
     x, y = (sets.select(F.col("node").alias(end), F.col("shingles").alias(side)) for end, side in (("a", "x"), ("b", "y")))
     return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "similar")
 
 
+def open_pairs(n: np.ndarray, at: np.ndarray, head: np.ndarray, side: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, differing bits) of all sets of a file that may be similar enough and do not hang together yet.
+
+    ``at`` is the place of the file's shingle in each set of ``n``; sets of one ``side`` are not
+    paired if there are two. Sets that differ in more than a ninth of both sizes are below 0.8.
+    """
+    heads, sizes = np.unique(head, return_counts=True)
+    two, out = side.min() != side.max(), []
+    for i in np.flatnonzero(head != heads[np.argmax(sizes)]):  # of two heads one is not the largest
+        j = np.flatnonzero((head != head[i]) & ((head != heads[np.argmax(sizes)]) <= (np.arange(len(n)) > i)))
+        if two:
+            j = j[side[j] != side[i]]
+        least, rest = np.minimum(n[i], n[j]), np.minimum(n[i] - at[i], n[j] - at[j])
+        j = j[(PARTS * least >= SHARED_PARTS * np.maximum(n[i], n[j])) & ((PARTS + SHARED_PARTS) * rest >= SHARED_PARTS * (n[i] + n[j]))]
+        off = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype="i8")
+        near = (PARTS + SHARED_PARTS) * off <= (PARTS - SHARED_PARTS) * (n[i] + n[j])
+        out.append((np.full(near.sum(), i), j[near], off[near]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, "i8"),) * 3
+
+
+def _open(left: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """(``a``, ``b``, ``cut``) of the pairs that are left to compare, of each two heads in a block the ``most`` closest; ``cut`` tells that there are more."""
+    sized = left.join(left.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")), "shingle")
+    blocks = F.ceil(F.col("size") / BLOCK_SETS).cast("long")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("p"), F.greatest(k, own).alias("q")))
+    dealt = sized.withColumn("blocks", blocks).select("shingle", "node", "place", "head", own.alias("side"), F.explode(met).alias("met")).select("shingle", "node", "place", "head", "side", "met.p", "met.q")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, parts = None, []
+
+        def compared() -> Iterator[pd.DataFrame]:
+            rows = pd.concat(parts, ignore_index=True)
+            node, head, place = (rows[c].to_numpy("int64") for c in ("node", "head", "place"))
+            if head.min() == head.max():
+                return
+            i, j, off = open_pairs(place >> 32, place & 0xFFFFFFFF, head, rows["side"].to_numpy("int64"), np.frombuffer(b"".join(rows["sketch"]), "<u8").reshape(len(rows), -1))
+            if len(i):
+                low, high = np.minimum(head[i], head[j]), np.maximum(head[i], head[j])
+                order = np.lexsort((np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), off, high, low))
+                low, high = low[order], high[order]
+                start = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+                rank = np.arange(len(low)) - np.repeat(start, np.diff(np.append(start, len(low))))
+                a, b = node[i][order], node[j][order]
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cut": rank == most})[rank <= most]
+
+        for batch in batches:
+            keys = batch[["shingle", "p", "q"]].to_numpy("int64")
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if x == y:
+                    continue
+                if key != (here := tuple(keys[x].tolist())):
+                    if parts:
+                        yield from compared()
+                    key, parts = here, []
+                parts.append(batch.iloc[x:y])
+        if parts:
+            yield from compared()
+
+    unit = ["shingle", "p", "q"]
+    return dealt.join(sets.select("node", "sketch"), "node").repartition(*unit).sortWithinPartitions(*unit, "node").mapInPandas(run, "a long, b long, cut boolean")
+
+
 def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``component_id`` of every row, linking texts whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-    No pair less similar is linked, but for shingles that share a hash: every candidate is compared
-    in full, by 32 bits of each shingle's hash. Candidates come from fingerprints within 4 bits and
+    Components are those of all such pairs, but for shingles that share a 64-bit hash: no pair less
+    similar is linked, as every candidate is compared in full, and none is missed. Candidates come
     from files of a prefix join: with all shingles in one order, two sets that similar share one of
     their first n - ceil(0.8 n) + 1, and at the first they share the rest of both must still be long
-    enough. A file's sets are not paired with each other, as that grows with the square of a group.
-    In each of ROUNDS rounds each meets, as far as it does not hang together with them yet, the one
-    nearest to the middle of the group and the NEIGHBOURS after it in an order by chance. In files of
-    up to nine sets that is every pair; in a larger one a pair can be missed that neither these nor
-    others link (see the README for the share).
+    enough. Pairing all sets of a file at once would grow with the square of a group of copies. So
+    in ROUNDS rounds each meets the one nearest to the middle of its group and the NEIGHBOURS after
+    it in an order by chance, and fingerprints within 4 bits meet too; what hangs together then is
+    not compared again. Then all other pairs of every file are held against each other by sketches
+    that bound their difference, in blocks, and what these leave is compared: first the closest of
+    each two components, then ever more until no pair is left.
     Documents without words, null texts among them, are linked with each other only. Repeated rows
     come back as often as they came, rows without an id too; an empty table gives none; other
     columns are ignored.
@@ -444,7 +527,8 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     # (node, size of the set and place of the shingle in it): the two fit into one number
     file = Window.partitionBy("shingle")
     filed = filed.select("shingle", "node", (F.shiftleft("n", 32) + F.col("at")).alias("place"))
-    filed = stored(filed.withColumn("_low", F.min("node").over(file)).withColumn("_high", F.max("node").over(file)).filter("_low < _high").drop("_low", "_high"), "filed")
+    filed = filed.withColumns({"_low": F.min("node").over(file), "_high": F.max("node").over(file), "_size": F.count(F.lit(1)).over(file)}).filter("_low < _high")
+    filed = stored(filed.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("_size") / ORDERED))).drop("_low", "_high", "_size"), "filed")
     # a set with more of its first shingles in files with others is nearer to the middle of its group
     shared = filed.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
 
@@ -457,23 +541,39 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     prints = nodes.select(F.col("w0").alias("node"), "w0").distinct()
     print_roots = components(links(stored(prints, "prints"))).withColumnRenamed("node", "w0")
     rooted = nodes.join(print_roots, "w0", "left").select("node", F.coalesce("root", "w0").alias("_root"))
-    close = rooted.join(rooted.groupBy("_root").agg(F.min("node").alias("a")), "_root").select("a", F.col("node").alias("b"))
+    close = stored(rooted.join(rooted.groupBy("_root").agg(F.min("node").alias("a")), "_root").select("a", F.col("node").alias("b")).filter("a < b"), "close")
+    sets = _sets(shared.select("node").union(close.select("a")).union(close.select("b")).distinct(), nodes, texts, words)
+
+    def compared(pairs: DataFrame) -> None:
+        """Compare pairs that have not been, and keep which have been and which are similar."""
+        nonlocal tried, near
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        similar = _similar_pairs(pairs, sets)
+        tried, near = (pairs, similar) if tried is None else (tried.union(pairs), near.union(similar))
+
+    def unsettled() -> DataFrame:
+        """The files whose sets do not all hang together yet, with the head of what each hangs together with."""
+        heads = components(near).withColumnRenamed("root", "head")
+        headed = left.drop("head").join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
+        return stored(headed.withColumns({"_low": F.min("head").over(file), "_high": F.max("head").over(file)}).filter("_low < _high").drop("_low", "_high"), "left")
 
     tried, near, left = None, None, filed.join(shared, "node").withColumn("head", F.col("node"))
+    dealt = Window.partitionBy("shingle", "part")
     for k in range(ROUNDS):
         by_chance, own = F.xxhash64("node", F.lit(k)), F.struct("node", "place", "head")
-        after = file.orderBy(by_chance, "node").rowsBetween(1, NEIGHBOURS)
-        met = left.withColumns({"_middle": F.max(F.struct("shared", by_chance, own.alias("own"))).over(file)["own"], "_after": F.collect_list(own).over(after)})
+        after = dealt.orderBy(by_chance, "node").rowsBetween(1, NEIGHBOURS)
+        met = left.withColumns({"_middle": F.max(F.struct("shared", by_chance, own.alias("own"))).over(dealt)["own"], "_after": F.collect_list(own).over(after)})
         others = F.filter(F.concat(F.array("_middle"), "_after"), lambda x: (x["head"] != F.col("head")) & meet(F.col("place"), x["place"]))
         pairs = met.select("node", F.explode(others).alias("_with")).select(F.least("node", "_with.node").alias("a"), F.greatest("node", "_with.node").alias("b"))
-        pairs = (pairs.union(close.filter("a < b")) if tried is None else pairs).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-        similar = _similar_pairs(pairs, nodes, texts, words)
-        tried, near = (pairs, similar) if tried is None else (tried.union(pairs), near.union(similar))
-        if k < ROUNDS - 1:
-            heads = components(near)
-            left = left.drop("head").join(heads.withColumnRenamed("root", "head"), "node", "left").withColumn("head", F.coalesce("head", "node"))
-            left = stored(left.withColumn("_low", F.min("head").over(file)).withColumn("_high", F.max("head").over(file)).filter("_low < _high").drop("_low", "_high"), "left")
+        compared((pairs.union(close) if tried is None else pairs).distinct())
+        left = unsettled()
+    most = NEIGHBOURS
+    while True:  # until no pair of different heads is left that the sketches admit
+        found = stored(_open(left.select("shingle", "node", "place", "head"), sets, most), "open")
+        compared(found.filter("NOT cut").select("a", "b").distinct())
+        if not found.filter("cut").limit(1).count():
+            break
+        left, most = unsettled(), 16 * most
 
     roots = components(near).withColumnRenamed("node", "_node")
     named = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("name", "least", F.coalesce("root", "node").alias("root"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from prospectra.llm import queries
+from prospectra.llm.common import stored
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -27,7 +28,7 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, n = docs.columns, docs.count()
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = corpus_pipeline.kept(stage(spark, docs, SMALL), f"test_{k}")
+        docs = stored(stage(spark, docs, SMALL), f"test_{k}")
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
         if k < 3:
@@ -47,8 +48,8 @@ def odd_documents(spark):
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stage_on_odd_documents(spark, k):
     docs, (name, stage) = odd_documents(spark), corpus_pipeline.STAGES[k]
-    once = corpus_pipeline.kept(stage(spark, docs, SMALL), f"odd_{k}")
-    again = corpus_pipeline.kept(stage(spark, docs, SMALL), f"odd_{k}")
+    once = stored(stage(spark, docs, SMALL), f"odd_{k}")
+    again = stored(stage(spark, docs, SMALL), f"odd_{k}")
     assert sorted(map(repr, once.collect())) == sorted(map(repr, again.collect()))
     texts = {r["text"] for r in once.collect()}
     if name == "bpe":
@@ -62,3 +63,12 @@ def test_stage_on_odd_documents(spark, k):
         assert {"no id", "x" * 50_000, "a b"} <= texts
     empty = stage(spark, docs.limit(0), SMALL)
     assert empty.count() == 0 and empty.columns == once.columns
+
+
+def test_pipeline_leaves_other_results_alone(spark):
+    held = {name: queries.QUERIES[name](spark, SMALL) for name in ("op8_exact_dedup", "op10_simhash")}
+    first = corpus_pipeline.run(spark, SMALL)
+    second = corpus_pipeline.run(spark, SMALL)
+    assert first.count() == second.count() > 0
+    n = spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    assert {df.count() for df in held.values()} == {n}

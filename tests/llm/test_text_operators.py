@@ -298,6 +298,51 @@ def test_near_copies_against_brute_force(spark):
     assert 60 < len(set(root)) < len(root)
 
 
+def jaccard_components(texts):
+    """Least index that each text hangs together with by pairs of shingle sets at 0.8 or more, from all pairs."""
+    sets = [np.array(sorted({zlib.crc32(" ".join(w[i : i + 5]).encode()) for i in range(max(len(w) - 4, 1))})) for w in map(str.split, texts)]
+    matrix = np.zeros((len(sets), len(every := np.unique(np.concatenate(sets)))), "f4")
+    for k, x in enumerate(sets):
+        matrix[k, np.searchsorted(every, x)] = 1
+    both, size = matrix @ matrix.T, matrix.sum(axis=1)
+    near, root = 5 * both >= 4 * (size[:, None] + size[None] - both), np.arange(len(sets))
+    while True:
+        least = np.where(near, root[None], len(sets)).min(axis=1)
+        if (least == root).all():
+            return dict(enumerate(root.tolist())), int(near.sum() - len(sets)) // 2
+        root = least
+
+
+def records(n, values, seed=4):
+    """Templated records: four long fields, then three short ones, each with one of some values."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    fields = [[" ".join(word() for _ in range(words)) for _ in range(values)] for words in (14, 14, 14, 14, 1, 2, 4)]
+    return list(dict.fromkeys(" ".join(rng.choice(f) for f in fields) for _ in range(n)))
+
+
+@pytest.mark.parametrize("n, values, block, most", [(3000, 5, 1024, 8), (900, 4, 40, 1), (120, 2, 1024, 1)])
+def test_files_of_many_sets_lose_no_pair(spark, monkeypatch, n, values, block, most):
+    monkeypatch.setattr(simhash, "BLOCK_SETS", block)
+    monkeypatch.setattr(simhash, "NEIGHBOURS", most)
+    monkeypatch.setattr(simhash, "ORDERED", 4 * block)
+    texts = records(n, values)
+    want, pairs = jaccard_components(texts)
+    assert pairs > 80
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
+
+
+def test_sketches_never_rule_out_a_similar_set():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 60, 900, 9000):
+        base = rng.integers(0, 1 << 63, n).astype("u8")
+        for gone in range(0, n // 5 + 1, max(1, n // 25)):
+            other = np.unique(np.concatenate([base[gone:], rng.integers(0, 1 << 63, gone // 2).astype("u8")]))
+            mine, apart = np.unique(base), len(np.setxor1d(base, other))
+            assert np.bitwise_count(simhash.sketch(mine) ^ simhash.sketch(other)).sum() <= apart
+
+
 # --- vectors
 
 
