@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospectra.functions import text as X
@@ -16,17 +16,35 @@ def chain_names(*lists: DataFrame) -> DataFrame:
     return out.filter("chain <> ''").distinct()
 
 
+#: Chains that one piece may key before they are dealt into several keys.
+CHAINS_PER_KEY = 1000
+
+
+def _pieces(text: str, least: int) -> Column:
+    """The distinct pieces of ``least`` characters of a text; a shorter text is its own piece."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - least + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda k: F.substr(F.col(text), k, F.lit(least))))
+
+
 def names_with_chain(names: DataFrame, chains: DataFrame, least: int = 4) -> DataFrame:
     """(``name``, ``chain``) where a name holds a chain's name of ``least`` letters or more, or is one.
 
-    A name's pieces of the first ``least`` characters at every place meet the chains' first
-    ``least`` characters in an equi join; what meets is then compared in full.
+    A chain is filed under the one of its pieces that the fewest names hold, which one counting pass
+    over the names tells; a piece that all share, as of "the ..", keys no chain that has another. A
+    piece that keys many chains all the same is dealt into several keys. Names meet the keys by
+    their pieces in an equi join; what meets is compared in full.
     """
     distinct = names.select("name").distinct().withColumn("_lower", F.lower(F.trim("name")))
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_lower") - least + 1, F.lit(1))), lambda k: F.substr(F.col("_lower"), k, F.lit(least))))
-    pieces = distinct.select("name", "_lower", F.explode(starts).alias("_piece"))
-    keyed = chains.select("chain", F.substring("chain", 1, least).alias("_piece"))
-    met = pieces.join(keyed, "_piece")
+    held = distinct.select("name", "_lower", F.explode(_pieces("_lower", least)).alias("_piece"))
+    filed = chains.select("chain").distinct().select("chain", F.explode(_pieces("chain", least)).alias("_piece"))
+    counted = held.join(filed.select("_piece").distinct(), "_piece", "left_semi").groupBy("_piece").agg(F.count(F.lit(1)).alias("_names"))
+    # a chain with a piece that no name has is in no name
+    known = filed.join(counted, "_piece", "left").groupBy("chain").agg(F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("n"), "_piece")).alias("_best"))
+    keyed = known.filter("_best.n > 0").select("chain", F.col("_best._piece").alias("_piece"))
+    parts = keyed.groupBy("_piece").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHAINS_PER_KEY)).alias("_parts"))
+    keyed = keyed.join(parts, "_piece").select("chain", "_piece", F.pmod(F.xxhash64("chain"), F.col("_parts")).alias("_part"))
+    dealt = held.join(parts, "_piece").select("name", "_lower", "_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"))
+    met = dealt.join(keyed, ["_piece", "_part"])
     return met.filter((F.col("_lower") == F.col("chain")) | ((F.length("chain") >= least) & F.contains("_lower", F.col("chain")))).select("name", "chain").distinct()
 
 
@@ -39,10 +57,12 @@ def in_chain(businesses: DataFrame, chains: DataFrame) -> DataFrame:
 def under_domains(urls: DataFrame, url_col: str, listed: DataFrame) -> DataFrame:
     """URLs whose host is, or is under, a listed ``domain``; repeated rows stay repeated.
 
-    The distinct hosts meet the list by their suffixes; rows are then looked up by host and keep all their columns.
+    The distinct hosts meet the list by their suffixes of two labels or more; rows are then looked up by host and keep all their columns.
     """
     rows = urls.withColumn("_host", X.url_host(url_col))
-    suffixes = rows.select("_host").distinct().withColumn("_suffix", F.explode(X.host_suffixes("_host")))
+    # no list holds a bare ending, which all hosts would share
+    long = F.filter(X.host_suffixes("_host"), lambda s: F.contains(s, F.lit(".")) | (s == F.col("_host")))
+    suffixes = rows.select("_host").distinct().withColumn("_suffix", F.explode(long))
     under = suffixes.join(listed.select(F.col("domain").alias("_suffix")), "_suffix", "left_semi").select("_host").distinct()
     return rows.join(under, "_host", "left_semi").drop("_host")
 

@@ -91,60 +91,93 @@ def candidate_domains(names: DataFrame) -> DataFrame:
     return rows.select("name", "country", F.posexplode(F.array_distinct("_domains")).alias("pos", "domain"))
 
 
-def judge_pages(pairs: DataFrame) -> DataFrame:
-    """``is_owner`` and ``rejected_by`` for rows of ``name``, ``url``, ``final_url``, ``status_code`` and ``html``.
+#: What a page is told from: where it is found, how it was reached, what it holds.
+PAGE = ["url", "final_url", "status_code", "html"]
+
+
+def with_page_key(rows: DataFrame) -> DataFrame:
+    """Rows with ``_page``, a digest of all that a page is told from."""
+    text = [F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-")) for c in PAGE]
+    return rows.withColumn("_page", F.sha2(F.concat_ws("\n", *[F.sha2(t, 256) for t in text]), 256))
+
+
+def page_facts(pages: DataFrame, page: str = "page_id") -> tuple[DataFrame, DataFrame]:
+    """(facts, words) of pages: one row a page of what rules ask of it alone, and one for each of its distinct words.
+
+    Pages are parsed here, once each, whatever the number of names that are tried on them; facts are
+    flags and numbers, ``words`` an index of (page, ``word``, ``in_title``, ``in_meta``).
+    """
+    plain = lambda c: F.replace(F.lower(F.col(c)), F.lit("-"), F.lit(""))
+    p = pages.select(page, *PAGE).withColumns({"_host": X.url_host("url"), "_final": X.url_host("final_url"), "_title": X.page_title("html"), "_meta": X.page_meta("html"), "_head": F.lower(F.substring("html", 1, 5000))})
+    p = p.withColumns({"_base": F.substring_index(plain("_host"), ".", 1), "_text": F.concat_ws(" ", "_title", "_meta", "_head"), "_squeezed": F.replace(plain("_title"), F.lit(" "), F.lit(""))})
+    size = F.length("html")
+    redirected = (F.col("_host") != F.col("_final")) & (F.col("_host") != "") & (F.col("_final") != "")
+    echo = (F.col("_squeezed") != "") & ((F.col("_squeezed") == plain("_host")) | (F.col("_squeezed") == F.col("_base")) | (F.col("_squeezed") == F.replace(plain("_host"), F.lit("."), F.lit(""))))
+    rejected = [
+        ("status", F.coalesce(F.col("status_code"), F.lit(0)) != 200),
+        ("redirect", redirected & ~X.related_domains("_host", "_final")),
+        ("small", F.coalesce(size, F.lit(0)) < 500),
+        ("parked", X.page_is_parked("html")),
+    ]
+    facts = p.select(
+        page, F.col("_host").alias("host"), _first_of(rejected).alias("page_rejected_by"), redirected.alias("redirected"), echo.alias("echo"), (echo & (size < 10_000)).alias("bare_echo"),
+        ((F.length("_base") >= 12) & F.contains("_text", F.col("_base"))).alias("based"), (F.col("_title") != "").alias("titled"),
+    )
+    words = p.select(page, X.words_of("_title").alias("_t"), X.words_of("_meta").alias("_m"), F.explode(X.words_of("_text")).alias("word"))
+    return facts, words.select(page, "word", F.array_contains("_t", F.col("word")).alias("in_title"), F.array_contains("_m", F.col("word")).alias("in_meta"))
+
+
+def _first_of(rules: list[tuple[str, Column]]) -> Column:
+    """The name of the first rule that fails, null if none does."""
+    out = F.lit(None).cast("string")
+    for rule, failed in reversed(rules):
+        out = F.when(F.coalesce(failed, F.lit(False)), rule).otherwise(out)
+    return out
+
+
+def owned_pages(pairs: DataFrame, facts: DataFrame, words: DataFrame, page: str = "page_id") -> DataFrame:
+    """``is_owner`` and ``rejected_by`` for pairs of a ``name`` and a page.
 
     Rules run in order and the first that fails names itself: answer, redirect, size, parked
     marks, then words of the name on the page, by how many words the name has, then in its title.
+    Pairs meet facts by the page's key, and the words of their name meet the page's in an equi join:
+    no page, and no list of its words, goes through a join.
     """
-    none = F.array().cast(NO_TEXT)
     generic = X.words_array(V.ENTITY_SUFFIXES + V.TRADE_WORDS + V.LOCATION_WORDS)
     clean = F.regexp_replace(F.replace(F.lower(F.col("name")), F.lit("&"), F.lit(" and ")), r"[^a-z0-9\s]", " ")
-    p = pairs.withColumns({
-        "_host": X.url_host("url"), "_final": X.url_host("final_url"), "_title": X.page_title("html"), "_meta": X.page_meta("html"), "_size": F.length("html"),
-        "_head": F.lower(F.substring("html", 1, 5000)), "_parked": X.page_is_parked("html"),
-        "_words": F.array_distinct(F.filter(F.split(clean, r"\s+"), lambda w: (F.length(w) >= 3) & ~w.isin(V.PAGE_STOP_WORDS))),
-    })
-    plain = lambda c: F.replace(F.lower(F.col(c)), F.lit("-"), F.lit(""))
-    p = p.withColumns({
-        "_base": F.substring_index(plain("_host"), ".", 1), "_text": F.concat_ws(" ", "_title", "_meta", "_head"),
-        "_redirected": (F.col("_host") != F.col("_final")) & (F.col("_host") != "") & (F.col("_final") != ""),
-        "_squeezed": F.replace(plain("_title"), F.lit(" "), F.lit("")),
-    })
-    p = p.withColumns({
-        "_echo": (F.col("_squeezed") != "") & ((F.col("_squeezed") == plain("_host")) | (F.col("_squeezed") == F.col("_base")) | (F.col("_squeezed") == F.replace(plain("_host"), F.lit("."), F.lit("")))),
-        "_based": (F.length("_base") >= 12) & F.contains("_text", F.col("_base")),
-        "_text_words": X.words_of("_text"), "_title_words": X.words_of("_title"),
-    })
-    # each set of words is named twice below, so that Spark keeps it as a column in place of splitting the text for every word
-    among = lambda words, c: F.when(F.size(c) > 0, F.filter(words, lambda w: X.has_word(c, w)))
-    p = p.withColumns({"_found": among("_words", "_text_words"), "_in_title": among("_words", "_title_words")})
-    p = p.withColumns({"_own": F.array_except("_found", generic), "_titled": F.array_intersect("_found", "_in_title")})
+    of_name = F.array_distinct(F.filter(F.split(clean, r"\s+"), lambda w: (F.length(w) >= 3) & ~w.isin(V.PAGE_STOP_WORDS)))
+    p = pairs.join(facts, page, "left").withColumn("_words", of_name)
+    asked = p.filter("page_rejected_by IS NULL").select(page, "name", "_words").distinct().select(page, "name", F.explode("_words").alias("_own"))
+    forms = asked.withColumn("word", F.explode(X.plural_forms("_own")))
+    kept = lambda when: F.collect_set(F.when(when, F.col("_own")))
+    met = forms.join(words, [page, "word"]).groupBy(page, "name").agg(F.collect_set("_own").alias("_found"), kept(F.col("in_title")).alias("_titled"), kept(F.col("in_meta")).alias("_in_meta"))
+    none = F.array().cast(NO_TEXT)
+    p = p.join(met, [page, "name"], "left").withColumns({c: F.coalesce(F.col(c), none) for c in ("_found", "_titled", "_in_meta")}).withColumn("_own", F.array_except("_found", generic))
     n = F.size("_words")
     count = lambda c, least=1: F.size(F.filter(c, lambda w: F.length(w) >= least))
     found, own = F.size("_found"), F.size("_own")
     only = F.get("_words", F.lit(0))
-    words = ~F.col("_based")
+    by_words = ~F.col("based")
     rules = [
-        ("status", F.coalesce(F.col("status_code"), F.lit(0)) != 200),
-        ("redirect", F.col("_redirected") & ~X.related_domains("_host", "_final")),
-        ("small", F.coalesce(F.col("_size"), F.lit(0)) < 500),
-        ("parked", F.col("_parked")),
         ("", n == 0),  # nothing to check the page by: it passes
-        ("domain_title", F.col("_echo") & (F.col("_size") < 10_000)),
-        ("generic_words", words & (found > 0) & (own == 0)),
-        ("no_words", words & (found == 0)),
-        ("few_words", words & (((n >= 4) & (own < 2)) | ((n == 3) & (own < 2) & (count("_own", 7) == 0)))),
-        ("redirect_words", words & (n >= 3) & F.col("_redirected") & ((found < 2) | (count("_own", 5) == 0))),
-        ("short_words", words & (n == 2) & ((count("_found", 5) == 0) | ((count("_words", 5) == 2) & (count("_found", 5) < 2)))),
-        ("single_word", words & (n == 1) & ~F.when(F.col("_echo"), X.has_word(X.words_of("_meta"), only)).otherwise(X.has_word("_title_words", only))),
-        ("title", (F.col("_title") != "") & (n >= 2) & (F.size(F.array_except("_titled", generic)) == 0)),
+        ("domain_title", F.col("bare_echo")),
+        ("generic_words", by_words & (found > 0) & (own == 0)),
+        ("no_words", by_words & (found == 0)),
+        ("few_words", by_words & (((n >= 4) & (own < 2)) | ((n == 3) & (own < 2) & (count("_own", 7) == 0)))),
+        ("redirect_words", by_words & (n >= 3) & F.col("redirected") & ((found < 2) | (count("_own", 5) == 0))),
+        ("short_words", by_words & (n == 2) & ((count("_found", 5) == 0) | ((count("_words", 5) == 2) & (count("_found", 5) < 2)))),
+        ("single_word", by_words & (n == 1) & ~F.array_contains(F.when(F.col("echo"), F.col("_in_meta")).otherwise(F.col("_titled")), only)),
+        ("title", F.col("titled") & (n >= 2) & (F.size(F.array_except("_titled", generic)) == 0)),
     ]
-    verdict = F.lit("")
-    for rule, failed in reversed(rules):
-        verdict = F.when(F.coalesce(failed, F.lit(False)), rule).otherwise(verdict)
-    out = p.withColumn("rejected_by", X.blank_to_null(verdict)).withColumn("is_owner", F.col("rejected_by").isNull())
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    out = p.withColumn("rejected_by", X.blank_to_null(F.coalesce("page_rejected_by", _first_of(rules))))
+    return out.withColumn("is_owner", F.col("rejected_by").isNull()).select(*pairs.columns, "is_owner", "rejected_by")
+
+
+def judge_pages(pairs: DataFrame) -> DataFrame:
+    """``owned_pages`` for rows that hold their page themselves (``name`` and the columns of a page); each different page is parsed once."""
+    rows = with_page_key(pairs)
+    facts, words = page_facts(rows.dropDuplicates(["_page"]), "_page")
+    return owned_pages(rows.drop(*PAGE), facts, words, "_page").drop("_page")
 
 
 def name_to_site(businesses: DataFrame, pages: DataFrame) -> DataFrame:
@@ -154,8 +187,10 @@ def name_to_site(businesses: DataFrame, pages: DataFrame) -> DataFrame:
     """
     made = candidate_domains(businesses)
     counts = made.groupBy("name", "country").agg(F.count(F.lit(1)).alias("candidate_count"))
-    live = pages.select("url", F.coalesce("final_url", "url").alias("final_url"), "status_code", "html", X.url_host("url").alias("domain"))
-    owned = judge_pages(made.join(live, "domain")).filter("is_owner")
+    live = with_page_key(pages.select("url", F.coalesce("final_url", "url").alias("final_url"), "status_code", "html"))
+    facts, words = page_facts(live, "_page")
+    found = live.select("_page", "url", X.url_host("url").alias("domain"))
+    owned = owned_pages(made.join(found, "domain"), facts.distinct(), words, "_page").filter("is_owner")
     scheme = F.when(F.startswith("url", F.lit("https:")), 0).otherwise(1)
     best = keep_first(owned, ["name", "country"], scheme, F.desc(F.length(F.substring_index("domain", ".", 1))), "pos", "url").select("name", "country", F.col("url").alias("website"))
     same = lambda other: F.col("b.name").eqNullSafe(F.col(f"{other}.name")) & F.col("b.country").eqNullSafe(F.col(f"{other}.country"))

@@ -9,10 +9,9 @@ from prospectra.functions.fixed_values import AMENITIES, BIDI_MARKS, NOT_A_VALUE
 from prospectra.functions.text import blank_to_null, strip
 from prospectra.operators.windows import keep_first
 
+from .keys import with_ids
+
 ELEMENT = "struct<type: string, id: bigint, lat: double, lon: double, center: struct<lat: double, lon: double>, tags: map<string, string>>"
-def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each of a file's ``elements``."""
-    return spark.read.schema(f"elements array<{ELEMENT}>").json(path, multiLine=True).select(F.explode("elements").alias("e")).select("e.*")
 
 
 def read_areas(spark: SparkSession, path: str) -> DataFrame:
@@ -57,15 +56,34 @@ def in_box(south: Column | float, west: Column | float, north: Column | float, e
     return F.col("lat").between(south, north) & F.col("lon").between(west, east)
 
 
-def in_areas(points: DataFrame, areas: DataFrame, step: float = 1.0) -> DataFrame:
-    """Points with each area (``south``, ``west``, ``north``, ``east``) that holds them.
+#: Levels of cells: at level k a side is 360 / 2^k degrees. The finest is about 40 m.
+FINEST = 20
+
+
+def _level(low: str, high: str) -> Column:
+    """The level whose cells are the smallest that are no smaller than the side of an area."""
+    side = F.greatest(F.col(high) - F.col(low), F.lit(360.0 / (1 << FINEST)))
+    return F.greatest(F.lit(0), F.floor(F.log2(F.lit(360.0) / side))).cast("int")
+
 
-    Both meet on cells of ``step`` degrees in an equi join; an area should span few cells.
+def in_areas(points: DataFrame, areas: DataFrame) -> DataFrame:
+    """Points with each area (``south``, ``west``, ``north``, ``east``) that holds them, a street or a continent.
+
+    The cells of an area have a height and a width of their own, each about its own, so that it spans
+    four of them at most. Points meet areas in an equi join on the cells of each size in use, of which
+    there are at most (FINEST + 1)^2 and mostly a few; then the box is checked. An area whose
+    south is above its north or west beyond its east holds nothing.
     """
-    cell = lambda c: F.floor(F.col(c) / step)
-    rows = areas.withColumn("_row", F.explode(F.sequence(cell("south"), cell("north")))).withColumn("_column", F.explode(F.sequence(cell("west"), cell("east"))))
-    met = points.withColumns({"_row": cell("lat"), "_column": cell("lon")}).join(rows, ["_row", "_column"])
-    return met.filter(in_box(F.col("south"), F.col("west"), F.col("north"), F.col("east"))).drop("_row", "_column")
+    cell = lambda c, level: F.floor((F.col(c).cast("double") + 360) * F.pow(F.lit(2.0), level) / 360).cast("long")
+    sized = areas.filter("south <= north AND west <= east").withColumns({"_high": _level("south", "north"), "_wide": _level("west", "east")})
+    span = lambda a, b, level: F.explode(F.sequence(cell(a, F.col(level)), cell(b, F.col(level))))
+    rows = sized.withColumn("_row", span("south", "north", "_high")).withColumn("_column", span("west", "east", "_wide"))
+    sizes = [F.struct(F.lit(r["_high"]).alias("_high"), F.lit(r["_wide"]).alias("_wide")) for r in sized.select("_high", "_wide").distinct().collect()]
+    if not sizes:
+        sizes = [F.struct(F.lit(0).alias("_high"), F.lit(0).alias("_wide"))]
+    met = points.withColumn("_size", F.explode(F.array(*sizes))).select(*points.columns, "_size.*").withColumns({"_row": cell("lat", F.col("_high")), "_column": cell("lon", F.col("_wide"))})
+    found = met.join(rows, ["_high", "_wide", "_row", "_column"])
+    return found.filter(in_box(F.col("south"), F.col("west"), F.col("north"), F.col("east"))).drop("_high", "_wide", "_row", "_column")
 
 
 def tiles(south: float, west: float, north: float, east: float, n: int, spark: SparkSession) -> DataFrame:
@@ -160,15 +178,22 @@ def contacts(rows: DataFrame, *keys: str) -> DataFrame:
     return typed.select(*keys, F.col("c.t").alias("contact_type"), F.explode("c.v").alias("value")).distinct()
 
 
-def import_elements(elements: DataFrame, filters: list[tuple[str, dict[str, str | None]]] | None = None, source: str = "osm") -> tuple[DataFrame, DataFrame]:
-    """(businesses, contacts) of the named elements. Of elements with one key the first by content (as JSON) stays."""
+def import_elements(elements: DataFrame, filters: list[tuple[str, dict[str, str | None]]] | None = None, source: str = "osm", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(businesses, contacts) of the named elements. Of elements with one key the first by content (as JSON) stays.
+
+    Ids are 64-bit hashes of the key below zero, free of collisions with each other and, where
+    ``known`` businesses are given, with theirs; elements that these hold already are left out.
+    """
     named = with_location(elements.filter(tag("name").isNotNull()))
     category = F.coalesce(match_category(filters), classify()) if filters else classify()
     rows = named.select(
-        F.sha2(F.concat_ws("|", F.lit(source), "source_id"), 256).alias("business_id"), F.lit(source).alias("source"), "source_id", tag("name").alias("name"),
+        F.lit(source).alias("source"), "source_id", tag("name").alias("name"),
         category.alias("category"), website().alias("website_url"), address().alias("address"), "lat", "lon", "tags",
     )
     rows = keep_first(rows, ["source", "source_id"], F.to_json(F.struct(*rows.columns)))
+    if known is not None and {"source", "source_id"} <= set(known.columns):
+        rows = rows.join(known.select("source", "source_id"), ["source", "source_id"], "left_anti")
+    rows = with_ids(rows, ["source", "source_id"], "business_id", known)
     return rows, contacts(rows, "business_id")
 
 

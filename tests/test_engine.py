@@ -21,6 +21,7 @@ from prospectra.operators import writers as Wr
 from prospectra.plans import passes
 from prospectra.plans import queries as Q
 from prospectra.sources import poi as P
+from prospectra.sources.elements import read_elements
 from prospectra.streaming import jobs
 
 SMALL = "/root/testdata/sf0.001"
@@ -169,7 +170,7 @@ def test_score_invariants(spark):
 
 def test_poi_import(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"elements": [{"type": "node", "id": 1, "lat": 1.0, "lon": 2.0, "tags": {"name": "N", "shop": "x", "phone": "tel:+1 / ⁦+2⁩ or none", "contact:email": "mailto:A@b.com; bad"}}, {"type": "way", "id": 2, "center": {"lat": 3.0, "lon": 4.0}, "tags": {"name": "M", "addr:street": "S", "addr:city": "C"}}, {"type": "node", "id": 3, "tags": {"shop": "x"}}]}')
-    b, c = P.import_elements(P.read_elements(spark, str(tmp_path / "p.json")))
+    b, c = P.import_elements(read_elements(spark, str(tmp_path / "p.json")))
     assert rows(b.select("source_id", "name", "category", "address", "lat")) == [("node/1", "N", "retail", None, 1.0), ("way/2", "M", "other", "S, C", 3.0)]
     assert rows(c.select("contact_type", "value")) == [("email", "a@b.com"), ("phone", "+1"), ("phone", "+2")]
     first = [("any_shop", {"shop": "*"}), ("plumber", {"craft": "plumber"})]
