@@ -1,7 +1,7 @@
 """Quality by Naive Bayes support vectors.
 
 A text is the set of its n-grams: of words up to two, and of word shapes up to three, in which a
-word that repeats the one before has a shape of its own. Indicators are scaled by the log ratio of
+word that repeats the one before has a shape of its own. N-grams go by hashes. Indicators are scaled by the log ratio of
 how often the two classes have them, counted over all labelled rows; a linear hinge-loss model of
 the scaled indicators is fitted by dual coordinate descent on a bounded sample. Margins of rows
 that a fold has not seen set the logistic curve from margin to score.
@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import pairwise
 from zlib import crc32
 
 import numpy as np
@@ -38,45 +37,70 @@ REMEMBERED_BYTES, LONG_WORD = 16 << 20, 60
 
 _ASCII = str.maketrans({**{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)}, **{chr(c): "0" for c in range(48, 58)}})
 _RUN = re.compile(r"(.)\1+", re.S)
-_SAME = "="
+#: Shape of a word that repeats the one before, in any case; no hash of a shape is as large.
+_SAME = np.uint64(0xFFFFFFFF)
 
 
 def shape(word: str) -> str:
     """Upper case, lower case and digits as A, a and 0, other characters as they are; a run is one."""
+    bare = word.rstrip(".,;:!?")
+    if bare.isalpha() and len(word) - len(bare) < 2:  # most words
+        if bare.islower():
+            return "a" + word[len(bare) :]
+        if bare.isupper():
+            return "A" + word[len(bare) :]
+        if bare[0].isupper() and bare[1:].islower():
+            return "Aa" + word[len(bare) :]
     plain = word.translate(_ASCII)
     if not plain.isascii():
         plain = "".join(c if c.isascii() else "A" if c.isupper() else "a" if c.isalpha() else c for c in plain)
     return _RUN.sub(r"\1", plain)
 
 
-class Reader:
-    """N-grams of texts as bucket numbers, with a memory of word shapes bounded in bytes."""
+class _Words(dict):
+    """Hashes of words, shape in the upper half, lower-case word in the lower; emptied at REMEMBERED_BYTES, without long words."""
 
-    def __init__(self):
-        self.known: dict[str, str] = {}
-        self.bytes = 0
+    bytes = 0
 
-    def _shape(self, word: str) -> str:
-        found = shape(word)
+    def __missing__(self, word: str) -> int:
+        found = (crc32(shape(word).encode()) & 0x7FFFFFFF) << 32 | crc32(word.lower().encode())
         if len(word) <= LONG_WORD:
             if self.bytes > REMEMBERED_BYTES:
-                self.known.clear()
+                self.clear()
                 self.bytes = 0
-            self.known[word] = found
-            self.bytes += 200 + 8 * len(word)
+            self[word] = found
+            self.bytes += 200 + 4 * len(word)
         return found
 
+
+def _mixed(kind: int, *parts: np.ndarray) -> np.ndarray:
+    """Bucket numbers of n-grams of a kind from the hashes of their parts."""
+    out = np.full(len(parts[0]), kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, "u8")
+    for x in parts:
+        out = (out ^ x) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return out % np.uint64(BUCKETS)
+
+
+class Reader:
+    """N-grams of texts as bucket numbers, with a memory of words bounded in bytes."""
+
+    def __init__(self):
+        self.known = _Words()
+
     def features(self, text: str | None) -> np.ndarray:
-        """Sorted distinct bucket numbers of a whole text; none for one without words."""
+        """Sorted distinct bucket numbers of a whole text; none for one without words. Time and memory go with its words."""
         words = (text or "").split()
-        known = self.known
-        shapes = [_SAME if w == before else known.get(w) or self._shape(w) for before, w in pairwise(["", *words])]
-        low = [w.lower() for w in words]
-        grams: set[str] = {f"1{s}" for s in set(shapes)} | {f"w{w}" for w in set(low)}
-        grams.update(f"2{a}\x00{b}" for a, b in set(pairwise(shapes)))
-        grams.update(f"3{a}\x00{b}\x00{c}" for a, b, c in set(zip(shapes, shapes[1:], shapes[2:], strict=False)))
-        grams.update(f"v{a}\x00{b}" for a, b in set(pairwise(low)))
-        return np.unique(np.fromiter((crc32(g.encode()) for g in grams), "i8", len(grams)) % BUCKETS)
+        if not words:
+            return np.zeros(0, "i8")
+        hashes = np.fromiter(map(self.known.__getitem__, words), "u8", len(words))
+        word, shapes = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32)
+        shapes[1:][word[1:] == word[:-1]] = _SAME
+        one, two = np.unique(word), np.unique(word[:-1] << np.uint64(32) | word[1:])
+        low = np.uint64(0xFFFFFFFF)
+        pairs = np.unique(shapes[:-1] << np.uint64(32) | shapes[1:])
+        grams = [_mixed(1, one), _mixed(2, two >> np.uint64(32), two & low), _mixed(3, np.unique(shapes)), _mixed(4, pairs >> np.uint64(32), pairs & low), _mixed(5, shapes[:-2], shapes[1:-1], shapes[2:])]
+        return np.unique(np.concatenate(grams)).astype("i8")
 
 
 def log_ratios(n1: np.ndarray, n0: np.ndarray, rows1: int, rows0: int) -> np.ndarray:
@@ -96,12 +120,13 @@ def fit_hinge(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, cost: f
     outward are passed over.
     """
     w, a, rng = np.zeros(len(ratios) + 1), np.zeros(len(rows)), np.random.default_rng(seed)
-    values = [ratios[r] for r in rows]
-    square = np.array([v @ v + 1.0 for v in values]) if rows else np.zeros(0)
+    squares = ratios * ratios
+    square = np.array([squares[r].sum() + 1.0 for r in rows])
     for _ in range(passes):
         moved = 0.0
         for i in rng.permutation(len(rows)).tolist():
-            at, v = rows[i], values[i]
+            at = rows[i]
+            v = ratios[at]
             slope = y[i] * (w[at] @ v + w[-1]) - 1.0
             new = min(max(a[i] - slope / square[i], 0.0), cost)
             step = new - a[i]
@@ -181,9 +206,14 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, labe
         return Model(np.zeros(BUCKETS), 0.0, (1.0, float(np.log((sizes.get(1, 0) + 1) / (sizes.get(0, 0) + 1)))))
 
     share = min(1.0, TRAINING_ROWS / total)
-    sample = train.filter(F.col("chance") < share * 2**32).orderBy("chance", "y").select("y", "ids").toPandas()
-    sample["ids"] = [np.asarray(r, "i8") for r in sample["ids"]]
-    kept, y = [r[ratios[r] != 0] for r in sample["ids"]], np.where(sample["y"] > 0, 1.0, -1.0)
+    counts = docs.sparkSession.sparkContext.broadcast(ratios != 0)  # a flag for each bucket
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"y": batch["y"], "chance": batch["chance"], "ids": [ids[counts.value[ids]].astype("<i4").tobytes() for ids in batch["ids"]]})
+
+    sample = train.filter(F.col("chance") < share * 2**32).mapInPandas(packed, "y int, chance long, ids binary").toPandas().sort_values(["chance", "y", "ids"])
+    kept, y = [np.frombuffer(r, "<i4") for r in sample["ids"]], np.where(sample["y"] > 0, 1.0, -1.0)
     fold, margins = np.arange(len(kept)) % 2, np.zeros(len(kept))
     for k in (0, 1):
         mine, other = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
