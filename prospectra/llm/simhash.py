@@ -334,10 +334,9 @@ SHARED_PARTS, PARTS = 4, 5
 #: Documents whose shingles are counted so that frequent ones come last in the order of prefixes, how often
 #: one must occur there, and how many the driver takes. The order decides the work, never what is linked.
 ORDER_SAMPLE, LEAST_OFTEN, MOST_FREQUENT = 20_000, 3, 100_000
-#: How often the sets of a file that do not hang together yet meet some of them, and how many that stand after
-#: each, before all that are left are compared.
-ROUNDS, NEIGHBOURS = 2, 8
-#: Members of a file that are ordered together in these rounds; a larger file is dealt into several.
+#: How many sets that stand after it in its file each meets, before all that are left are compared.
+NEIGHBOURS = 8
+#: Members of a file that are ordered together for this; a larger file is dealt into several.
 ORDERED = 20_000
 #: Sets of a block; a file with more is compared block by block.
 BLOCK_SETS = 1024
@@ -497,11 +496,11 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     from files of a prefix join: with all shingles in one order, two sets that similar share one of
     their first n - ceil(0.8 n) + 1, and at the first they share the rest of both must still be long
     enough. Pairing all sets of a file at once would grow with the square of a group of copies. So
-    in ROUNDS rounds each meets the one nearest to the middle of its group and the NEIGHBOURS after
-    it in an order by chance, and fingerprints within 4 bits meet too; what hangs together then is
-    not compared again. Then all other pairs of every file are held against each other by sketches
-    that bound their difference, in blocks, and what these leave is compared: first the closest of
-    each two components, then ever more until no pair is left.
+    first each meets the one nearest to the middle of its group and the NEIGHBOURS after it in an
+    order by chance, which is every pair of a small file, and fingerprints within 4 bits meet too.
+    What hangs together then is not compared again. All other pairs of every larger file are held
+    against each other by sketches that bound their difference, in blocks, and what these leave is
+    compared: first the closest of each two components, then ever more until no pair is left.
     Documents without words, null texts among them, are linked with each other only. Repeated rows
     come back as often as they came, rows without an id too; an empty table gives none; other
     columns are ignored.
@@ -528,7 +527,7 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     file = Window.partitionBy("shingle")
     filed = filed.select("shingle", "node", (F.shiftleft("n", 32) + F.col("at")).alias("place"))
     filed = filed.withColumns({"_low": F.min("node").over(file), "_high": F.max("node").over(file), "_size": F.count(F.lit(1)).over(file)}).filter("_low < _high")
-    filed = stored(filed.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("_size") / ORDERED))).drop("_low", "_high", "_size"), "filed")
+    filed = stored(filed.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("_size") / ORDERED))).drop("_low", "_high").withColumnRenamed("_size", "size"), "filed")
     # a set with more of its first shingles in files with others is nearer to the middle of its group
     shared = filed.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
 
@@ -541,39 +540,30 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     prints = nodes.select(F.col("w0").alias("node"), "w0").distinct()
     print_roots = components(links(stored(prints, "prints"))).withColumnRenamed("node", "w0")
     rooted = nodes.join(print_roots, "w0", "left").select("node", F.coalesce("root", "w0").alias("_root"))
-    close = stored(rooted.join(rooted.groupBy("_root").agg(F.min("node").alias("a")), "_root").select("a", F.col("node").alias("b")).filter("a < b"), "close")
-    sets = _sets(shared.select("node").union(close.select("a")).union(close.select("b")).distinct(), nodes, texts, words)
-
-    def compared(pairs: DataFrame) -> None:
-        """Compare pairs that have not been, and keep which have been and which are similar."""
-        nonlocal tried, near
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-        similar = _similar_pairs(pairs, sets)
-        tried, near = (pairs, similar) if tried is None else (tried.union(pairs), near.union(similar))
-
-    def unsettled() -> DataFrame:
-        """The files whose sets do not all hang together yet, with the head of what each hangs together with."""
-        heads = components(near).withColumnRenamed("root", "head")
-        headed = left.drop("head").join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
-        return stored(headed.withColumns({"_low": F.min("head").over(file), "_high": F.max("head").over(file)}).filter("_low < _high").drop("_low", "_high"), "left")
+    close = rooted.join(rooted.groupBy("_root").agg(F.min("node").alias("a")), "_root").select("a", F.col("node").alias("b")).filter("a < b")
 
-    tried, near, left = None, None, filed.join(shared, "node").withColumn("head", F.col("node"))
+    own = F.struct("node", "place")
     dealt = Window.partitionBy("shingle", "part")
-    for k in range(ROUNDS):
-        by_chance, own = F.xxhash64("node", F.lit(k)), F.struct("node", "place", "head")
-        after = dealt.orderBy(by_chance, "node").rowsBetween(1, NEIGHBOURS)
-        met = left.withColumns({"_middle": F.max(F.struct("shared", by_chance, own.alias("own"))).over(dealt)["own"], "_after": F.collect_list(own).over(after)})
-        others = F.filter(F.concat(F.array("_middle"), "_after"), lambda x: (x["head"] != F.col("head")) & meet(F.col("place"), x["place"]))
-        pairs = met.select("node", F.explode(others).alias("_with")).select(F.least("node", "_with.node").alias("a"), F.greatest("node", "_with.node").alias("b"))
-        compared((pairs.union(close) if tried is None else pairs).distinct())
-        left = unsettled()
-    most = NEIGHBOURS
-    while True:  # until no pair of different heads is left that the sketches admit
-        found = stored(_open(left.select("shingle", "node", "place", "head"), sets, most), "open")
-        compared(found.filter("NOT cut").select("a", "b").distinct())
+    by_chance = F.xxhash64("node", F.lit("order"))
+    met = filed.join(shared, "node").withColumns({"_middle": F.max(F.struct("shared", by_chance, own.alias("own"))).over(dealt)["own"], "_after": F.collect_list(own).over(dealt.orderBy(by_chance, "node").rowsBetween(1, NEIGHBOURS))})
+    others = F.filter(F.concat(F.array("_middle"), "_after"), lambda x: (x["node"] != F.col("node")) & meet(F.col("place"), x["place"]))
+    pairs = met.select("node", F.explode(others).alias("_with")).select(F.least("node", "_with.node").alias("a"), F.greatest("node", "_with.node").alias("b"))
+    tried = stored(pairs.union(close).distinct(), "tried")
+
+    # all pairs of a file that is not larger have met
+    large = filed.filter(F.col("size") > NEIGHBOURS + 1).select("shingle", "node", "place")
+    sets = _sets(large.select("node").union(tried.select("a")).union(tried.select("b")).distinct(), nodes, texts, words)
+    near, most = _similar_pairs(tried, sets), NEIGHBOURS
+    while True:  # until no pair of sets that do not hang together is left that the sketches admit
+        heads = components(near).withColumnRenamed("root", "head")
+        headed = large.join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
+        left = headed.withColumns({"_low": F.min("head").over(file), "_high": F.max("head").over(file)}).filter("_low < _high").drop("_low", "_high")
+        found = stored(_open(stored(left, "left"), sets, most), "open")
+        pairs = stored(found.filter("NOT cut").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+        tried, near = tried.union(pairs), near.union(_similar_pairs(pairs, sets))
         if not found.filter("cut").limit(1).count():
             break
-        left, most = unsettled(), 16 * most
+        most *= 16
 
     roots = components(near).withColumnRenamed("node", "_node")
     named = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("name", "least", F.coalesce("root", "node").alias("root"))
