@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prospectra.functions import text as X
 
-from .windows import keep_first, latest
+from .windows import batch, keep_first, latest
 
 
 def fold_record_checks(checks: DataFrame) -> DataFrame:
@@ -69,9 +69,9 @@ def organizations_for(domains: DataFrame, organizations: DataFrame) -> DataFrame
     return rows.select("domain_id", F.coalesce("_known", made).alias("org_id"), "domain", F.col("_known").isNull().alias("is_new"))
 
 
-def role_contacts(domains: DataFrame, observations: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(domains with their next status, new role contacts) of domains that are verified without a host."""
-    due = domains.filter(F.col("status").isin("verified_unhosted", "checked"))
+def role_contacts(domains: DataFrame, observations: DataFrame, known: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(domains with their next status, new role contacts) of domains that are verified without a host; with a limit so many of them, by name."""
+    due = batch(domains.filter(F.col("status").isin("verified_unhosted", "checked")), [F.col("domain")], limit)
     seen = latest(observations, ["domain"], "observation").select("domain", "has_mx")
     rows = due.join(seen, "domain", "left")
     reachable = rows.filter(_true("has_mx"))

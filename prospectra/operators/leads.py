@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prospectra.functions import text as X
 
-from .windows import page
+from .windows import batch, page
 
 ACTIVE = ["hosted", "parked", "registered_no_web", "registered_dns_only", "mx_missing"]
 QUALIFIED = ["verified_unhosted", "checked", "no_mx", "enriched", "no_contacts", "unregistered_candidate"]
@@ -81,10 +81,14 @@ def page_with_total(rows: DataFrame, limit: int | None = None, offset: int = 0)
     return out.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1))), "_one").drop("_one")  # one row
 
 
-def lead_export(leads: DataFrame, ledger: DataFrame, platform: str, day: Column, limit: int | None = None, fresh_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows to write, ledger rows): the best leads not yet exported on the platform, or with ``fresh_only`` on any."""
+def lead_export(leads: DataFrame, ledger: DataFrame, platform: str, day: Column, limit: int | None = None, fresh_only: bool = False, max_written: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to write, ledger rows): the best leads not yet exported on the platform, or with ``fresh_only`` on any.
+
+    A ``limit`` under one is none; ``max_written`` bounds the rows besides, and zero or less writes none.
+    """
     rows = unexported(leads, ledger, None if fresh_only else platform).orderBy(*best_first())
     rows = rows.limit(limit) if limit is not None and limit > 0 else rows
+    rows = rows.limit(max(0, max_written)) if max_written is not None else rows
     return rows, rows.select("business_id", F.lit(platform).alias("platform"), day.alias("exported_on"), F.lit("queued").alias("status"))
 
 
@@ -106,19 +110,21 @@ def daily_fill(leads: DataFrame, ledger: DataFrame, platform: str, target: int,
     return ranked.withColumn("_one", F.lit(1)).join(F.broadcast(left), "_one").filter(F.col("fill_rank") <= F.col("_left")).withColumn("recycled", F.col("_before") == 1).drop("_before", "_left", "_one")
 
 
-def contact_export(contacts: DataFrame, domains: DataFrame, ledger: DataFrame, platform: str, min_score: float | None = None) -> DataFrame:
+def contact_export(contacts: DataFrame, domains: DataFrame, ledger: DataFrame, platform: str, min_score: float | None = None, limit: int | None = None) -> DataFrame:
+    """Contacts of enriched domains that the platform does not have; with a limit the best of them, by id where they tie."""
     rows = contacts.join(domains.filter("status = 'enriched'").select("domain_id", "domain"), "domain_id")
     if min_score is not None:
         rows = rows.filter(F.col("lead_score") >= min_score)
-    return rows.join(ledger.filter(F.col("platform") == platform), "contact_id", "left_anti")
+    rows = rows.join(ledger.filter(F.col("platform") == platform), "contact_id", "left_anti")
+    return batch(rows, [F.desc_nulls_last("lead_score"), F.col("contact_id")], limit)
 
 
 def joined(c: str, separator: str = ";") -> Column:
     return F.array_join(F.sort_array(F.coalesce(F.col(c), F.array().cast("array<string>"))), separator)
 
 
-def _text(c: str, name: str | None = None) -> Column:
-    return F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name or c)
+def _text(c: str | Column, name: str | None = None) -> Column:
+    return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")).alias(name or c)
 
 
 def lead_sheet(leads: DataFrame, separator: str = ";") -> DataFrame:
@@ -144,9 +150,11 @@ def contact_sheet(contacts: DataFrame) -> DataFrame:
     return contacts.select(*[_text(c) for c in ("domain", "organization", "email", "first_name", "last_name", "title", "source", "lead_score")])
 
 
-def no_website_sheet(businesses: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Businesses without a website with their phones and addresses in order of entry."""
-    in_order = lambda kind: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("contact_type") == kind, F.struct("contact_id", "value")))), lambda x: x["value"]), ";")
-    lists = contacts.groupBy("business_id").agg(in_order("phone").alias("phones"), in_order("email").alias("emails"))
-    rows = businesses.filter(F.coalesce("website_url", F.lit("")) == "").join(lists, "business_id", "left")
-    return rows.withColumns({"phones": F.coalesce("phones", F.lit("")), "emails": F.coalesce("emails", F.lit(""))})
+def no_website_sheet(businesses: DataFrame, contacts: DataFrame, cities: DataFrame) -> DataFrame:
+    """The 11 columns of businesses without a website; phones and addresses in order of entry, nulls as empty, a zero coordinate too."""
+    in_order = lambda kind: F.array_join(F.transform(F.sort_array(F.collect_list(F.when((F.col("contact_type") == kind) & (F.col("value") != ""), F.struct("contact_id", "value")))), lambda x: x["value"]), ";")
+    lists = contacts.groupBy("business_id").agg(in_order("phone").alias("phone"), in_order("email").alias("email"))
+    places = cities.select("city_id", F.col("name").alias("city"), "country")
+    rows = businesses.filter(F.coalesce("website_url", F.lit("")) == "").join(lists, "business_id", "left").join(places, "city_id", "left")
+    at = lambda c: _text(F.when(F.col(c) != 0, F.col(c)), c)
+    return rows.select(*[_text(c) for c in ("name", "category", "address", "city", "country", "phone", "email")], at("lat"), at("lon"), _text("source"), _text("source_id"))

@@ -95,16 +95,40 @@ def recent_jobs(runs: DataFrame, limit: int) -> DataFrame:
     return runs.orderBy(F.desc("started_on"), F.desc("run_id")).limit(limit)
 
 
-def metrics_report(businesses: DataFrame, verifications: DataFrame, scored: DataFrame, domains: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(``section``, ``key``, ``value``) of all counts."""
+def metrics_report(
+    businesses: DataFrame, verifications: DataFrame, scored: DataFrame, domains: DataFrame, ledger: DataFrame, contacts: DataFrame | None = None, contact_ledger: DataFrame | None = None, runs: DataFrame | None = None, recent: int = 10,
+) -> DataFrame:
+    """(``section``, ``key``, ``value``) of all counts.
+
+    Contacts count by score, both ledgers by what is queued, and the last runs of jobs come with what
+    each has processed (key: place, job, status, start) where their tables are given.
+    """
     tall = lambda df, section, key, value: df.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"), F.col(value).cast("long").alias("value"))
-    totals = business_totals(scored)
-    wide = totals.select(F.lit("businesses").alias("section"), F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("long").alias("value")) for c in totals.columns])))
-    out = wide.unionByName(tall(histogram(domains, "status"), "domains", "status", "n")).unionByName(tall(coverage(verifications), "coverage", "source", "businesses"))
+
+    def wide(row: DataFrame, section: str) -> DataFrame:
+        """A row of counts as one row each."""
+        return row.select(F.lit(section).alias("section"), F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("long").alias("value")) for c in row.columns])))
+
+    count = lambda rows, c: rows.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
     split = conclusive_split(verifications)
-    out = out.unionByName(tall(split, "conclusive", "source", "conclusive")).unionByName(tall(split, "inconclusive", "source", "inconclusive"))
-    out = out.unionByName(tall(confidence_distribution(scored), "confidence", "confidence", "n"))
-    return out.unionByName(tall(histogram(ledger, "platform"), "exports", "platform", "n"))
+    sections = [
+        wide(business_totals(scored), "businesses"), tall(count(domains, "status"), "domains", "status", "n"), tall(coverage(verifications), "coverage", "source", "businesses"),
+        tall(split, "conclusive", "source", "conclusive"), tall(split, "inconclusive", "source", "inconclusive"), tall(confidence_distribution(scored), "confidence", "confidence", "n"), tall(count(ledger, "platform"), "exports", "platform", "n"),
+    ]
+    if "status" in ledger.columns:
+        sections.append(wide(export_totals(ledger), "business_exports"))
+    if contacts is not None:
+        sections.append(wide(contact_totals(contacts), "contacts"))
+    if contact_ledger is not None:
+        sections.append(wide(export_totals(contact_ledger), "contact_exports"))
+    if runs is not None:
+        last = recent_jobs(runs, recent)
+        place = F.row_number().over(Window.orderBy(F.desc("started_on"), F.desc("run_id")))  # as many rows as are asked for
+        sections.append(tall(last.withColumn("key", F.concat_ws("|", place.cast("string"), "job_name", "status", F.col("started_on").cast("string"))), "jobs", "key", "processed"))
+    out = sections[0]
+    for x in sections[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def run_summary(stages: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from prospectra.functions import fixed_values as V
 from prospectra.functions import text as X
 
 from .evidence import business_confidence
+from .windows import keep_first
 
 
 def contact_sets(contacts: DataFrame) -> DataFrame:
@@ -127,3 +128,49 @@ def score_contacts(contacts: DataFrame, domains: DataFrame, features: DataFrame)
     )
     out = status.isin("hosted", "parked")
     return rows.withColumns({"lead_score": F.when(out, 0).otherwise(F.least(total, F.lit(100))).cast("decimal(6,2)"), "disqualified": out})
+
+
+#: The set that holds a domain by its status, besides ``domains``.
+STATUS_SETS = {
+    "verified_unhosted_domains": V.VERIFIED_UNHOSTED, "unregistered_domains": V.UNREGISTERED, "hosted_domains": ["hosted"], "parked_domains": ["parked"],
+    "registered_domains": V.REGISTERED, "unknown_domains": V.UNKNOWN_STATUS,
+}
+
+
+def feature_changes(contact_changes: DataFrame, link_changes: DataFrame, domain_changes: DataFrame, links: DataFrame) -> DataFrame:
+    """(``business_id``, ``set``, ``value``, ``added``): what changes do to the sets of the businesses that they touch.
+
+    ``contact_changes`` have ``business_id``, ``contact_type``, ``value``, ``link_changes`` a
+    ``business_id``, ``domain`` and ``status``, ``domain_changes`` a ``domain`` and its new ``status``; the first two
+    have ``added`` (false: removed) and all a ``change`` number: of changes to one thing the last
+    counts. ``links`` are those before the changes; domains that change reach businesses by them
+    and by the links that come in.
+    """
+    last = lambda rows, *keys: keep_first(rows, list(keys), F.desc("change"))
+    c = last(contact_changes, "business_id", "contact_type", "value")
+    mail, own = F.col("contact_type") == "email", X.email_domain("value")
+    sets = F.array_compact(F.array(F.when(mail, "emails"), F.when(mail & own.isNotNull() & ~X.is_public_mail_domain(own), "business_emails"), F.when(F.col("contact_type") == "phone", "phones")))
+    contacts = c.select("business_id", F.explode(sets).alias("set"), "value", "added")
+    usable = ~X.is_public_mail_domain("domain")
+    changed = last(domain_changes, "domain").select("domain", F.col("status").alias("_now"))
+    linked = last(link_changes, "business_id", "domain")
+    # links that stay, of domains that change, are as if they came in anew
+    moved = links.select("business_id", "domain", "status").join(changed.select("domain"), "domain", "left_semi").join(linked, ["business_id", "domain"], "left_anti").withColumn("added", F.lit(True))
+    d = linked.select("business_id", "domain", "status", "added").unionByName(moved).filter(usable).join(changed, "domain", "left").withColumn("status", F.coalesce("_now", "status", F.lit("")))
+    named = [F.struct(F.lit("domains").alias("set"), F.col("added"))]
+    named += [F.struct(F.lit(name).alias("set"), (F.col("added") & F.col("status").isin(statuses)).alias("added")) for name, statuses in STATUS_SETS.items()]
+    domains = d.select("business_id", F.col("domain").alias("value"), F.explode(F.array(*named)).alias("x")).select("business_id", "x.set", "value", "x.added")
+    return contacts.unionByName(domains).distinct()
+
+
+def changed_features(features: DataFrame, changes: DataFrame) -> DataFrame:
+    """The rows of ``features`` that changes touch, with their sets after them; a business without a row starts from empty sets.
+
+    No contact, link or domain is read again: each set loses what has been removed and gains what
+    has been added.
+    """
+    pick = lambda c, added: F.collect_set(F.when((F.col("set") == c) & (F.col("added") if added else ~F.col("added")), F.col("value")))
+    delta = changes.groupBy("business_id").agg(*[pick(c, True).alias(f"_add_{c}") for c in SETS], *[pick(c, False).alias(f"_cut_{c}") for c in SETS])
+    rows = delta.join(features.select("business_id", *SETS), "business_id", "left")
+    none = F.array().cast("array<string>")
+    return rows.select("business_id", *[F.sort_array(F.array_union(F.array_except(F.coalesce(F.col(c), none), F.col(f"_cut_{c}")), F.col(f"_add_{c}"))).alias(c) for c in SETS])

@@ -24,7 +24,9 @@ def latest_checkpoint(checkpoints: DataFrame) -> DataFrame:
 
 
 def after_cursor(rows: DataFrame, ts: str, key: str, at: object, last: object) -> DataFrame:
-    """Rows after a (time, key) cursor."""
+    """Rows after a (time, key) cursor; without a cursor (``at`` None) all rows, as from the start."""
+    if at is None:
+        return rows
     return rows.filter((F.col(ts) > at) | ((F.col(ts) == at) & (F.col(key) > last)))
 
 
@@ -35,6 +37,11 @@ def page(rows: DataFrame, order: list[Column], limit: int | None = None, offset:
     return out.limit(limit) if limit is not None and limit > 0 else out
 
 
+def batch(rows: DataFrame, order: list[Column], limit: int | None = None) -> DataFrame:
+    """At most so many rows, the first in the order; no limit or one under 1 gives all, unsorted."""
+    return page(rows, order, limit) if limit is not None and limit > 0 else rows
+
+
 def work_queue(rows: DataFrame, *first: Column) -> DataFrame:
     """Rows that meet the conditions first, then by score, best first and unscored last, then by age."""
     return rows.orderBy(*[c.desc() for c in first], F.desc_nulls_last("lead_score"), "created_at", "business_id")

@@ -144,48 +144,16 @@ def _validated(spark, d):
     return passes.validate_domains(N.businesses(spark, d), N.business_contacts(spark, d), N.domains(spark, d), N.links(spark, d), _observed(spark, d), N.verifications(spark, d), _branded())
 
 
-def _whole_pass(spark, d):
-    """One pass over the driver's tables; role contacts of every third domain are there already."""
-    known = N.contacts(spark, d).filter("domain_id % 3 = 0").select("domain_id", "email", "source")
-    none = spark.createDataFrame([], "contact_id string, platform string")
-    _, results = _search_results(spark, d)
-    return passes.one_pass(
-        N.businesses(spark, d), N.business_contacts(spark, d), N.domains(spark, d), N.links(spark, d), _observed(spark, d), N.verifications(spark, d), known, N.organizations(spark, d),
-        N.business_exports(spark, d), none, at=F.lit("1998-01-01").cast("timestamp_ntz"), platform="1-URGENT", limit=100, results=results, branded=_branded(),
-    )
-
-
-#: Domains after role contacts, and evidence with a row for each business that has search results, of which none holds its name.
-PASSED = CHECKED | {
-    "enriched": """SELECT domain, CASE WHEN status = 'verified_unhosted' THEN CASE WHEN p % 3 <> 0 OR p IS NULL THEN 'mx_missing' WHEN (SELECT min(domain_id) FROM domains x WHERE x.domain = c.domain) % 3 = 0 THEN 'no_contacts' ELSE 'enriched' END ELSE status END AS status
-        FROM checked c LEFT JOIN seen USING (domain)""",
-    "links": CHECKED["links"].replace("JOIN checked", "JOIN enriched"),
-    "old_verifications": ENTITIES["verifications"],
-    "verifications": """SELECT business_id, source, result FROM old_verifications UNION ALL SELECT page_id, 'ddg', 'no_website' FROM pages WHERE page_id IN (SELECT business_id FROM businesses)
-        AND page_id NOT IN (SELECT business_id FROM old_verifications WHERE source = 'ddg')""",
-}
-
-
-@query("SELECT business_id, lead_score, confidence, reason FROM scored", **PASSED)
-def one_pass(spark, d):
-    return _whole_pass(spark, d)["scored"].select("business_id", _int("lead_score"), "confidence", "reason")
-
-
-@query("SELECT business_id FROM scored WHERE website_url IS NULL AND business_id NOT IN (SELECT business_id FROM exports WHERE platform = '1-URGENT') ORDER BY lead_score DESC, created_at, business_id LIMIT 100", **PASSED)
-def one_pass_export(spark, d):
-    return _whole_pass(spark, d)["ledger"].select("business_id")
-
-
-@query("SELECT domain_id, email FROM role_contacts JOIN domains USING (domain_id) JOIN enriched USING (domain) WHERE enriched.status = 'enriched'", **PASSED)
-def one_pass_contacts(spark, d):
-    return _whole_pass(spark, d)["contact_export"].select("domain_id", "email")
-
-
-@query("SELECT event_id FROM events, (SELECT ts AS t, event_id AS e FROM events WHERE event_id = 100) WHERE ts > t OR (ts = t AND event_id > e) ORDER BY ts, event_id LIMIT 100")
+@query("""SELECT 'after' AS page, event_id FROM (SELECT event_id FROM events, (SELECT ts AS t, event_id AS e FROM events WHERE event_id = 100) WHERE ts > t OR (ts = t AND event_id > e) ORDER BY ts, event_id LIMIT 100)
+    UNION ALL SELECT 'start', event_id FROM (SELECT event_id FROM events ORDER BY ts, event_id LIMIT 100)""")
 def keyset_page(spark, d):
+    """The page after a cursor, and the one that a cursor which does not read gives: the first."""
     e = N.table(spark, d, "events")
-    last = e.filter("event_id = 100").select("ts").first()
-    return W.after_cursor(e, "ts", "event_id", last["ts"] if last else None, 100).orderBy("ts", "event_id").limit(100).select("event_id")
+    own = X.cursor("ts", "event_id")  # a cursor tells seconds; the row that it names has them all
+    at = e.filter("event_id = 100").select("ts", X.parse_cursor(own)["key"].cast("long").alias("key"), X.parse_cursor(F.lit("no cursor"))["at"].alias("none")).first()
+    pages = {"after": W.after_cursor(e, "ts", "event_id", at["ts"], at["key"]), "start": W.after_cursor(e, "ts", "event_id", at["none"], None)}
+    some = [x.orderBy("ts", "event_id").limit(100).select(F.lit(name).alias("page"), "event_id") for name, x in pages.items()]
+    return some[0].unionByName(some[1])
 
 
 @query("SELECT domain, n IS NOT NULL AS has_crawl_data, coalesce(n, 0) AS record_count FROM domains LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) ON user_id = domain_id")
@@ -216,12 +184,11 @@ def no_phone_queue(spark, d):
     return W.work_queue(rows, F.col("website_url").isNull()).limit(25).select("business_id", "name")
 
 
-@query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN 'shop_of_rings' ELSE NULL END AS category FROM part WHERE p_size % 5 <> 1 OR split_part(p_name, ' ', 2) = 'ring'")
+@query("SELECT p_partkey, CASE WHEN p_size % 5 = 1 AND split_part(p_name, ' ', 2) = 'ring' THEN 'shop_of_rings' WHEN p_size % 5 = 3 THEN 'stay' WHEN p_size % 5 = 4 AND p_partkey % 2 = 0 THEN 'coffee' END AS category FROM part")
 def first_matching_filter(spark, d):
-    filters = [("any_craft", {"craft": "*"}), ("shop_of_rings", {"shop": "ring"}), ("maker", {"craft": "ring"})]
-    rows = _part_tags(spark, d)
-    other_shops = P.has_tags({"shop": "*"}) & ~P.has_tags({"shop": "ring"})
-    return rows.filter(~other_shops).select("p_partkey", P.match_category(filters).alias("category"))
+    """Crafts match the first filter, which names no category, and so never the third; most shops match none."""
+    filters = [("any_craft", {"craft": "*"}), ("shop_of_rings", {"shop": "ring"}), ("maker", {"craft": "ring"}), ("stay", {"tourism": None}), ("coffee", {"amenity": "cafe"}), ("any_cafe", {"amenity": "cafe"})]
+    return _part_tags(spark, d).select("p_partkey", P.match_category(filters).alias("category"))
 
 
 def _scores_of(spark, d):
@@ -327,9 +294,12 @@ def title_match(spark, d):
     return parts.join(titles, "business_id").select("business_id", X.title_matches_name("title", F.lit("http://x.example/"), "name").alias("matches"))
 
 
-@query("SELECT domain_id, p_partkey AS area FROM (SELECT p_partkey, p_size - 10 AS south, p_size + 10 AS north FROM part WHERE p_partkey % 100 = 0) JOIN (SELECT domain_id, domain_id % 50 AS lat FROM domains) ON lat BETWEEN south AND north")
+@query("""SELECT domain_id, p_partkey AS area FROM (SELECT p_partkey, p_size - 10 AS south, p_size + 10 AS north FROM part WHERE p_partkey % 100 = 0) JOIN (SELECT domain_id, domain_id % 50 AS lat FROM domains) ON lat BETWEEN south AND north""")
 def places_in_areas(spark, d):
     """Points in latitude bands: bands and points meet by whole degrees, then the box is checked."""
     areas = N.table(spark, d, "part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("area"), (F.col("p_size") - 10).alias("south"), (F.col("p_size") + 10).alias("north")).withColumns({"west": F.lit(-1), "east": F.lit(1)})
     points = N.domains(spark, d).select("domain_id", (F.col("domain_id") % 50).cast("double").alias("lat"), F.lit(0.0).alias("lon"))
     return P.in_areas(points, areas).select("domain_id", "area")
+
+
+from . import pass_queries, table_queries  # noqa: E402, F401  register themselves

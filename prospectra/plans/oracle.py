@@ -93,4 +93,4 @@ def sql(body: str, **more: str) -> str:
                 ordered.append(name)
 
     need(body)
-    return ("WITH " + ", ".join(f"{n} AS ({parts[n]})" for n in ordered) + " " if ordered else "") + body
+    return ("WITH " + ", ".join(f"{n} AS MATERIALIZED ({parts[n]})" for n in ordered) + " " if ordered else "") + body

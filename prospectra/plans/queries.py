@@ -366,10 +366,12 @@ def role_enrichment(spark, d):
     return D.role_contacts(N.domains(spark, d), N.observations(spark, d).drop("html"), none)[0].select("domain", "status")
 
 
-@query("SELECT business_id, name, phones, emails FROM features WHERE website_url IS NULL")
+@query("""SELECT f.name, category, 'No. ' || business_id AS address, coalesce(c.name, '') AS city, coalesce(c.country, '') AS country, phones AS phone, emails AS email, CASE WHEN business_id % 50 = 0 THEN '' ELSE CAST(business_id % 50 AS VARCHAR) || '.5' END AS lat,
+    '' AS lon, 'customer' AS source, CAST(business_id AS VARCHAR) AS source_id FROM features f LEFT JOIN cities c USING (city_id) WHERE website_url IS NULL""")
 def no_website_export(spark, d):
-    contacts = N.business_contacts(spark, d).withColumn("contact_id", F.col("value"))
-    return L.no_website_sheet(N.businesses(spark, d), contacts).select("business_id", "name", "phones", "emails")
+    i = F.col("business_id")
+    placed = N.businesses(spark, d).withColumns({"address": F.concat(F.lit("No. "), i.cast("string")), "lat": F.when(i % 50 == 0, 0.0).otherwise(i % 50 + 0.5), "lon": F.lit(None).cast("double"), "source": F.lit("customer"), "source_id": i.cast("string")})
+    return L.no_website_sheet(placed, N.business_contacts(spark, d).withColumn("contact_id", F.col("value")), N.cities(spark, d))
 
 
 # --- metrics
@@ -461,10 +463,17 @@ def daily_target(spark, d):
     UNION ALL SELECT 'inconclusive', source, count(*) FILTER (result NOT IN ('no_website', 'no_match', 'has_website')) FROM verifications GROUP BY 2
     UNION ALL SELECT 'confidence', c, count(business_id) FROM (VALUES ('high'), ('medium'), ('low'), ('unverified')) AS v(c) LEFT JOIN (SELECT * FROM scored WHERE website_url IS NULL) ON confidence = c GROUP BY 2
     UNION ALL SELECT 'businesses', k, CASE k WHEN 'total' THEN (SELECT count(*) FROM scored) WHEN 'scored' THEN (SELECT count(*) FROM scored) WHEN 'unscored' THEN 0 ELSE (SELECT count(*) FROM scored WHERE website_url IS NULL) END
-    FROM (VALUES ('total'), ('no_website'), ('scored'), ('scored_no_website'), ('unscored')) AS w(k)""")
+    FROM (VALUES ('total'), ('no_website'), ('scored'), ('scored_no_website'), ('unscored')) AS w(k)
+    UNION ALL SELECT 'contacts', k, CASE k WHEN 'total' THEN (SELECT count(*) FROM role_contacts) WHEN 'scored' THEN (SELECT count(*) FROM role_contacts WHERE domain_id % 2 = 0) ELSE (SELECT count(*) FROM role_contacts WHERE domain_id % 2 <> 0) END
+    FROM (VALUES ('total'), ('scored'), ('unscored')) AS x(k)
+    UNION ALL SELECT 'business_exports', k, CASE k WHEN 'total' THEN (SELECT count(*) FROM exports) ELSE (SELECT count(*) FROM exports WHERE platform = '1-URGENT') END FROM (VALUES ('total'), ('queued')) AS y(k)
+    UNION ALL SELECT 'contact_exports', k, (SELECT count(*) FROM role_contacts WHERE domain_id % 3 = 0) FROM (VALUES ('total'), ('queued')) AS z(k)
+    UNION ALL SELECT 'jobs', row_number() OVER (ORDER BY started_on DESC, run_id DESC) || '|' || job_name || '|' || status || '|' || started_on, CAST(floor(processed) AS BIGINT) FROM (SELECT * FROM job_runs ORDER BY job_runs.started_on DESC, run_id DESC LIMIT 10)""")
 def metrics_report(spark, d):
-    v = N.verifications(spark, d)
-    return M.metrics_report(N.businesses(spark, d), v, scored(spark, d), N.domains(spark, d), N.business_exports(spark, d))
+    v, contacts = N.verifications(spark, d), N.contacts(spark, d).withColumn("lead_score", F.when(F.col("domain_id") % 2 == 0, 10))
+    ledger = N.business_exports(spark, d).withColumn("status", F.when(F.col("platform") == "1-URGENT", "queued").otherwise("sent"))
+    queued = contacts.filter("domain_id % 3 = 0").select("email", F.lit("queued").alias("status"))
+    return M.metrics_report(N.businesses(spark, d), v, scored(spark, d), N.domains(spark, d), ledger, contacts, queued, N.job_runs(spark, d))
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (domain_id % 2 = 0) AS scored, count(*) FILTER (domain_id % 2 <> 0) AS unscored FROM role_contacts")
@@ -535,15 +544,21 @@ def search_match(spark, d):
     return E.search_verdicts(named, results).select("business_id", "result", "website")
 
 
-@query("""SELECT b.p_partkey AS business_id, CASE WHEN p.p_name IS NULL THEN 'no_match' WHEN list_contains(string_split(p.p_name, ' '), split_part(b.p_name, ' ', 1)) OR list_contains(string_split(p.p_name, ' '), split_part(b.p_name, ' ', 2))
-    THEN CASE WHEN p.p_partkey % 2 = 0 THEN 'has_website' ELSE 'no_website' END ELSE 'poor_match' END AS result FROM part b LEFT JOIN part p ON p.p_partkey = b.p_partkey + 1""")
+@query("""SELECT business_id, CASE WHEN NOT there THEN 'no_match' WHEN NOT matches THEN 'poor_match' WHEN k % 2 = 0 THEN 'has_website' ELSE 'no_website' END AS result, CASE WHEN matches AND k % 2 = 0 THEN 'http://place' || k || '.example.com/' END AS website,
+    CASE WHEN matches THEN CASE WHEN k % 3 = 0 THEN '+1 ' || k ELSE '+44 ' || k END END AS phone, CASE WHEN matches THEN k % 5 + 0.5 END AS rating, CASE WHEN matches THEN CAST(k AS INTEGER) END AS review_count
+    FROM (SELECT b.p_partkey AS business_id, p.p_partkey AS k, p.p_name IS NOT NULL AS there, coalesce(list_contains(string_split(p.p_name, ' '), split_part(b.p_name, ' ', 1)) OR list_contains(string_split(p.p_name, ' '), split_part(b.p_name, ' ', 2)), false) AS matches
+        FROM part b LEFT JOIN part p ON p.p_partkey = b.p_partkey + 1)""")
 def place_match(spark, d):
     parts = N.table(spark, d, "part")
     named = parts.select(F.col("p_partkey").alias("business_id"), F.col("p_name").alias("name"))
-    text = F.lit(None).cast("string")
-    place = F.struct(F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, "http://place.example.com/").alias("website"), text.alias("national_phone"), F.lit("+1").alias("international_phone"), F.lit(4.5).alias("rating"), F.lit(10).alias("review_count"))
-    places = parts.select((F.col("p_partkey") - 1).alias("business_id"), F.lit(1).alias("rank"), place.alias("place"))
-    return E.place_verdicts(named, places).select("business_id", "result")
+    k = F.col("p_partkey")
+    text = lambda before, after="": F.concat(F.lit(before), k.cast("string"), F.lit(after))
+    place = F.struct(
+        F.col("p_name").alias("name"), F.when(k % 2 == 0, text("http://place", ".example.com/")).alias("website"), F.when(k % 3 == 0, text("+1 ")).otherwise(F.lit("")).alias("national_phone"),
+        text("+44 ").alias("international_phone"), (k % 5 + 0.5).alias("rating"), k.cast("int").alias("review_count"),
+    )
+    places = parts.select((k - 1).alias("business_id"), F.lit(1).alias("rank"), place.alias("place"))
+    return E.place_verdicts(named, places)
 
 
 @query("""SELECT c_custkey AS business_id, 'email' AS contact_type, 'a' || c_custkey || '@' || domain AS value FROM customer JOIN links ON links.business_id = c_custkey JOIN scored USING (business_id)
