@@ -63,11 +63,14 @@ class ExportLog:
         leads = self.spark.read.parquet(f"{self.path}/chosen/batch={batch}")
         rows = leads.select("business_id", F.lit(platform).alias("platform"), F.lit(day).cast("date").alias("exported_on"), F.lit("queued").alias("status"))
         write_csv(sheet(leads), f"{self.path}/sheets/batch={batch}", "overwrite")
-        rows.write.mode("overwrite").parquet(f"{self.path}/ledger/batch={batch}")
+        self._write_ledger(rows, batch)
         n = rows.count()
         self.spark.createDataFrame([(n,)], "leads bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/batch={batch}")
         return n
 
+    def _write_ledger(self, rows: DataFrame, batch: str) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/ledger/batch={batch}")
+
     def _there(self, part: str) -> bool:
         try:
             self.spark.read.parquet(f"{self.path}/{part}")

@@ -17,7 +17,7 @@ from prospectra.sources import poi as P
 from prospectra.streaming import jobs
 
 from . import passes
-from .oracle import ENTITIES, host
+from .oracle import CANDIDATES, ENTITIES, OWNERSHIP, host
 from .queries import _csv, _int, _part_tags, _search_results, query, scored
 
 PATH = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -253,7 +253,14 @@ def score_reasons(spark, d):
     return r.select("business_id", "score_reasons.category", "lead_score", F.col("score_reasons.domain_count").alias("domain_count"), "score_reasons.has_active_domain", _csv("score_reasons.domains", ";").alias("domains"))
 
 
-@query()
+@query("""SELECT b.business_id, CASE WHEN n IS NULL THEN 'no_candidates' WHEN website IS NOT NULL THEN 'has_website' ELSE 'no_match' END AS result, website, coalesce(n, 0) AS candidate_count FROM asked b
+    LEFT JOIN (SELECT name, country, count(*) AS n FROM candidates GROUP BY ALL) c ON c.name = b.name AND c.country IS NOT DISTINCT FROM b.country
+    LEFT JOIN (SELECT name, country, url AS website FROM judged WHERE rejected_by IS NULL QUALIFY row_number() OVER (PARTITION BY name, country ORDER BY length(split_part(domain, '.', 1)) DESC, pos, url) = 1) w ON w.name = b.name AND w.country IS NOT DISTINCT FROM b.country""",
+    **CANDIDATES, **OWNERSHIP,
+    labelled=rf"SELECT page_id, html, regexp_extract({host('url')}, '^(?:m\.)?([^.]+)', 1) AS label FROM pages",
+    asked="SELECT page_id AS business_id, upper(label[1]) || label[2:] AS name, CASE WHEN page_id % 2 = 0 THEN 'CA' END AS country FROM labelled",
+    live="SELECT label || '.com' AS domain, 'http://' || label || '.com/' AS url, replace(html, '<title>', '<title>' || label || ' ') AS html FROM labelled QUALIFY row_number() OVER (PARTITION BY label ORDER BY page_id) = 1",
+    tried="SELECT name, country, pos, domain, url, html FROM candidates JOIN live USING (domain)")
 def name_to_site(spark, d):
     """Businesses named by the words of a page's host, tried against sites of one-label domains with that page's text."""
     label = F.regexp_extract(X.url_host("url"), r"^(?:m\.)?([^.]+)", 1)

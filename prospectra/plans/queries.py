@@ -21,7 +21,7 @@ from prospectra.operators import windows as W
 from prospectra.sources import entities as N
 from prospectra.sources import poi as P
 
-from .oracle import host, public, quoted, sql
+from .oracle import CANDIDATES, OWNERSHIP, TITLE, host, public, quoted, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -573,13 +573,16 @@ def email_finder(spark, d):
     return E.found_emails(finder, asked, N.business_contacts(spark, d))
 
 
-@query()
+@query("SELECT name, country, pos, domain FROM candidates", **CANDIDATES,
+    asked="SELECT upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS name, CASE p_size % 3 WHEN 0 THEN 'CA' WHEN 1 THEN 'GB' END AS country FROM part")
 def candidate_domains(spark, d):
     parts = N.table(spark, d, "part").select(F.initcap("p_name").alias("name"), F.when(F.col("p_size") % 3 == 0, "CA").when(F.col("p_size") % 3 == 1, "GB").alias("country"))
     return sites.candidate_domains(parts)
 
 
-@query()
+@query("SELECT page_id, name, positive, rejected_by IS NULL AS is_owner, rejected_by FROM judged", **OWNERSHIP,
+    named=rf"SELECT page_id, url, html, array_to_string(regexp_split_to_array({TITLE}, '\s+')[1:2], ' ') AS name FROM pages",
+    tried="SELECT page_id, name, url, html, true AS positive FROM named UNION ALL SELECT p.page_id, n.name, p.url, p.html, false FROM named n JOIN pages p ON p.page_id = n.page_id + 1")
 def page_ownership(spark, d):
     """Names from the first two words of a page's title, and of the page before it for the negatives."""
     pages = N.table(spark, d, "pages").withColumn("_name", F.array_join(F.slice(F.split(X.page_title("html"), r"\s+"), 1, 2), " "))
