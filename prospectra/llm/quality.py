@@ -176,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, labe
     text_batches(docs.sparkSession)
     marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.filter(~(F.lit(False) if held_out is None else held_out)).join(marked, "doc_id")
+    # labels grow with the documents, so both are shuffled whatever their size
+    rows = rows.filter(~(F.lit(False) if held_out is None else held_out)).join(marked.hint("merge"), "doc_id")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = resident("quality", Reader)
