@@ -340,8 +340,6 @@ NEIGHBOURS = 8
 ORDERED = 20_000
 #: Sets of a block; a file with more is compared block by block.
 BLOCK_SETS = 1024
-#: Bits of a set's parity sketch.
-SKETCH_BITS = 4096
 #: Bits of a shingle's hash that name its file. A file of several shingles brings more candidates, never fewer.
 FILE_BITS = np.uint64((1 << 48) - 1)
 
@@ -389,27 +387,81 @@ def _frequent(texts: DataFrame, rows: int, words: int) -> tuple[np.ndarray, np.n
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities of how many shingles fall on each bit: two sets' sketches differ in at most as many bits as the sets differ in shingles."""
-    hits = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype("i8"), minlength=SKETCH_BITS)
-    return np.packbits((hits & 1).astype("u1"), bitorder="little").view("<u8")
+    """Parities of how many shingles fall on each bit, in bytes: two sets' sketches differ in at most as many bits as the sets differ in shingles.
 
+    There are two to four bits a shingle. A wider sketch folds into a narrower one by the parities of its halves.
+    """
+    bits = 1 << max(6, min(16, int(len(shingles) - 1).bit_length() + 1))
+    hits = np.bincount((shingles & np.uint64(bits - 1)).astype("i8"), minlength=bits)
+    return np.packbits((hits & 1).astype("u1"), bitorder="little")
 
-def _sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(``node``, ``shingles``, ``sketch``) of the wanted nodes, read again from the texts."""
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def folded(some: np.ndarray, width: int) -> np.ndarray:
+    """Sketches of one width (rows) as narrower ones."""
+    while some.shape[-1] > width:
+        half = some.shape[-1] // 2
+        some = some[..., :half] ^ some[..., half:]
+    return some
+
+
+def open_pairs(n: np.ndarray, at: np.ndarray, head: np.ndarray, side: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, differing bits) of all sets of a file that may be similar enough and do not hang together yet.
+
+    ``at`` is the place of the file's shingle in each set of ``n``; sets of one ``side`` are not
+    paired if there are two. Sets that differ in more than a ninth of both sizes are below 0.8.
+    """
+    widths = np.array([len(x) for x in sketches])
+    own = {w: np.frombuffer(b"".join(x for x in sketches if len(x) == w), "u1").reshape(-1, w) for w in np.unique(widths).tolist()}
+    # sets that are similar enough are within a quarter in size, and so at most one fold apart
+    held = {w: (np.flatnonzero((widths == w) | (widths == 2 * w)), np.zeros(len(n), "i8"), np.empty((((widths == w) | (widths == 2 * w)).sum(), w), "u1")) for w in own}
+    for w, (who, place, rows) in held.items():
+        place[who] = np.arange(len(who))
+        rows[widths[who] == w] = own[w]
+        if 2 * w in own:
+            rows[widths[who] == 2 * w] = folded(own[2 * w], w)
+    views = {w: (place, rows.view("<u8")) for w, (_, place, rows) in held.items()}
+    heads, sizes = np.unique(head, return_counts=True)
+    main, two, out = heads[np.argmax(sizes)], side.min() != side.max(), []
+    later = np.arange(len(n))
+    for i in np.flatnonzero(head != main):  # of two heads one is not the largest
+        j = np.flatnonzero((head != head[i]) & ((head == main) | (later > i)))
+        if two:
+            j = j[side[j] != side[i]]
+        least, rest = np.minimum(n[i], n[j]), np.minimum(n[i] - at[i], n[j] - at[j])
+        j = j[(PARTS * least >= SHARED_PARTS * np.maximum(n[i], n[j])) & ((PARTS + SHARED_PARTS) * rest >= SHARED_PARTS * (n[i] + n[j]))]
+        for w in np.unique(np.minimum(widths[j], widths[i])).tolist():
+            place, bits = views[w]
+            these = j[np.minimum(widths[j], widths[i]) == w]
+            off = np.bitwise_count(bits[place[these]] ^ bits[place[i]]).sum(axis=1, dtype="i8")
+            near = (PARTS + SHARED_PARTS) * off <= (PARTS - SHARED_PARTS) * (n[i] + n[these])
+            out.append((np.full(near.sum(), i), these[near], off[near]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, "i8"),) * 3
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (``a``, ``b``) whose sketches do not rule out that they are similar enough."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [shingle_set(t, words) for t in batch["text"]]
-            right = np.array([_named(x) for x in found], "int64") == batch["name"].to_numpy("int64")  # ids may repeat
-            yield pd.DataFrame({"node": batch["node"], "shingles": [x.tobytes() for x in found], "sketch": [sketch(x).tobytes() for x in found]})[right]
+            near = []
+            for x, y, n in zip(batch["x"], batch["y"], (batch["n"] + batch["m"]).tolist(), strict=True):
+                x, y = np.frombuffer(x, "u1"), np.frombuffer(y, "u1")
+                off = int(np.bitwise_count(folded(x, len(y)) ^ folded(y, len(x))).sum())
+                near.append((PARTS + SHARED_PARTS) * off <= (PARTS - SHARED_PARTS) * n)
+            yield batch.loc[np.array(near, bool), ["a", "b"]]
+
+    x, y = (sketches.select(F.col("node").alias(end), F.col("n").alias(size), F.col("sketch").alias(side)) for end, size, side in (("a", "n", "x"), ("b", "m", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInPandas(run, "a long, b long")
 
-    named = wanted.join(nodes.select("node", "name", "least"), "node")
-    sets = texts.join(named, F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "name", "text").mapInPandas(made, "node long, shingles binary, sketch binary")
-    return stored(sets.dropDuplicates(["node"]), "sets")
 
+def _similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Those of the pairs (``a``, ``b``) of sets whose Jaccard similarity, counted in full on 64 bits of each shingle's hash, is enough."""
 
-def _similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (``a``, ``b``) of sets whose Jaccard similarity, counted in full, is enough."""
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingle_set(t, words) for t in batch["text"]]
+            right = np.array([_named(x) for x in found], "int64") == batch["name"].to_numpy("int64")  # ids may repeat
+            yield pd.DataFrame({"node": batch["node"], "shingles": [x.tobytes() for x in found]})[right]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -420,31 +472,15 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 near.append(PARTS * shared >= SHARED_PARTS * (len(x) + len(y) - shared))
             yield batch.loc[np.array(near, bool), ["a", "b"]]
 
+    # as a table, whose size Spark knows: a short list is sent to the texts, for a long one these are shuffled
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "name", "least"), "node"), "wanted")
+    sets = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "name", "text").mapInPandas(made, "node long, shingles binary")
+    sets = stored(sets, "sets")
     x, y = (sets.select(F.col("node").alias(end), F.col("shingles").alias(side)) for end, side in (("a", "x"), ("b", "y")))
-    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "similar")
-
-
-def open_pairs(n: np.ndarray, at: np.ndarray, head: np.ndarray, side: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, differing bits) of all sets of a file that may be similar enough and do not hang together yet.
-
-    ``at`` is the place of the file's shingle in each set of ``n``; sets of one ``side`` are not
-    paired if there are two. Sets that differ in more than a ninth of both sizes are below 0.8.
-    """
-    heads, sizes = np.unique(head, return_counts=True)
-    two, out = side.min() != side.max(), []
-    for i in np.flatnonzero(head != heads[np.argmax(sizes)]):  # of two heads one is not the largest
-        j = np.flatnonzero((head != head[i]) & ((head != heads[np.argmax(sizes)]) <= (np.arange(len(n)) > i)))
-        if two:
-            j = j[side[j] != side[i]]
-        least, rest = np.minimum(n[i], n[j]), np.minimum(n[i] - at[i], n[j] - at[j])
-        j = j[(PARTS * least >= SHARED_PARTS * np.maximum(n[i], n[j])) & ((PARTS + SHARED_PARTS) * rest >= SHARED_PARTS * (n[i] + n[j]))]
-        off = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype="i8")
-        near = (PARTS + SHARED_PARTS) * off <= (PARTS - SHARED_PARTS) * (n[i] + n[j])
-        out.append((np.full(near.sum(), i), j[near], off[near]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, "i8"),) * 3
+    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long").distinct(), "similar")
 
 
-def _open(left: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+def _open(left: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
     """(``a``, ``b``, ``cut``) of the pairs that are left to compare, of each two heads in a block the ``most`` closest; ``cut`` tells that there are more."""
     sized = left.join(left.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")), "shingle")
     blocks = F.ceil(F.col("size") / BLOCK_SETS).cast("long")
@@ -460,7 +496,7 @@ def _open(left: DataFrame, sets: DataFrame, most: int) -> DataFrame:
             node, head, place = (rows[c].to_numpy("int64") for c in ("node", "head", "place"))
             if head.min() == head.max():
                 return
-            i, j, off = open_pairs(place >> 32, place & 0xFFFFFFFF, head, rows["side"].to_numpy("int64"), np.frombuffer(b"".join(rows["sketch"]), "<u8").reshape(len(rows), -1))
+            i, j, off = open_pairs(place >> 32, place & 0xFFFFFFFF, head, rows["side"].to_numpy("int64"), rows["sketch"].tolist())
             if len(i):
                 low, high = np.minimum(head[i], head[j]), np.maximum(head[i], head[j])
                 order = np.lexsort((np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), off, high, low))
@@ -485,7 +521,7 @@ def _open(left: DataFrame, sets: DataFrame, most: int) -> DataFrame:
             yield from compared()
 
     unit = ["shingle", "p", "q"]
-    return dealt.join(sets.select("node", "sketch"), "node").repartition(*unit).sortWithinPartitions(*unit, "node").mapInPandas(run, "a long, b long, cut boolean")
+    return dealt.join(sketches.select("node", "sketch"), "node").repartition(*unit).sortWithinPartitions(*unit, "node").mapInPandas(run, "a long, b long, cut boolean")
 
 
 def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -515,13 +551,14 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
             bits = [np.unpackbits(x.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64") for x in found]
             prints = [np.packbits(2 * b > len(x), bitorder="little").view("<i8")[0] for b, x in zip(bits, found, strict=True)]
             firsts = [(prefix(x, *frequent.value) & FILE_BITS).view("i8") for x in found]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "name": np.array([_named(x) for x in found], "int64"), "w0": np.array(prints, "int64"), "n": np.array([len(x) for x in found], "int64"), "firsts": firsts})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "name": np.array([_named(x) for x in found], "int64"), "w0": np.array(prints, "int64"), "n": np.array([len(x) for x in found], "int64"), "firsts": firsts, "sketch": [sketch(x).tobytes() for x in found]})
 
-    rows = stored(texts.mapInPandas(run, "doc_id long, name long, w0 long, n long, firsts array<long>").withColumn("row", F.monotonically_increasing_id()), "shingles")
+    rows = stored(texts.mapInPandas(run, "doc_id long, name long, w0 long, n long, firsts array<long>, sketch binary").withColumn("row", F.monotonically_increasing_id()), "shingles")
     # a set goes by the row that has it first: small numbers, which compress well
     nodes = stored(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("row").alias("node"), F.min("w0").alias("w0")), "nodes")
     again = rows.select("name", "row").join(nodes.select("name", "node"), "name").filter(F.col("row") != F.col("node")).select("row")
-    filed = rows.join(again, "row", "left_anti").select(F.col("row").alias("node"), "n", F.posexplode("firsts").alias("at", "shingle"))
+    filed = rows.select("row", "n", "firsts").join(again, "row", "left_anti").select(F.col("row").alias("node"), "n", F.posexplode("firsts").alias("at", "shingle"))
+    sketches = rows.select(F.col("row").alias("node"), "n", "sketch")
 
     # (node, size of the set and place of the shingle in it): the two fit into one number
     file = Window.partitionBy("shingle")
@@ -550,17 +587,16 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     pairs = met.select("node", F.explode(others).alias("_with")).select(F.least("node", "_with.node").alias("a"), F.greatest("node", "_with.node").alias("b"))
     tried = stored(pairs.union(close).distinct(), "tried")
 
-    # all pairs of a file that is not larger have met
-    large = filed.filter(F.col("size") > NEIGHBOURS + 1).select("shingle", "node", "place")
-    sets = _sets(large.select("node").union(tried.select("a")).union(tried.select("b")).distinct(), nodes, texts, words)
-    near, most = _similar_pairs(tried, sets), NEIGHBOURS
+    large = filed.filter(F.col("size") > NEIGHBOURS + 1).select("shingle", "node", "place")  # in others all pairs have met
+    near, most = _similar_pairs(stored(_possible(tried, sketches), "possible"), nodes, texts, words), NEIGHBOURS
     while True:  # until no pair of sets that do not hang together is left that the sketches admit
         heads = components(near).withColumnRenamed("root", "head")
         headed = large.join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
         left = headed.withColumns({"_low": F.min("head").over(file), "_high": F.max("head").over(file)}).filter("_low < _high").drop("_low", "_high")
-        found = stored(_open(stored(left, "left"), sets, most), "open")
+        found = stored(_open(stored(left, "left"), sketches, most), "open")
         pairs = stored(found.filter("NOT cut").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        tried, near = tried.union(pairs), near.union(_similar_pairs(pairs, sets))
+        if pairs.limit(1).count():
+            tried, near = tried.union(pairs), near.union(_similar_pairs(pairs, nodes, texts, words))
         if not found.filter("cut").limit(1).count():
             break
         most *= 16

@@ -335,12 +335,28 @@ def test_files_of_many_sets_lose_no_pair(spark, monkeypatch, n, values, block, m
 
 def test_sketches_never_rule_out_a_similar_set():
     rng = np.random.default_rng(2)
-    for n in (1, 5, 60, 900, 9000):
+    for n in (1, 5, 63, 64, 65, 900, 9000):
         base = rng.integers(0, 1 << 63, n).astype("u8")
         for gone in range(0, n // 5 + 1, max(1, n // 25)):
-            other = np.unique(np.concatenate([base[gone:], rng.integers(0, 1 << 63, gone // 2).astype("u8")]))
-            mine, apart = np.unique(base), len(np.setxor1d(base, other))
-            assert np.bitwise_count(simhash.sketch(mine) ^ simhash.sketch(other)).sum() <= apart
+            mine, other = np.unique(base), np.unique(np.concatenate([base[gone:], rng.integers(0, 1 << 63, gone // 2 + n // 9).astype("u8")]))
+            apart, x, y = len(np.setxor1d(mine, other)), simhash.sketch(mine), simhash.sketch(other)
+            assert np.bitwise_count(simhash.folded(x, len(y)) ^ simhash.folded(y, len(x))).sum() <= apart
+
+
+def test_open_pairs_are_those_of_all_pairs():
+    """In a file with sets on both sides of a sketch's width: all pairs that are similar, and no pair of one component or side."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 1 << 63, int(rng.integers(50, 80))).astype("u8")
+        sets += [np.unique(np.append(base[int(rng.integers(0, 9)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 9))).astype("u8"))) for _ in range(6)]
+    n, head, sides = np.array([len(x) for x in sets]), rng.integers(0, 20, len(sets)), rng.integers(0, 2, len(sets))
+    for side in (np.zeros(len(sets), "i8"), sides):
+        i, j, off = simhash.open_pairs(n, np.zeros(len(sets), "i8"), head, side, [simhash.sketch(x).tobytes() for x in sets])
+        found = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        similar = {(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+        open_ones = {(b, a) for a, b in similar if head[a] != head[b] and (side[a] != side[b] or side.max() == 0)}
+        assert open_ones <= found and all(head[a] != head[b] for a, b in found) and len(open_ones) > 20 and len(found) < 3 * len(similar)
 
 
 # --- vectors
