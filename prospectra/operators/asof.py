@@ -30,5 +30,8 @@ def as_of(rows: DataFrame, history: DataFrame, keys: list[str], at: str, since:
     met = F.col("_span") == F.col("_s")
     for k in keys:
         met = met & (F.col(k) == F.col(f"_k_{k}"))
-    known = F.when(F.col("_at").isNotNull(), F.coalesce("_last", "_start"))
+    whole = F.col("_at").isNotNull()
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    known = F.when(whole, F.coalesce("_last", "_start"))
     return found.join(start, met, "left").select("_given.*", *[known[c].alias(c) for c in values])
