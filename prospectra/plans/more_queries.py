@@ -309,4 +309,4 @@ def places_in_areas(spark, d):
     return P.in_areas(points, areas).select("domain_id", "area")
 
 
-from . import pass_queries, table_queries  # noqa: E402, F401  register themselves
+from . import file_queries, pass_queries, table_queries  # noqa: E402, F401  register themselves
