@@ -25,8 +25,8 @@ from .common import resident, text_batches
 DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Pretokens of more bytes are merged with a heap.
 LONG_WORD = 200
-#: Pretokens remembered by a worker, in each of two generations.
-REMEMBERED = 200_000
+#: Bytes of pretokens and their ids that a worker remembers, in each of two generations, about; none over LONG_WORD.
+REMEMBERED_BYTES = 48 << 20
 NO_MERGE = 1 << 60
 
 
@@ -63,6 +63,7 @@ class RankBpe:
         self.path = path
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.bytes = 0
 
     def merge(self, word: bytes) -> list[int]:
         parts = [self.byte_id[b] for b in word]
@@ -114,9 +115,11 @@ class RankBpe:
 
     def _new(self, word: str) -> tuple[int, ...]:
         ids = self.older.get(word) or tuple(self.merge(word.encode("utf-8")))
-        if len(self.known) >= REMEMBERED:
-            self.older, self.known = self.known, {}
-        self.known[word] = ids
+        if len(word) <= LONG_WORD:
+            if self.bytes >= REMEMBERED_BYTES:
+                self.older, self.known, self.bytes = self.known, {}, 0
+            self.known[word] = ids
+            self.bytes += 230 + 4 * len(word) + 8 * len(ids)  # two objects and their place in the table besides
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -145,7 +148,9 @@ def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_c
     Columns: ``doc_id``, ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas),
     ``decoded_sha256`` (of the decoded text), with ``ids`` also the ids themselves, and the
     ``carry`` columns. Null counts as empty, an empty text has no tokens. Bytes that are no UTF-8
-    decode to U+FFFD. Repeated rows come back as often as they came; other columns are ignored.
+    decode to U+FFFD. Texts and words of any length are encoded whole, in time that grows with
+    them but for a logarithm. Repeated rows come back as often as they came, rows without an id
+    too; an empty table gives none; other columns are ignored.
     """
     text_batches(docs.sparkSession)
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
