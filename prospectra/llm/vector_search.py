@@ -1,9 +1,10 @@
 """Nearest neighbours by a block matrix join.
 
 Vectors are quantised to int8 and packed into tiles. A query tile meets a candidate tile in an int8
-matrix product, which gives every cosine up to a bound on the quantisation error. Pairs whose upper
-bound reaches the k-th best lower bound survive, first within a query tile's blocks of a task, then
-among all of a query's; only their ids are shuffled. Survivors are joined to their vectors, computed
+matrix product, which gives every cosine up to a bound on the quantisation error. Tiles are sent by
+blocks, so that one travels once for each block of the others. Pairs whose upper bound reaches the
+k-th best lower bound survive, first among the candidates of a query tile in a task, then among all
+of a query's; only their ids are shuffled. Survivors are joined to their vectors, computed
 again in double precision and merged by heaps, so no neighbour is missed.
 """
 
@@ -14,13 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_batches
 
 QUERY_TILE = 512
 CANDIDATE_TILE = 2048
+#: Tiles of a block: a query tile is sent once to each block of candidate tiles, and the other way round.
+QUERY_BLOCK, CANDIDATE_BLOCK = 64, 32
+#: Pairs that a task holds back until the bounds of their query tile are final for it.
+HELD_PAIRS = 500_000
 #: What rounding in single precision can add to a bound.
 SLACK = 1e-5
 
@@ -102,10 +107,25 @@ def _survivors(pairs: DataFrame, k: int) -> DataFrame:
     """(``query_id``, ``vec_id``, ``low``, ``high``): pairs that may be among a query's k nearest, tile by tile."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tile, lows, ids = None, None, None  # the best bounds of one query tile's queries
+        tile, qi, lows, ids, held = None, None, None, None, []  # the best bounds of one query tile's queries, and its pairs so far
+
+        def pruned() -> pd.DataFrame | None:
+            """What is left of the held pairs by the bounds now."""
+            if not held:
+                return None
+            r, c, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            left = high >= lows[r, -1]
+            return pd.DataFrame({"query_id": qi[r[left]], "vec_id": c[left], "low": low[left], "high": high[left]}) if left.any() else None
+
         for batch in batches:
             for row in batch.itertuples(index=False):
-                qi, ci = np.frombuffer(row.q_ids, "<i8"), np.frombuffer(row.c_ids, "<i8")
+                if tile != row.q_ids:
+                    if (done := pruned()) is not None:
+                        yield done
+                    tile, qi = row.q_ids, np.frombuffer(row.q_ids, "<i8")
+                    lows, ids = np.full((len(qi), k), -np.inf), np.full((len(qi), k), np.iinfo("i8").min)
+                ci = np.frombuffer(row.c_ids, "<i8")
                 q8, c8 = (np.frombuffer(x, "i1").reshape(-1, row.dim) for x in (row.q_q, row.c_q))
                 qs, qe, cs, ce = (np.frombuffer(x, "<f8") for x in (row.q_scale, row.q_lost, row.c_scale, row.c_lost))
                 # sums of int8 products under 2^24 are exact in single precision, in which BLAS multiplies
@@ -114,13 +134,15 @@ def _survivors(pairs: DataFrame, k: int) -> DataFrame:
                 off = qe[:, None] + (1 + qe[:, None]) * ce[None, :] + SLACK
                 own = qi[:, None] == ci[None, :]
                 low = np.where(own, -np.inf, near - off)
-                if tile != row.q_ids:
-                    tile, lows, ids = row.q_ids, np.full((len(qi), k), -np.inf), np.full((len(qi), k), np.iinfo("i8").min)
                 more, more_ids = _block_bounds(low, ci, k)
                 lows, ids = _best_bounds(np.hstack([lows, more]), np.hstack([ids, more_ids]), k)
                 r, c = np.nonzero((near + off >= lows[:, -1][:, None]) & ~own)
                 if len(r):
-                    yield pd.DataFrame({"query_id": qi[r], "vec_id": ci[c], "low": low[r, c], "high": (near + off)[r, c]})
+                    held.append((r, ci[c], low[r, c], (near + off)[r, c]))
+                    if sum(len(x[0]) for x in held) > HELD_PAIRS and (some := pruned()) is not None:
+                        yield some
+        if (done := pruned()) is not None:
+            yield done
 
     return pairs.mapInPandas(run, "query_id long, vec_id long, low double, high double")
 
@@ -197,15 +219,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     vectors stands once in a list, with its best score. Fewer than k candidates give fewer rows, an
     empty table gives none; other columns are ignored.
     """
-    text_batches(vectors.sparkSession)
+    spark = vectors.sparkSession
+    text_batches(spark)
     rows = usable(vectors, id_col, vector_col).filter(F.col("id").isNotNull())
     asked = usable(vectors.filter(is_query), id_col, vector_col).filter(F.col("id").isNotNull())
-    n = vectors.count()
+    # of vectors alike, only k + 1 smallest ids can be near: the others come after k of them for any query
+    place = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
+    near_ones = rows.withColumn("_place", place).filter(F.col("_place") <= k + 1).drop("_place")
+    n, asked_n = vectors.count(), asked.count()
     parts = ("ids", "q", "scale", "lost")
-    queries = _tiles(asked, QUERY_TILE, asked.count()).select("dim", *[F.col(c).alias(f"q_{c}") for c in parts])
-    groups = max(1, -(-n // CANDIDATE_TILE))
-    # each query tile goes once to every group of candidates: the stated queries against all rows, in blocks
-    spread = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
-    candidates = _tiles(rows, CANDIDATE_TILE, n).select("group", "dim", *[F.col(c).alias(f"c_{c}") for c in parts])
-    pairs = spread.join(candidates, ["group", "dim"]).sortWithinPartitions("q_ids").select("dim", *[f"{side}_{c}" for side in "qc" for c in parts])
+    groups, asked_groups = max(1, -(-n // CANDIDATE_TILE)), max(1, -(-asked_n // QUERY_TILE))
+    # the stated queries against all rows, in blocks; few tiles make as many blocks as there are partitions
+    columns = -(-asked_groups // QUERY_BLOCK)
+    blocks = max(-(-groups // CANDIDATE_BLOCK), min(groups, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    every = lambda name, many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)).cast("array<long>")).alias(name)
+    queries = _tiles(asked, QUERY_TILE, asked_n).select("dim", F.pmod("group", F.lit(columns)).alias("column"), every("block", blocks), *[F.col(c).alias(f"q_{c}") for c in parts])
+    candidates = _tiles(near_ones, CANDIDATE_TILE, n).select("dim", F.pmod("group", F.lit(blocks)).alias("block"), every("column", columns), *[F.col(c).alias(f"c_{c}") for c in parts])
+    pairs = queries.join(candidates, ["block", "column", "dim"]).sortWithinPartitions("q_ids").select("dim", *[f"{side}_{c}" for side in "qc" for c in parts])
     return _merged(_scores(_closest(_survivors(pairs, k), k), rows), k)

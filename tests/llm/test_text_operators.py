@@ -82,6 +82,16 @@ def test_rank_bpe_equals_the_library():
             assert mine.decode(some) == library.decode(some, skip_special_tokens=False)
 
 
+def test_remembered_pretokens_are_bounded(monkeypatch):
+    monkeypatch.setattr(rank_bpe, "REMEMBERED_BYTES", 20_000)
+    bpe = rank_bpe.RankBpe(tok.path("byte_bpe_50k.json"))
+    text = "z" * 200_000 + " " + " ".join(f"word{i:x}q" for i in range(3000))
+    ids = bpe.encode(text)
+    kept = {**bpe.known, **bpe.older}
+    assert max(map(len, kept)) <= rank_bpe.LONG_WORD and sum(4 * len(w) + 8 * len(x) + 230 for w, x in kept.items()) < 3 * 20_000
+    assert bpe.encode(text) == ids
+
+
 def test_encode_documents(spark):
     got = rank_bpe.encode_documents(odd_docs(spark), ids=True, carry=("kept",)).collect()
     assert len(got) == len(ODD) + 3
@@ -405,6 +415,23 @@ def test_nearest_with_repeated_ids(spark, monkeypatch, tile, k):
         assert [i for _, i in sorted(found)] == sorted(best, key=lambda i: (-best[i], i))[:k]
 
 
+@pytest.mark.parametrize(("columns", "rows", "held"), [(1, 1, 500_000), (2, 3, 10)])
+def test_nearest_in_blocks_with_a_hot_vector(spark, monkeypatch, columns, rows, held):
+    """A third of all rows alike, in grids of blocks of several shapes: ties go to the smallest ids, whatever task has them."""
+    for name, value in (("QUERY_TILE", 4), ("CANDIDATE_TILE", 32), ("QUERY_BLOCK", columns), ("CANDIDATE_BLOCK", rows), ("HELD_PAIRS", held)):
+        monkeypatch.setattr(vector_search, name, value)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(900, 8))
+    v[rng.permutation(900)[:300]] = v[7]
+    got = {}
+    for r in vector_search.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    for q in range(0, 900, 50):
+        score = np.round(u @ u[q], 12)
+        assert [i for _, i in sorted(got[q])] == [i for i in np.lexsort((np.arange(900), -score)) if i != q][:5]
+
+
 # --- chats
 
 
