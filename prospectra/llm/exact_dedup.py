@@ -1,10 +1,11 @@
 """Exact duplicates by content sort, in DataFrame operations only.
 
 Normalised texts are range-partitioned by sampled splitters and sorted, so that equal texts
-stand side by side; each row is compared in full with its neighbour. The sort key ends in a
-hash of the row's id, so a group of copies of any size is spread over many ranges; groups that
-cross a range's border are joined up afterwards from one row per border, by the SHA-256, length and
-xxHash64 of their text, so that no task gathers the texts of a hot group.
+stand side by side; each row is compared in full with its neighbour. The key that deals rows to
+ranges ends in a hash of the row's id, so a group of copies of any size is spread over many ranges
+side by side. The last text of each range is compared in full with the first of the next, and what
+equals across borders is joined up, so that no task gathers the texts of a hot group. A row has its
+text once, through shuffle and sort.
 """
 
 from __future__ import annotations
@@ -63,50 +64,49 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(
-        F.col(id_col).alias("_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
-        (F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")).alias("_carried"),
-    )
-    digested = rows.withColumn("_norm", ascii_lower(F.col("_text"))).withColumn("_digest", F.sha2(F.col("_norm"), 256))
-    keyed = digested.withColumn("_key", _key(F.col("_norm"), F.col("_digest"))).withColumn("_spread", F.concat("_key", F.hex(F.xxhash64("_id"))))
+    fields = [*carry] if text_col in carry else [*carry, text_col]
+    rows = docs.select(F.col(id_col).alias("_id"), F.struct(*[F.col(c) for c in fields]).alias("_given"))
+    norm = ascii_lower(F.coalesce(F.col("_given")[text_col], F.lit("")))
+    digested = rows.withColumn("_digest", F.sha2(norm, 256))
+    keyed = digested.withColumn("_key", _key(norm, F.col("_digest"))).withColumn("_spread", F.concat("_key", F.hex(F.xxhash64("_id"))))
     splitters = _splitters(keyed.select("_spread"), ranges)
-    dealt = keyed.withColumn("_range", _range_of(F.col("_spread"), splitters)).select("_id", "_text", "_carried", "_key", "_digest", "_range").repartition("_range")
+    dealt = keyed.withColumn("_range", _range_of(F.col("_spread"), splitters)).select("_id", "_given", "_key", "_digest", "_range").repartition("_range")
 
     # equal texts side by side, the largest id first; each text is compared in full with the one before
-    order = Window.partitionBy("_range").orderBy("_key", "_norm", F.desc_nulls_last("_id"))
+    order = Window.partitionBy("_range").orderBy("_key", "_hash", F.desc_nulls_last("_id"))
     marked = (
-        dealt.withColumn("_norm", ascii_lower(F.col("_text")))
-        .withColumns({"_before": F.lag("_norm").over(order), "_row": F.row_number().over(order), "_after": F.lead(F.lit(1)).over(order)})
-        .withColumns({"_new": (F.col("_row") == 1) | (F.col("_before") != F.col("_norm")), "_border": F.when((F.col("_row") == 1) | F.col("_after").isNull(), F.struct(F.length("_norm"), F.xxhash64("_norm")))})
-        .select("_id", "_digest", "_range", "_row", "_new", "_border", "_carried")
+        dealt.withColumn("_hash", F.xxhash64(norm))
+        .withColumns({"_before": F.lag(norm).over(order), "_row": F.row_number().over(order), "_after": F.lead(F.lit(1)).over(order)})
+        .withColumns({"_first": F.col("_row") == 1, "_last": F.col("_after").isNull()})
+        .withColumns({"_new": F.col("_first") | (F.col("_before") != norm), "_edge": F.when(F.col("_first") | F.col("_last"), norm)})
+        .select("_id", "_digest", "_range", "_row", "_new", "_first", "_last", "_edge", *(["_given"] if carry else []))
     )
     numbered = marked.withColumn("_run", F.sum(F.col("_new").cast("long")).over(Window.partitionBy("_range").orderBy("_row")))
     run = Window.partitionBy("_range", "_run")
-    light = stored(
-        numbered.withColumns({"_best": F.max("_id").over(run), "_size": F.count(F.lit(1)).over(run)}).select("_id", "_digest", "_range", "_run", "_new", "_best", "_size", "_border", "_carried"),
-        "content_sorted",
-    )
-
-    # at most two runs of a range touch a border: what equals across borders is one group
-    borders = light.filter(F.col("_border").isNotNull()).groupBy("_range", "_run").agg(*[F.first(c).alias(c) for c in ("_digest", "_border", "_best", "_size")])
-    whole = Window.partitionBy("_digest", "_border")
-    joined = (
-        borders.withColumns({
-            "_all_best": F.max("_best").over(whole),
-            "_all_size": F.sum("_size").over(whole),
-            "_first": F.row_number().over(whole.orderBy(F.desc_nulls_last("_best"), "_range", "_run")) == 1,
-        })
-        .select("_range", "_run", "_all_best", "_all_size", "_first")
-    )
+    light = stored(numbered.withColumns({"_best": F.max("_id").over(run), "_size": F.count(F.lit(1)).over(run)}).drop("_row"), "content_sorted")
+
+    # the last text of a range against the first of the next: two texts a range meet in a join, and the rest is flags
+    edges = light.filter(F.col("_edge").isNotNull()).select("_range", "_run", "_first", "_last", "_edge", "_best", "_size")
+    in_order = Window.orderBy("_range")
+    following = edges.select("_range").distinct().withColumn("_next", F.lead("_range").over(in_order))
+    first = edges.filter("_first").select(F.col("_range").alias("_next"), F.col("_edge").alias("_first_text"))
+    same = edges.filter("_last").join(following, "_range").join(first, "_next").select(F.col("_next").alias("_range"), (F.col("_edge") == F.col("_first_text")).alias("_same"))
+    ends = edges.groupBy("_range", "_run").agg(F.bool_or("_first").alias("_opens"), F.max("_best").alias("_best"), F.max("_size").alias("_size")).join(same, "_range", "left")
+    breaks = F.when(F.col("_opens") & F.coalesce("_same", F.lit(False)), 0).otherwise(1)
+    chained = ends.withColumn("_chain", F.sum(breaks).over(Window.orderBy("_range", "_run")))  # two rows a range at most
+    whole = Window.partitionBy("_chain")
+    joined = chained.select(
+        "_range", "_run", F.max("_best").over(whole).alias("_all_best"), F.sum("_size").over(whole).alias("_all_size"),
+        (F.row_number().over(whole.orderBy(F.desc_nulls_last("_best"), "_range", "_run")) == 1).alias("_leads"),
+    )
     out = light.join(F.broadcast(joined), ["_range", "_run"], "left")  # two rows a range at most, whatever the input
     return out.select(
         F.col("_id").alias("doc_id"),
         F.coalesce("_all_best", "_best").alias("keep_id"),
         F.coalesce("_all_size", "_size").alias("group_size"),
-        (F.col("_new") & F.coalesce("_first", F.lit(True))).alias("kept"),
+        (F.col("_new") & F.coalesce("_leads", F.lit(True))).alias("kept"),
         F.col("_digest").alias("text_sha256"),
-        *([F.col("_carried").alias("carried")] if carry else []),
+        *([F.struct(*[F.col("_given")[c].alias(c) for c in carry]).alias("carried")] if carry else []),
     )
 
 
