@@ -103,11 +103,17 @@ TEXTS: tuple[tuple[str, str], ...] = (
     *((spdx, _CC.format(names[1].split(" ")[2], "4.0", names[1].split(" ")[2], "4.0")) for spdx, names in NAMES.items() if spdx.startswith("CC-") and spdx.endswith("4.0")),
 )
 
+#: Forms in which a licence is named by its identifier.
+IDENTIFIED = ("SPDX-License-Identifier: {}", "License: {}")
+
+#: Words that turn a notice that follows them into its opposite (fixed values).
+DENYING = frozenset({"not", "never", "isn", "cannot", "neither"})
+
 #: Words that mean the same in notices.
 SAME: dict[str, str] = {
     "released": "licensed", "distributed": "licensed", "available": "licensed", "published": "licensed", "offered": "licensed", "provided": "licensed",
-    "licence": "license", "licences": "licenses", "creative": "cc", "commons": "cc", "attribution": "by", "noncommercial": "nc", "commercial": "nc", "sharealike": "sa", "alike": "sa",
-    "noderivatives": "nd", "noderivs": "nd", "derivatives": "nd", "two": "2", "three": "3", "simplified": "2", "new": "3", "zero": "0", "library": "lesser",
+    "licence": "license", "licences": "licenses", "creative": "cc", "commons": "cc", "attribution": "by", "noncommercial": "nc", "sharealike": "sa", "alike": "sa",
+    "noderivatives": "nd", "two": "2", "three": "3", "simplified": "2", "new": "3", "zero": "0", "library": "lesser",
 }
 
 #: Words that part the licences of a family; versions do too.

@@ -517,6 +517,30 @@ def test_notices(matcher, spdx, text):
     assert licence(matcher, FILLER + text + FILLER) == spdx
 
 
+@pytest.mark.parametrize(
+    ("spdx", "text"),
+    [
+        (["CC-BY-4.0"], "Licensed under CC BY 4.0. Commercial use is welcome."), (["CC-BY-4.0"], "Licensed under CC BY 4.0; derivatives are allowed"),
+        (["CC-BY-4.0"], "This work is licensed under a Creative Commons Attribution 4.0 International License. For commercial terms contact us"), (["CC-BY-NC-4.0"], "Licensed under the Creative Commons Attribution-Non-Commercial 4.0 International License"),
+        (["Apache-2.0", "MIT"], "Licensed under the MIT License and the Apache License, Version 2.0"), (["GPL-2.0", "MIT"], "Licensed under the GNU General Public License version 2 or the MIT License"),
+        ([], "This article is not licensed under the MIT License"), ([], "It was never released under the Apache License, Version 2.0"), (["MIT"], "You may not copy it before. Released under the MIT License."),
+        (["MIT"], "// SPDX-License-Identifier: MIT"), (["Apache-2.0"], "# SPDX-License-Identifier: Apache-2.0"), (["GPL-3.0"], "SPDX-License-Identifier: GPL-3.0-or-later"), (["BSD-3-Clause"], "SPDX-License-Identifier: BSD-3-Clause"), (["MIT"], "License: MIT"),
+        (["Apache-2.0", "MIT"], "SPDX-License-Identifier: MIT\nLicense: Apache-2.0"), ([], "Our license. MIT researchers found"),
+    ],
+)
+def test_all_notices_of_a_text(matcher, spdx, text):
+    assert sorted(matcher.templates[-k][0] for _, k, _ in matcher.notices(FILLER + text + FILLER)) == spdx
+
+
+def test_long_paths_take_time_in_proportion(spark):
+    deep = "h.org/" + "/".join("d" * 3 for _ in range(60_000)) + "/page"
+    pages = [(1, "http://h.org/LICENSE", "Released under the MIT License."), (2, f"http://{deep}", "x"), (3, "http://h.org/ddd/LICENSE", "Licensed under the Apache License, Version 2.0"), (4, "http://h.org/ddd/ddd/ddd/x", "x"), (5, "http://h.org/e/x", f"Released under the MIT License.{FILLER}Licensed under the Apache License, Version 2.0.")]
+    began = time.time()
+    got = {r["page_id"]: (r["license"], r["found_in"], r["license_dir"], r["also"]) for r in license_scan.license_scan(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert time.time() - began < 60
+    assert got[2] == got[4] == ("Apache-2.0", "ancestor", "h.org/ddd", []) and got[1][:2] == ("MIT", "file") and sorted([got[5][0], *got[5][3]]) == ["Apache-2.0", "MIT"]
+
+
 def test_windows_equal_brute_force(matcher):
     rng = random.Random(4)
     for k in (0, 30, len(matcher.templates) - 5):
