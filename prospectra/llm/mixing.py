@@ -187,8 +187,9 @@ def mixed_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
     ``residual`` is the share of all tokens by which the fit misses its targets, alike in all rows.
     Null and empty texts have no tokens; their rate follows from their posterior all the same.
-    Repeated rows come back as often as they came, rows without an id too. Without labels all
-    posteriors are equal.
+    Texts of any length are read whole. Repeated rows come back as often as they came, rows without
+    an id too. Without labels all posteriors are equal. An empty table gives none; other columns are
+    ignored, whatever their names.
     """
     rows = stored(posteriors(docs, fit_domains(docs, labels, id_col, text_col, vocabulary), id_col, text_col, vocabulary=vocabulary), "posteriors")
     steps, now, goal = fit_rates(rows, targets)

@@ -610,7 +610,8 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
 def keep_one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id names their component of near copies.
 
-    Ids must be unique, as they are after exact dedup; rows with null ids stay.
+    Ids are expected to be unique, as they are after exact dedup: of one id with several texts all
+    rows go as soon as one is to go. Rows with null ids stay.
     """
     found = near_copies(docs, words, id_col, text_col)
     dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col))

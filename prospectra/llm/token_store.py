@@ -231,7 +231,12 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode_and_read_back(docs: DataFrame, **options) -> DataFrame:
-    """Write the token files to the shared folder and return the index read from them."""
+    """Write the token files to the shared folder and return the index read from them.
+
+    Texts of any length are encoded whole. Null counts as empty; every document ends with the end id.
+    Rows without an id come first, repeated rows as often as they came. An empty table gives none;
+    other columns are ignored, whatever their names.
+    """
     path = f"{shared_folder(docs.sparkSession)}/token_files"
     write_token_files(docs, path, **options)
     return token_index(docs.sparkSession, path)

@@ -304,7 +304,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Labels are learnt only from rows that are not held out. Null and empty texts get the score of
     a text without any feature. Repeated rows come back as often as they came, rows without an id
-    too (not held out); repeated labels count once, the toxic one first.
+    too (not held out); repeated labels count once, the toxic one first. Texts of any length are
+    read whole. An empty table gives none; other columns are ignored, whatever their names.
     """
     scored = score(docs, fit(docs, labels, F.coalesce(held_out_third(), F.lit(False))))
     return scored.select("doc_id", F.coalesce(held_out_third(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -112,8 +112,9 @@ def load(path: str) -> UnigramCounter:
 def count_tokens(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens`` and ``best_score`` of every whole text.
 
-    Null counts as empty; empty texts have no tokens and score 0. Repeated rows come back as often
-    as they came; other columns are ignored.
+    Null counts as empty; empty texts have no tokens and score 0. Texts of any length are counted
+    whole. Repeated rows come back as often as they came, rows without an id too; an empty table
+    gives none; other columns are ignored, whatever their names.
     """
     text_batches(docs.sparkSession)
 
