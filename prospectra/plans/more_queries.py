@@ -75,12 +75,13 @@ def contact_backfill(spark, d):
     return Wr.absent(P.contacts(tags, "business_id"), N.business_contacts(spark, d), ["business_id", "contact_type", "value"])
 
 
-@query(r"""SELECT n.page_id AS business_id, 'e1,e2' AS engines, count(*) AS results, count(*) AS outside_directories
+@query(r"""SELECT n.page_id AS business_id, 'e1,e2' AS engines, count(*) AS results, count(*) FILTER (rank < 4) AS outside_directories
     FROM pages n, (SELECT unnest(range(1, 6)) AS rank) g, pages p WHERE p.page_id = (n.page_id + g.rank + (SELECT count(*) FROM pages) - 2) % (SELECT count(*) FROM pages)
     AND (n.page_id % 3 <> 0 OR p.page_id <> n.page_id) GROUP BY 1""")
 def engine_coverage(spark, d):
     _, results = _search_results(spark, d)
     marked = results.withColumn("engines", F.when(F.col("rank") % 2 == 0, F.array(F.lit("e1"))).otherwise(F.array(F.lit("e2"), F.lit("e1"))))
+    marked = marked.withColumn("href", F.when(F.col("rank") == 5, "https://m.yelp.com/biz/x").when(F.col("rank") == 4, "https://www.facebook.com/x").otherwise(F.col("href")))
     return E.engine_coverage(marked).select("business_id", _csv("engines"), "results", "outside_directories")
 
 
@@ -309,4 +310,23 @@ def places_in_areas(spark, d):
     return P.in_areas(points, areas).select("domain_id", "area")
 
 
+@query("""SELECT p_partkey AS business_id, CASE WHEN strong OR titled THEN 'has_website' ELSE 'no_website' END AS result, CASE WHEN strong THEN 'http://' || h || '/' WHEN titled THEN 'http://site' || p_partkey || '.org/' END AS website
+    FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN b || '-' || a || '-shop.com' ELSE b || 'works-online.net' END AS h, p_partkey % 4 = 0 AND length(a) >= 4 AND length(b) >= 4 OR p_partkey % 4 = 1 AS strong, p_partkey % 4 = 2 AND same AS titled
+        FROM (SELECT *, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, coalesce(p_name = lead(p_name) OVER (ORDER BY p_partkey), false) AS same FROM part))""")
+def search_rules(spark, d):
+    """Hosts that hold two of a name's words, or one long one, then titles on root pages, and directories, which never win."""
+    i, a, b = F.col("p_partkey"), F.col("_w")[0], F.col("_w")[1]
+    parts = N.table(spark, d, "part").withColumn("_w", F.split("p_name", " "))
+    after = parts.select((i - 1).alias("p_partkey"), F.col("p_name").alias("_next"))
+    rows = parts.join(after, "p_partkey", "left").withColumn("_kind", i % 4)
+    kind = lambda k: F.col("_kind") == k
+    named = rows.select(i.alias("business_id"), F.when(kind(1), F.concat(F.initcap(a), F.lit(" "), b, F.lit("works"))).otherwise(F.initcap("p_name")).alias("name"))
+    href = F.when(kind(0), F.concat(F.lit("http://"), b, F.lit("-"), a, F.lit("-shop.com/about/us"))).when(kind(1), F.concat(F.lit("http://www."), b, F.lit("works-online.net/a/b")))
+    href = href.when(kind(2), F.concat(F.lit("http://site"), i.cast("string"), F.lit(".org/"))).otherwise(F.concat(F.lit("https://www.facebook.com/"), a, b))
+    own = rows.select(i.alias("business_id"), F.lit(1).alias("query_no"), F.lit(2).alias("rank"), href.alias("href"), F.upper("_next").alias("title"))
+    first = rows.select(i.alias("business_id"), F.lit(1).alias("query_no"), F.lit(1).alias("rank"), F.lit("https://www.yelp.com/biz").alias("href"), F.col("p_name").alias("title"))
+    found = E.search_verdicts(named, own.unionByName(first)).select("business_id", "result", "website")
+    return found.withColumn("website", F.regexp_replace("website", "://www[.]", "://"))
+
+
 from . import file_queries, pass_queries, table_queries  # noqa: E402, F401  register themselves

@@ -118,10 +118,13 @@ def directory_suffix_join(spark, d):
     return J.under_domains(pages, "url", listed).select("page_id")
 
 
-@query("SELECT page_id, regexp_matches(lower(html[1:200000]), '" + "|".join(k.replace(".", "\\.") for k in V.PARKED_KEYWORDS) + "') AS parked FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 7 = 0 THEN page_id % 14 = 0 ELSE page_id % 10 = 0 OR regexp_matches(lower(html[1:200000]), '" + "|".join(k.replace(".", "\\.") for k in V.PARKED_KEYWORDS) + "') END AS parked FROM pages")
 def parked_pages(spark, d):
-    none = F.array().cast("array<string>")
-    return N.table(spark, d, "pages").select("page_id", X.domain_is_parked("html", F.lit(""), none, F.lit(True)).alias("parked"))
+    """Parked by the page, by the host that a page led to, or by an alias; nothing is asked where neither answered nor had an alias."""
+    i, other = F.col("page_id"), F.array(F.lit("shop.example.com"))
+    final = F.when(i % 10 == 0, "www.SedoParking.com").otherwise("shop.example.com")
+    alias = F.when(i % 14 == 0, F.array(F.lit("a.example.com"), F.lit("x.ParkingCrew.net"))).when(i % 7 == 0, F.array().cast("array<string>")).otherwise(other)
+    return N.table(spark, d, "pages").select("page_id", X.domain_is_parked("html", final, alias, i % 7 != 0).alias("parked"))
 
 
 @query(f"""SELECT domain, CASE WHEN p % 5 = 0 OR p % 11 = 0 OR p % 13 = 0 OR p % 7 = 0 OR p % 17 = 0 THEN 'hosted' WHEN p % 3 = 0 THEN 'registered_no_web' WHEN p % 2 = 0 THEN 'registered_dns_only'

@@ -132,8 +132,12 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
     """One row for each of the ``elements`` of a file, or of all files of a folder.
 
     Files may be written in any way that is valid JSON, each as one object; elements of other
-    arrays and of nested ones do not count. A file without elements gives none.
+    arrays and of nested ones do not count. A file without elements gives none. Both readings must
+    cut files alike, so the session's ``spark.sql.files.minPartitionNum`` is set where it is not, to the
+    number of cores now: executors that come or go meanwhile move no cut.
     """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     pieces = spark.read.option("lineSep", "}").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
     half = lambda k: f"inside{k} boolean, depth{k} long, low{k} long, opened{k} array<long>"
     states = spark.sparkContext.broadcast(_beginnings(pieces.mapInPandas(_summed, f"path string, start long, {half(0)}, {half(1)}")))
@@ -151,6 +155,8 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
             if begins:
                 if rest := left():
                     yield frame(rest)
+                if (path, start) not in states.value:
+                    raise RuntimeError(f"{path} is cut at {start} now, and was not before: it or the session's spark.sql.files settings have changed")
                 here, reader = (path, start), Reader(*states.value[path, start])
             found: list[tuple[str, str]] = []
             for text in texts:
