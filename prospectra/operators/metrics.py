@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospectra.functions import fixed_values as V
-from prospectra.functions import text as X
 
 
 def business_totals(scored: DataFrame) -> DataFrame:
