@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +50,20 @@ def classify_domains(observations: DataFrame, domains: DataFrame | None = None,
 
 def business_domains(businesses: DataFrame, contacts: DataFrame) -> DataFrame:
     """(``business_id``, ``domain``, ``source``): the website's domain, and the addresses' but for public ones. The website wins a tie."""
-    site = businesses.select("business_id", X.normalize_domain("website_url").alias("domain"), F.lit("website").alias("source"))
-    mail = contacts.filter("contact_type = 'email'").select("business_id", X.email_domain("value").alias("domain"), F.lit("email").alias("source"))
-    both = site.unionByName(mail.filter(~X.is_public_mail_domain("domain"))).filter("domain IS NOT NULL")
+    some = lambda domain: F.explode(F.array_compact(F.array(domain))).alias("domain")  # no row for null; a filter would work the domain out again
+    site = businesses.select("business_id", some(X.normalize_domain("website_url")), F.lit("website").alias("source"))
+    mail = contacts.filter("contact_type = 'email'").select("business_id", some(X.email_domain("value")), F.lit("email").alias("source"))
+    both = site.unionByName(mail.filter(~X.is_public_mail_domain("domain")))
     return keep_first(both, ["business_id", "domain"], F.desc("source"))  # website after email
 
 
-def sync_domains(businesses: DataFrame, contacts: DataFrame, domains: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new domains, new links): what the businesses name and the tables do not hold. A new domain's id is a hash of its name, below zero."""
+def sync_domains(businesses: DataFrame, contacts: DataFrame, domains: DataFrame, links: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new domains, new links): what the businesses name and the tables do not hold. A new domain's id is a hash of its name, below zero.
+
+    With ``keep``, which writes a table and reads it, what the businesses name is found once for both.
+    """
     wanted = business_domains(businesses, contacts)
+    wanted = keep(wanted, "wanted_domains") if keep else wanted
     new = wanted.select("domain").distinct().join(domains.select("domain"), "domain", "left_anti").withColumns({"status": F.lit("new"), "domain_id": -1 - F.pmod(F.xxhash64("domain"), F.lit((1 << 62) - 57))})
     return new, wanted.join(links.select("business_id", "domain"), ["business_id", "domain"], "left_anti")
 

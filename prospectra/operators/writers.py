@@ -15,7 +15,8 @@ def absent(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     with_key = F.lit(True)
     for k in keys:
         with_key = with_key & F.col(k).isNotNull()
-    first = keep_first(new.filter(with_key), keys, F.to_json(F.struct(*new.columns)))
+    keyed = new.filter(with_key)
+    first = keyed.distinct() if set(new.columns) == set(keys) else keep_first(keyed, keys, F.to_json(F.struct(*new.columns)))
     return first.join(old, keys, "left_anti").unionByName(new.filter(~with_key))
 
 

@@ -28,17 +28,21 @@ def with_status(links: DataFrame, domains: DataFrame) -> DataFrame:
     return links.drop("status").join(domains.select("domain", "status"), "domain", "left")
 
 
-def check_domains(businesses: DataFrame, contacts: DataFrame, domains: DataFrame, links: DataFrame, observations: DataFrame, limit: int | None = None) -> dict[str, DataFrame]:
-    """Sync the domains, and classify those that are new or failed, those just synced among them; with a limit so many of them, by name."""
-    new, new_links = D.sync_domains(businesses, contacts, domains, links)
+def check_domains(businesses: DataFrame, contacts: DataFrame, domains: DataFrame, links: DataFrame, observations: DataFrame, limit: int | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Sync the domains, and classify those that are new or failed, those just synced among them; with a limit so many of them, by name.
+
+    With ``keep``, which writes a table and reads it, domains are synced and classified once for all results.
+    """
+    new, new_links = D.sync_domains(businesses, contacts, domains, links, keep)
     known = domains.unionByName(new, allowMissingColumns=True)
     due = batch(known.filter(F.col("status").isin(UNCHECKED)), [F.col("domain")], limit)
     seen = D.classify_domains(observations, due).select("domain", F.col("new_status").alias("status"))
     after = W.updated(known, seen, "domain")
+    after = keep(after, "checked_domains") if keep else after
     ids = after.select("domain", "domain_id")
     made = new_links.join(ids, "domain").select("business_id", "domain_id", "domain", "source")
-    current = with_status(links.drop("status").unionByName(made, allowMissingColumns=True), after)
-    return {"new_domains": new, "new_links": made, "domains": after, "links": current}
+    linked = links.drop("status").unionByName(made, allowMissingColumns=True)
+    return {"new_domains": new, "new_links": made, "domains": after, "linked": linked, "links": with_status(linked, after)}
 
 
 def validate_domains(businesses: DataFrame, contacts: DataFrame, domains: DataFrame, links: DataFrame, observations: DataFrame, verifications: DataFrame, branded: Column | None = None) -> dict[str, DataFrame]:
@@ -119,19 +123,19 @@ def one_pass(
     """
     keep, limits = Steps(businesses.sparkSession).keep, limits or {}
     if elements is not None:
-        imported, found = P.import_elements(elements, known=businesses)
+        imported, found = P.import_elements(elements, known=businesses, keep=keep)
         businesses = businesses.unionByName(imported, allowMissingColumns=True)
         contacts = contacts.unionByName(W.absent(found, contacts, ["business_id", "contact_type", "value"]), allowMissingColumns=True)
     if chains is not None:
         businesses, branded = in_chain(businesses, chains), F.coalesce(branded if branded is not None else F.lit(False), F.lit(False)) | F.col("in_chain")
     businesses, contacts = keep(businesses, "businesses"), keep(contacts, "contacts")
     observations, organizations = keep(latest(observations, ["domain"], "observation"), "observations"), keep(organizations, "organizations")
-    checked = check_domains(businesses, contacts, keep(domains, "old_domains"), keep(links, "old_links"), observations, limits.get("rdap"))
-    known = keep(checked["domains"], "checked_domains")
+    checked = check_domains(businesses, contacts, keep(domains, "old_domains"), keep(links, "old_links"), observations, limits.get("rdap"), keep)
+    known = checked["domains"]
     statuses, made = D.role_contacts(known, observations, role_contacts, limits.get("email"))
     statuses = keep(statuses, "statuses")
     domains = keep(W.updated(known, statuses.select("domain", "status"), "domain"), "domains")
-    links = keep(with_status(checked["links"], domains), "links")
+    links = keep(with_status(checked["linked"], domains), "links")
     reached = statuses.filter("status <> 'mx_missing'").select("domain_id", "domain")
     new = D.organizations_for(reached, organizations).filter("is_new").drop("is_new")
     organizations = organizations.unionByName(new, allowMissingColumns=True)

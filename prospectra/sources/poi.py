@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,11 +180,12 @@ def contacts(rows: DataFrame, *keys: str) -> DataFrame:
     return typed.select(*keys, F.col("c.t").alias("contact_type"), F.explode("c.v").alias("value")).distinct()
 
 
-def import_elements(elements: DataFrame, filters: list[tuple[str, dict[str, str | None]]] | None = None, source: str = "osm", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def import_elements(elements: DataFrame, filters: list[tuple[str, dict[str, str | None]]] | None = None, source: str = "osm", known: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(businesses, contacts) of the named elements. Of elements with one key the first by content (as JSON) stays.
 
     Ids are 64-bit hashes of the key below zero, free of collisions with each other and, where
     ``known`` businesses are given, with theirs; elements that these hold already are left out.
+    With ``keep``, which writes a table and reads it, elements are read once for ids, businesses and contacts.
     """
     named = with_location(elements.filter(tag("name").isNotNull()))
     category = F.coalesce(match_category(filters), classify()) if filters else classify()
@@ -193,7 +196,7 @@ def import_elements(elements: DataFrame, filters: list[tuple[str, dict[str, str
     rows = keep_first(rows, ["source", "source_id"], F.to_json(F.struct(*rows.columns)))
     if known is not None and {"source", "source_id"} <= set(known.columns):
         rows = rows.join(known.select("source", "source_id"), ["source", "source_id"], "left_anti")
-    rows = with_ids(rows, ["source", "source_id"], "business_id", known)
+    rows = with_ids(keep(rows, "imported") if keep else rows, ["source", "source_id"], "business_id", known)
     return rows, contacts(rows, "business_id")
 
 
