@@ -128,7 +128,7 @@ def one_pass(
         contacts = contacts.unionByName(W.absent(found, contacts, ["business_id", "contact_type", "value"]), allowMissingColumns=True)
     if chains is not None:
         businesses, branded = in_chain(businesses, chains), F.coalesce(branded if branded is not None else F.lit(False), F.lit(False)) | F.col("in_chain")
-    businesses, contacts = keep(businesses, "businesses"), keep(contacts, "contacts")
+    businesses, contacts = keep(businesses, "businesses"), keep(contacts.repartition("business_id"), "contacts")  # whatever files they come in
     observations, organizations = keep(latest(observations, ["domain"], "observation"), "observations"), keep(organizations, "organizations")
     checked = check_domains(businesses, contacts, keep(domains, "old_domains"), keep(links, "old_links"), observations, limits.get("rdap"), keep)
     known = checked["domains"]
