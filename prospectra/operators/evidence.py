@@ -31,7 +31,8 @@ def confidence(verifications: DataFrame) -> DataFrame:
 
     Weights are decimals: sums of doubles would depend on their order near the levels' borders.
     """
-    summed = verifications.groupBy("business_id").agg(F.countDistinct("source").alias("source_count"), F.sum(weight()).cast("decimal(8,2)").alias("weight"), F.sort_array(F.collect_set("source")).alias("sources"))
+    sources = F.sort_array(F.collect_set("source"))
+    summed = verifications.groupBy("business_id").agg(F.size(sources).cast("long").alias("source_count"), F.sum(weight()).cast("decimal(8,2)").alias("weight"), sources.alias("sources"))
     return summed.withColumn("confidence", level(F.col("source_count"), F.col("weight")))
 
 

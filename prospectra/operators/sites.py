@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +57,10 @@ def _respelt(base: Column) -> Column:
     ))
 
 
-def _numbers(base: Column) -> Column:
-    """Singular and plural of a base, of a hyphenated one's last part."""
-    head, last = F.regexp_extract(base, "^(.*-)?[^-]*$", 1), F.regexp_extract(base, "([^-]*)$", 1)
-    return F.transform(X.plural_forms(last), lambda w: F.concat(head, w))
+def _numbers(bases: Column) -> Column:
+    """Singular and plural of each base, of a hyphenated one's last part; a base is cut once, whatever the number of rules."""
+    cut = F.transform(bases, lambda b: F.struct(F.regexp_extract(b, "^(.*-)?[^-]*$", 1).alias("head"), F.regexp_extract(b, "([^-]*)$", 1).alias("last")))
+    return F.flatten(F.transform(cut, lambda c: F.transform(X.plural_forms(c["last"]), lambda w: F.concat(c["head"], w))))
 
 
 def tlds_for(country: Column) -> Column:
@@ -68,13 +70,15 @@ def tlds_for(country: Column) -> Column:
     return out
 
 
-def candidate_domains(names: DataFrame) -> DataFrame:
-    """(``name``, ``country``, ``pos``, ``domain``) for each distinct name and country.
+def candidate_lists(names: DataFrame) -> DataFrame:
+    """(``name``, ``country``, ``domains``) for each distinct name and country.
 
     Longer bases come first, bases of equal length by text, each with its country's endings in
-    their order.
+    their order. Names are small and their candidates much work, so they are dealt to all partitions,
+    however few bytes they are.
     """
-    rows = names.select("name", "country").distinct()
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = names.select("name", "country").distinct().repartition(parts, F.xxhash64("name", "country"))
     name = F.coalesce("name", F.lit(""))
     raw = F.filter(F.split(F.regexp_replace(F.replace(F.lower(name), F.lit("&"), F.lit("and")), r"[^a-z0-9\s]", " "), r"\s+"), lambda w: F.length(w) >= 2)
     rows = rows.withColumns({"_brand": X.clean_name_words(name, "brand"), "_articles": X.clean_name_words(name, "articles"), "_all": X.clean_name_words(name, "all"), "_raw": raw})
@@ -84,11 +88,21 @@ def candidate_domains(names: DataFrame) -> DataFrame:
     bases = F.when(some, F.array_distinct(F.concat(_brand_bases(F.col("_brand")), _brand_bases(F.col("_articles")), full, raw_joined, _acronym_bases(name))))
     rows = rows.withColumn("_bases", F.coalesce(bases, F.array().cast(NO_TEXT)))
     rows = rows.withColumn("_bases", F.array_distinct(F.flatten(F.transform("_bases", _respelt))))
-    rows = rows.withColumn("_bases", F.array_distinct(F.flatten(F.transform("_bases", _numbers))))
+    rows = rows.withColumn("_bases", F.array_distinct(_numbers(F.col("_bases"))))
     kept = F.filter("_bases", lambda b: F.length(b).between(3, 40))
-    ordered = F.array_sort(kept, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    rows = rows.withColumn("_domains", F.flatten(F.transform(ordered, lambda b: F.transform(tlds_for(F.col("country")), lambda t: F.concat(b, t)))))
-    return rows.select("name", "country", F.posexplode(F.array_distinct("_domains")).alias("pos", "domain"))
+    ordered = F.array_sort(F.transform(kept, lambda b: F.struct((-F.length(b)).alias("least"), b.alias("base"))))
+    domains = F.flatten(F.transform(ordered, lambda b: F.transform(tlds_for(F.col("country")), lambda t: F.concat(b["base"], t))))
+    return rows.select("name", "country", F.array_distinct(domains).alias("domains"))
+
+
+def candidate_domains(names: DataFrame) -> DataFrame:
+    """(``name``, ``country``, ``pos``, ``domain``) for each distinct name and country, in the order of ``candidate_lists``."""
+    return _each_candidate(candidate_lists(names))
+
+
+def _each_candidate(lists: DataFrame) -> DataFrame:
+    """A row for each candidate. The lists are exploded from an expression: for a plain column Spark adds a filter on its size, which would make them twice."""
+    return lists.select("name", "country", F.posexplode(F.array_distinct("domains")).alias("pos", "domain"))
 
 
 #: What a page is told from: where it is found, how it was reached, what it holds.
@@ -180,17 +194,20 @@ def judge_pages(pairs: DataFrame) -> DataFrame:
     return owned_pages(rows.drop(*PAGE), facts, words, "_page").drop("_page")
 
 
-def name_to_site(businesses: DataFrame, pages: DataFrame) -> DataFrame:
+def name_to_site(businesses: DataFrame, pages: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """``result``, ``website`` and ``candidate_count`` of each business by trying its candidate domains.
 
     Of the pages that pass, https goes before http, then the longest base, then the candidates' order.
+    With ``keep``, which writes a table and reads it, candidates and their pages are made once.
     """
-    made = candidate_domains(businesses)
-    counts = made.groupBy("name", "country").agg(F.count(F.lit(1)).alias("candidate_count"))
+    keep = keep or (lambda rows, name: rows)
+    lists = keep(candidate_lists(businesses), "candidates")
+    counts = lists.select("name", "country", F.nullif(F.size("domains").cast("long"), F.lit(0).cast("long")).alias("candidate_count"))
     live = with_page_key(pages.select("url", F.coalesce("final_url", "url").alias("final_url"), "status_code", "html"))
     facts, words = page_facts(live, "_page")
     found = live.select("_page", "url", X.url_host("url").alias("domain"))
-    owned = owned_pages(made.join(found, "domain"), facts.distinct(), words, "_page").filter("is_owner")
+    pairs = keep(_each_candidate(lists).join(found, "domain"), "candidate_pages")
+    owned = owned_pages(pairs, facts.distinct(), words, "_page").filter("is_owner")
     scheme = F.when(F.startswith("url", F.lit("https:")), 0).otherwise(1)
     best = keep_first(owned, ["name", "country"], scheme, F.desc(F.length(F.substring_index("domain", ".", 1))), "pos", "url").select("name", "country", F.col("url").alias("website"))
     same = lambda other: F.col("b.name").eqNullSafe(F.col(f"{other}.name")) & F.col("b.country").eqNullSafe(F.col(f"{other}.country"))
