@@ -23,7 +23,7 @@ def contact_sets(contacts: DataFrame) -> DataFrame:
 
 def domain_sets(links: DataFrame) -> DataFrame:
     """Domains of each business by status; those of public mail providers do not count."""
-    used = links.filter(~X.is_public_mail_domain("domain")).select("business_id", "domain", F.coalesce("status", F.lit("")).alias("status")).distinct()
+    used = links.filter(~X.is_public_mail_domain("domain")).select("business_id", "domain", F.coalesce("status", F.lit("")).alias("status"))
     as_set = lambda statuses: F.sort_array(F.collect_set(F.when(F.col("status").isin(statuses), F.col("domain"))))
     return used.groupBy("business_id").agg(
         F.sort_array(F.collect_set("domain")).alias("domains"), as_set(V.VERIFIED_UNHOSTED).alias("verified_unhosted_domains"), as_set(V.UNREGISTERED).alias("unregistered_domains"),
@@ -51,12 +51,17 @@ def _some(c: str) -> Column:
 
 
 def score_businesses(businesses: DataFrame, contacts: DataFrame, links: DataFrame, verifications: DataFrame, branded: Column | None = None) -> DataFrame:
-    """Score, reason, confidence and the facts behind them for each business.
+    """Score, reason, confidence and the facts behind them for each business."""
+    return score_features(business_features(businesses, contacts, links), verifications, branded)
+
+
+def score_features(features: DataFrame, verifications: DataFrame, branded: Column | None = None) -> DataFrame:
+    """Scores of ``business_features``, which stay as they are while evidence is added.
 
     ``branded`` says whether a business belongs to a chain. A website, a chain and an active
     domain each make the score 0, in this order. Caps apply to what is left, the least of them wins.
     """
-    f = business_confidence(business_features(businesses, contacts, links), verifications)
+    f = business_confidence(features, verifications)
     chain = F.coalesce(branded if branded is not None else F.lit(False), F.lit(False))
     has_site = X.blank_to_null("website_url").isNotNull()
     active = _some("hosted_domains") | _some("parked_domains") | _some("registered_domains")

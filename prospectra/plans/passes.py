@@ -152,10 +152,11 @@ def one_pass(
     verifications = keep(verifications, "evidence")
     inputs = {"domain_guess": pages, "ddg": results, "google_search": more_results, "llm": judged, "google_places": places, "foursquare": more_places}
     inputs = {layer: found for layer, found in inputs.items() if found is not None}
+    features = keep(S.business_features(businesses, contacts, links), "features")
     if inputs:
-        first = keep(S.score_businesses(businesses, contacts, links, verifications, branded).select("business_id", "name", "country" if "country" in businesses.columns else F.lit(None).cast("string").alias("country"), "website_url", "lead_score", "created_at"), "first_scores")
+        first = keep(S.score_features(features, verifications, branded).select("business_id", "name", "country" if "country" in businesses.columns else F.lit(None).cast("string").alias("country"), "website_url", "lead_score", "created_at"), "first_scores")
         verifications = verify_in_layers(first, verifications, inputs, at, keep, limits)
-    scored = keep(rescore(businesses, contacts, links, verifications, branded), "scored")
+    scored = keep(S.score_features(E.apply_websites(features, verifications), verifications, branded), "scored")
     eligible = L.eligible_leads(scored, contacts, links, min_score=min_score, require_contact=require_contact, exclude_active=exclude_active, require_qualified=require_qualified)
     leads, ledger = L.lead_export(eligible, exports, platform, F.to_date(at), limit, max_written=max_written)
     return checked | {

@@ -72,3 +72,13 @@ def test_elements_are_read_once(spark, kept):
     assert seen["imported"].count() == 2 and rows(b) == rows(P.import_elements(e)[0]) and c.count() == 2
     held = spark.createDataFrame([(-1, "phone", "x")], CONTACT)
     assert Wr.absent(c.union(c), held, CONTACT.replace(" long", "").replace(" string", "").split(", ")).count() == 2
+
+
+def test_features_stay_while_evidence_is_added(spark):
+    b = spark.createDataFrame([(1, "A", "trades", None), (2, "B", "", "http://b.com")], "business_id long, name string, category string, website_url string")
+    c = spark.createDataFrame([(1, "phone", "1"), (1, "email", "a@own.com")], CONTACT)
+    links = spark.createDataFrame([(1, "d.com", "hosted"), (1, "d.com", "hosted"), (2, "e.com", None)], "business_id long, domain string, status string")
+    v = spark.createDataFrame([(1, "ddg", "no_website"), (1, "ddg", "no_website"), (1, None, "x")], "business_id long, source string, result string")
+    assert rows(S.score_features(S.business_features(b, c, links), v)) == rows(S.score_businesses(b, c, links, v))
+    (one,) = E.confidence(v).collect()
+    assert one["source_count"] == 1 and one["sources"] == ["ddg"] and dict(E.confidence(v).dtypes)["source_count"] == "bigint"
