@@ -30,14 +30,16 @@ def names_with_chain(names: DataFrame, chains: DataFrame, least: int = 4) -> Dat
     """(``name``, ``chain``) where a name holds a chain's name of ``least`` letters or more, or is one.
 
     A chain is filed under the one of its pieces that the fewest names hold, which one counting pass
-    over the names tells; a piece that all share, as of "the ..", keys no chain that has another. A
+    over the names tells, of pieces that chains have; a piece that all share, as of "the ..", keys no chain that has another. A
     piece that keys many chains all the same is dealt into several keys. Names meet the keys by
     their pieces in an equi join; what meets is compared in full.
     """
     distinct = names.select("name").distinct().withColumn("_lower", F.lower(F.trim("name")))
-    held = distinct.select("name", "_lower", F.explode(_pieces("_lower", least)).alias("_piece"))
     filed = chains.select("chain").distinct().select("chain", F.explode(_pieces("chain", least)).alias("_piece"))
-    counted = held.join(filed.select("_piece").distinct(), "_piece", "left_semi").groupBy("_piece").agg(F.count(F.lit(1)).alias("_names"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_lower") - least + 1, F.lit(1)))
+    cut = distinct.select("name", "_lower", F.explode(starts).alias("_at")).select("name", "_lower", F.substr("_lower", F.col("_at"), F.lit(least)).alias("_piece"))
+    held = cut.join(filed.select("_piece").distinct(), "_piece", "left_semi").distinct()
+    counted = held.groupBy("_piece").agg(F.count(F.lit(1)).alias("_names"))
     # a chain with a piece that no name has is in no name
     known = filed.join(counted, "_piece", "left").groupBy("chain").agg(F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("n"), "_piece")).alias("_best"))
     keyed = known.filter("_best.n > 0").select("chain", F.col("_best._piece").alias("_piece"))

@@ -82,3 +82,11 @@ def test_features_stay_while_evidence_is_added(spark):
     assert rows(S.score_features(S.business_features(b, c, links), v)) == rows(S.score_businesses(b, c, links, v))
     (one,) = E.confidence(v).collect()
     assert one["source_count"] == 1 and one["sources"] == ["ddg"] and dict(E.confidence(v).dtypes)["source_count"] == "bigint"
+
+
+def test_only_pieces_that_chains_have_are_counted(spark):
+    names = spark.createDataFrame([("aaaaaaaa burger",), ("Plain",), ("abc",), (None,)], "name string")
+    chains = spark.createDataFrame([("aaaa",), ("burger",), ("abc",)], "chain string")
+    got = J.names_with_chain(names.filter("name IS NOT NULL"), chains)
+    assert rows(got) == [("aaaaaaaa burger", "aaaa"), ("aaaaaaaa burger", "burger"), ("abc", "abc")]
+    assert "transform(sequence(1, greatest(((length(_lower" not in got._jdf.queryExecution().optimizedPlan().toString()
