@@ -62,9 +62,10 @@ def rescore(businesses: DataFrame, contacts: DataFrame, links: DataFrame, verifi
     return S.score_businesses(E.apply_websites(businesses, verifications) if "website" in verifications.columns else businesses, contacts, links, verifications, branded)
 
 
-def enrich_from_places(businesses: DataFrame, contacts: DataFrame, places: DataFrame) -> DataFrame:
-    """Contacts with the phones of places that match their business."""
+def enrich_from_places(businesses: DataFrame, contacts: DataFrame, places: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Contacts with the phones of places that match their business; with ``keep``, which writes a table and reads it, these are found once."""
     phones = E.place_verdicts(businesses, places).filter("phone IS NOT NULL").select("business_id", F.lit("phone").alias("contact_type"), F.col("phone").alias("value"))
+    phones = keep(phones) if keep else phones
     return contacts.unionByName(W.absent(phones, contacts, ["business_id", "contact_type", "value"]), allowMissingColumns=True)
 
 
@@ -125,7 +126,7 @@ def one_pass(
     if elements is not None:
         imported, found = P.import_elements(elements, known=businesses, keep=keep)
         businesses = businesses.unionByName(imported, allowMissingColumns=True)
-        contacts = contacts.unionByName(W.absent(found, contacts, ["business_id", "contact_type", "value"]), allowMissingColumns=True)
+        contacts = contacts.unionByName(W.absent(keep(found, "imported_contacts"), contacts, ["business_id", "contact_type", "value"]), allowMissingColumns=True)
     if chains is not None:
         businesses, branded = in_chain(businesses, chains), F.coalesce(branded if branded is not None else F.lit(False), F.lit(False)) | F.col("in_chain")
     businesses, contacts = keep(businesses, "businesses"), keep(contacts.repartition("business_id"), "contacts")  # whatever files they come in
@@ -139,8 +140,8 @@ def one_pass(
     reached = statuses.filter("status <> 'mx_missing'").select("domain_id", "domain")
     new = D.organizations_for(reached, organizations).filter("is_new").drop("is_new")
     organizations = organizations.unionByName(new, allowMissingColumns=True)
-    for found in (places, more_places):
-        contacts = contacts if found is None else enrich_from_places(businesses, contacts, found)
+    for name, found in (("places", places), ("more_places", more_places)):
+        contacts = contacts if found is None else enrich_from_places(businesses, contacts, found, lambda phones, name=name: keep(phones, f"phones_{name}"))
     contacts = contacts if places is None and more_places is None else keep(contacts, "all_contacts")
     people = role_contacts.unionByName(made.select("domain_id", "email", "source"), allowMissingColumns=True)
     named = organizations.groupBy("domain_id").agg(F.min("org_id").alias("org_id"))

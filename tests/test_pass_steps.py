@@ -90,3 +90,13 @@ def test_only_pieces_that_chains_have_are_counted(spark):
     got = J.names_with_chain(names.filter("name IS NOT NULL"), chains)
     assert rows(got) == [("aaaaaaaa burger", "aaaa"), ("aaaaaaaa burger", "burger"), ("abc", "abc")]
     assert "transform(sequence(1, greatest(((length(_lower" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_phones_of_places_are_found_once(spark, kept):
+    keep, seen = kept
+    b = spark.createDataFrame([(1, "Alder Garages"), (2, "Other")], "business_id long, name string")
+    known = spark.createDataFrame([(2, "phone", "2")], CONTACT)
+    place = "place struct<name: string, website: string, national_phone: string, international_phone: string, rating: double, review_count: int>"
+    places = spark.createDataFrame([(k, 1, (n, None, str(k), None, None, None)) for k, n in ((1, "Alder Garages"), (2, "Other"))], f"business_id long, rank int, {place}")
+    out = passes.enrich_from_places(b, known, places, lambda phones: keep(phones, "phones"))
+    assert rows(out) == [(1, "phone", "1"), (2, "phone", "2")] and seen["phones"].count() == 2
